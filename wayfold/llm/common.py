@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers by batches of few rows."""
+    """Bound the memory of Python workers by batches of few rows, and give them this package, once for each Spark context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    context = spark.sparkContext
+    if not getattr(context, "_has_wayfold", False):
+        root = Path(__file__).parents[1]
+        folder = tempfile.mkdtemp(prefix="wayfold-")  # on the driver, from where Spark serves the file
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/wayfold.zip", "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        context.addPyFile(f"{folder}/wayfold.zip")
+        context._has_wayfold = True
 
 
 def cut(df: DataFrame) -> DataFrame:

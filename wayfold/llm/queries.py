@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import line_dedup, media, mixing, pii
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
+    "op10_media": media.op10_media,
 }
 SQL = {"op1_line_dedup": line_dedup.SQL}
