@@ -60,3 +60,20 @@ def col(name: str) -> Column:
 def packed(df: DataFrame) -> Column:
     """The whole row as one struct, so that no column of the caller's can clash with names used inside."""
     return F.struct(*[col(c).alias(c) for c in df.columns])
+
+
+class Recent(dict):
+    """A bounded cache of two generations: recent[key] computes what is missing; a full generation becomes the old one, the old one goes."""
+
+    def __init__(self, compute, size: int) -> None:
+        super().__init__()
+        self.compute, self.size, self.old = compute, size, {}
+
+    def __missing__(self, key):
+        if (found := self.old.get(key)) is None:
+            found = self.compute(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
