@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, mixing, pii, sp_codec, token_counts
+from . import line_dedup, media, minhash, mixing, pii, sp_codec, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
     "op4_sentencepiece": sp_codec.op4_sentencepiece,
+    "op5_minhash": minhash.op5_minhash,
     "op7_token_counts": token_counts.op7_token_counts,
     "op10_media": media.op10_media,
 }
