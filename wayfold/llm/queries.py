@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, minhash, mixing, pii, sp_codec, token_counts
+from . import ann, lang_id, line_dedup, media, minhash, mixing, pii, quality, sp_codec, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,7 +10,10 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_sentencepiece": sp_codec.op4_sentencepiece,
     "op5_minhash": minhash.op5_minhash,
+    "op6_lang_id": lang_id.op6_lang_id,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_quality": quality.op8_quality,
+    "op9_ann": ann.op9_ann,
     "op10_media": media.op10_media,
 }
 SQL = {"op1_line_dedup": line_dedup.SQL}
