@@ -1,0 +1,4 @@
+"""Named queries over the tables, by section of the inventory."""
+
+from . import scalar  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
