@@ -1,4 +1,4 @@
 """Named queries over the tables, by section of the inventory."""
 
-from . import classify, filters, scalar  # noqa: F401
+from . import aggregates, classify, filters, joins, scalar  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
