@@ -51,8 +51,8 @@ def adaptive_split(df: DataFrame, chunk: str, name: str, size: Column, threshold
     h = text.fnv1a(F.col(name), most)
     rows = df.select(chunk, size.alias("_s"), h.alias("_h")).groupBy(chunk, "_h").agg(F.sum("_s").alias("_s"), F.count(F.lit(1)).alias("_n"))
     tried = rows.select(chunk, "_s", "_n", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.pmod(F.col("_h"), F.lit(n)).alias("b")) for n in sizes])).alias("t"))
-    per = tried.groupBy(chunk, "t.n", "t.b").agg((F.sum("_s") + F.sum("_n") + 1).alias("s")).groupBy(chunk, "n").agg(F.max("s").alias("s"))
-    return per.groupBy(chunk).agg(F.coalesce(F.min(F.when(F.col("s") <= threshold, F.col("n"))), F.lit(most)).alias("buckets"))
+    per = tried.groupBy(chunk, "t.n", "t.b").agg((F.sum("_s") + F.sum("_n") + 1).alias("_z")).groupBy(chunk, "n").agg(F.max("_z").alias("_z"))
+    return per.groupBy(chunk).agg(F.coalesce(F.min(F.when(F.col("_z") <= threshold, F.col("n"))), F.lit(most)).alias("buckets"))
 
 
 def search(index: DataFrame, query: str, limit: int = 300) -> DataFrame:
