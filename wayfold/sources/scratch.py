@@ -1,0 +1,14 @@
+"""A folder for intermediate files that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; on one machine without that setting, as in tests, under the temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfold-")
+    return f"{base}/wayfold-{uuid.uuid4().hex}"
