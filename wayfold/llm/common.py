@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,16 +36,23 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that the cluster names.
+    """Cut the lineage: df written as a table to the folder that the cluster names, and read back.
 
-    spark.checkpoint.dir is read from the session. Only where it is unset, as in tests on one machine,
-    a temporary folder stands in for it.
+    spark.checkpoint.dir is read from the session. Only where it is unset, as in tests on one machine, a temporary folder stands in for it.
+    A table, not checkpoint(), because a checkpoint keeps the size estimates of the plan that made it: in iterations with joins these are
+    multiplied round by round, up to numbers of millions of digits that the planner then computes with. The table goes when the driver ends.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfold-"))
-    return df.checkpoint(eager=True)
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_wayfold_tables", None)
+    if base is None:
+        base = context._wayfold_tables = tempfile.mkdtemp(prefix="wayfold-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    path = f"{base}/wayfold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:
@@ -77,3 +85,37 @@ class Recent(dict):
             self.clear()
         self[key] = found
         return found
+
+
+def bounded_sample(df: DataFrame, rows: int, *key: str) -> list:
+    """About `rows` rows of df on the driver, the same in each run: those whose hash of the key is least, by a bound from the count.
+
+    What is sent is bounded by `rows`, whatever the number of tasks. Fewer rows than that come whole.
+    """
+    h, parts = F.pmod(F.xxhash64(*key), F.lit(2**52)), 2**52
+    n = df.count()
+    picked = df.withColumn("_h", h)
+    if n > rows:
+        share = rows / n
+        picked = picked.where(F.col("_h") < int(parts * min(1.0, share + 3 * (share / n) ** 0.5)))
+    return sorted(picked.limit(2 * rows).collect(), key=lambda r: (r["_h"], str(r)))[:rows]
+
+
+#: Rows up to which a table may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df for a join: broadcast if it is counted to be small, else as it is. df should be cut, as it is read twice."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+_STATE: dict = {}
+
+
+def worker_state(key: tuple, build):
+    """What a worker process keeps between batches and tasks for the operator it runs; the state of another operator goes first."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = build()
+    return _STATE[key]

@@ -9,12 +9,20 @@ band with probability (1 - 0.85^6)^32 = 3e-7.
 1. One pass over the texts makes (id, set size, digest of the set, one byte of each value, band keys). Cut by a checkpoint.
 2. Documents of one digest are a class, represented by its least doc_id; only representatives go on, so copies make no pairs.
 3. In each bucket of a band, members pair with the bucket's least member. Confirmed links give components.
-4. Pairs of a bucket that are still in different components are all candidates too, less those that were tried. So every pair that
-   shares a bucket is either confirmed, refuted or already connected, and large groups of near copies, which step 3 connects, don't make
-   all their pairs.
+4. Pairs of a bucket that are still in different components are candidates too, less those that were tried. Buckets of at most SMALL
+   members make them as they are. Larger ones go through core_pairs(), which finds all pairs that can be similar enough without
+   making the others: so every pair that shares a bucket is confirmed, refuted or already connected, and large groups of near copies
+   don't make all their pairs.
 5. Before texts are fetched, pairs whose estimate is under threshold - MARGIN (over six standard deviations) are dropped. What is
    left is confirmed on the full sets of both texts.
 
+core_pairs(): buckets with one least member form a group; its core are the shingles that more than half of the group's sets hold. With
+d(x) the number of elements in which x differs from the core, x and y differ in d(x) + d(y) - 2c elements, where c is what their
+differences share. They are similar enough if they differ in at most L(|x| + |y|), L = (100 - percent) / (100 + percent). So with
+s(x) = d(x) - L|x|: pairs with s(x) + s(y) <= 0 are linked as they stand, and others only if c >= (s(x) + s(y)) / 2. The document of least s
+is linked with all that s allows (the near ones); for the rest c is at least about half of a difference, so two similar documents
+share one of the rarest elements of their differences (prefix filter), and those are rare: a group's common passages are in its core.
+
 Buckets are found with grouped counts (partial aggregation) and equi-joins, whose hot keys AQE may split. Nothing of the corpus goes
 to the driver.
 
@@ -31,21 +39,20 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent, col, cut, small_batches, table
+from .common import Recent, col, cut, small_batches, table, worker_state
 from .components import components
 
-PERMS, ROWS, MARGIN, SEED = 96, 6, 0.15, 7
+PERMS, ROWS, MARGIN, SMALL, SEED = 96, 6, 0.15, 16, 7
 BANDS = 2 * PERMS // ROWS
-CACHE, CHUNK = 200_000, 4096
+CACHE, CHUNK = 150_000, 4096
 
 
-@lru_cache(maxsize=1)
 def _word_hashes() -> Recent:
-    return Recent(xxhash.xxh3_64_intdigest, CACHE)
+    return worker_state(("words",), lambda: Recent(xxhash.xxh3_64_intdigest, CACHE))
 
 
 @lru_cache(maxsize=4)
@@ -140,6 +147,45 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: in
     return full.where(_confirm(width, percent)("ta", "tb")).select("a", "b").distinct()
 
 
+def _elements(width: int):
+    @F.pandas_udf("array<long>")
+    def elements(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shingles(t, width).view(np.int64))
+
+    return elements
+
+
+def core_pairs(grouped: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """grouped(_hub, _rep, _comp), distinct, to (links, candidates), both (a, b): pairs that are linked as they stand, and all other pairs
+    of a group, in different components, that can be linked."""
+    over, under = 100 + percent, 100 - percent
+    sets = texts.toDF("_rep", "_text").join(grouped.select("_rep").distinct(), "_rep").select("_rep", _elements(width)("_text").alias("_els"))
+    rows = cut(grouped.join(sets.dropDuplicates(["_rep"]), "_rep"))
+    sizes = rows.groupBy("_hub").agg(F.count(F.lit(1)).alias("_docs"))
+    counts = rows.select("_hub", F.explode("_els").alias("_el")).groupBy("_hub", "_el").count()
+    core = counts.join(sizes, "_hub").where(F.col("count") * 2 > F.col("_docs")).groupBy("_hub").agg(F.collect_list("_el").alias("_core"))
+    known = F.coalesce("_core", F.array().cast("array<long>"))
+    differs = F.concat(F.array_except("_els", known), F.array_except(known, "_els"))
+    rows = rows.join(core, "_hub", "left").select("_hub", "_rep", "_comp", F.size("_els").alias("_n"), differs.alias("_diff"))
+    rows = cut(rows.withColumn("_s", F.size("_diff").cast("long") * over - F.col("_n") * under))
+    least = rows.groupBy("_hub").agg(F.min(F.struct("_s", "_rep")).alias("_m")).select("_hub", F.col("_m._s").alias("_least"), F.col("_m._rep").alias("_mid"))
+    rows = rows.join(least, "_hub").withColumn("_near", F.col("_s") <= -F.col("_least"))
+    links = rows.where("_near and _rep <> _mid").select(F.least("_rep", "_mid").alias("a"), F.greatest("_rep", "_mid").alias("b")).distinct()
+    q = F.col("_s") + F.greatest(F.col("_least"), -F.col("_least"))
+    shared = F.when(F.col("_least") <= 0, F.floor(q / (2 * over)) + 1).otherwise(F.ceil(q / (2 * over)))
+    rows = rows.withColumn("_prefix", F.size("_diff") - F.greatest(F.lit(1), shared) + 1).withColumn("_d", F.size("_diff"))
+    entries = rows.select("_hub", "_rep", "_comp", "_near", "_prefix", "_d", F.explode("_diff").alias("_el"))
+    often = entries.groupBy("_hub", "_el").count().where("count > 1")
+    own = Window.partitionBy("_hub", "_rep")
+    entries = entries.join(often, ["_hub", "_el"])
+    once = F.col("_d") - F.count(F.lit(1)).over(own)  # elements that only this document has come first in the prefix and match nothing
+    entries = entries.withColumn("_in", F.row_number().over(own.orderBy("count", "_el")) + once <= F.col("_prefix"))
+    entries = cut(entries.select("_hub", "_el", "_rep", "_comp", "_near", "_in"))
+    far = entries.where("not _near").toDF("_hub", "_el", "_rep2", "_comp2", "_near2", "_in2")
+    both = entries.where("_in").join(far, ["_hub", "_el"]).where("_comp <> _comp2").where("_near or (_in2 and _rep < _rep2)")
+    return links, both.select(F.least("_rep", "_rep2").alias("a"), F.greatest("_rep", "_rep2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _n, _component, _kept) for each row of docs."""
     docs = docs.select(col(id_col).cast("long").alias("_id"), col(text_col).alias("_text"))
@@ -155,12 +201,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     tried = cut(members.where("_rep <> _least").select(F.col("_least").alias("a"), F.col("_rep").alias("b")).distinct())
     groups = components(_confirmed(tried, classes, texts, width, percent))
 
-    placed = members.join(groups.toDF("_rep", "_comp"), "_rep", "left").select("_key", "_rep", F.coalesce("_comp", "_rep").alias("_comp"))
-    split = placed.groupBy("_key").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y")).where("_x <> _y").select("_key")
+    placed = members.join(groups.toDF("_rep", "_comp"), "_rep", "left").select("_key", "_least", "_rep", F.coalesce("_comp", "_rep").alias("_comp"))
+    split = placed.groupBy("_key").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y"), F.count(F.lit(1)).alias("_size")).where("_x <> _y").select("_key", "_size")
     open_ = cut(placed.join(split, "_key"))
-    other = open_.toDF("_key", "_rep2", "_comp2")
-    rest = open_.join(other, "_key").where("_comp < _comp2").select(F.least("_rep", "_rep2").alias("a"), F.greatest("_rep", "_rep2").alias("b")).distinct()
-    more = _confirmed(rest.join(tried, ["a", "b"], "left_anti"), classes, texts, width, percent)
+    few = open_.where(F.col("_size") <= SMALL).select("_key", "_rep", "_comp")
+    rest = few.join(few.toDF("_key", "_rep2", "_comp2"), "_key").where("_comp < _comp2").select(F.least("_rep", "_rep2").alias("a"), F.greatest("_rep", "_rep2").alias("b"))
+    links, far = core_pairs(open_.where(F.col("_size") > SMALL).select(F.col("_least").alias("_hub"), "_rep", "_comp").distinct(), texts, width, percent)
+    rest = rest.union(far).distinct()
+    more = _confirmed(rest.join(tried, ["a", "b"], "left_anti"), classes, texts, width, percent).union(links)
     home = lambda x: groups.toDF(x, f"c{x}")
     joined = more.join(home("a"), "a", "left").join(home("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(joined)

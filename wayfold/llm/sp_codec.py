@@ -18,18 +18,17 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import Recent, col, small_batches, table
+from .common import Recent, col, small_batches, table, worker_state
 
 MARK = "▁"
-#: Entries of each generation of a worker cache, and characters of the longest unit that is kept in one.
-CACHE, LONG = 250_000, 64
+#: Entries of each generation of the worker caches of units and pairs, and characters of the longest unit that is kept in one.
+CACHE, PAIRS, LONG = 250_000, 100_000, 64
 MODEL = "piece_bpe_32k.model"
 
 
@@ -56,7 +55,7 @@ class PieceCodec:
                 if self.merged(p) == [p]:
                     self.ends.add_word(p, p)
         self.ends.make_automaton()
-        self.pairs = Recent(lambda p: self.merged(p[0] + p[1]) == list(p), CACHE)
+        self.pairs = Recent(lambda p: self.merged(p[0] + p[1]) == list(p), PAIRS)
         self.units = Recent(self.unit, CACHE)
 
     def merged(self, text: str) -> list[str]:
@@ -128,10 +127,9 @@ class PieceCodec:
 _UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> PieceCodec:
     """One codec for each worker process and model file."""
-    return PieceCodec(path)
+    return worker_state(("pieces", path), lambda: PieceCodec(path))
 
 
 def model_path(name: str = MODEL) -> str:

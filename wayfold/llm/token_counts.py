@@ -13,14 +13,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, col, small_batches, table
+from .common import Recent, col, small_batches, table, worker_state
 
 MODEL, LIMIT = "word_bpe_49k.json", 2048
 FREQUENT, SAMPLE, CACHE, LONG = 32_768, 1_000, 250_000, 48
@@ -61,10 +60,9 @@ class Counting:
         return total
 
 
-@lru_cache(maxsize=2)
 def counting(path: str) -> Counting:
     """One for each worker process and model file."""
-    return Counting(path)
+    return worker_state(("tokens", path), lambda: Counting(path))
 
 
 def model_path(name: str = MODEL) -> str:
