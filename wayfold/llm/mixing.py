@@ -10,8 +10,9 @@
 4. A shard takes its quota of a source as a run of the source's permuted draws, disjoint from other shards' runs, and its
    documents are then shuffled inside of the shard by a hash.
 
-Everything is DataFrame functions. Only (identity, size) of documents is shuffled by this; a hot source is spread over its
-blocks, and blocks are the unit of the window. The tree and the blocks are tables of some thousand rows, whatever the input.
+Everything is DataFrame functions. Of documents, only those of the blocks at the edge are shuffled (identity and size), to find how far the edge
+goes; the decision itself is made where a document lies, by a join with the table of blocks, which is broadcast once it is
+counted to be small. The tree and the blocks are tables of some thousand rows, whatever the input. mix() moves each text once.
 Hashes are seeded, so reruns agree.
 
 Defined results: null or empty text has size 0 and is taken 0 words; a null source is a source of its own, last in order; a null
@@ -25,9 +26,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, table
+from .common import col, cut, packed, small_side, table
 
-CAP, WEIGHTS, BLOCKS, SHARDS, SEED = 3, (1, 2, 3), 1024, 16, 20_011
+CAP, WEIGHTS, BLOCKS, SHARDS, SLICE, SEED = 3, (1, 2, 3), 1024, 16, 16 << 20, 20_011
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -78,21 +79,20 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
 def plan(sized: DataFrame, weights=WEIGHTS, cap: int = CAP, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """sized(_id, _src, _size, _h, ...) to the same rows with _s, _target, _copies and _shards (a shard for each copy)."""
     cells = 4096
-    cell = lambda: F.pmod(F.col("_h"), F.lit(cells))
-    by_cell = sized.groupBy("_src", cell().alias("_cell")).agg(F.sum("_size").alias("_words"))
+    block = lambda c: F.floor(c * F.col("_nb") / cells).cast("long")
+    by_cell = cut(sized.groupBy("_src", F.pmod(F.col("_h"), F.lit(cells)).alias("_cell")).agg(F.sum("_size").alias("_words")))
     goal = targets(by_cell.groupBy("_src").agg(F.sum("_words").alias("_s")), weights, cap)
     share = F.greatest(F.lit(1), F.ceil(F.col("_s") * blocks / F.greatest(F.lit(1), F.sum("_s").over(Window.partitionBy()))))
     goal = goal.withColumn("_nb", F.least(F.lit(cells), share).cast("long"))
     goal = goal.withColumn("_base", F.when(F.col("_s") > 0, F.least(F.lit(cap), F.floor(F.col("_target") / F.col("_s")))).otherwise(0).cast("long"))
-    goal = goal.withColumn("_rest", F.when(F.col("_base") >= cap, 0.0).otherwise(F.col("_target") - F.col("_base") * F.col("_s")))
-    block = lambda c: F.floor(c * F.col("_nb") / cells).cast("long")
-    per_block = by_cell.join(goal, "_src").groupBy("_src", block(F.col("_cell")).alias("_block")).agg(
-        F.sum("_words").alias("_words"), *[F.first(c).alias(c) for c in ("_s", "_target", "_nb", "_base", "_rest")])
+    goal = cut(goal.withColumn("_rest", F.when(F.col("_base") >= cap, 0.0).otherwise(F.col("_target") - F.col("_base") * F.col("_s"))))
+    per_block = by_cell.join(small_side(goal), "_src").groupBy("_src", block(F.col("_cell")).alias("_block")).agg(
+        F.sum("_words").alias("_words"), *[F.first(c).alias(c) for c in ("_s", "_target", "_base", "_rest")])
     permuted = Window.partitionBy("_src").orderBy(F.xxhash64(F.lit(seed), "_src", "_block"), "_block")
-    end = F.sum("_words").over(permuted)
-    per_block = per_block.withColumn("_before", end - F.col("_words"))
-    # words that the last, partial draw of this block may take
-    per_block = per_block.withColumn("_room", F.greatest(F.lit(0.0), F.least(F.col("_rest") - F.col("_before"), F.col("_words").cast("double"))))
+    before = F.sum("_words").over(permuted) - F.col("_words")
+    # words that the last, partial draw of a block may take
+    room = F.greatest(F.lit(0.0), F.least(F.col("_rest") - F.col("_before"), F.col("_words").cast("double")))
+    per_block = cut(per_block.withColumn("_before", before).withColumn("_room", room).drop("_rest", "_before"))
     copies = F.col("_base") + F.when(F.col("_room") > 0, 1).otherwise(0)
     draws = per_block.where(copies > 0).select("_src", "_block", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("_copy"))
     draws = draws.withColumn("_seq", F.row_number().over(Window.partitionBy("_src").orderBy(F.xxhash64(F.lit(seed + 1), "_src", "_block", "_copy"), "_block", "_copy")).cast("long"))
@@ -100,13 +100,16 @@ def plan(sized: DataFrame, weights=WEIGHTS, cap: int = CAP, blocks: int = BLOCKS
     stop = F.sum("_q").over(Window.partitionBy("_src").orderBy("_shard"))
     runs = leaves.withColumn("_stop", stop).select("_src", "_shard", F.explode(F.sequence(F.col("_stop") - F.col("_q") + 1, F.col("_stop"))).alias("_seq"))
     dealt = draws.join(runs, ["_src", "_seq"]).groupBy("_src", "_block").agg(F.array_sort(F.collect_list(F.struct("_copy", "_shard"))).alias("_dealt"))
-    per_block = per_block.join(dealt, ["_src", "_block"], "left")
-    rows = sized.withColumn("_cell", cell())
-    rows = rows.join(goal.select("_src", "_nb"), "_src").withColumn("_block", block(F.col("_cell"))).drop("_nb", "_cell")
-    rows = rows.join(per_block.select("_src", "_block", "_s", "_target", "_base", "_room", "_words", "_dealt"), ["_src", "_block"])
+    placed = sized.join(small_side(goal.select("_src", "_nb")), "_src").withColumn("_block", block(F.pmod(F.col("_h"), F.lit(cells)))).drop("_nb")
+    # of a block that is drawn in part, the documents up to a place in hash order
+    place = F.struct("_h", "_id", "_size")
+    edge = per_block.where("_room > 0 and _room < _words").select("_src", "_block", "_room")
     inside = Window.partitionBy("_src", "_block").orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.sum("_size").over(inside) - F.col("_size")
-    more = (F.col("_room") >= F.col("_words")) & (F.col("_room") > 0) | (before + F.col("_size") / 2 <= F.col("_room")) & (F.col("_room") > 0)
+    parts = placed.select("_src", "_block", "_h", "_id", "_size").join(small_side(edge), ["_src", "_block"]).withColumn("_upto", F.sum("_size").over(inside))
+    last = parts.where(F.col("_upto") - F.col("_size") / 2 <= F.col("_room")).groupBy("_src", "_block").agg(F.max(place).alias("_last"))
+    per_block = cut(per_block.join(dealt, ["_src", "_block"], "left").join(last, ["_src", "_block"], "left"))
+    rows = placed.join(small_side(per_block), ["_src", "_block"])
+    more = (F.col("_room") > 0) & ((F.col("_room") >= F.col("_words")) | F.coalesce(place <= F.col("_last"), F.lit(False)))
     rows = rows.withColumn("_copies", F.col("_base") + F.when(more, 1).otherwise(0))
     return rows.withColumn("_shards", F.coalesce(F.transform(F.slice("_dealt", 1, F.col("_copies").cast("int")), lambda d: d["_shard"].cast("int")), F.array().cast("array<int>")))
 
@@ -116,12 +119,18 @@ def sized(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"), *keep)
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **columns) -> DataFrame:
-    """The mixed corpus: a row of docs for each copy drawn, dealt to `shards` partitions, each shuffled in itself. Adds _shard."""
+def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, slice_bytes: int = SLICE, **columns) -> DataFrame:
+    """The mixed corpus: a row of docs for each copy drawn, dealt to `shards` shards, each shuffled in itself. Adds _shard.
+
+    A shard is laid out in slices of about slice_bytes of text, by a hash, so that no task grows with the corpus.
+    """
     at = {"id_col": "doc_id", "text_col": "text", "source_col": "source"} | columns
+    total = docs.agg(F.sum(F.octet_length(col(at["text_col"])))).first()[0] or 0
+    slices = max(1, -(-total // (shards * slice_bytes)))
     rows = sized(docs.select(packed(docs).alias("_row")), f"_row.{at['id_col']}", f"_row.{at['text_col']}", f"_row.{at['source_col']}", seed, "_row")
     rows = plan(rows, shards=shards, seed=seed).select("_h", "_row", F.posexplode("_shards").alias("_copy", "_shard"))
-    rows = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed + 7), "_h", "_copy"))
+    mixed = F.xxhash64(F.lit(seed + 7), "_h", "_copy")
+    rows = rows.repartition(shards * slices, "_shard", F.pmod(F.xxhash64(F.lit(seed + 8), "_h", "_copy"), F.lit(slices))).sortWithinPartitions("_shard", mixed)
     return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != "_shard"], "_shard")
 
 
