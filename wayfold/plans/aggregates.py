@@ -11,12 +11,15 @@ from .joins import _ADDR, _addresses
 from .registry import query
 
 c = F.col
-n_ = F.count(F.lit(1)).alias("n")
+
+
+def n_():
+    return F.count(F.lit(1)).alias("n")
 
 
 @query("a1_count_by_type", "select t, s, count(*) as n from geo_poi group by t, s")
 def a1(t):
-    return t.geo_poi.groupBy("t", "s").agg(n_)
+    return t.geo_poi.groupBy("t", "s").agg(n_())
 
 
 @query("a2_manifest_counts", "select sum(n) as total, array_to_string(list(k || ':' || cast(n as varchar) order by k), ',') as chunks from (select substr(n, 1, 2) as k, count(*) as n from geo_poi group by 1) q")
@@ -27,7 +30,7 @@ def a2(t):
 
 @query("a3_tiles_per_column", "select z, x, count(*) as n from geo_tile where z = 6 group by z, x order by x")
 def a3(t):
-    return t.geo_tile.where("z = 6").groupBy("z", "x").agg(n_).orderBy("x")
+    return t.geo_tile.where("z = 6").groupBy("z", "x").agg(n_()).orderBy("x")
 
 
 @query("a4_distinct_datasets", "select array_to_string(list(distinct d order by d), ',') as datasets from (select dataset as d from geo_addr_new union all select dataset from geo_poi_new) q")
@@ -72,7 +75,7 @@ def a7(t):
 
 @query("a8_degrees_and_offsets", "select ref, n, cast(sum(n) over (order by ref) - n as bigint) as start from (select ref, count(*) as n from geo_way_node where ref < 100000000 group by ref) q")
 def a8(t):
-    degrees = t.geo_way_node.where("ref < 100000000").groupBy("ref").agg(n_)
+    degrees = t.geo_way_node.where("ref < 100000000").groupBy("ref").agg(n_())
     return running_total(degrees, "ref", "n", "start")
 
 
@@ -130,7 +133,7 @@ def a15(t):
 
 @query("a16_namespace_tally", "select split_part(path, '/', 1) as ns, count(*) as n, cast(sum(size) as bigint) as bytes from entries_a group by 1 order by n desc, ns limit 20")
 def a16(t):
-    return t.entries_a.groupBy(F.substring_index("path", "/", 1).alias("ns")).agg(n_, F.sum("size").alias("bytes")).orderBy(F.desc("n"), "ns").limit(20)
+    return t.entries_a.groupBy(F.substring_index("path", "/", 1).alias("ns")).agg(n_(), F.sum("size").alias("bytes")).orderBy(F.desc("n"), "ns").limit(20)
 
 
 @query("a17_tile_coverage_ratio", "select kind, z, count(*) as actual, cast(pow(4, z) as bigint) as expected, cast(floor(1000 * count(*) / pow(4, z)) as bigint) as permille from geo_tile group by kind, z")
@@ -148,14 +151,14 @@ def a18(t):
 @query("a19_collision_survey", """with k as (select num, street, count(distinct city) as cities, count(*) as n from geo_addr_osm group by num, street)
  select count(*) as keys, count(*) filter (where cities > 1) as shared, cast(sum(case when cities > 1 then n else 0 end) as bigint) as rows_, cast(sum(case when cities > 1 then n - 1 else 0 end) as bigint) as lost, max_by(num || ' ' || street, row(n, num, street)) as worst from k""")
 def a19(t):
-    k = t.geo_addr_osm.groupBy("num", "street").agg(F.countDistinct("city").alias("cities"), n_)
+    k = t.geo_addr_osm.groupBy("num", "street").agg(F.countDistinct("city").alias("cities"), n_())
     shared = c("cities") > 1
     return k.agg(F.count(F.lit(1)).alias("keys"), F.count_if(shared).alias("shared"), F.sum(F.when(shared, c("n")).otherwise(0)).alias("rows_"), F.sum(F.when(shared, c("n") - 1).otherwise(0)).alias("lost"), F.max_by(F.concat("num", F.lit(" "), "street"), F.struct("n", "num", "street")).alias("worst"))
 
 
 @query("a20_chunk_sizes", "select substr(path, 1, 4) as chunk, count(*) as n, max(size) as most, cast(sum(size) as bigint) as total, cast(floor(avg(size)) as bigint) as mean from entries_a group by 1")
 def a20(t):
-    return t.entries_a.groupBy(F.substring("path", 1, 4).alias("chunk")).agg(n_, F.max("size").alias("most"), F.sum("size").alias("total"), F.floor(F.avg("size")).alias("mean"))
+    return t.entries_a.groupBy(F.substring("path", 1, 4).alias("chunk")).agg(n_(), F.max("size").alias("most"), F.sum("size").alias("total"), F.floor(F.avg("size")).alias("mean"))
 
 
 @query("a21_zero_pixels", "select tile, cast(floor(100.0 * count(*) filter (where elev = 0) / count(*)) as bigint) as zero_pct, max(elev) as most from geo_pixel group by tile")
@@ -166,10 +169,10 @@ def a21(t):
 @query("a22_raster_status_histogram", """select status, count(*) as n from (select tile, case when min(elev) = max(elev) then 'uniform' when avg(case when elev = 0 then 1.0 else 0.0 end) > 0.25 then 'holes' else 'ok' end as status from geo_pixel group by tile) q group by status order by n desc, status""")
 def a22(t):
     status = F.when(F.min("elev") == F.max("elev"), "uniform").when(F.avg(F.when(c("elev") == 0, 1.0).otherwise(0.0)) > 0.25, "holes").otherwise("ok")
-    return t.geo_pixel.groupBy("tile").agg(status.alias("status")).groupBy("status").agg(n_).orderBy(F.desc("n"), "status")
+    return t.geo_pixel.groupBy("tile").agg(status.alias("status")).groupBy("status").agg(n_()).orderBy(F.desc("n"), "status")
 
 
 @query("a23_rollup_region_type", "select r_name, n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)")
 def a23(t):
     rows = t.customer.join(t.nation, c("c_nationkey") == c("n_nationkey")).join(t.region, c("n_regionkey") == c("r_regionkey"))
-    return rows.rollup("r_name", "n_name").agg(n_)
+    return rows.rollup("r_name", "n_name").agg(n_())

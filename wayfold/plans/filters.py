@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 from ..functions import bits, geo, rules
 from .registry import query
 
-_LAT, _LON = F.col("lat_e7") / 1e7, F.col("lon_e7") / 1e7
+
+def _lat():
+    return F.col("lat_e7") / 1e7
+
+
+def _lon():
+    return F.col("lon_e7") / 1e7
 
 
 @query("f1_point_in_bbox", "select seq from geo_poi where lat_e7 / 1e7 between -30 and 40 and lon_e7 / 1e7 between -100 and 60")
 def f1(t):
-    return t.geo_poi.where(geo.in_box(_LAT, _LON, (-100.0, -30.0, 60.0, 40.0))).select("seq")
+    return t.geo_poi.where(geo.in_box(_lat(), _lon(), (-100.0, -30.0, 60.0, 40.0))).select("seq")
 
 
 @query("f2_nested_bbox_pushdown", "select seq from geo_poi where lon_e7 >= -1000000000 and lon_e7 + 5000 <= 600000000 and lat_e7 >= -300000000 and lat_e7 + 5000 <= 400000000")
@@ -33,11 +39,11 @@ def f3(t):
     return _edges(t).where("not (east < -20 or west > 60 or north < -10 or south > 50)").select("seq")
 
 
-def within(df, box, lat=_LAT, lon=_LON):
+def within(df, box):
     """Rows inside of a box; the whole world needs no filter, and no box neither."""
     if box is None or (box[0] <= -179.9 and box[1] <= -85 and box[2] >= 179.9 and box[3] >= 85):
         return df
-    return df.where(geo.in_box(lat, lon, box))
+    return df.where(geo.in_box(_lat(), _lon(), box))
 
 
 @query("f4_whole_world_bbox", "select seq, 'world' as box from geo_poi union all select seq, 'part' from geo_poi where lat_e7 / 1e7 between 0 and 50 and lon_e7 / 1e7 between 0 and 90")

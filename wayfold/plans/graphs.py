@@ -13,7 +13,10 @@ from .aggregates import JUNCTIONS, junctions
 from .registry import query
 
 c = F.col
-n_ = F.count(F.lit(1)).alias("n")
+
+
+def n_():
+    return F.count(F.lit(1)).alias("n")
 
 
 def pieces(t):
@@ -122,7 +125,7 @@ def g9(t):
 
 @query("g10_cell_partitions", f"{_EDGES} select cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, cast(floor(lon_e7 * 10 / 1e7) as bigint) as cx, count(*) as n, cast(sum(dist_dm) as bigint) as dm from ed join geo_node on id = src group by 1, 2")
 def g10(t):
-    return build.partition(edges(t), t.geo_node).groupBy("cy", "cx").agg(n_, F.sum("dist_dm").alias("dm"))
+    return build.partition(edges(t), t.geo_node).groupBy("cy", "cx").agg(n_(), F.sum("dist_dm").alias("dm"))
 
 
 @query("g11_edges_of_node", f"{_EDGES} select src, dst, dist_dm, way_id from ed where src in (select min(src) from ed union all select max(src) from ed)")

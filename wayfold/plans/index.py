@@ -13,7 +13,10 @@ from .registry import query
 from .scalar import _PK, FNV
 
 c = F.col
-n_ = F.count(F.lit(1)).alias("n")
+
+
+def n_():
+    return F.count(F.lit(1)).alias("n")
 
 
 @query("u1_union_feed", """select seq, n, t, s, cast(null as varchar) as source from geo_poi union all select seq, num || ' ' || street, 'addr', '', cast(null as varchar) from geo_addr_osm
@@ -27,7 +30,7 @@ def u1(t):
 
 @query("u2_junction_union", "select ref from (select ref from geo_way_node group by ref having count(*) >= 2 union select ref from (select ref, pos, max(pos) over (partition by way_id) as l from geo_way_node) q where pos = 0 or pos = l) x")
 def u2(t):
-    inner = t.geo_way_node.groupBy("ref").agg(n_).where("n >= 2").select("ref")
+    inner = t.geo_way_node.groupBy("ref").agg(n_()).where("n >= 2").select("ref")
     ends = t.geo_way_node.withColumn("l", F.max("pos").over(Window.partitionBy("way_id"))).where("pos = 0 or pos = l").select("ref")
     return inner.union(ends).distinct()
 
@@ -82,19 +85,19 @@ def b1(t):
 
 @query("b2_category_index", "select coalesce(nullif(substr(regexp_replace(lower(s), '[^a-z0-9_]', '_', 'g'), 1, 40), ''), '_') as slug, count(*) as n from geo_poi group by 1")
 def b2(t):
-    return t.geo_poi.groupBy(text.category_slug(c("s")).alias("slug")).agg(n_)
+    return t.geo_poi.groupBy(text.category_slug(c("s")).alias("slug")).agg(n_())
 
 
 @query("b3_hash_fan_out", f"select t || '-' || lower(to_hex({FNV('n')} % 16)) as leaf, count(*) as n from geo_poi group by 1")
 def b3(t):
     leaf = F.concat("t", F.lit("-"), F.lower(F.hex(text.fnv1a(c("n"), 16))))
-    return t.geo_poi.groupBy(leaf.alias("leaf")).agg(n_)
+    return t.geo_poi.groupBy(leaf.alias("leaf")).agg(n_())
 
 
 @query("b4_recursive_fan_out")
 def b4(t):
     out = buckets.fan_out(t.geo_poi, "t", "n", F.octet_length("n") + 40, 4_000)
-    return out.groupBy("leaf").agg(n_, F.min("seq").alias("first"))
+    return out.groupBy("leaf").agg(n_(), F.min("seq").alias("first"))
 
 
 _PER = f"select s, octet_length(encode(n)) + 40 as z, {FNV('n')} as h from geo_poi"
@@ -109,7 +112,7 @@ def b5(t):
 def b6(t):
     """Records per chip; chips without records count 0."""
     every = t.spark.createDataFrame([(r.id,) for r in rules.CHIPS], "chip string")
-    found = t.geo_poi.select(F.explode(rules.chips_of(c("t"), c("s"), c("n"))).alias("chip")).groupBy("chip").agg(n_)
+    found = t.geo_poi.select(F.explode(rules.chips_of(c("t"), c("s"), c("n"))).alias("chip")).groupBy("chip").agg(n_())
     return every.join(found, "chip", "left").select("chip", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -120,7 +123,7 @@ def b7(t):
 
 @query("b8_node_shards", "select cast(floor(ref / 5000000) as bigint) as shard, count(*) as n from (select distinct ref from geo_way_node) q group by 1")
 def b8(t):
-    return t.geo_way_node.select("ref").distinct().groupBy(F.floor(c("ref") / 5_000_000).alias("shard")).agg(n_)
+    return t.geo_way_node.select("ref").distinct().groupBy(F.floor(c("ref") / 5_000_000).alias("shard")).agg(n_())
 
 
 @query("b9_grid_cells", "select seq, cast(trunc(lat_e7 / 1e7 * 2) as bigint) as half, cast(trunc(lat_e7 / 1e7) as bigint) as one, cast(floor(lat_e7 / 1e7 * 2) as bigint) as floored from geo_poi")

@@ -10,7 +10,14 @@ from .registry import query
 from .scalar import STREET
 
 c = F.col
-_LAT, _LON = c("lat_e7") / 1e7, c("lon_e7") / 1e7
+
+
+def _lat():
+    return F.col("lat_e7") / 1e7
+
+
+def _lon():
+    return F.col("lon_e7") / 1e7
 
 
 def _addresses(df):
@@ -87,7 +94,7 @@ _GRID = lambda per, reach, where: f"""select p.seq, min_by(q.name, row(pow(q.la
 
 
 def _points(df, *keep):
-    return df.select("seq", *keep, _LAT.alias("lat"), _LON.alias("lon"))
+    return df.select("seq", *keep, _lat().alias("lat"), _lon().alias("lon"))
 
 
 def _grid(t, per, reach):
@@ -119,7 +126,7 @@ _H = lambda q: f"2 * 6371000.0 * asin(sqrt(pow(sin(radians({q}.la - n.la) / 2),
  select q.q, min_by(n.id, row({_H('q')}, n.id)) as node from q cross join n group by q.q""")
 def j11(t):
     tier = t.geo_way_node.where(c("highway").isin("motorway", "primary")).select(c("ref").alias("id")).distinct()
-    nodes = t.geo_node.join(tier, "id", "left_semi").select("id", _LAT.alias("la"), _LON.alias("lo"))
+    nodes = t.geo_node.join(tier, "id", "left_semi").select("id", _lat().alias("la"), _lon().alias("lo"))
     asked = nearest.as_rules(t.spark.createDataFrame([(1, 37.2, -121.6), (2, 37.77, -121.9), (3, 38.0, -121.0)], "q int, qla double, qlo double"))
     d = geo.haversine(c("la"), c("lo"), c("qla"), c("qlo"))
     return nodes.crossJoin(asked).groupBy("q").agg(F.min(F.struct(d.alias("d"), "id"))["id"].alias("node"))
@@ -163,7 +170,7 @@ _DEM = "select distinct cast(floor(lat_e7 / 1e7) as bigint) as la, cast(floor(lo
 
 @query("j14_tile_dem_cells", f"select seq, count(*) as cells from ({_TE}) q join ({_DEM}) d on d.la between floor(q.s) and floor(q.n) and d.lo between floor(q.w) and floor(q.e) group by seq")
 def j14(t):
-    cells = t.geo_poi.select(F.floor(_LAT).alias("la"), F.floor(_LON).alias("lo")).distinct()
+    cells = t.geo_poi.select(F.floor(_lat()).alias("la"), F.floor(_lon()).alias("lo")).distinct()
     tiles = t.geo_tile.where("z >= 4").select("seq", geo.tile_bounds(c("z"), c("x"), c("y")).alias("b"))
     span = lambda a, b: F.explode(F.sequence(F.floor(c(f"b.{a}")), F.floor(c(f"b.{b}"))))
     covered = tiles.select("seq", "b", span("south", "north").alias("la")).select("seq", "la", span("west", "east").alias("lo"))

@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 from ..functions import bits, codecs, geo, text
 from .registry import query
 
-_LAT, _LON = F.col("lat_e7") / 1e7, F.col("lon_e7") / 1e7
+
+def _lat():
+    return F.col("lat_e7") / 1e7
+
+
+def _lon():
+    return F.col("lon_e7") / 1e7
+
+
 _micro = lambda c: F.rint(c * 1e6).cast("long")
 _N = "pow(2.0, z)"
 
@@ -21,7 +29,7 @@ def p1(t):
 @query("p2_lnglat_to_tile", """select seq, cast(trunc((lon_e7 / 1e7 + 180.0) / 360.0 * 4096.0) as bigint) as x,
  cast(trunc((1 - ln(tan(radians(lat_e7 / 1e7)) + 1 / cos(radians(lat_e7 / 1e7))) / pi()) / 2 * 4096.0) as bigint) as y from geo_poi""")
 def p2(t):
-    return t.geo_poi.select("seq", geo.tile_x(_LON, 12).alias("x"), geo.tile_y(_LAT, 12, clamp=False).alias("y"))
+    return t.geo_poi.select("seq", geo.tile_x(_lon(), 12).alias("x"), geo.tile_y(_lat(), 12, clamp=False).alias("y"))
 
 
 @query("p3_tile_bounds", """select seq, cast(round_even((x / pow(2.0, z) * 360.0 - 180.0) * 1e6, 0) as bigint) as west, cast(round_even(((x + 1) / pow(2.0, z) * 360.0 - 180.0) * 1e6, 0) as bigint) as east,
@@ -44,7 +52,7 @@ _TY = lambda e: f"cast(trunc((1 - ln(tan(radians(greatest(least({e}, 85.05112878
 @query("p5_tile_range", f"""select seq, greatest(0, {_TX('lo')}) as x0, least(cast({_N} as bigint) - 1, {_TX('lo + w')}) as x1, greatest(0, {_TY('la + h')}) as y0, least(cast({_N} as bigint) - 1, {_TY('la')}) as y1
  from (select seq, cast(seq % 15 as int) as z, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo, seq % 60 as h, seq % 90 as w from geo_poi) q""")
 def p5(t):
-    r = geo.tile_range(_LON, _LAT, _LON + F.col("seq") % 90, _LAT + F.col("seq") % 60, F.col("seq") % 15)
+    r = geo.tile_range(_lon(), _lat(), _lon() + F.col("seq") % 90, _lat() + F.col("seq") % 60, F.col("seq") % 15)
     return t.geo_poi.select("seq", r.alias("r")).select("seq", "r.x0", "r.x1", "r.y0", "r.y1")
 
 
@@ -53,17 +61,17 @@ _HAV = lambda a, b, c, d: f"2 * 6371000.0 * atan2(sqrt(pow(sin(radians({c} - {a}
 
 @query("p6_haversine", f"select seq, cast(round_even({_HAV('lat_e7 / 1e7', 'lon_e7 / 1e7', '52.5', '13.4')} * 10, 0) as bigint) as dist_dm from geo_poi")
 def p6(t):
-    return t.geo_poi.select("seq", F.rint(geo.haversine(_LAT, _LON, 52.5, 13.4) * 10).cast("long").alias("dist_dm"))
+    return t.geo_poi.select("seq", F.rint(geo.haversine(_lat(), _lon(), 52.5, 13.4) * 10).cast("long").alias("dist_dm"))
 
 
 @query("p7_fixed_point", "select seq, cast(round_even((lat_e7 / 1e7) * 1e7, 0) as bigint) as lat, cast(round_even((lon_e7 / 1e7) * 1e7, 0) as bigint) as lon from geo_poi")
 def p7(t):
-    return t.geo_poi.select("seq", geo.fixed(_LAT).alias("lat"), geo.fixed(_LON).alias("lon"))
+    return t.geo_poi.select("seq", geo.fixed(_lat()).alias("lat"), geo.fixed(_lon()).alias("lon"))
 
 
 @query("p8_coordinate_keys", "select seq, cast(round_even(lat_e7 / 1e7 * 10000.0, 0) as bigint) as lat4, cast(round_even(lon_e7 / 1e7 * 100000.0, 0) as bigint) as lon5 from geo_poi")
 def p8(t):
-    return t.geo_poi.select("seq", geo.key_of(_LAT, 4).alias("lat4"), geo.key_of(_LON, 5).alias("lon5"))
+    return t.geo_poi.select("seq", geo.key_of(_lat(), 4).alias("lat4"), geo.key_of(_lon(), 5).alias("lon5"))
 
 
 @query("p9_cell_of", "select seq, cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, cast(floor(lon_e7 * 10 / 1e7) as bigint) as cx from geo_poi")

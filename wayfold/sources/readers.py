@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: One search feature: core columns and optional ones, which are null where a record doesn't have them.
-FEATURE = T.StructType.fromDDL("name string, type string, subtype string, lat double, lon double, location string, cat string, ws string, p string, soc array<string>, brand string, wd string, source string")
+FEATURE = "name string, type string, subtype string, lat double, lon double, location string, cat string, ws string, p string, soc array<string>, brand string, wd string, source string"
 #: Map elements as tables; a conversion of the binary format writes these.
-NODES = T.StructType.fromDDL("id long, lat double, lon double, tags map<string,string>")
-WAYS = T.StructType.fromDDL("id long, refs array<long>, tags map<string,string>")
-RELATIONS = T.StructType.fromDDL("id long, members array<struct<type:string,ref:long,role:string>>, tags map<string,string>")
+NODES = "id long, lat double, lon double, tags map<string,string>"
+WAYS = "id long, refs array<long>, tags map<string,string>"
+RELATIONS = "id long, members array<struct<type:string,ref:long,role:string>>, tags map<string,string>"
 
 
 def elements(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -26,13 +25,12 @@ def located(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return ways.join(points.where(F.size("line") == F.col("_n")).select("id", "line"), "id")
 
 
-def feed(spark: SparkSession, path: str, only: str | None = None, schema: T.StructType = FEATURE) -> DataFrame:
+def feed(spark: SparkSession, path: str, only: str | None = None, schema: str = FEATURE) -> DataFrame:
     """A feed of one JSON object per line. Lines that aren't are skipped; `only` keeps lines that contain a text, before they are parsed."""
     lines = spark.read.text(path)
     if only:
         lines = lines.where(F.contains("value", F.lit(only)))
-    strict = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    rows = lines.select(F.from_json("value", strict, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    rows = lines.select(F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     return rows.where("r is not null and r._bad is null").select("r.*").drop("_bad")
 
 
