@@ -81,7 +81,8 @@ def frequent_lengths(docs: DataFrame, path: str | None = None, text_col: str = "
                 for part in own.parts(text or ""):
                     seen.update(w for w in own.pre_tokens(part) if len(w) <= LONG)
         top = seen.most_common(size)
-        yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top], "length": [own.recent[w] for w, _ in top]})
+        if top:
+            yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top], "length": [own.recent[w] for w, _ in top]})
 
     small_batches(docs.sparkSession)
     counts = docs.select(col(text_col).alias("_text")).limit(sample).mapInPandas(run, "word string, n long, length int")
