@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .nearest import on_cells
 
 #: Bytes at which search chunks warn and fail, of routing entries, of tiles that count as blank; coverage limits.
 MB = 1024 * 1024
@@ -64,10 +65,8 @@ def coverage(tiles: DataFrame, box: tuple[float, float, float, float]) -> DataFr
 def stale_tiles(tiles: DataFrame, cells: DataFrame) -> DataFrame:
     """(z, x, y, reason) of tiles(z, x, y, mtime) that a covering cell(la, lo, mtime) is newer than; tiles newer than all cells aren't joined."""
     newest = F.broadcast(cells.agg(F.max("mtime").alias("_newest")))  # one row
-    old = tiles.crossJoin(newest).where("mtime < _newest").withColumn("b", geo.tile_bounds(F.col("z"), F.col("x"), F.col("y")))
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(f"b.{a}")), F.floor(F.col(f"b.{b}"))))
-    covered = old.withColumn("la", span("south", "north")).withColumn("lo", span("west", "east"))
-    return covered.join(cells.withColumnRenamed("mtime", "_m"), ["la", "lo"]).where("_m > mtime").select("z", "x", "y", F.lit("dem_newer").alias("reason")).distinct()
+    old = tiles.crossJoin(newest).where("mtime < _newest")
+    return on_cells(old, cells.withColumnRenamed("mtime", "_m")).where("_m > mtime").select("z", "x", "y", F.lit("dem_newer").alias("reason")).distinct()
 
 
 def raster_state(pixels: DataFrame, width: int, stripe: int = 10, least: float = 100.0) -> DataFrame:

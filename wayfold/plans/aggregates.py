@@ -73,9 +73,9 @@ def a7(t):
     return junctions(t)
 
 
-@query("a8_degrees_and_offsets", "select ref, n, cast(sum(n) over (order by ref) - n as bigint) as start from (select ref, count(*) as n from geo_way_node where ref < 100000000 group by ref) q")
+@query("a8_degrees_and_offsets", "select ref, n, cast(sum(n) over (order by ref) - n as bigint) as start from (select ref, count(*) as n from geo_way_node group by ref) q")
 def a8(t):
-    degrees = t.geo_way_node.where("ref < 100000000").groupBy("ref").agg(n_())
+    degrees = t.geo_way_node.groupBy("ref").agg(n_())
     return running_total(degrees, "ref", "n", "start")
 
 

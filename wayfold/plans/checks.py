@@ -174,12 +174,12 @@ def v18(t):
 
 
 _CELLS = "select cast(floor(lat_e7 / 1e7) as bigint) as la, cast(floor(lon_e7 / 1e7) as bigint) as lo, max(seq % 45) as m from geo_poi group by 1, 2"
-_B = "select z, x, y, mtime, x / pow(2.0, z) * 360.0 - 180.0 as w, (x + 1) / pow(2.0, z) * 360.0 - 180.0 as e, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / pow(2.0, z))))) as s, degrees(atan(sinh(pi() * (1 - 2 * y / pow(2.0, z))))) as n from (select z, x, y, max(age) as mtime from geo_tile where z >= 5 group by z, x, y) g"
+_B = "select z, x, y, mtime, x / pow(2.0, z) * 360.0 - 180.0 as w, (x + 1) / pow(2.0, z) * 360.0 - 180.0 as e, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / pow(2.0, z))))) as s, degrees(atan(sinh(pi() * (1 - 2 * y / pow(2.0, z))))) as n from (select z, x, y, max(age) as mtime from geo_tile group by z, x, y) g"
 
 
 @query("v19_terrain_freshness", f"select distinct z, x, y, 'dem_newer' as reason from ({_B}) b join ({_CELLS}) d on d.la between floor(s) and floor(n) and d.lo between floor(w) and floor(e) and d.m > mtime")
 def v19(t):
-    tiles = t.geo_tile.where("z >= 5").groupBy("z", "x", "y").agg(F.max("age").alias("mtime"))
+    tiles = t.geo_tile.groupBy("z", "x", "y").agg(F.max("age").alias("mtime"))
     cells = t.geo_poi.groupBy(F.floor(c("lat_e7") / 1e7).alias("la"), F.floor(c("lon_e7") / 1e7).alias("lo")).agg(F.max(c("seq") % 45).alias("mtime"))
     return quality.stale_tiles(tiles, cells)
 

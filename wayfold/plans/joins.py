@@ -164,17 +164,14 @@ def j13(t):
     return nearest.nearest_of_few(points, places, ["seq", "country"], "name", "seq", F.col("country") == F.col("_k")).withColumnRenamed("name", "place")
 
 
-_TE = "select seq, z, x / pow(2.0, z) * 360.0 - 180.0 as w, (x + 1) / pow(2.0, z) * 360.0 - 180.0 as e, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / pow(2.0, z))))) as s, degrees(atan(sinh(pi() * (1 - 2 * y / pow(2.0, z))))) as n from geo_tile where z >= 4"
+_TE = "select seq, z, x / pow(2.0, z) * 360.0 - 180.0 as w, (x + 1) / pow(2.0, z) * 360.0 - 180.0 as e, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / pow(2.0, z))))) as s, degrees(atan(sinh(pi() * (1 - 2 * y / pow(2.0, z))))) as n from geo_tile"
 _DEM = "select distinct cast(floor(lat_e7 / 1e7) as bigint) as la, cast(floor(lon_e7 / 1e7) as bigint) as lo from geo_poi"
 
 
 @query("j14_tile_dem_cells", f"select seq, count(*) as cells from ({_TE}) q join ({_DEM}) d on d.la between floor(q.s) and floor(q.n) and d.lo between floor(q.w) and floor(q.e) group by seq")
 def j14(t):
     cells = t.geo_poi.select(F.floor(_lat()).alias("la"), F.floor(_lon()).alias("lo")).distinct()
-    tiles = t.geo_tile.where("z >= 4").select("seq", geo.tile_bounds(c("z"), c("x"), c("y")).alias("b"))
-    span = lambda a, b: F.explode(F.sequence(F.floor(c(f"b.{a}")), F.floor(c(f"b.{b}"))))
-    covered = tiles.select("seq", "b", span("south", "north").alias("la")).select("seq", "la", span("west", "east").alias("lo"))
-    return covered.join(cells, ["la", "lo"]).groupBy("seq").agg(F.count(F.lit(1)).alias("cells"))
+    return nearest.on_cells(t.geo_tile.select("seq", "z", "x", "y"), cells).groupBy("seq").agg(F.count(F.lit(1)).alias("cells"))
 
 
 @query("j15_refs_to_index", "select way_id, pos, i from geo_way_node join (select ref, row_number() over (order by ref) - 1 as i from geo_way_node group by ref having count(*) >= 2) x using (ref)")

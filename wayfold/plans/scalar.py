@@ -156,9 +156,9 @@ _PK = lambda w: f"""case when {w} = '' then '__' when unicode({w}) > 127 then 'u
  (case when regexp_matches(substr({w}, 1, 1), '^[a-z0-9_]$') then substr({w}, 1, 1) else '_' end) || (case when regexp_matches(substr({w}, 2, 1), '^[a-z0-9_]$') then substr({w}, 2, 1) else '_' end) end"""
 
 
-@query("p17_prefix_key", f"select doc_id, word, {_PK('w')} as k from (select doc_id, word, lower(strip_accents(word)) as w from (select doc_id, unnest(string_split(substr(text, 1, 200), ' ')) as word from documents where text is not null) a) b")
+@query("p17_prefix_key", f"select doc_id, word, {_PK('w')} as k from (select doc_id, word, lower(strip_accents(word)) as w from (select doc_id, unnest(string_split(text, ' ')) as word from documents where text is not null) a) b")
 def p17(t):
-    words = t.documents.where("text is not null").select("doc_id", F.explode(F.split(F.substring("text", 1, 200), " ")).alias("word"))
+    words = t.documents.where("text is not null").select("doc_id", F.explode(F.split("text", " ")).alias("word"))
     return words.select("doc_id", "word", text.prefix_key(text.fold("word")).alias("k"))
 
 
@@ -183,9 +183,9 @@ def p20(t):
 FNV = lambda c: f"list_reduce(list_prepend(cast(2166136261 as ubigint), list_transform(range(1, octet_length(encode({c})) + 1), lambda i: cast(('0x' || substr(hex(encode({c})), 2 * i - 1, 2)) as ubigint))), lambda a, b: (xor(a, b) * 16777619) & 4294967295)"
 
 
-@query("p21_fnv1a", f"select word, cast({FNV('word')} % 16 as bigint) as b from (select distinct unnest(string_split(substr(text, 1, 120), ' ')) as word from documents where text is not null) q")
+@query("p21_fnv1a", f"select word, cast({FNV('word')} % 16 as bigint) as b from (select distinct unnest(string_split(text, ' ')) as word from documents where text is not null) q")
 def p21(t):
-    words = t.documents.where("text is not null").select(F.explode(F.split(F.substring("text", 1, 120), " ")).alias("word")).distinct()
+    words = t.documents.where("text is not null").select(F.explode(F.split("text", " ")).alias("word")).distinct()
     return words.select("word", text.fnv1a(F.col("word"), 16).alias("b"))
 
 
