@@ -28,7 +28,9 @@ from .common import Recent, col, small_batches, table, worker_state
 
 MARK = "▁"
 #: Entries of each generation of the worker caches of units and pairs, and characters of the longest unit that is kept in one.
-CACHE, PAIRS, LONG = 250_000, 100_000, 64
+CACHE, PAIRS, LONG = 250_000, 250_000, 64
+#: A pair of piece ids as one integer.
+SHIFT = 20
 MODEL = "piece_bpe_32k.model"
 
 
@@ -53,9 +55,9 @@ class PieceCodec:
         for p in self.id:
             if p == MARK or not p.startswith(MARK * 2):
                 if self.merged(p) == [p]:
-                    self.ends.add_word(p, p)
+                    self.ends.add_word(p, (self.id[p], len(p)))
         self.ends.make_automaton()
-        self.pairs = Recent(lambda p: self.merged(p[0] + p[1]) == list(p), PAIRS)
+        self.pairs = Recent(self.stay, PAIRS)
         self.units = Recent(self.unit, CACHE)
 
     def merged(self, text: str) -> list[str]:
@@ -69,29 +71,28 @@ class PieceCodec:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether a followed by b stays as these two tokens."""
-        return self.pairs[a, b]
+    def stay(self, pair: int) -> bool:
+        """Whether two pieces stay as they are when one follows the other."""
+        a, b = self.library.id_to_piece(pair >> SHIFT), self.library.id_to_piece(pair & (1 << SHIFT) - 1)
+        return self.merged(a + b) == [a, b]
 
     def tokens(self, unit: str) -> list[str]:
-        """Tokens of a unit with at most one leading mark: the prefix table, read backwards."""
-        n = len(unit)
-        last: list[str | None] = [None] * (n + 1)
-        ending: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.ends.iter(unit):
-            ending[end].append(piece)
-        for i in range(n):
-            for piece in ending[i]:
-                before = last[i + 1 - len(piece)]
-                if i + 1 == len(piece) or self.compatible(before, piece):
-                    last[i + 1] = piece
-                    break
-            else:
-                last[i + 1] = unit[i]  # a character without a piece, which nothing merges with
+        """Tokens of a unit with at most one leading mark: the prefix table, read backwards.
+
+        last and size have each prefix's last piece and its length. A position that no piece fits ends a character without a piece, which nothing
+        merges with; the automaton reports matches in the order of their ends, so earlier positions are final when they are asked for.
+        """
+        n, pairs = len(unit), self.pairs
+        last, size = [-1] * (n + 1), [1] * (n + 1)
+        for end, (piece, length) in self.ends.iter(unit):
+            if last[end + 1] < 0:
+                start = end + 1 - length
+                if not start or last[start] < 0 or pairs[last[start] << SHIFT | piece]:
+                    last[end + 1], size[end + 1] = piece, length
         out = []
         while n:
-            out.append(last[n])
-            n -= len(last[n])
+            out.append(unit[n - size[n] : n])
+            n -= size[n]
         return out[::-1]
 
     def ids(self, token: str) -> list[int]:
