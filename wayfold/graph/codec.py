@@ -14,7 +14,7 @@ import numpy as np
 
 from ..functions.codecs import pack_line, unpack_line
 
-MAGIC, VERSION, NONE = b"SZRG", 4, 0xFFFFFFFF
+MAGIC, VERSION, NONE = b"WFRG", 4, 0xFFFFFFFF
 
 
 @dataclass
