@@ -49,7 +49,10 @@ def bucket_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def tile_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(z, x, y, ext, size, modified) of a folder {z}/{x}/{y}.{ext}; contents aren't read."""
+    """(z, x, y, ext, size, modified) of a folder {z}/{x}/{y}.{ext}; contents aren't read.
+
+    The file source leaves out files of 0 bytes, so empty tiles count as missing ones.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
     part = lambda i: F.regexp_extract("path", r"/(\d+)/(\d+)/(\d+)\.(\w+)$", i)
     rows = files.select(part(1).alias("z"), part(2).alias("x"), part(3).alias("y"), part(4).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
