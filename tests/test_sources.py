@@ -83,7 +83,7 @@ def test_feed_skips_bad_lines(spark, tmp_path):
 
 def test_tile_folder(spark, tmp_path):
     for z, x, y, size in ((1, 0, 1, 5), (2, 3, 0, 0), (2, 3, 1, 1)):
-        (tmp_path / str(z) / str(x)).mkdir(parents=True)
+        (tmp_path / str(z) / str(x)).mkdir(parents=True, exist_ok=True)
         (tmp_path / str(z) / str(x) / f"{y}.webp").write_bytes(b"x" * size)
     rows = readers.tile_folder(spark, str(tmp_path)).select("z", "x", "y", "ext", "size").collect()
     assert sorted(map(tuple, rows)) == [(1, 0, 1, "webp", 5), (2, 3, 1, "webp", 1)]  # files of 0 bytes count as missing
