@@ -22,7 +22,7 @@ def a1(t):
     return t.geo_poi.groupBy("t", "s").agg(n_())
 
 
-@query("a2_manifest_counts", "select sum(n) as total, array_to_string(list(k || ':' || cast(n as varchar) order by k), ',') as chunks from (select substr(n, 1, 2) as k, count(*) as n from geo_poi group by 1) q")
+@query("a2_manifest_counts", "select cast(sum(n) as bigint) as total, array_to_string(list(k || ':' || cast(n as varchar) order by k), ',') as chunks from (select substr(n, 1, 2) as k, count(*) as n from geo_poi group by 1) q")
 def a2(t):
     m = buckets.manifest(t.geo_poi.select(F.substring("n", 1, 2).alias("k")), "k")
     return m.select("total", F.array_join(F.transform(F.map_entries("chunks"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias("chunks"))
