@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, col, small_batches, table
+from .common import Recent, bounded_sample, col, let, small_batches, table
 
 ROWS, PIECE, BUCKETS, EPOCHS, CACHE, KEEP = 3_000, 8_192, 1 << 16, 6, 200_000, 0.5
 SYMBOLS = "#$%&*{}<>|\\^~=_@"
@@ -29,27 +29,41 @@ SYMBOLS = "#$%&*{}<>|\\^~=_@"
 FUNCTION_WORDS = "the of and to in is was for that with a le la les de des et un une est que der die das und ein eine ist mit von zu el los las y en por una con"
 
 
-def labellers(text: Column) -> dict[str, Column]:
-    """name: vote."""
+def _by_letter(words: list[str]) -> str:
+    """The words as alternatives, grouped by first letter: a matcher gives up after one letter on most words."""
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{a}(?:{'|'.join(sorted(set(rest), key=len, reverse=True))})" for a, rest in groups.items())
+
+
+def vote_pattern(text: Column) -> Column:
+    """The votes of all labellers on a text, comma-joined; measures are taken once."""
     t = F.coalesce(text, F.lit(""))
-    words = F.regexp_count(t, F.lit(r"\S+"))
-    per_word = lambda n: n / F.greatest(F.lit(1), words)
-    without = lambda chars: F.char_length(t) - F.char_length(F.translate(t, chars, ""))
-    lines = F.regexp_count(t, F.lit(r"[^\n]+"))
-    distinct = F.size(F.array_distinct(F.filter(F.split(t, "\n"), lambda x: x != "")))
-    ended = F.regexp_count(t, F.lit(r"[.!?][\x20]*(?:\n|$)"))
-    function = F.regexp_count(t, F.lit(rf"(?i)(?<!\S)(?:{'|'.join(FUNCTION_WORDS.split())})(?!\S)"))
-    size = per_word(F.char_length(t) - words)
-    vote = lambda good, bad: F.when(bad, 0).when(good, 1).otherwise(-1).cast("int")
-    return {
-        "length": vote(words >= 60, words < 15),
-        "symbols": vote(per_word(without(SYMBOLS)) < 0.02, per_word(without(SYMBOLS)) > 0.15),
-        "word_size": vote(size.between(3.0, 9.0), ~size.between(2.0, 14.0)),
-        "repeats": vote((lines >= 3) & (distinct == lines), (lines >= 3) & (distinct < 0.7 * lines)),
-        "sentences": vote((lines > 0) & (ended >= 0.7 * lines), (lines > 0) & (ended < 0.2 * lines)),
-        "function_words": vote(per_word(function) >= 0.12, per_word(function) < 0.03),
-        "digits": vote(per_word(without("0123456789")) < 0.1, per_word(without("0123456789")) > 1.0),
-    }
+    count = lambda chars: F.regexp_count(t, F.lit(f"[{regex.escape(chars)}]"))
+    measures = F.struct(
+        F.when(t == "", 0).otherwise(F.size(F.split(t, r"[\x20\n]"))).alias("words"), F.char_length(t).alias("chars"), count(SYMBOLS).alias("symbols"), count("0123456789").alias("digits"), F.when(t == "", 0).otherwise(F.size(F.split(t, "\n"))).alias("lines"),
+        F.size(F.array_distinct(F.split(t, "\n"))).alias("distinct"), F.regexp_count(t, F.lit(r"[.!?][\x20]*(?:\n|$)")).alias("ended"),
+        F.regexp_count(t, F.lit(rf"(?i)(?<!\S)(?:{_by_letter(FUNCTION_WORDS.split())})(?!\S)")).alias("function"),
+    )
+
+    def votes(m: Column) -> Column:
+        per_word = lambda n: n / F.greatest(F.lit(1), m["words"])
+        vote = lambda good, bad: F.when(bad, 0).when(good, 1).otherwise(-1).cast("int")
+        size = per_word(m["chars"] - m["words"])
+        lines, symbols, digits, function = m["lines"], per_word(m["symbols"]), per_word(m["digits"]), per_word(m["function"])
+        found = {
+            "length": vote(m["words"] >= 60, m["words"] < 15),
+            "symbols": vote(symbols < 0.02, symbols > 0.15),
+            "word_size": vote(size.between(3.0, 9.0), ~size.between(2.0, 14.0)),
+            "repeats": vote((lines >= 3) & (m["distinct"] == lines), (lines >= 3) & (m["distinct"] < 0.7 * lines)),
+            "sentences": vote((lines > 0) & (m["ended"] >= 0.7 * lines), (lines > 0) & (m["ended"] < 0.2 * lines)),
+            "function_words": vote(function >= 0.12, function < 0.03),
+            "digits": vote(digits < 0.1, digits > 1.0),
+        }
+        return F.concat_ws(",", *[v.cast("string") for v in found.values()])
+
+    return let(measures, votes)
 
 
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -107,16 +121,14 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(col(id_col).alias("_id"), col(text_col).alias("_text"))
-    votes = labellers(F.col("_text"))
-    pattern = F.concat_ws(",", *[v.cast("string") for v in votes.values()])
-    voted = docs.withColumn("_pattern", pattern)
+    voted = docs.withColumn("_pattern", vote_pattern(F.col("_text")))
     counted = voted.groupBy("_pattern").count().orderBy("_pattern").collect()
     if counted:
         good, _, _ = expectation_maximisation(np.array([[int(x) for x in r["_pattern"].split(",")] for r in counted]), np.array([r["count"] for r in counted], float))
     known = {r["_pattern"]: float(g) for r, g in zip(counted, good)} if counted else {}
-    sample = voted.where(F.col("_text").rlike(r"\S")).select(F.substring("_text", 1, PIECE).alias("piece"), "_pattern", F.xxhash64("_id", "_text").alias("h"))
-    picked = sample.orderBy("h", "piece").limit(rows).collect()
-    fitted = fit_scorer([r.piece for r in picked], np.array([known[r["_pattern"]] for r in picked])) if picked else None
+    sample = bounded_sample(voted.select("_id", "_pattern", F.substring("_text", 1, PIECE).alias("_piece")), rows, "_id")
+    picked = [(r["_piece"], known[r["_pattern"]]) for r in sample if (r["_piece"] or "").strip()]
+    fitted = fit_scorer([t for t, _ in picked], np.array([p for _, p in picked])) if picked else None
     shared = spark.sparkContext.broadcast((known, fitted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
