@@ -46,9 +46,9 @@ from pyspark.sql import types as T
 from .common import Recent, col, cut, small_batches, table, worker_state
 from .components import components
 
-PERMS, ROWS, MARGIN, SMALL, SEED = 96, 6, 0.15, 16, 7
+PERMS, ROWS, MARGIN, SMALL, SEED = 96, 6, 0.15, 8, 7
 BANDS = 2 * PERMS // ROWS
-CACHE, CHUNK = 150_000, 4096
+CACHE, CHUNK = 80_000, 4096
 
 
 def _word_hashes() -> Recent:
@@ -224,3 +224,15 @@ def op5_minhash(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = near_duplicates(docs, width=3, percent=85)
     return rows.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), F.col("_kept").alias("kept"))
+
+
+SQL = """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+e as (select a, b from l union all select b, a from l),
+c(node, root) as (select doc_id, doc_id from documents union select e.b, c.root from c join e on e.a = c.node)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(root) as component_id, min(root) = d.doc_id as kept from documents d join c on c.node = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
+"""
