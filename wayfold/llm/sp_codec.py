@@ -28,12 +28,16 @@ from .common import Recent, col, small_batches, table, worker_state
 
 MARK = "▁"
 #: Entries of each generation of the worker caches of units and pairs, and characters of the longest unit that is kept in one.
-CACHE, PAIRS, LONG = 250_000, 250_000, 64
+CACHE, PAIRS, LONG = 180_000, 250_000, 64
 #: A pair of piece ids as one integer.
 SHIFT = 20
 MODEL = "piece_bpe_32k.model"
 
 
+def _raw(i: int) -> bytes:
+    return i.to_bytes(4, "little")
+
+
 class PieceCodec:
     """Encoder and decoder of one model file."""
 
@@ -46,7 +50,8 @@ class PieceCodec:
         for i in range(sp.vocab_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
                 self.score[sp.id_to_piece(i)], self.id[sp.id_to_piece(i)] = sp.get_score(i), i
-        self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.own = {p: _raw(i) for p, i in self.id.items()}
+        self.byte = [_raw(sp.piece_to_id(f"<0x{b:02X}>")) for b in range(256)]
         self.begin, self.end = sp.bos_id(), sp.eos_id()
         self.runs = max((len(p) for p in self.id if not p.strip(MARK)), default=1)
         if any(MARK in p.lstrip(MARK) for p in self.id) or any(p.startswith(MARK * 2) and p.strip(MARK) for p in self.id):
@@ -95,37 +100,41 @@ class PieceCodec:
             n -= size[n]
         return out[::-1]
 
-    def ids(self, token: str) -> list[int]:
+    def spelled(self, token: str) -> bytes:
+        """Ids of a token: its own, or those of its UTF-8 bytes."""
         found = self.id.get(token)
-        return [found] if found is not None else [self.byte[b] for b in token.encode()]
+        return b"".join(self.byte[b] for b in token.encode()) if found is None else _raw(found)
 
     def unit(self, unit: str) -> bytes:
-        """Ids, as little-endian 32-bit integers, of the marks before a word and the word."""
-        word = unit.lstrip(MARK)
+        """Ids, as little-endian 32-bit integers, of the spaces before a word and the word."""
+        word = unit.lstrip(" ")
         marks = len(unit) - len(word)
         tokens = self.tokens((MARK if marks else "") + word) if word else []
         if marks and word:
             marks -= 1
             if tokens[0] == MARK:
                 marks, tokens = marks + 1, tokens[1:]
+        own = self.own
+        body = b"".join([own.get(t) or self.spelled(t) for t in tokens])
+        if not marks:
+            return body
         full = max(0, marks // self.runs - 1)
-        run = [self.id[MARK * self.runs]] * full + [self.id[p] for p in self.merged(MARK * (marks - full * self.runs))]
-        return np.array(run + [i for t in tokens for i in self.ids(t)], "<u4").tobytes()
+        return own[MARK * self.runs] * full + b"".join(own[p] for p in self.merged(MARK * (marks - full * self.runs))) + body
 
     def encode(self, text: str) -> bytes:
         """All ids of a text, begin and end included, as little-endian unsigned 32-bit integers."""
-        out = [np.uint32(self.begin).tobytes()]
+        out = [_raw(self.begin)]
         if text:
-            out += [self.units[u] if len(u) <= LONG else self.unit(u) for u in _UNIT.findall(MARK + text.replace(" ", MARK))]
-        out.append(np.uint32(self.end).tobytes())
+            out += [self.units[u] if len(u) <= LONG else self.unit(u) for u in _UNIT.findall(" " + text.replace(MARK, " "))]
+        out.append(_raw(self.end))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())
 
 
-#: A unit: marks and the word after them. Line breaks have no piece and stand alone.
-_UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+#: A unit: spaces, which become marks, and the word after them. Line breaks have no piece and stand alone.
+_UNIT = re.compile("\n| *[^ \n]+| +")
 
 
 def codec(path: str) -> PieceCodec:
