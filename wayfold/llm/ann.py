@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, small_batches, table
+from .common import bounded_sample, col, cut, small_batches, table
 
 K, EVERY = 20, 20
 TREES, SAMPLE, LEAF, SHARE, TILE, SEED = 8, 16_384, 256, 0.15, 2048, 11
@@ -114,7 +114,7 @@ def best_of(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> Iter
         fast = queries[at : at + 256] @ x.T
         for q, f in zip(queries[at : at + 256], fast):
             near = np.argpartition(-f, k + SPARE)[: k + SPARE] if len(x) > k + SPARE else np.arange(len(x))
-            exact = (x[near] * q).sum(axis=1)
+            exact = np.cumsum(x[near] * q, axis=1)[:, -1]  # one after the other, so that equal vectors score equally anywhere
             order = np.lexsort((ids[near], -exact))[:k]
             yield ids[near][order], exact[order]
 
@@ -151,7 +151,7 @@ def nearest(rows: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_c
     first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
     copies = base.dropDuplicates(["k1", "k2", "vec_id"]).withColumn("r", first).where(F.col("r") <= k + 1)
     classes = cut(copies.groupBy("k1", "k2").agg(F.min("vec_id").alias("cid"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("vec").alias("vec")))
-    picked = classes.select("cid", "vec").orderBy(F.xxhash64("cid"), "cid").limit(sample).collect()
+    picked = bounded_sample(classes.select("cid", "vec"), sample, "cid")
     norm2 = classes.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v))).first()[0] or 0.0
     points = np.array([r.vec for r in picked]) if picked else np.zeros((0, 1))
     forest = spark.sparkContext.broadcast((fit(points, norm2, trees, leaf), points, np.array([r.cid for r in picked], np.int64)))
@@ -203,3 +203,12 @@ def nearest(rows: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_c
 
 def op9_ann(spark, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), lambda i: i % EVERY == 0)
+
+
+SQL = """
+with v as (select vec_id, cast(embedding as double[]) as e from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0),
+u as (select * from v where not list_bool_or(list_transform(e, lambda x: x is null or not isfinite(x))) and list_bool_or(list_transform(e, lambda x: x <> 0))),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as score from u q join u c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""

@@ -16,4 +16,5 @@ QUERIES = {
     "op9_ann": ann.op9_ann,
     "op10_media": media.op10_media,
 }
-SQL = {"op1_line_dedup": line_dedup.SQL}
+#: op9's SQL is brute force: equal where the forest has one leaf, as on tables of some hundred rows.
+SQL = {"op1_line_dedup": line_dedup.SQL, "op5_minhash": minhash.SQL, "op9_ann": ann.SQL}
