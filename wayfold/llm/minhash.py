@@ -21,7 +21,8 @@ d(x) the number of elements in which x differs from the core, x and y differ in
 differences share. They are similar enough if they differ in at most L(|x| + |y|), L = (100 - percent) / (100 + percent). So with
 s(x) = d(x) - L|x|: pairs with s(x) + s(y) <= 0 are linked as they stand, and others only if c >= (s(x) + s(y)) / 2. The document of least s
 is linked with all that s allows (the near ones); for the rest c is at least about half of a difference, so two similar documents
-share one of the rarest elements of their differences (prefix filter), and those are rare: a group's common passages are in its core.
+share one of the rarest elements of their differences (prefix filter), and those are rare: a group's common passages are in its core. The
+first element that they share, in the order of rarity, has at least c - 1 elements after it in both (positional filter).
 
 Buckets are found with grouped counts (partial aggregation) and equi-joins, whose hot keys AQE may split. Nothing of the corpus goes
 to the driver.
@@ -174,15 +175,17 @@ def core_pairs(grouped: DataFrame, texts: DataFrame, width: int, percent: int) -
     q = F.col("_s") + F.greatest(F.col("_least"), -F.col("_least"))
     shared = F.when(F.col("_least") <= 0, F.floor(q / (2 * over)) + 1).otherwise(F.ceil(q / (2 * over)))
     rows = rows.withColumn("_prefix", F.size("_diff") - F.greatest(F.lit(1), shared) + 1).withColumn("_d", F.size("_diff"))
-    entries = rows.select("_hub", "_rep", "_comp", "_near", "_prefix", "_d", F.explode("_diff").alias("_el"))
+    entries = rows.select("_hub", "_rep", "_comp", "_near", "_prefix", "_d", "_s", F.explode("_diff").alias("_el"))
     often = entries.groupBy("_hub", "_el").count().where("count > 1")
     own = Window.partitionBy("_hub", "_rep")
     entries = entries.join(often, ["_hub", "_el"])
-    once = F.col("_d") - F.count(F.lit(1)).over(own)  # elements that only this document has come first in the prefix and match nothing
-    entries = entries.withColumn("_in", F.row_number().over(own.orderBy("count", "_el")) + once <= F.col("_prefix"))
-    entries = cut(entries.select("_hub", "_el", "_rep", "_comp", "_near", "_in"))
-    far = entries.where("not _near").toDF("_hub", "_el", "_rep2", "_comp2", "_near2", "_in2")
+    once = F.col("_d") - F.count(F.lit(1)).over(own)  # elements that only this document has come first in the order and match nothing
+    entries = entries.withColumn("_pos", F.row_number().over(own.orderBy("count", "_el")) + once).withColumn("_left", F.col("_d") - F.col("_pos") + 1)
+    entries = cut(entries.select("_hub", "_el", "_rep", "_comp", "_near", "_s", "_left", (F.col("_pos") <= F.col("_prefix")).alias("_in")))
+    far = entries.where("not _near").toDF("_hub", "_el", "_rep2", "_comp2", "_near2", "_s2", "_left2", "_in2")
     both = entries.where("_in").join(far, ["_hub", "_el"]).where("_comp <> _comp2").where("_near or (_in2 and _rep < _rep2)")
+    # of the elements that two differences share, the first in the order leaves enough after it on both sides
+    both = both.where(F.least("_left", "_left2") * (2 * over) >= F.col("_s") + F.col("_s2"))
     return links, both.select(F.least("_rep", "_rep2").alias("a"), F.greatest("_rep", "_rep2").alias("b")).distinct()
 
 
