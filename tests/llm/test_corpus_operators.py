@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -217,6 +218,27 @@ def test_quality_odd_rows(odd, odd_rows, none):
     assert quality.quality(none).collect() == []
 
 
+def brute_votes(t):
+    """Labellers on words without white space and lines that aren't empty."""
+    words, lines = re.findall(r"[^ \t\n\x0b\f\r]+", t), [x for x in t.split("\n") if x]
+    n, k, distinct = max(1, len(words)), len(lines), len(set(lines))
+    ended, known = len(re.findall(r"[.!?] *(?:\n|\Z)", t)), set(quality.FUNCTION_WORDS.split())
+    size, symbols, digits = (len(t) - len(words)) / n, sum(c in quality.SYMBOLS for c in t) / n, sum(c in "0123456789" for c in t) / n
+    function = sum(w.lower() in known for w in words) / n
+    vote = lambda good, bad: 0 if bad else 1 if good else -1
+    votes = [vote(len(words) >= 60, len(words) < 15), vote(symbols < 0.02, symbols > 0.15), vote(3 <= size <= 9, not 2 <= size <= 14), vote(k >= 3 and distinct == k, k >= 3 and distinct < 0.7 * k),
+        vote(k > 0 and ended >= 0.7 * k, k > 0 and ended < 0.2 * k), vote(function >= 0.12, function < 0.03), vote(digits < 0.1, digits > 1)]
+    return ",".join(map(str, votes))
+
+
+def test_votes_on_blank_lines_tabs_and_double_spaces(spark):
+    lines = [f"the story of house {w} is told in this long line." for w in ("one", "two", "three", "four", "five", "six")]
+    texts = ["\n\n".join(lines), "\n".join(lines), "\n\n\n".join(lines[:2] * 3), "\t".join(" ".join(lines).split()), "  ".join(" ".join(lines[:2]).split()), "\n \n".join(lines), " \n\n", "", "\n" + lines[0] + "\n\n", "a\t1 2  #\n\r\nb"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", quality.vote_pattern(F.col("t")).alias("v")).collect()
+    assert {r.i: r.v for r in got} == {i: brute_votes(t) for i, t in enumerate(texts)}
+    assert brute_votes(texts[0]).split(",")[3:5] == ["1", "1"]
+
+
 # -- nearest neighbours
 
 

@@ -38,25 +38,26 @@ def _by_letter(words: list[str]) -> str:
 
 
 def vote_pattern(text: Column) -> Column:
-    """The votes of all labellers on a text, comma-joined; measures are taken once."""
+    """The votes of all labellers on a text, comma-joined; measures are taken once. Words are runs without white space, empty lines are no lines."""
     t = F.coalesce(text, F.lit(""))
     count = lambda chars: F.regexp_count(t, F.lit(f"[{regex.escape(chars)}]"))
+    lines = let(F.array_remove(F.split(t, "\n"), ""), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("distinct")))
     measures = F.struct(
-        F.when(t == "", 0).otherwise(F.size(F.split(t, r"[\x20\n]"))).alias("words"), F.char_length(t).alias("chars"), count(SYMBOLS).alias("symbols"), count("0123456789").alias("digits"), F.when(t == "", 0).otherwise(F.size(F.split(t, "\n"))).alias("lines"),
-        F.size(F.array_distinct(F.split(t, "\n"))).alias("distinct"), F.regexp_count(t, F.lit(r"[.!?][\x20]*(?:\n|$)")).alias("ended"),
-        F.regexp_count(t, F.lit(rf"(?i)(?<!\S)(?:{_by_letter(FUNCTION_WORDS.split())})(?!\S)")).alias("function"),
+        F.size(F.array_remove(F.split(t, r"\s+"), "")).alias("words"), F.char_length(t).alias("chars"), count(SYMBOLS).alias("symbols"), count("0123456789").alias("digits"), lines.alias("lines"),
+        F.regexp_count(t, F.lit(r"[.!?][\x20]*(?:\n|$)")).alias("ended"), F.regexp_count(t, F.lit(rf"(?i)(?<!\S)(?:{_by_letter(FUNCTION_WORDS.split())})(?!\S)")).alias("function"),
     )
 
     def votes(m: Column) -> Column:
         per_word = lambda n: n / F.greatest(F.lit(1), m["words"])
         vote = lambda good, bad: F.when(bad, 0).when(good, 1).otherwise(-1).cast("int")
         size = per_word(m["chars"] - m["words"])
-        lines, symbols, digits, function = m["lines"], per_word(m["symbols"]), per_word(m["digits"]), per_word(m["function"])
+        lines, distinct = m["lines"]["n"], m["lines"]["distinct"]
+        symbols, digits, function = per_word(m["symbols"]), per_word(m["digits"]), per_word(m["function"])
         found = {
             "length": vote(m["words"] >= 60, m["words"] < 15),
             "symbols": vote(symbols < 0.02, symbols > 0.15),
             "word_size": vote(size.between(3.0, 9.0), ~size.between(2.0, 14.0)),
-            "repeats": vote((lines >= 3) & (m["distinct"] == lines), (lines >= 3) & (m["distinct"] < 0.7 * lines)),
+            "repeats": vote((lines >= 3) & (distinct == lines), (lines >= 3) & (distinct < 0.7 * lines)),
             "sentences": vote((lines > 0) & (m["ended"] >= 0.7 * lines), (lines > 0) & (m["ended"] < 0.2 * lines)),
             "function_words": vote(function >= 0.12, function < 0.03),
             "digits": vote(digits < 0.1, digits > 1.0),
