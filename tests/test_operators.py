@@ -2,6 +2,7 @@ import heapq
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wayfold.graph import codec, routes
@@ -109,6 +110,30 @@ def test_distances(spark):
         assert {r.node: r.cost for r in got if r.source == s} == dijkstra(out, s)
 
 
+def test_distances_raise_when_rounds_do_not_suffice(spark):
+    e = spark.createDataFrame([(i, i + 1, 5) for i in range(6)], "src long, dst long, time_ms long")
+    sources = spark.createDataFrame([(0,)], "source long")
+    assert {r.node: r.cost for r in routes.distances(e, sources, rounds=6).collect()} == {i: 5 * i for i in range(7)}
+    with pytest.raises(ValueError):
+        routes.distances(e, sources, rounds=3)
+
+
+def test_shortest_distances_beyond_seven_hops(spark):
+    from wayfold.plans import QUERIES, graphs
+    from wayfold.plans.tables import Tables
+
+    folder = "/root/testdata/sf0.1"
+    out, region = {}, {}
+    nodes, edges = graphs._rings(Tables(spark, folder))
+    for r in edges.select("src", "dst", "time_ms").collect():
+        out.setdefault(r.src, []).append((r.dst, 0, r.time_ms))
+    for r in nodes.collect():
+        region.setdefault(r.region, []).append(r.id)
+    want = {(min(ids), n): cost for ids in region.values() for n, cost in dijkstra(out, min(ids)).items()}
+    got = QUERIES["g7_shortest_distances"](spark, folder).collect()
+    assert len(got) == len(want) == sum(map(len, region.values())) and {(r.source, r.node): r.cost for r in got} == want
+
+
 def test_graph_codec():
     rng = np.random.default_rng(1)
     g = codec.Graph(rng.integers(-(10**9), 10**9, (5, 2)).astype(np.int32), np.array([[2, 1, 50, 100, -1, 0], [0, 1, 255, 2**24 - 1, 0, 1], [0, 4, 3, 7, 1, 0]]), np.array([1, 0x1FF, 5], np.uint32), [[(1, 2), (3, -4)], [(0, 0)]], ["", "Straße"])
