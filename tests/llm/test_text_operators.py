@@ -100,6 +100,17 @@ def test_pii_method_adds_spans(spark):
     assert [k for k, _, _ in got[4]] == ["secret"] and [v for _, v, _ in got[5]] == [texts[5]]
 
 
+def test_pii_iban_before_words_and_numbers(spark):
+    spaced, packed, other = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    after = ["", " Please pay", " Betrag", " EUR 50", " 2024", " A", ", x", f" {other}", f" BE12 {other}", "\n2024"]
+    texts = [before + iban + x for before in ("", "Konto ", "é😀 BE12 ") for iban in (spaced, packed) for x in after] + [f"{packed}x", f"{packed}0", f"X{packed}", "DE89 3704 0044 0532 0130 01 Please", "AB12 " * 3000 + spaced + " Ende"]
+    want = [[m for m in (spaced, packed, other) if m in t] for t in texts[:-5]] + [[], [], [], [], [spaced]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(4)
+    got = {r.i: [(s.start, texts[r.i][s.start : s.end], round(s.score, 6)) for s in r["_spans"] if s.kind == "iban"] for r in pii.pii_spans(df).select("i", "_spans").collect()}
+    assert [[m for _, m, _ in got[i]] for i in range(len(texts))] == want
+    assert all(t.index(m) == at and (score == 1.0) == (t.startswith("Konto") and m != other) for i, t in enumerate(texts[:-1]) for at, m, score in got[i])
+
+
 # -- tokenizers
 
 

@@ -6,6 +6,7 @@ matches themselves (regexp_extract_all) alternate, so running sums of their leng
 Kinds. email, ip, card (Luhn) and phone are the base kinds: every match that its validator confirms is reported, whatever its score.
 iban (mod 97), ssn and secret are added by the method: reported if the score reaches THRESHOLD, where the score is the kind's prior,
 plus CONFIRMED if a checksum confirmed it, plus CONTEXT if one of the kind's words stands within WINDOW characters before it.
+An iban's end can't be told from its form, as words in capitals or numbers may follow: each end of a group is tried with the country's length and mod 97.
 Overlaps between kinds are kept, as spans of two kinds may both be meant.
 
 The patterns are written so that no input makes them slow or deep: repeated groups are possessive, which Java runs as a loop, and
@@ -31,10 +32,20 @@ KINDS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|host|server|address"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None, 0.3, "card|visa|master|credit|pay"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|tel|call|mobile|fax"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None, 0.2, "iban|account|bank|konto|compte|cuenta"),
+    "iban": (r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})", None, 0.2, "iban|account|bank|konto|compte|cuenta"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social|security|tax"),
     "secret": (r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,}+(?![A-Za-z0-9])", None, 0.3, "token|secret|key|passw|api"),
 }
+#: From the place where an IBAN may start: groups that end where letters and digits end, as many as there are.
+_GROUPS = r"^[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?:\x20[A-Z0-9]++(?![a-z]))*+"
+#: Characters that an IBAN of 34 has at most with a space between any two, and one more to see that it ends.
+_REACH = 68
+#: Lengths of the countries in the IBAN registry. Of other codes any length from 15 to 34 is tried.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 BASE = ("email", "ip", "card", "phone")
 
 
@@ -82,8 +93,11 @@ def valid(kind: str, m: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
     if kind == "iban":
-        packed = F.replace(m, F.lit(" "))
-        return F.when(F.length(packed).between(15, 34), mod97(packed)).otherwise(False)
+        packed, country, n = F.replace(m, F.lit(" ")), F.substring(m, 1, 2), F.length(F.replace(m, F.lit(" ")))
+        fits = n.between(15, 34)
+        for length, codes in _LENGTHS.items():
+            fits = F.when(country.isin(*codes.split()), n == length).otherwise(fits)
+        return F.when(fits, mod97(packed)).otherwise(False)
     return F.lit(True)
 
 
@@ -91,8 +105,7 @@ def spans_of(kind: str, text: Column) -> Column:
     """array<struct<start, rank, end, kind, score>> of one kind in a text, in order."""
     pattern, hint, prior, words = KINDS[kind]
     rank = list(KINDS).index(kind)
-    bonus = CONFIRMED if kind in ("card", "iban") else 0.0
-    span = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
+    bonus = CONFIRMED if kind == "card" else 0.0
 
     def step(acc: Column, e: Column) -> Column:
         start = acc["at"] + F.char_length(e["gap"])
@@ -103,23 +116,66 @@ def spans_of(kind: str, text: Column) -> Column:
         ok = valid(kind, e["match"])
         if kind not in BASE:
             ok = ok & (score >= THRESHOLD)
-        return F.struct(end.alias("at"), F.when(ok, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).cast(span).alias("out"))
+        return F.struct(end.alias("at"), F.when(ok, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).cast(SPAN).alias("out"))
 
     def from_matches(matches: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
         pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("match"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
         walked = F.aggregate(pairs, start, step, lambda a: a["out"])
-        return F.when(F.size(matches) > 0, walked).otherwise(F.array().cast(span))
+        return F.when(F.size(matches) > 0, walked).otherwise(F.array().cast(SPAN))
 
     worth = F.contains(text, F.lit(hint)) if hint else text.rlike("[0-9]")
-    return F.when(worth, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), from_matches)).otherwise(F.array().cast(span))
+    return F.when(worth, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), from_matches)).otherwise(F.array().cast(SPAN))
+
+
+def iban_at(near: Column) -> Column:
+    """The longest confirmed IBAN that starts a text and ends with a group, or the empty string."""
+
+    def longest(groups: Column) -> Column:
+        heads = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+        return F.coalesce(F.get(F.reverse(F.filter(heads, lambda m: valid("iban", m))), F.lit(0)), F.lit(""))
+
+    return let(F.split(F.regexp_extract(near, _GROUPS, 0), " "), longest)
+
+
+def iban_spans(text: Column) -> Column:
+    """spans_of for iban: the text is split where one may start, and each piece is read on into the next ones, so that what follows an account can't hide it."""
+    pattern, _, prior, words = KINDS["iban"]
+    rank, none = list(KINDS).index("iban"), F.array().cast(SPAN)
+
+    def step(acc: Column, e: Column) -> Column:
+        start = acc["at"]
+
+        def walked(own: Column) -> Column:
+            new = (start >= acc["end"]) & (own != "")
+            end = F.when(new, start + F.char_length(own)).otherwise(acc["end"])
+            score = F.lit(prior + CONFIRMED) + F.when(F.lower(acc["before"]).rlike(words), CONTEXT).otherwise(0.0)
+            found = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit("iban").alias("kind"), F.least(F.lit(1.0), score).alias("score"))
+            rest = F.substr(e["piece"], F.greatest(F.lit(1), end - start + 1))
+            before = F.right(F.concat(F.when(new, "").otherwise(acc["before"]), rest), F.lit(WINDOW))
+            return F.struct((start + F.char_length(e["piece"])).alias("at"), end.alias("end"), before.alias("before"), F.when(new, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).cast(SPAN).alias("out"))
+
+        return let(e["own"], walked)
+
+    def from_pieces(pieces: Column) -> Column:
+        heads = F.transform(pieces, lambda p: F.left(p, F.lit(_REACH)))
+
+        def owned(heads: Column) -> Column:
+            near = lambda i: F.array_join(F.slice(heads, i + 1, F.lit(_REACH // 4 + 1)), "")
+            own = F.transform(heads, lambda h, i: F.when(h.rlike("^[A-Z]{2}[0-9]{2}"), iban_at(near(i))).otherwise(""))
+            start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit("").alias("before"), none.alias("out"))
+            return F.aggregate(F.arrays_zip(pieces.alias("piece"), own.alias("own")), start, step, lambda a: a["out"])
+
+        return let(heads, owned)
+
+    return F.when(text.rlike(r"[A-Z]{2}[0-9]{2}"), let(F.split(text, pattern, -1), from_pieces)).otherwise(none)
 
 
 def pii_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs and _spans, array<struct<start, rank, end, kind, score>> in order of start, then kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("_spans", F.array_sort(F.concat(*[spans_of(k, text) for k in KINDS])))
+    return docs.withColumn("_spans", F.array_sort(F.concat(*[iban_spans(text) if k == "iban" else spans_of(k, text) for k in KINDS])))
 
 
 def _joined(spans: Column) -> Column:
