@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from sys import getsizeof
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch on the way to Python. Texts may be 100 kB and more, so the default of 10,000 rows is not bounded memory.
-ARROW_ROWS = 256
+#: Rows and bytes in one Arrow batch on the way to Python. Texts may be 100 kB and more, so the default of 10,000 rows is not bounded memory.
+ARROW_ROWS, ARROW_BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers by batches of few rows, and give them this package, once for each Spark context."""
+    """Bound the memory of Python workers by batches of few rows and bytes, and give them this package, once for each Spark context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if not getattr(context, "_has_wayfold", False):
         root = Path(__file__).parents[1]
@@ -70,19 +76,29 @@ def packed(df: DataFrame) -> Column:
     return F.struct(*[col(c).alias(c) for c in df.columns])
 
 
+#: Bytes of an entry of a dict besides its key and value, at the usual load.
+_SLOT = 100
+
+
 class Recent(dict):
-    """A bounded cache of two generations: recent[key] computes what is missing; a full generation becomes the old one, the old one goes."""
+    """A cache bounded by bytes, of two generations: recent[key] computes what is missing; a full generation becomes the old one, the old one goes.
 
-    def __init__(self, compute, size: int) -> None:
+    `most` is what both generations may hold. get() and items() see the new generation only.
+    """
+
+    def __init__(self, compute: Callable, most: int) -> None:
         super().__init__()
-        self.compute, self.size, self.old = compute, size, {}
+        self.compute, self.half, self.old, self.held = compute, most // 2, {}, 0
 
     def __missing__(self, key):
-        if (found := self.old.get(key)) is None:
+        if (found := self.old.pop(key, None)) is None:
             found = self.compute(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
+        size = getsizeof(key) + getsizeof(found) + _SLOT
+        if self.held + size > self.half:
+            self.old = {}  # goes before the new generation takes its place
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += size
         self[key] = found
         return found
 
@@ -113,9 +129,35 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 _STATE: dict = {}
 
 
-def worker_state(key: tuple, build):
+def worker_state(key: tuple, build: Callable):
     """What a worker process keeps between batches and tasks for the operator it runs; the state of another operator goes first."""
     if key not in _STATE:
         _STATE.clear()
         _STATE[key] = build()
     return _STATE[key]
+
+
+def trim() -> None:
+    """Give freed memory back to the system: idle workers live on beside the ones of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator], keep: str | None = None) -> Callable[[Iterator], Iterator]:
+    """run for mapInPandas or an iterator UDF, after whose tasks a worker keeps no state but of the kind `keep` (the first part of its key)."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        if any(k[0] != keep for k in _STATE):
+            _STATE.clear()
+        try:
+            yield from run(batches)
+        finally:
+            if any(k[0] != keep for k in _STATE):
+                _STATE.clear()
+            trim()
+
+    return tidied

@@ -12,15 +12,16 @@ is null isn't held out and isn't learned from; repeated rows get equal results;
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, col, small_batches, table
+from .common import bounded_sample, col, packed, small_batches, table, tidy, worker_state
 
 UNKNOWN = "und"
 WIDTHS, FILTERS, WINDOW, BATCH = (2, 3, 4), 16, 192, 64
@@ -135,12 +136,11 @@ def learn(docs: DataFrame, rows: int = ROWS) -> Network | None:
 
 
 def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _lang and _score; rows stay where they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    """docs with _lang and _score, which replace columns of these names; rows stay where they are."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(network), ("language", uuid.uuid4().hex)
 
-    @F.pandas_udf("struct<lang:string,score:double>")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        net = shared.value
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        net = worker_state(key, lambda: shared.value and replace(shared.value))  # its tables go with the state
         for texts in batches:
             out = []
             for text in texts:
@@ -154,8 +154,14 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
             yield pd.DataFrame(out, columns=["lang", "score"])
 
     small_batches(docs.sparkSession)
-    found = docs.withColumn("_found", predict(col(text_col)))
-    return found.withColumns({"_lang": F.col("_found.lang"), "_score": F.col("_found.score")}).drop("_found")
+
+    @F.pandas_udf("struct<lang:string,score:double>")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(run)(batches)
+
+    found = docs.select(packed(docs).alias("_row"), predict(col(text_col)).alias("_new"))
+    same = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("_lang", "_score")]
+    return found.select(*same, F.col("_new.lang").alias("_lang"), F.col("_new.score").alias("_score"))
 
 
 def op6_lang_id(spark, sf_dir: str) -> DataFrame:

@@ -44,12 +44,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent, col, cut, small_batches, table, worker_state
+from .common import Recent, col, cut, small_batches, table, tidy, worker_state
 from .components import components
 
 PERMS, ROWS, MARGIN, SMALL, SEED = 96, 6, 0.15, 8, 7
 BANDS = 2 * PERMS // ROWS
-CACHE, CHUNK = 80_000, 4096
+CACHE, CHUNK = 24 << 20, 4096
 
 
 def _word_hashes() -> Recent:
@@ -114,7 +114,7 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
 
     small_batches(docs.sparkSession)
     rows = docs.select(col(id_col).cast("long").alias("_id"), col(text_col).alias("_text"))
-    return rows.mapInPandas(run, "_id long, _n long, _set binary, _sig binary, _keys array<long>")
+    return rows.mapInPandas(tidy(run), "_id long, _n long, _set binary, _sig binary, _keys array<long>")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -127,14 +127,18 @@ def estimate(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _confirm(width: int, percent: int):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            out = []
+            for x, y in zip(a, b):
+                s, t = shingles(x, width), shingles(y, width)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                out.append(bool(both) and 100 * both >= percent * (len(s) + len(t) - both))
+            yield pd.Series(out, dtype=bool)
+
     @F.pandas_udf("boolean")
-    def confirm(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            s, t = shingles(x, width), shingles(y, width)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(bool(both) and 100 * both >= percent * (len(s) + len(t) - both))
-        return pd.Series(out, dtype=bool)
+    def confirm(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        yield from tidy(run)(batches)
 
     return confirm
 
@@ -149,9 +153,13 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: in
 
 
 def _elements(width: int):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: shingles(t, width).view(np.int64))
+
     @F.pandas_udf("array<long>")
-    def elements(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shingles(t, width).view(np.int64))
+    def elements(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(run)(batches)
 
     return elements
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Recent, bounded_sample, col, let, small_batches, table
 
-ROWS, PIECE, BUCKETS, EPOCHS, CACHE, KEEP = 3_000, 8_192, 1 << 16, 6, 200_000, 0.5
+ROWS, PIECE, BUCKETS, EPOCHS, CACHE, KEEP = 3_000, 8_192, 1 << 16, 6, 48 << 20, 0.5
 SYMBOLS = "#$%&*{}<>|\\^~=_@"
 #: Frequent function words of the corpus's four languages.
 FUNCTION_WORDS = "the of and to in is was for that with a le la les de des et un une est que der die das und ein eine ist mit von zu el los las y en por una con"

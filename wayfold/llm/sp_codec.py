@@ -11,6 +11,10 @@ table. Runs of two and more marks have pieces of one shared score, the lowest, s
 after the run's last mark had its chance to join the word: the left end grows to the longest piece again and again.
 
 Characters without a piece become the bytes of their UTF-8 form. Decoding is the library's decode(ids).
+
+Defined results: a null text is the empty text, which is the ids of begin and end; a text of any length is encoded whole, and memory beside it and its
+ids is bounded by the caches' bytes; repeated rows get equal results; null ids are kept; an empty table gives an empty one; other columns play no part.
+A model whose normaliser changes texts, or that handles spaces otherwise than this one, is refused.
 """
 
 from __future__ import annotations
@@ -24,11 +28,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import Recent, col, small_batches, table, worker_state
+from .common import Recent, col, small_batches, table, tidy, worker_state
 
 MARK = "▁"
-#: Entries of each generation of the worker caches of units and pairs, and characters of the longest unit that is kept in one.
-CACHE, PAIRS, LONG = 180_000, 250_000, 64
+#: Bytes of the worker caches of units and pairs, and characters of the longest unit that is kept in one.
+CACHE, PAIRS, LONG = 64 << 20, 40 << 20, 64
 #: A pair of piece ids as one integer.
 SHIFT = 20
 MODEL = "piece_bpe_32k.model"
@@ -54,6 +58,9 @@ class PieceCodec:
         self.byte = [_raw(sp.piece_to_id(f"<0x{b:02X}>")) for b in range(256)]
         self.begin, self.end = sp.bos_id(), sp.eos_id()
         self.runs = max((len(p) for p in self.id if not p.strip(MARK)), default=1)
+        samples = ("a", " a", "a ", "  a  b", "\t", "\u00a0a\u3000", "ﬁ ⅷ Ａ", "e\u0301", "A\nb", "\u200b")
+        if any(self.library.normalize(t) != (MARK + t.replace(" ", MARK)) for t in samples):
+            raise ValueError("only the identity normaliser with a mark put before and no space removed is supported")
         if any(MARK in p.lstrip(MARK) for p in self.id) or any(p.startswith(MARK * 2) and p.strip(MARK) for p in self.id):
             raise ValueError("pieces with space marks inside are not supported")
         self.ends = ahocorasick.Automaton()
@@ -170,7 +177,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(col(id_col).alias("_id"), col(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+    return rows.mapInPandas(tidy(run, "pieces"), f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Recent, col, small_batches, table, worker_state
 
 MODEL, LIMIT = "word_bpe_49k.json", 2048
-FREQUENT, SAMPLE, CACHE, LONG = 32_768, 1_000, 250_000, 48
+FREQUENT, SAMPLE, CACHE, LONG = 32_768, 1_000, 64 << 20, 48
 
 #: The model's own split of lower-cased text into pre-tokens (a fixed value of the vocabulary file, tested against it).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
