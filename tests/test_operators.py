@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.graph import codec, routes
 from wayfold.operators import buckets, conflate, islands, nearest
-from wayfold.operators.ordering import dense_index
+from wayfold.operators.ordering import dense_index, running_total
 from wayfold.sources import readers, writers
 
 
@@ -17,6 +17,21 @@ def test_dense_index(spark):
     assert {r.v: r["index"] for r in got} == {v: i for i, v in enumerate(sorted(values))}
 
 
+def test_dense_index_and_running_total_of_many_wide_rows(spark):
+    """Many partitions that adaptive execution joins, by sizes that depend on the columns read: nothing is lost or misnumbered."""
+    n, before = 1_500_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("v"), F.repeat(F.lit("x"), 60).alias("wide"), (F.col("id") % 5).alias("w"))
+        got = dense_index(rows, ["v"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("index") != F.col("v")).alias("wrong"), F.count_if(F.length("wide") != 60).alias("torn")).first()
+        assert tuple(got) == (n, 0, 0)
+        ones = rows.withColumn("one", F.lit(1))
+        got = running_total(ones, "v", "one", "before").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") != F.col("v")).alias("wrong")).first()
+        assert tuple(got) == (n, 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_runs(spark):
     rows = [("a", i, v) for i, v in enumerate([1, 1, None, None, 2, 1, 1])] + [("b", 0, 1)]
     out = islands.runs(spark.createDataFrame(rows, "g string, i int, v int"), ["g"], ["i"], ["v"], n=F.count(F.lit(1)))

@@ -1,21 +1,44 @@
-"""Global order without a global window: dense numbers by range partitions and offsets."""
+"""Global order without a global window: numbers and totals inside of range partitions, and the partitions' offsets."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
 
-def dense_index(df: DataFrame, order: list, name: str = "index", start: int = 0) -> DataFrame:
-    """df with a dense index in the order of `order`.
+#: monotonically_increasing_id() holds the partition in the bits above this many, and the row's number in it below.
+_ROW_BITS = 33
+
+
+def ranged(df: DataFrame, order: list) -> DataFrame:
+    """df, written once, with _part (number of a range of the order) and _n (number of the row in its range, in order).
 
-    Rows are range-partitioned by the order and numbered inside of each partition; partitions' sizes (one row each) give the offsets. No
-    task sees more than its range, unlike row_number() over an unpartitioned window. The order must be total for a stable result.
+    The numbers are made where the sorted rows are written, and then read back: plans that made them again for each use would not agree, as
+    samples for the ranges' bounds and the ranges that adaptive execution joins depend on the columns that a use reads.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    numbered = parts.withColumn("_n", inside)
-    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = F.broadcast(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before")))  # one row per partition
-    return numbered.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_n") + start).drop("_part", "_n", "_before", "_size")
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = cut(rows)
+    return rows.select(*df.columns, F.shiftright("_at", _ROW_BITS).alias("_part"), F.col("_at").bitwiseAND(F.lit(2**_ROW_BITS - 1)).alias("_n"))
+
+
+def _offsets(sums: DataFrame) -> DataFrame:
+    """(_part, _sum), a row for each range, to (_part, _before) for a broadcast: there are as many ranges as shuffle partitions."""
+    before = F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return F.broadcast(sums.select("_part", F.coalesce(before, F.lit(0)).alias("_before")))
+
+
+def dense_index(df: DataFrame, order: list, name: str = "index", start: int = 0) -> DataFrame:
+    """df with a dense index in the order of `order`, which must be total for a stable result. No task sees more than its range."""
+    rows = ranged(df, order)
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_sum"))
+    return rows.join(_offsets(sizes), "_part").withColumn(name, F.col("_before") + F.col("_n") + start).drop("_part", "_n", "_before")
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """df with the total of `value` over the rows before each one in a global, total order."""
+    rows = ranged(df, [order])
+    sums = rows.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    inside = Window.partitionBy("_part").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(_offsets(sums), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_n", "_in", "_before")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import buckets, conflate
+from ..operators.ordering import running_total
 from .joins import _ADDR, _addresses
 from .registry import query
 
@@ -79,16 +80,6 @@ def a8(t):
     return running_total(degrees, "ref", "n", "start")
 
 
-def running_total(df, order, value, name):
-    """df with the total of `value` before each row in a global order: totals within ranges, and offsets of the ranges (one row each)."""
-    parts = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(order)
-    rows = parts.withColumn("_in", F.sum(value).over(inside) - c(value))
-    sums = rows.groupBy("_part").agg(F.sum(value).alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(F.broadcast(sums.select("_part", before.alias("_before"))), "_part").withColumn(name, c("_in") + c("_before")).drop("_part", "_in", "_before")
-
-
 @query("a9_cell_counts", "select cy, cx, count(*) as nodes, cast(sum(w) as bigint) as edges, count(distinct w) as kinds from (select cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, cast(floor(lon_e7 * 10 / 1e7) as bigint) as cx, w from geo_node join (select ref, count(*) as w from geo_way_node group by ref) x on ref = id) q group by cy, cx")
 def a9(t):
     from ..functions.geo import cell

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.bits import lookup
 from ..operators import conflate, islands
-from ..operators.ordering import dense_index
-from .aggregates import JUNCTIONS, junctions, running_total
+from ..operators.ordering import dense_index, running_total
+from .aggregates import JUNCTIONS, junctions
 from .registry import query
 
 c = F.col

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import readers, writers
-from ..sources.scratch import scratch
+from ..shared import folder as scratch
 from .registry import query
 
 c = F.col

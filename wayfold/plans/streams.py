@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import conflate
-from ..sources.scratch import scratch
+from ..shared import folder as scratch
 from ..streaming import incremental
 from .registry import query
 

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import ship
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 _LAT = "(({k}*37) % 120 - 60)*10000000 + ({p}*7919) % 10000000"
@@ -109,6 +111,7 @@ class Tables:
     """tables.part is the base table part, tables.geo_poi the view geo_poi; tables.sql() runs SQL text with {names}."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        ship(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from .shared import ship
+
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
     """AQE on, UTC, few shuffle partitions for one machine. On a cluster pass the cluster's own sizes in conf."""
@@ -18,4 +20,6 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.host": "127.0.0.1",
     }
-    return SparkSession.builder.master(master or f"local[{os.environ.get('BENCH_CPUS', '8')}]").config(map=base | conf).getOrCreate()
+    spark = SparkSession.builder.master(master or f"local[{os.environ.get('BENCH_CPUS', '8')}]").config(map=base | conf).getOrCreate()
+    ship(spark)
+    return spark

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.scratch import scratch
+from ..shared import folder as scratch
 
 
 class VersionedTable:
