@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, forget, ship
+
+__all__ = ["cut", "forget"]  # for the operators, from here
+
 #: Rows and bytes in one Arrow batch on the way to Python. Texts may be 100 kB and more, so the default of 10,000 rows is not bounded memory.
 ARROW_ROWS, ARROW_BYTES = 256, 4 << 20
 
@@ -26,39 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers by batches of few rows and bytes, and give them this package, once for each Spark context."""
+    """Bound the memory of Python workers by batches of few rows and bytes, and give them this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    context = spark.sparkContext
-    if not getattr(context, "_has_wayfold", False):
-        root = Path(__file__).parents[1]
-        folder = tempfile.mkdtemp(prefix="wayfold-")  # on the driver, from where Spark serves the file
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        with zipfile.ZipFile(f"{folder}/wayfold.zip", "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        context.addPyFile(f"{folder}/wayfold.zip")
-        context._has_wayfold = True
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: df written as a table to the folder that the cluster names, and read back.
-
-    spark.checkpoint.dir is read from the session. Only where it is unset, as in tests on one machine, a temporary folder stands in for it.
-    A table, not checkpoint(), because a checkpoint keeps the size estimates of the plan that made it: in iterations with joins these are
-    multiplied round by round, up to numbers of millions of digits that the planner then computes with. The table goes when the driver ends.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_wayfold_tables", None)
-    if base is None:
-        base = context._wayfold_tables = tempfile.mkdtemp(prefix="wayfold-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    path = f"{base}/wayfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    ship(spark)
 
 
 def let(value: Column, body) -> Column:
@@ -103,17 +72,26 @@ class Recent(dict):
         return found
 
 
-def bounded_sample(df: DataFrame, rows: int, *key: str) -> list:
-    """About `rows` rows of df on the driver, the same in each run: those whose hash of the key is least, by a bound from the count.
+def share_of(rows: int, n: int) -> float:
+    """The share of n rows by a hash that holds `rows` of them with room for chance."""
+    share = rows / max(1, n)
+    return 1.0 if n <= rows else min(1.0, share + 3 * (share / n) ** 0.5)
+
+
+def by_share(share: float, *key: Column | str) -> Column:
+    """Whether a row is in a share of all rows, by a hash of its key, which should tell most rows apart (nulls hash alike)."""
+    return F.pmod(F.xxhash64(*key), F.lit(2**52)) < F.lit(int(2**52 * share))
+
+
+def bounded_sample(df: DataFrame, rows: int, *key: str, n: int | None = None) -> list:
+    """About `rows` rows of df on the driver, the same in each run: those whose hash of the key is least, by a bound from the count n.
 
-    What is sent is bounded by `rows`, whatever the number of tasks. Fewer rows than that come whole.
+    The key should be what tells rows apart, as an id and its text: many rows of one id would share one hash. Rows with equal keys are equal or
+    as good as that; of more than `rows` of them, some come. What is sent is bounded by 2 * rows, whatever the number of tasks.
     """
-    h, parts = F.pmod(F.xxhash64(*key), F.lit(2**52)), 2**52
-    n = df.count()
-    picked = df.withColumn("_h", h)
-    if n > rows:
-        share = rows / n
-        picked = picked.where(F.col("_h") < int(parts * min(1.0, share + 3 * (share / n) ** 0.5)))
+    h = F.pmod(F.xxhash64(*key), F.lit(2**52))
+    share = share_of(rows, df.count() if n is None else n)
+    picked = df.withColumn("_h", h).where(F.col("_h") < int(2**52 * share))
     return sorted(picked.limit(2 * rows).collect(), key=lambda r: (r["_h"], str(r)))[:rows]
 
 
