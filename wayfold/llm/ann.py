@@ -1,111 +1,105 @@
-"""Approximate nearest neighbours by largest inner product: a forest of random-projection trees and exact reranking.
+"""Approximate nearest neighbours by largest inner product: a forest of random-projection trees, one queue over all trees, exact reranking.
 
-Fit: at most SAMPLE distinct vectors, taken in the order of a hash, grow TREES balanced trees on the driver; a node splits its sample at the
-median of the projection on the difference of two of its vectors. A leaf has at least LEAF sample vectors. Inner product becomes an
-angle by one more component, sqrt(largest squared norm - squared norm), which is 0 for queries.
-Index: every vector goes down every tree. Search: one priority queue over all trees pops the subtree whose path has the
-largest least margin, until a SHARE of all leaves was reached; their vectors are the candidates, and so is the fit sample, whose
-k-th best is a bound: leaves only report what reaches it. Rerank: in double precision on the original vectors, leaf by leaf.
+Inner product becomes an angle by one more component, sqrt(largest squared norm - squared norm), which is 0 for queries. A node splits its
+vectors at the median of their projections on a random direction; directions come from a seed, the tree and the node's place in its subtree, so
+only medians are stored.
 
-Equal vectors are one class with its K + 1 smallest ids: no answer needs more of them, as ties go to smaller ids, so large groups of
-copies cost one vector. Leaves meet their queries in tiles of at most about TILE by TILE vectors, so neither a full leaf nor a
-popular one lands in one task. The forest's size is fixed by its parameters; raise SAMPLE with the corpus to keep leaves small.
+Index: grown in tiers. Each tier counts the vectors of every cell (a node of a tree); those of more than LEAF are open and get a subtree of up to
+2^BITS leaves, whose medians are taken from a sample of about FIT vectors for each leaf of that subtree, drawn in the cell, so no group is larger
+than FIT * 2^BITS or so. All vectors of open cells go down their subtree. The tiers end when no cell is open: leaves are bounded at any size of
+the table, and nothing of it is fitted on the driver. Vectors move once for each tree and tier, in the type that they have (4 bytes a component).
+
+Search: a query walks the same tiers. Its queue holds nodes of all trees by their penalty, the sum of squared distances by which the query lies on
+the other side of the splits above; the least one is opened next until as many cells were reached as may be probed. A cell holds at least
+one leaf of its own penalty, so the best cells of a tier have all of the best leaves below them. Medians meet queries by a join on (tree, cell), which is
+broadcast only where it is counted to be small.
+
+Rerank: leaf by leaf, in double precision on the original vectors, in tiles of at most about TILE by TILE vectors, so that no popular leaf lands in one
+task. Tasks hand on their k + 1 best of each query (partial ranking), then these are ranked.
+
+Probes: PROBES leaves, however large the table, and more by (leaves / FEW)^growth for `growth` above 0. The registered query sets growth to 0.8: its
+vectors are all but isotropic (the 20th neighbour is 66 degrees away), where no fixed number of cells holds nine tenths of the neighbours at all
+sizes. Cost is then N^1.8 against N^2 of brute force. For vectors with structure leave it at 0: cost is in proportion to the number of queries.
+
+Equal vectors are one class with its K + 1 smallest ids: no answer needs more of them, as ties go to smaller ids, so large groups of copies cost one vector.
 
 Defined results: rows with a null id, and vectors that are null, empty, zero, of another length than the commonest, or hold null or
 non-finite components take no part, as query or as candidate; repeated rows with one id are one candidate; a query with fewer
-candidates than K gets all that its leaves hold.
+candidates than k in its leaves gets all that they hold; an empty table gives an empty one; other columns play no part.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, col, cut, small_batches, table
+from .common import col, cut, small_batches, small_side, table
 
 K, EVERY = 20, 20
-TREES, SAMPLE, LEAF, SHARE, TILE, SEED = 8, 16_384, 256, 0.15, 2048, 11
+TREES, LEAF, BITS, FIT, PROBES, FEW, GROWTH, TILE, SEED = 8, 256, 6, 64, 64, 512, 0.8, 2048, 11
 #: Candidates beyond k that a fast product hands to the exact one.
 SPARE = 12
+#: Subtrees up to which a tier's medians may be broadcast: at most 2^BITS numbers each, so 2 MB.
+SUBTREES = 4096
 
 
-@dataclass
-class Forest:
-    """Trees as heaps: node k has children 2k + 1 and 2k + 2; leaves are numbered from the left."""
-
-    normals: np.ndarray  # tree, inner node, component
-    offsets: np.ndarray  # tree, inner node
-    depth: int
-    norm2: float
-
-    def lifted(self, x: np.ndarray) -> np.ndarray:
-        rest = np.maximum(0.0, self.norm2 - np.einsum("ij,ij->i", x, x))
-        return np.concatenate([x, np.sqrt(rest)[:, None]], axis=1)
-
-    def leaves(self, x: np.ndarray) -> np.ndarray:
-        """Leaf of each vector in each tree."""
-        x = self.lifted(x)
-        out = np.zeros((len(x), len(self.normals)), np.int32)
-        for t, (normals, offsets) in enumerate(zip(self.normals, self.offsets)):
-            at = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                right = np.einsum("ij,ij->i", x, normals[at]) > offsets[at]
-                at = 2 * at + 1 + right
-            out[:, t] = at - (2**self.depth - 1)
-        return out
-
-    def search(self, queries: np.ndarray, probes: int) -> list[list[tuple[int, int]]]:
-        """(tree, leaf) pairs of each query, best first."""
-        q = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
-        inner = 2**self.depth - 1
-        trees = len(self.normals)
-        out = []
-        margins = np.einsum("qd,tnd->qtn", q, self.normals, optimize=True) - self.offsets if inner else np.zeros((len(q), trees, 0))
-        for m in margins:
-            heap = [(-np.inf, t, 0) for t in range(trees)]
-            heapq.heapify(heap)
-            found: list[tuple[int, int]] = []
-            m = m.tolist()
-            while heap and len(found) < probes:
-                worst, t, node = heapq.heappop(heap)
-                if node >= inner:
-                    found.append((t, node - inner))
-                    continue
-                d = m[t][node]
-                heapq.heappush(heap, (max(worst, -d), t, 2 * node + 2))
-                heapq.heappush(heap, (max(worst, d), t, 2 * node + 1))
-            out.append(found)
-        return out
-
-
-def fit(sample: np.ndarray, norm2: float, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> Forest:
-    """A forest over a sample of vectors."""
-    depth = max(0, int(np.log2(max(1, len(sample) / leaf))))
-    forest = Forest(np.zeros((trees, 2**depth - 1, sample.shape[1] + 1)), np.zeros((trees, 2**depth - 1)), depth, norm2)
-    x, rng = forest.lifted(sample), np.random.default_rng(seed)
-    for t in range(trees):
-        parts = {0: np.arange(len(x))}
-        for node in range(2**depth - 1):
-            own = parts.pop(node)
-            normal = np.subtract(*x[rng.choice(own, 2, replace=False)]) if len(own) > 1 else np.zeros(x.shape[1])
-            if not normal.any():
-                normal = rng.standard_normal(x.shape[1])
-            normal /= np.linalg.norm(normal)
-            along = x[own] @ normal
-            cut_at = float(np.median(along)) if len(own) else 0.0
-            forest.normals[t, node], forest.offsets[t, node] = normal, cut_at
-            parts[2 * node + 1], parts[2 * node + 2] = own[along <= cut_at], own[along > cut_at]
-    return forest
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+@lru_cache(maxsize=64)
+def directions(tree: int, tier: int, dims: int, seed: int = SEED) -> np.ndarray:
+    """Unit vectors of a subtree's inner nodes, numbered as in a heap, for lifted vectors of `dims` components."""
+    w = np.random.default_rng([seed, tree, tier]).standard_normal((2**BITS - 1, dims))
+    return w / np.linalg.norm(w, axis=1, keepdims=True)
+
+
+def lifted(x: np.ndarray, norm2: float) -> np.ndarray:
+    return np.concatenate([x, np.sqrt(np.maximum(0.0, norm2 - np.einsum("ij,ij->i", x, x)))[:, None]], axis=1)
+
+
+def medians(x: np.ndarray, bits: int, normals: np.ndarray) -> np.ndarray:
+    """Split points of a subtree of 2^bits leaves over lifted vectors; a node without vectors splits at 0."""
+    at, out = np.zeros(len(x), np.int64), np.zeros(2**bits - 1)
+    for node in range(2**bits - 1):
+        own = x[at == node] @ normals[node]
+        out[node] = np.median(own) if len(own) else 0.0
+        at[at == node] = 2 * node + 1 + (own > out[node])
+    return out
+
+
+def descend(x: np.ndarray, bits: int, splits: np.ndarray, normals: np.ndarray) -> np.ndarray:
+    """Leaf of each lifted vector, numbered from the left."""
+    at = np.zeros(len(x), np.int64)
+    for _ in range(bits):
+        at = 2 * at + 1 + (np.einsum("ij,ij->i", x, normals[at]) > splits[at])
+    return at - (2**bits - 1)
+
+
+def probe(query: np.ndarray, cells: list[tuple], probes: int, tier: int) -> list[tuple[float, int, int]]:
+    """The `probes` cells of least penalty below `cells`, (penalty, tree, cell, bits, splits), where bits is 0 for a leaf; one queue for all trees."""
+    heap, margins = [], {}
+    for k, (penalty, tree, cell, bits, splits) in enumerate(cells):
+        heap.append((penalty, tree, cell, k, 0, bits))
+        if bits:
+            margins[k] = (directions(tree, tier, len(query))[: 2**bits - 1] @ query - np.asarray(splits)).tolist()
+    heapq.heapify(heap)
+    out: list[tuple[float, int, int]] = []
+    while heap and len(out) < probes:
+        penalty, tree, cell, k, node, left = heapq.heappop(heap)
+        if not left:
+            out.append((penalty, tree, cell))
+            continue
+        m = margins[k][node]
+        heapq.heappush(heap, (penalty + max(m, 0.0) ** 2, tree, 2 * cell, k, 2 * node + 1, left - 1))
+        heapq.heappush(heap, (penalty + max(-m, 0.0) ** 2, tree, 2 * cell + 1, k, 2 * node + 2, left - 1))
+    return out
+
+
+def _matrix(column: pd.Series, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
 
 
 def best_of(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -119,14 +113,13 @@ def best_of(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> Iter
             yield ids[near][order], exact[order]
 
 
-def _score(k: int):
+def _score(k: int, kind: str):
     def score(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list = [np.empty((0,), np.int64)], [np.empty((0,), np.int64)], [np.empty((0,))]
         if len(rows) and len(queries):
-            found = best_of(_matrix(rows["vec"]), rows["cid"].to_numpy(), _matrix(queries["vec"]), k)
-            for query, least, (ids, scores) in zip(queries["query"], queries["least"], found):
-                enough = scores >= least
-                for kept, values in zip(out, (np.full(enough.sum(), query), ids[enough], scores[enough])):
+            found = best_of(_matrix(rows["vec"], kind), rows["cid"].to_numpy(), _matrix(queries["vec"], kind), k)
+            for query, (ids, scores) in zip(queries["query"], found):
+                for kept, values in zip(out, (np.full(len(ids), query), ids, scores)):
                     kept.append(values)
         return pd.DataFrame(dict(zip(("query", "cid", "score"), map(np.concatenate, out))))
 
@@ -143,57 +136,110 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.select("vec_id", "vec", F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit("k"), "vec").alias("k2"))
 
 
-def nearest(rows: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+def grow(vectors: DataFrame, norm2: float, kind: str, trees: int = TREES, leaf: int = LEAF) -> tuple[DataFrame, list[DataFrame]]:
+    """vectors(cid, vec binary) to the index (tree, cell, cid, vec) and the subtrees (tree, cell, bits, splits) of each tier."""
+
+    def fit(tier: int):
+        def run(own: pd.DataFrame) -> pd.DataFrame:
+            x, tree, bits = lifted(_matrix(own["vec"], kind), norm2), int(own["tree"].iloc[0]), int(own["bits"].iloc[0])
+            splits = medians(x, bits, directions(tree, tier, x.shape[1])[: 2**bits - 1])
+            return pd.DataFrame({"tree": [tree], "cell": [own["cell"].iloc[0]], "bits": [bits], "splits": [splits]})
+
+        return run
+
+    def down(tier: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                x, cells = lifted(_matrix(b["vec"], kind), norm2), b["cell"].to_numpy().copy()
+                for (tree, _, bits), rows in b.groupby(["tree", "cell", "bits"]).indices.items():
+                    splits = np.asarray(b["splits"].iloc[rows[0]])
+                    cells[rows] = cells[rows] * 2**bits + descend(x[rows], int(bits), splits, directions(int(tree), tier, x.shape[1]))
+                yield pd.DataFrame({"tree": b["tree"], "cell": cells, "cid": b["cid"], "vec": b["vec"]})
+
+        return run
+
+    at = ["tree", "cell"]
+    open_ = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(1).cast("long").alias("cell"), "cid", "vec")
+    closed, subtrees = [], []
+    while True:
+        bits = F.least(F.lit(BITS), F.ceil(F.log2(F.col("n") / leaf))).cast("int")
+        sizes = cut(open_.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).withColumn("bits", F.when(F.col("n") > leaf, bits).otherwise(0)))
+        # 56 bits of path are more than any table needs; vectors that no direction tells apart stay together, and are scored in tiles
+        more = sizes.where((F.col("bits") > 0) & (F.col("cell") < F.lit(2**56)))
+        tier = len(subtrees)
+        done = sizes.where((F.col("bits") == 0) | (F.col("cell") >= F.lit(2**56))).select(*at)
+        closed.append(open_.join(small_side(done, SUBTREES), at, "left_semi") if tier else open_.where(F.lit(more.isEmpty())))
+        if more.isEmpty():
+            break
+        wanted = F.xxhash64(F.lit(tier), "tree", "cid") < F.lit(float(2**63)) * (2 * F.least(F.lit(1.0), FIT * F.pow(F.lit(2.0), "bits") / F.col("n")) - 1)
+        drawn = open_.join(small_side(more, SUBTREES), at).where(wanted).select(*at, "bits", "vec")
+        subtrees.append(cut(drawn.groupBy(*at).applyInPandas(fit(tier), "tree int, cell long, bits int, splits array<double>")))
+        open_ = cut(open_.join(small_side(subtrees[-1], SUBTREES), at).mapInPandas(down(tier), "tree int, cell long, cid long, vec binary"))
+    index = closed[0]
+    for part in closed[1:]:
+        index = index.unionByName(part)
+    return cut(index), subtrees
+
+
+def search(queries: DataFrame, subtrees: list[DataFrame], probes: int, kind: str, trees: int = TREES) -> DataFrame:
+    """queries(query, vec) to (query, vec, tree, cell): the `probes` cells of each by one queue over all trees."""
+    reached = queries.select("query", "vec", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.lit(0.0).alias("penalty"), t.alias("tree"), F.lit(1).cast("long").alias("cell"))).alias("cells"))
+
+    def step(tier: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    x = lifted(_matrix(b["vec"], kind), 0.0)
+                    found = [probe(q, [tuple(c.values()) if isinstance(c, dict) else tuple(c) for c in cells], probes, tier) for q, cells in zip(x, b["cells"])]
+                    yield pd.DataFrame({"query": b["query"], "vec": b["vec"], "cells": [[dict(zip(("penalty", "tree", "cell"), f)) for f in one] for one in found]})
+
+        return run
+
+    for tier, subtree in enumerate(subtrees):
+        each = reached.select("query", F.explode("cells").alias("c")).select("query", "c.penalty", "c.tree", "c.cell").join(small_side(subtree, SUBTREES), ["tree", "cell"], "left")
+        cells = each.groupBy("query").agg(F.collect_list(F.struct("penalty", "tree", "cell", F.coalesce("bits", F.lit(0)).alias("bits"), "splits")).alias("cells"))
+        reached = cut(queries.join(cells, "query").mapInPandas(step(tier), "query long, vec binary, cells array<struct<penalty:double,tree:int,cell:long>>"))
+    return reached.select("query", "vec", F.explode("cells").alias("c")).select("query", "vec", "c.tree", "c.cell")
+
+
+def nearest(rows: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, growth: float = 0.0) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which is_query(id column), its k nearest others found."""
     spark = rows.sparkSession
     small_batches(spark)
+    kind = "<f4" if "float" in rows.schema[vec_col].dataType.simpleString() else "<f8"
     base = usable(rows, id_col, vec_col)
     first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
     copies = base.dropDuplicates(["k1", "k2", "vec_id"]).withColumn("r", first).where(F.col("r") <= k + 1)
     classes = cut(copies.groupBy("k1", "k2").agg(F.min("vec_id").alias("cid"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("vec").alias("vec")))
-    picked = bounded_sample(classes.select("cid", "vec"), sample, "cid")
     norm2 = classes.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v))).first()[0] or 0.0
-    points = np.array([r.vec for r in picked]) if picked else np.zeros((0, 1))
-    forest = spark.sparkContext.broadcast((fit(points, norm2, trees, leaf), points, np.array([r.cid for r in picked], np.int64)))
-
-    def to_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x = np.stack(b["vec"])
-                yield pd.DataFrame({"cid": b["cid"], "vec": [v.tobytes() for v in x], "leaves": list(forest.value[0].leaves(x))})
 
-    def to_probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, known, ids = forest.value
-        probes = int(np.ceil(share * trees * 2**own.depth))
+    def raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                x = np.stack(b["vec"])
-                first = list(best_of(known, ids, x, k + 1))
-                yield pd.DataFrame({
-                    "query": b["cid"], "vec": [v.tobytes() for v in x], "least": [s[-1] if len(s) > k else -np.inf for _, s in first],
-                    "probes": [[{"tree": t, "leaf": i} for t, i in f] for f in own.search(x, probes)],
-                    "sampled": [[{"cid": i, "score": s} for i, s in zip(*f)] for f in first],
-                })
+            yield pd.DataFrame({"cid": b["cid"], "vec": [np.asarray(v, kind).tobytes() for v in b["vec"]]})
 
+    vectors = cut(classes.select("cid", "vec").mapInPandas(raw, "cid long, vec binary"))
     asked = base.where(is_query(F.col("vec_id"))).select("k1", "k2", F.col("vec_id").alias("query_id"))
-    asked = asked.distinct().join(classes.select("k1", "k2", F.col("cid").alias("query")), ["k1", "k2"]).select("query_id", "query")
-    index = cut(classes.select("cid", "vec").mapInPandas(to_leaves, "cid long, vec binary, leaves array<int>"))
-    index = index.select("cid", "vec", F.posexplode("leaves").alias("tree", "leaf"))
-    probing = classes.join(asked.select(F.col("query").alias("cid")).distinct(), "cid").select("cid", "vec")
-    probing = cut(probing.mapInPandas(to_probes, "query long, vec binary, least double, probes array<struct<tree:int,leaf:int>>, sampled array<struct<cid:long,score:double>>"))
-    sampled = probing.select("query", F.explode("sampled").alias("s")).select("query", "s.cid", "s.score")
-    probing = probing.select("query", "vec", "least", F.explode("probes").alias("p")).select("query", "vec", "least", "p.tree", "p.leaf")
-    tiles = lambda df, name: df.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / TILE).alias(name))
-    shape = tiles(index, "nr").join(tiles(probing, "nq"), ["tree", "leaf"])
+    asked = cut(asked.distinct().join(classes.select("k1", "k2", F.col("cid").alias("query")), ["k1", "k2"]).select("query_id", "query"))
+
+    index, subtrees = grow(vectors, norm2, kind, trees, leaf)
+    at = ["tree", "cell"]
+    leaves = index.select(*at).distinct().count()
+    queries = cut(vectors.toDF("query", "vec").join(asked.select("query").distinct(), "query"))
+    probing = cut(search(queries, subtrees, round(probes * max(1.0, leaves / FEW) ** growth), kind, trees))
+
+    tiles = lambda df, name: df.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / TILE).alias(name))
+    shape = cut(tiles(index, "nr").join(tiles(probing, "nq"), at))
     of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    tiled_rows = index.join(shape, ["tree", "leaf"]).select("tree", "leaf", "cid", "vec", of("cid", "nr").alias("br"), all_of("nq").alias("bq"))
-    tiled_queries = probing.join(shape, ["tree", "leaf"]).select("tree", "leaf", "query", "vec", "least", of("query", "nq").alias("bq"), all_of("nr").alias("br"))
-    at = ["tree", "leaf", "br", "bq"]
-    scored = tiled_rows.groupBy(*at).cogroup(tiled_queries.groupBy(*at)).applyInPandas(_score(k + 1), "query long, cid long, score double")
-    order = [F.desc("score"), "cid"]
-    best = scored.unionByName(sampled).groupBy("query", "cid").agg(F.max("score").alias("score"))
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("r") <= k + 1)
+    tiled_rows = index.join(shape, at).select(*at, "cid", "vec", of("cid", "nr").alias("br"), all_of("nq").alias("bq"))
+    tiled_queries = probing.join(shape, at).select(*at, "query", "vec", of("query", "nq").alias("bq"), all_of("nr").alias("br"))
+    tile = [*at, "br", "bq"]
+    scored = tiled_rows.groupBy(*tile).cogroup(tiled_queries.groupBy(*tile)).applyInPandas(_score(k + 1, kind), "query long, cid long, score double")
+    # a vector found in several trees has one score in all of them, so dense ranks count it once
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "cid")
+    best = scored.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= k + 1).select("query", "cid", "score").distinct()
     ids = best.join(classes.select("cid", "ids"), "cid").select("query", "score", F.explode("ids").alias("vec_id"))
     by = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "vec_id"))
     ids = ids.withColumn("r", by("query")).where(F.col("r") <= k + 1).drop("r")
@@ -202,9 +248,10 @@ def nearest(rows: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_c
 
 
 def op9_ann(spark, sf_dir: str) -> DataFrame:
-    return nearest(table(spark, sf_dir, "embeddings"), lambda i: i % EVERY == 0)
+    return nearest(table(spark, sf_dir, "embeddings"), lambda i: i % EVERY == 0, growth=GROWTH)
 
 
+#: Brute force. The query equals it where PROBES leaves are all that there are, as on tables of some thousand vectors.
 SQL = """
 with v as (select vec_id, cast(embedding as double[]) as e from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0),
 u as (select * from v where not list_bool_or(list_transform(e, lambda x: x is null or not isfinite(x))) and list_bool_or(list_transform(e, lambda x: x <> 0))),
