@@ -6,8 +6,8 @@ the hash. Their 2 * PERMS matches estimate the similarity without bias and, as m
 smaller variance than as many independent minima. BANDS bands of ROWS values find candidates: a pair of similarity 0.85 shares no
 band with probability (1 - 0.85^6)^32 = 3e-7.
 
-1. One pass over the texts makes (id, set size, digest of the set, one byte of each value, band keys). Cut by a checkpoint.
-2. Documents of one digest are a class, represented by its least doc_id; only representatives go on, so copies make no pairs.
+1. One pass over the texts makes (id, set size, digest of the set, one byte of each value, band keys), written as a table.
+2. Documents of one digest are a class, the node of all that follows; copies make no pairs. A class's text is that of its least row.
 3. In each bucket of a band, members pair with the bucket's least member. Confirmed links give components.
 4. Pairs of a bucket that are still in different components are candidates too, less those that were tried. Buckets of at most SMALL
    members make them as they are. Larger ones go through core_pairs(), which finds all pairs that can be similar enough without
@@ -21,21 +21,23 @@ d(x) the number of elements in which x differs from the core, x and y differ in
 differences share. They are similar enough if they differ in at most L(|x| + |y|), L = (100 - percent) / (100 + percent). So with
 s(x) = d(x) - L|x|: pairs with s(x) + s(y) <= 0 are linked as they stand, and others only if c >= (s(x) + s(y)) / 2. The document of least s
 is linked with all that s allows (the near ones); for the rest c is at least about half of a difference, so two similar documents
-share one of the rarest elements of their differences (prefix filter), and those are rare: a group's common passages are in its core. The
-first element that they share, in the order of rarity, has at least c - 1 elements after it in both (positional filter).
+share one of the rarest elements of their differences (prefix filter). The first element that they share, in the order of rarity, has at least c - 1
+elements after it in both (positional filter). An element that would make more than PAIRS pairs makes none: the documents that differ
+in it are a group of the next round, with a core of their own, which then holds what they share. They are at most half of their group, so the rounds end,
+and elements with the same documents make one group.
 
-Buckets are found with grouped counts (partial aggregation) and equi-joins, whose hot keys AQE may split. Nothing of the corpus goes
-to the driver.
+Groups of more than HOT members are dealt to salts in proportion to their size wherever they meet their core or another value of the group; buckets are
+found with grouped counts (partial aggregation) and equi-joins, whose hot keys AQE may split. Nothing of the corpus goes to the driver.
 
-Defined results: null, empty or blank texts have an empty set and link with nothing; rows that share a doc_id are one document as
-far as their representative goes; rows with a null doc_id take no part in links, have a null component and are kept; ties don't
-arise, as components are named by their least doc_id.
+Defined results: null, empty or blank texts have an empty set and link with nothing; rows that share a doc_id but not their text are documents of
+their own, whose links count for that id each, and equal rows agree; rows with a null doc_id take no part in links, have a null component and are
+kept; ids of any ordered type do; ties don't arise, as components are named by their least doc_id; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -44,10 +46,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent, col, cut, small_batches, table, tidy, worker_state
+from .common import Recent, col, cut, forget, small_batches, small_side, table, tidy, worker_state
 from .components import components
 
 PERMS, ROWS, MARGIN, SMALL, SEED = 96, 6, 0.15, 8, 7
+#: Pairs that one element of a group may make, and members of a group for each of its salts.
+PAIRS, HOT = 4096, 1000
 BANDS = 2 * PERMS // ROWS
 CACHE, CHUNK = 24 << 20, 4096
 
@@ -99,8 +103,8 @@ def sketch(hashes: np.ndarray, perms: int = PERMS, rows: int = ROWS, seed: int =
     return (values & np.uint64(255)).astype(np.uint8).tobytes(), keys.view(np.int64)
 
 
-def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _n, _set, _sig, _keys) for each row; the last three are null where the set is empty."""
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """docs(_id, _text, _key) to (_id, _key, _n, _set, _sig, _keys) for each row; the last three are null where the set is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -110,11 +114,12 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
                 rows.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), *sketch(h)) if len(h) else (0, None, None, None))
             frame = pd.DataFrame(rows, columns=["_n", "_set", "_sig", "_keys"])
             frame.insert(0, "_id", batch["_id"].to_numpy())
+            frame.insert(1, "_key", batch["_key"].to_numpy())
             yield frame
 
     small_batches(docs.sparkSession)
-    rows = docs.select(col(id_col).cast("long").alias("_id"), col(text_col).alias("_text"))
-    return rows.mapInPandas(tidy(run), "_id long, _n long, _set binary, _sig binary, _keys array<long>")
+    kind = docs.schema["_id"].dataType.simpleString()
+    return docs.mapInPandas(tidy(run), f"_id {kind}, _key long, _n long, _set binary, _sig binary, _keys array<long>")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -144,8 +149,8 @@ def _confirm(width: int, percent: int):
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) of representatives, those whose sets are similar enough."""
-    side = lambda x: classes.select(F.col("_rep").alias(x), F.col("_n").alias(f"n{x}"), F.col("_sig").alias(f"s{x}"))
+    """Of distinct pairs (a, b) of classes, those whose sets are similar enough. texts(_set, _text)."""
+    side = lambda x: classes.select(F.col("_set").alias(x), F.col("_n").alias(f"n{x}"), F.col("_sig").alias(f"s{x}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     likely = likely.where(estimate("sa", "sb") >= percent / 100 - MARGIN).select("a", "b").distinct()
     full = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
@@ -164,71 +169,107 @@ def _elements(width: int):
     return elements
 
 
-def core_pairs(grouped: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """grouped(_hub, _rep, _comp), distinct, to (links, candidates), both (a, b): pairs that are linked as they stand, and all other pairs
-    of a group, in different components, that can be linked."""
+def core_pairs(grouped: DataFrame, texts: DataFrame, width: int, percent: int, most: int = PAIRS) -> tuple[DataFrame, DataFrame]:
+    """grouped(_hub long, _rep, _comp), distinct, and texts(_rep, _text) to (links, candidates), both (a, b): pairs that are linked as they
+    stand, and all other pairs of a group, in different components, that can be linked."""
+    sets = cut(texts.join(grouped.select("_rep").distinct(), "_rep").select("_rep", _elements(width)("_text").alias("_els")))
+    links, candidates, level = [], [], cut(grouped)
+    while True:
+        near, far, deeper = _round(level, sets, percent, most)
+        links.append(near)
+        candidates.append(far)
+        level = cut(deeper)
+        if level.isEmpty():
+            break
+    return cut(reduce(DataFrame.union, links).distinct()), cut(reduce(DataFrame.union, candidates).distinct())
+
+
+def _round(grouped: DataFrame, sets: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, candidates, groups of the next round)."""
     over, under = 100 + percent, 100 - percent
-    sets = texts.toDF("_rep", "_text").join(grouped.select("_rep").distinct(), "_rep").select("_rep", _elements(width)("_text").alias("_els"))
-    rows = cut(grouped.join(sets.dropDuplicates(["_rep"]), "_rep"))
-    sizes = rows.groupBy("_hub").agg(F.count(F.lit(1)).alias("_docs"))
+    sizes = cut(grouped.groupBy("_hub").agg(F.count(F.lit(1)).alias("_docs")))
+    hot = small_side(cut(sizes.where(F.col("_docs") > HOT).select("_hub", F.ceil(F.col("_docs") / HOT).alias("_salts"))))
+    dealt = lambda df, by: df.join(hot, "_hub", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")), F.lit(0))).drop("_salts")
+    spread = lambda df: df.join(hot, "_hub", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    at = ["_hub", "_salt"]
+
+    rows = cut(grouped.join(sets, "_rep"))
     counts = rows.select("_hub", F.explode("_els").alias("_el")).groupBy("_hub", "_el").count()
-    core = counts.join(sizes, "_hub").where(F.col("count") * 2 > F.col("_docs")).groupBy("_hub").agg(F.collect_list("_el").alias("_core"))
+    often = dealt(counts, "_el").join(spread(sizes), at).where(F.col("count") * 2 > F.col("_docs"))
+    core = cut(often.groupBy("_hub").agg(F.collect_list("_el").alias("_core")))  # at most twice as many as its sets have on average
     known = F.coalesce("_core", F.array().cast("array<long>"))
     differs = F.concat(F.array_except("_els", known), F.array_except(known, "_els"))
-    rows = rows.join(core, "_hub", "left").select("_hub", "_rep", "_comp", F.size("_els").alias("_n"), differs.alias("_diff"))
+    rows = dealt(rows, "_rep").join(spread(core), at, "left").select(*at, "_rep", "_comp", F.size("_els").alias("_n"), differs.alias("_diff"))
     rows = cut(rows.withColumn("_s", F.size("_diff").cast("long") * over - F.col("_n") * under))
     least = rows.groupBy("_hub").agg(F.min(F.struct("_s", "_rep")).alias("_m")).select("_hub", F.col("_m._s").alias("_least"), F.col("_m._rep").alias("_mid"))
-    rows = rows.join(least, "_hub").withColumn("_near", F.col("_s") <= -F.col("_least"))
-    links = rows.where("_near and _rep <> _mid").select(F.least("_rep", "_mid").alias("a"), F.greatest("_rep", "_mid").alias("b")).distinct()
+    rows = rows.join(spread(cut(least)), at).withColumn("_near", F.col("_s") <= -F.col("_least"))
+    links = cut(rows.where("_near and _rep <> _mid").select(F.least("_rep", "_mid").alias("a"), F.greatest("_rep", "_mid").alias("b")).distinct())
+
     q = F.col("_s") + F.greatest(F.col("_least"), -F.col("_least"))
     shared = F.when(F.col("_least") <= 0, F.floor(q / (2 * over)) + 1).otherwise(F.ceil(q / (2 * over)))
     rows = rows.withColumn("_prefix", F.size("_diff") - F.greatest(F.lit(1), shared) + 1).withColumn("_d", F.size("_diff"))
     entries = rows.select("_hub", "_rep", "_comp", "_near", "_prefix", "_d", "_s", F.explode("_diff").alias("_el"))
-    often = entries.groupBy("_hub", "_el").count().where("count > 1")
+    twice = entries.groupBy("_hub", "_el").count().where("count > 1")
     own = Window.partitionBy("_hub", "_rep")
-    entries = entries.join(often, ["_hub", "_el"])
+    entries = entries.join(twice, ["_hub", "_el"])
     once = F.col("_d") - F.count(F.lit(1)).over(own)  # elements that only this document has come first in the order and match nothing
     entries = entries.withColumn("_pos", F.row_number().over(own.orderBy("count", "_el")) + once).withColumn("_left", F.col("_d") - F.col("_pos") + 1)
-    entries = cut(entries.select("_hub", "_el", "_rep", "_comp", "_near", "_s", "_left", (F.col("_pos") <= F.col("_prefix")).alias("_in")))
-    far = entries.where("not _near").toDF("_hub", "_el", "_rep2", "_comp2", "_near2", "_s2", "_left2", "_in2")
-    both = entries.where("_in").join(far, ["_hub", "_el"]).where("_comp <> _comp2").where("_near or (_in2 and _rep < _rep2)")
+    entries = entries.withColumn("_in", F.col("_pos") <= F.col("_prefix")).where("_in or not _near")
+    entries = cut(entries.select("_hub", "_el", "_rep", "_comp", "_near", "_s", "_left", "_in"))
+
+    h = F.xxhash64("_rep")
+    made = F.count_if("_in") * F.count_if(~F.col("_near"))
+    members = (F.count(F.lit(1)), F.bit_xor(h), F.sum(h.bitwiseAND(F.lit(2**40 - 1))))  # tells sets of members apart; a clash only joins two groups
+    keys = entries.groupBy("_hub", "_el").agg(made.alias("_made"), F.xxhash64(*members).alias("_next"), (F.min("_comp") < F.max("_comp")).alias("_open"))
+    keys = cut(keys.where("_open and _made > 0"))
+    few = entries.join(keys.where(F.col("_made") <= most).select("_hub", "_el"), ["_hub", "_el"], "left_semi")
+    deeper = entries.join(keys.where(F.col("_made") > most).select("_hub", "_el", "_next"), ["_hub", "_el"]).select(F.col("_next").alias("_hub"), "_rep", "_comp").distinct()
+    far = few.where("not _near").toDF("_hub", "_el", "_rep2", "_comp2", "_near2", "_s2", "_left2", "_in2")
+    both = few.where("_in").join(far, ["_hub", "_el"]).where("_comp <> _comp2").where("_near or (_in2 and _rep < _rep2)")
     # of the elements that two differences share, the first in the order leaves enough after it on both sides
     both = both.where(F.least("_left", "_left2") * (2 * over) >= F.col("_s") + F.col("_s2"))
-    return links, both.select(F.least("_rep", "_rep2").alias("a"), F.greatest("_rep", "_rep2").alias("b")).distinct()
+    return links, cut(both.select(F.least("_rep", "_rep2").alias("a"), F.greatest("_rep", "_rep2").alias("b")).distinct()), deeper
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _n, _component, _kept) for each row of docs."""
-    docs = docs.select(col(id_col).cast("long").alias("_id"), col(text_col).alias("_text"))
-    found = cut(sketches(docs, width, "_id", "_text"))
-    classes = found.where("_id is not null and _set is not null").groupBy("_set").agg(F.min("_id").alias("_rep"), *[F.first(c).alias(c) for c in ("_n", "_sig", "_keys")])
+    """(_id, _key, _n, _group, _component, _kept) for each row of docs; _key is xxhash64 of its text, _group a digest that names its component."""
+    docs = docs.select(col(id_col).alias("_id"), col(text_col).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    found = cut(sketches(docs, width))
+    classes = found.where("_id is not null and _set is not null").groupBy("_set").agg(F.min(F.struct("_id", "_key")).alias("_first"), *[F.first(c).alias(c) for c in ("_n", "_sig", "_keys")])
     classes = cut(classes)
-    keyed = classes.select("_rep", F.explode("_keys").alias("_key"))
-    buckets = keyed.groupBy("_key").agg(F.min("_rep").alias("_least"), F.count(F.lit(1)).alias("_size")).where("_size > 1").drop("_size")
-    members = cut(keyed.join(buckets, "_key"))
-    of_bucket = members.select("_rep").distinct()
-    texts = cut(docs.join(of_bucket, F.col("_id") == F.col("_rep"), "left_semi"))
+    keyed = classes.select("_set", F.explode("_keys").alias("_band"))
+    buckets = keyed.groupBy("_band").agg(F.min("_set").alias("_least"), F.count(F.lit(1)).alias("_size")).where("_size > 1").drop("_size")
+    members = cut(keyed.join(buckets, "_band"))
+    of_bucket = classes.join(members.select("_set").distinct(), "_set", "left_semi").select("_set", "_first._id", "_first._key")
+    texts = cut(docs.join(of_bucket, ["_id", "_key"]).groupBy("_id", "_key", "_set").agg(F.first("_text").alias("_text")).select("_set", "_text"))
 
-    tried = cut(members.where("_rep <> _least").select(F.col("_least").alias("a"), F.col("_rep").alias("b")).distinct())
+    tried = cut(members.where("_set <> _least").select(F.col("_least").alias("a"), F.col("_set").alias("b")).distinct())
     groups = components(_confirmed(tried, classes, texts, width, percent))
 
-    placed = members.join(groups.toDF("_rep", "_comp"), "_rep", "left").select("_key", "_least", "_rep", F.coalesce("_comp", "_rep").alias("_comp"))
-    split = placed.groupBy("_key").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y"), F.count(F.lit(1)).alias("_size")).where("_x <> _y").select("_key", "_size")
-    open_ = cut(placed.join(split, "_key"))
-    few = open_.where(F.col("_size") <= SMALL).select("_key", "_rep", "_comp")
-    rest = few.join(few.toDF("_key", "_rep2", "_comp2"), "_key").where("_comp < _comp2").select(F.least("_rep", "_rep2").alias("a"), F.greatest("_rep", "_rep2").alias("b"))
-    links, far = core_pairs(open_.where(F.col("_size") > SMALL).select(F.col("_least").alias("_hub"), "_rep", "_comp").distinct(), texts, width, percent)
+    placed = members.join(groups.toDF("_set", "_comp"), "_set", "left").select("_band", "_least", "_set", F.coalesce("_comp", "_set").alias("_comp"))
+    placed = cut(placed)
+    split = placed.groupBy("_band").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y"), F.count(F.lit(1)).alias("_size")).where("_x <> _y").select("_band", "_size")
+    open_ = cut(placed.join(split, "_band"))
+    forget(placed)
+    few = open_.where(F.col("_size") <= SMALL).select("_band", "_set", "_comp")
+    rest = few.join(few.toDF("_band", "_set2", "_comp2"), "_band").where("_comp < _comp2").select(F.least("_set", "_set2").alias("a"), F.greatest("_set", "_set2").alias("b"))
+    large = open_.where(F.col("_size") > SMALL).select(F.xxhash64("_least").alias("_hub"), F.col("_set").alias("_rep"), "_comp").distinct()
+    links, far = core_pairs(large, texts.toDF("_rep", "_text"), width, percent)
     rest = rest.union(far).distinct()
     more = _confirmed(rest.join(tried, ["a", "b"], "left_anti"), classes, texts, width, percent).union(links)
     home = lambda x: groups.toDF(x, f"c{x}")
     joined = more.join(home("a"), "a", "left").join(home("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(joined)
 
-    last = classes.select("_set", "_rep").join(groups.toDF("_rep", "_comp"), "_rep", "left").select("_set", F.coalesce("_comp", "_rep").alias("_comp"))
-    last = last.join(merged.toDF("_comp", "_last"), "_comp", "left").select("_set", F.coalesce("_last", "_comp").alias("_component"))
-    rows = found.select("_id", "_n", "_set").join(last, "_set", "left")
+    last = classes.select("_set", "_first._id").join(groups.toDF("_set", "_comp"), "_set", "left").select("_set", "_id", F.coalesce("_comp", "_set").alias("_comp"))
+    last = cut(last.join(merged.toDF("_comp", "_last"), "_comp", "left").select("_set", "_id", F.coalesce("_last", "_comp").alias("_comp")))
+    # a component of one class needs no join: its class's own least id is its name
+    names = last.groupBy("_comp").agg(F.min("_id").alias("_component"), F.count(F.lit(1)).alias("_classes")).where("_classes > 1").drop("_classes")
+    last = last.join(names, "_comp", "left").select("_set", F.col("_comp").alias("_group"), F.coalesce("_component", "_id").alias("_component"))
+    rows = found.select("_id", "_key", "_n", "_set").join(last, "_set", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id"))
-    return rows.select("_id", "_n", component.alias("_component"), component.eqNullSafe(F.col("_id")).alias("_kept"))
+    group = F.when(F.col("_id").isNotNull(), F.col("_group"))
+    return rows.select("_id", "_key", "_n", group.alias("_group"), component.alias("_component"), component.eqNullSafe(F.col("_id")).alias("_kept"))
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:
