@@ -1,33 +1,38 @@
 """Media columns: HTML with media becomes an ordered sequence of text and media structs; digests resolve the payloads.
 
-pages  ->  interleave()  ->  sequence: array<struct<pos, kind 'text'|'media', text, digest, caption>> in document order
-media  ->  store()       ->  a table of digest, stored bytes: one row for each distinct payload
-resolve() explodes the media references, joins them by digest and puts what was resolved back at its position.
+pages      ->  interleave()  ->  _sequence: array<struct<pos, kind 'text'|'media', text, digest, caption>> in document order
+payloads   ->  store()       ->  a written table (digest, stored): content-addressed bytes
+its bytes  ->  described()   ->  (digest, measures and features), computed from what is read back
+both       ->  resolve()     ->  pages whose media structs hold what their digests resolve to, each at its position beside its caption
 
 A payload is stored as a portable graymap (P5): rows of 24 8-bit samples under a text header; 576 samples make a 24 x 24 tile.
-Features are computed from the samples read back from the stored bytes, never from the input.
 
-The join carries digests and features, no payloads, so what moves is some hundred bytes per reference. Payloads that many
-documents share are grouped by digest with partial aggregation before the join.
+store() writes payloads where they lie, once for each task that meets them, so no payload is shuffled; measures are grouped by digest. References
+join them by digest, pages and payloads don't move: what does is a list of digests for each distinct one, and pages meet it by that list. Both joins
+are between written tables or plain exchanges, so that adaptive execution can split a digest that a third of all pages share.
 
-Defined results: a null text is the empty text, whose payload is 576 bytes of 255; references that no payload resolves keep null
-features; text nodes without visible characters are left out, others have white space collapsed; repeated rows are kept.
+Parsing: a caption is the text of a figcaption and belongs to all media of its figure, before or after it; it ends with the figcaption, with the
+figure if that isn't closed, and is plain text if neither is closed, or if the figure has no media. An img's alt text is its caption where no other is.
+What a template holds is left out, unless it isn't closed; script and style are left out up to their end tag, as browsers do.
+
+Defined results: a null text is the empty text, whose payload is 576 bytes of 255; a null page has an empty sequence; references that no payload
+resolves keep a null `media`; text nodes without visible characters are left out, others have white space collapsed; repeated rows are kept and agree;
+empty tables give empty ones; interleave() and resolve() replace a column _sequence and keep all others.
 """
 
 from __future__ import annotations
 
 import hashlib
-import html
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import col, cut, packed, small_batches, table, tidy
 
 WIDTH, TILE, PAD = 24, 576, 255
 SEQUENCE = "array<struct<pos:int,kind:string,text:string,digest:string,caption:string>>"
@@ -35,79 +40,126 @@ SCHEME = "sha256:"
 
 
 class _Sequence(HTMLParser):
-    """Collects text nodes and img, video and audio references in order; figcaption text becomes the caption of the figure's media."""
+    """Collects text nodes and img, video and audio references in order."""
 
-    SKIP = {"script", "style", "template"}
+    INLINE = frozenset(("b", "i", "em", "strong", "a", "span", "u", "small", "sub", "sup", "code"))
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[dict] = []
         self.text: list[str] = []
-        self.skip, self.caption, self.figure = 0, None, -1
+        self.raw = False  # in script or style
+        self.templates: list[int] = []  # where open templates began
+        self.figure = self.caption = -1  # where the open figure and its open caption began
+        self.said: tuple[int, str] | None = None  # place and text of the figure's closed caption
 
     def flush(self) -> None:
         if words := " ".join("".join(self.text).split()):
-            self.out.append({"pos": len(self.out), "kind": "text", "text": words, "digest": None, "caption": None})
+            self.out.append({"kind": "text", "text": words, "digest": None, "caption": None})
         self.text = []
 
+    def end_caption(self) -> None:
+        self.flush()
+        if self.caption >= 0:
+            inside, self.out = self.out[self.caption :], self.out[: self.caption]
+            self.said = (self.caption, " ".join(x["text"] for x in inside if x["kind"] == "text"))
+            self.out += [x for x in inside if x["kind"] == "media"]
+            self.caption = -1
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        if self.figure >= 0 and self.said and self.said[1]:
+            media = [x for x in self.out[self.figure :] if x["kind"] == "media"]
+            for x in media:
+                x["caption"] = self.said[1]
+            if not media:
+                self.out.insert(self.said[0], {"kind": "text", "text": self.said[1], "digest": None, "caption": None})
+        self.figure, self.said = -1, None
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        at = dict(attrs)
-        if tag in self.SKIP:
-            self.skip += 1
+        if tag in ("script", "style"):
+            self.raw = True
         elif tag in ("img", "video", "audio"):
             self.flush()
-            src = at.get("src") or ""
-            self.out.append({"pos": len(self.out), "kind": "media", "text": None, "digest": src.removeprefix(SCHEME), "caption": at.get("alt")})
-        elif tag == "figure":
+            at = dict(attrs)
+            self.out.append({"kind": "media", "text": None, "digest": (at.get("src") or "").removeprefix(SCHEME), "caption": at.get("alt")})
+        elif tag == "template":
             self.flush()
+            self.templates.append(len(self.out))
+        elif tag == "figure":
+            self.end_figure()
             self.figure = len(self.out)
         elif tag == "figcaption":
-            self.flush()
-            self.caption = []
-        elif tag not in ("b", "i", "em", "strong", "a", "span"):
+            self.end_caption()
+            if self.figure >= 0 and self.said is None:
+                self.caption = len(self.out)
+        elif tag not in self.INLINE:
             self.flush()
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.out[self.figure :] if self.figure >= 0 else []:
-                if item["kind"] == "media":
-                    item["caption"] = said
-        elif tag not in ("b", "i", "em", "strong", "a", "span"):
+        if tag in ("script", "style"):
+            self.raw = False
+        elif tag == "template":
+            self.flush()
+            if self.templates:
+                del self.out[self.templates.pop() :]
+                # a figure or caption that began inside of it is gone with it
+                self.figure = self.figure if self.figure <= len(self.out) else -1
+                self.caption = self.caption if self.caption <= len(self.out) else -1
+        elif tag == "figure":
+            self.end_figure()
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag not in self.INLINE:
             self.flush()
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
-            (self.text if self.caption is None else self.caption).append(data)
+        if not self.raw:
+            self.text.append(data)
+
+    def finish(self) -> list[dict]:
+        self.close()
+        self.flush()
+        self.caption = -1  # never closed: its text stays text
+        self.end_figure()
+        return [{"pos": i} | x for i, x in enumerate(self.out)]
 
 
 def sequence(page: str | None) -> list[dict]:
     """The ordered text and media items of one page."""
     parser = _Sequence()
     parser.feed(page or "")
-    parser.close()
-    parser.flush()
-    return parser.out
+    return parser.finish()
 
 
 def interleave(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages and _sequence."""
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(sequence)
+
     @F.pandas_udf(SEQUENCE)
-    def parse(column: pd.Series) -> pd.Series:
-        return column.map(sequence)
+    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(run)(batches)
 
     small_batches(pages.sparkSession)
-    return pages.withColumn("_sequence", parse(html_col))
+    rows = pages.select(packed(pages).alias("_row"), parse(col(html_col)).alias("_new"))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in pages.columns if c != "_sequence"], F.col("_new").alias("_sequence"))
 
 
-def payload(text: str | None) -> tuple[bytes, int]:
-    """UTF-8 bytes padded to a positive multiple of a tile, and their number before."""
+def payload(text: str | None) -> bytes:
+    """UTF-8 bytes padded to a positive multiple of a tile."""
     raw = (text or "").encode()
-    size = max(TILE, -(-len(raw) // TILE) * TILE)
-    return raw.ljust(size, bytes([PAD])), len(raw)
+    return raw.ljust(max(TILE, -(-len(raw) // TILE) * TILE), bytes([PAD]))
+
+
+def payload_of(text: Column) -> Column:
+    """payload() as an expression."""
+    raw = F.coalesce(text, F.lit("")).cast("binary")
+    n = F.octet_length(raw)
+    size = F.greatest(F.lit(TILE), F.ceil(n / TILE) * TILE)
+    return F.concat(raw, F.unhex(F.repeat(F.lit(f"{PAD:02X}"), (size - n).cast("int"))))
 
 
 def encode(samples: bytes) -> bytes:
@@ -136,58 +188,88 @@ def feature(samples: np.ndarray) -> str:
 MEDIA = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _described(text: str | None) -> tuple:
-    raw, _ = payload(text)
-    stored = encode(raw)
-    samples = decode(stored)
-    back = samples.tobytes()
-    return hashlib.sha256(raw).hexdigest(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples)
+def store(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
+    """The written table (digest, stored) of a binary column: each payload once for each task that meets it. Null payloads are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[bytes] = set()
+        for batch in batches:
+            new = {}
+            for raw in batch["_raw"]:
+                d = hashlib.sha256(raw).digest()
+                if d not in met and d not in new:
+                    new[d] = encode(raw)
+            met.update(new)
+            if len(met) > MET:
+                met.clear()
+            yield pd.DataFrame({"digest": [d.hex() for d in new], "stored": list(new.values())})
+
+    small_batches(payloads.sparkSession)
+    rows = payloads.select(col(payload_col).alias("_raw")).where("_raw is not null")
+    return cut(rows.mapInPandas(tidy(run), "digest string, stored binary"))
+
+
+#: Digests that a task remembers; beyond them a payload may be stored again.
+MET = 1 << 17
 
 
-def store(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The media table of the texts, a row for each distinct payload: MEDIA."""
+def described(media: DataFrame) -> DataFrame:
+    """(digest, stored) to MEDIA, a row for each digest, from the samples read back."""
+
+    def one(digest: str, stored: bytes) -> tuple:
+        samples = decode(stored)
+        back = samples.tobytes()
+        return digest, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in MEDIA.split(", ")]
         for batch in batches:
-            yield pd.DataFrame([_described(t) for t in batch.iloc[:, 0]], columns=names)
+            yield pd.DataFrame([one(d, s) for d, s in zip(batch["digest"], batch["stored"])], columns=names)
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(text_col).mapInPandas(run, MEDIA)
+    small_batches(media.sparkSession)
+    rows = media.select("digest", "stored").mapInPandas(tidy(run), MEDIA)
     return rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in rows.columns[1:]])
 
 
 def pages_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _n_bytes, _html): a page for each document, whose figure refers to the text's payload by digest."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch["_id"], batch["_text"]):
-                raw, n = payload(text)
-                name = html.escape(f"payload of {n} bytes")
-                rows.append((key, n, f'<article><h1>document</h1><figure><img src="{SCHEME}{hashlib.sha256(raw).hexdigest()}" alt=""><figcaption>{name}</figcaption></figure><p>{n} bytes</p></article>'))
-            yield pd.DataFrame({"_id": pd.Series([r[0] for r in rows], dtype=batch["_id"].dtype), "_n_bytes": [r[1] for r in rows], "_html": [r[2] for r in rows]})
+    """(_id, _n_bytes, _html): a page for each document: its lines are paragraphs, and a figure after the first one refers to its payload by digest."""
+    text = F.coalesce(col(text_col), F.lit(""))
+    lines = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    first = F.substring_index(lines, "\n", 1)
+    rest = F.replace(F.substr(lines, F.char_length(first) + 2), F.lit("\n"), F.lit("</p><p>"))
+    n = F.octet_length(text).cast("long")
+    figure = F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.sha2(payload_of(text), 256), F.lit('" alt=""><figcaption>payload of '), n.cast("string"), F.lit(" bytes</figcaption></figure>"))
+    page = F.concat(F.lit("<article><p>"), first, F.lit("</p>"), figure, F.lit("<p>"), rest, F.lit("</p></article>"))
+    return docs.select(col(id_col).alias("_id"), n.alias("_n_bytes"), page.alias("_html"))
 
-    small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"_id {kind}, _n_bytes long, _html string")
 
+def resolve(pages: DataFrame, media: DataFrame) -> DataFrame:
+    """pages, each media struct of whose _sequence has `media`, the row of the media table (a row for each digest) with its digest, or null.
 
-def references(pages: DataFrame) -> DataFrame:
-    """Pages with _sequence to one row per media reference: the other columns, _pos, _digest, _caption."""
-    kept = [c for c in pages.columns if c != "_sequence"]
-    rows = pages.select(*kept, F.explode(F.filter("_sequence", lambda s: s["kind"] == "media")).alias("_ref"))
-    return rows.select(*kept, F.col("_ref.pos").alias("_pos"), F.col("_ref.digest").alias("_digest"), F.col("_ref.caption").alias("_caption"))
+    Order, positions, captions and text structs stay as they are, and pages without media too.
+    """
+    rows = pages.select(packed(pages).alias("_row"))
+    asked = F.array_distinct(F.transform(F.filter(F.col("_row._sequence"), lambda s: s["kind"] == "media"), lambda s: s["digest"]))
+    rows = rows.withColumn("_key", F.when(F.size(asked) > 0, F.xxhash64(asked)))
+    lists = rows.where("_key is not null").select("_key", F.explode(asked).alias("digest")).distinct()
+    known = media.select("digest", F.struct(*[c for c in media.columns if c != "digest"]).alias("_media"))
+    found = cut(lists.join(cut(known), "digest").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("digest", "_media"))).alias("_found")))
+    joined = rows.join(found, "_key", "left")
 
+    def put(s: Column) -> Column:
+        return F.struct(*[s[c].alias(c) for c in ("pos", "kind", "text", "digest", "caption")], F.try_element_at(F.col("_found"), s["digest"]).alias("media"))
 
-def resolve(pages: DataFrame, media: DataFrame) -> DataFrame:
-    """One row per media reference with the media table's columns, null where no payload has the digest."""
-    return references(pages).join(media.withColumnRenamed("digest", "_found"), F.col("_digest") == F.col("_found"), "left").drop("_found")
+    same = [F.col("_row")[c].alias(c) for c in pages.columns if c != "_sequence"]
+    return joined.select(*same, F.transform(F.col("_row._sequence"), put).alias("_sequence"))
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = resolve(interleave(pages_of(docs), "_html").drop("_html"), store(docs))
-    return found.select(F.col("_id").alias("doc_id"), F.col("_n_bytes").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
-        F.col("_pos").alias("position"), F.col("_caption").alias("caption"))
+    media = described(store(docs.select(payload_of(F.col("text")).alias("payload"))))
+    pages = interleave(pages_of(docs), "_html")
+    # the query reports no texts, so they needn't move
+    light = F.transform("_sequence", lambda s: s.withField("text", F.lit(None).cast("string")))
+    found = resolve(pages.select("_id", "_n_bytes", F.size("_sequence").alias("_items"), light.alias("_sequence")), media)
+    rows = found.select("*", F.filter("_sequence", lambda s: s["kind"] == "media")[0].alias("_m"))
+    measures = [F.col(f"_m.media.{x.split()[0]}") for x in MEDIA.split(", ")[1:]]
+    return rows.select(F.col("_id").alias("doc_id"), F.col("_n_bytes").alias("n_bytes"), *measures, F.col("_m.pos").alias("position"), F.col("_m.caption").alias("caption"), F.col("_items").alias("items"))
