@@ -1,12 +1,14 @@
 """Token counts without encoding texts: pre-tokens are looked up in two tiers, both on the map side.
 
 A text falls into pre-tokens, whose numbers of tokens add up. Tier 1 is a broadcast table of frequent pre-tokens with their lengths
-in tokens: at most FREQUENT entries of at most LONG characters, so a few MB whatever the corpus, counted on the first SAMPLE rows
-(the table only saves time; no result depends on it). Tier 2 is a bounded cache in each worker, which has the library encode what it misses.
-Nothing about pre-tokens of the corpus is shuffled, and rows stay where they are.
+in tokens: at most FREQUENT entries of at most LONG characters, so a few MB whatever the corpus, counted on about SAMPLE rows, drawn by a hash of
+id and text and counted where they lie: what is shuffled are at most FREQUENT counts of each task that holds sampled rows, never a text
+(the table only saves time; no result depends on it). Tier 2 is a cache in each worker, bounded by bytes, which has the library encode what it misses.
+The count itself shuffles nothing, and rows stay where they are.
 
 As the library does by default, special tokens' strings inside of a text are those tokens, one each, found before anything else.
-Defined results: a null text is the empty text with 0 bytes and 0 tokens; a row's result depends on its text alone.
+Defined results: a null text is the empty text with 0 bytes and 0 tokens; a row's result depends on its text alone, however long it is, so repeated rows
+agree; null ids are kept; an empty table gives an empty one; other columns play no part.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, col, small_batches, table, worker_state
+from .common import Recent, by_share, col, share_of, small_batches, table, tidy, worker_state
 
 MODEL, LIMIT = "word_bpe_49k.json", 2048
 FREQUENT, SAMPLE, CACHE, LONG = 32_768, 1_000, 64 << 20, 48
@@ -71,7 +73,7 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def frequent_lengths(docs: DataFrame, path: str | None = None, text_col: str = "text", sample: int = SAMPLE, size: int = FREQUENT) -> dict[str, int]:
+def frequent_lengths(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, size: int = FREQUENT) -> dict[str, int]:
     """Tier 1: the most frequent pre-tokens of a bounded sample, with their numbers of tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,14 +87,15 @@ def frequent_lengths(docs: DataFrame, path: str | None = None, text_col: str = "
             yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top], "length": [own.recent[w] for w, _ in top]})
 
     small_batches(docs.sparkSession)
-    counts = docs.select(col(text_col).alias("_text")).limit(sample).mapInPandas(run, "word string, n long, length int")
-    return {r.word: r.length for r in counts.groupBy("word", "length").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()}
+    picked = docs.where(by_share(share_of(sample, docs.count()), col(id_col), col(text_col))).select(col(text_col).alias("_text"))
+    counts = picked.mapInPandas(tidy(run, "tokens"), "word string, n long, length int").groupBy("word", "length").agg(F.sum("n").alias("n"))
+    return {r.word: r.length for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()}
 
 
 def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, n_bytes, n_tokens) for each row. path is a tokenizer file that every worker can read (default: the installed one)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent_lengths(docs, path, text_col))
+    shared = spark.sparkContext.broadcast(frequent_lengths(docs, path, id_col, text_col))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, frequent = counting(path or model_path()), shared.value
@@ -101,7 +104,7 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
             yield pd.DataFrame({"_id": batch["_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": [own.count(t, frequent) for t in texts]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(col(id_col).alias("_id"), col(text_col).alias("_text")).mapInPandas(run, f"_id {kind}, n_bytes long, n_tokens long")
+    return docs.select(col(id_col).alias("_id"), col(text_col).alias("_text")).mapInPandas(tidy(run, "tokens"), f"_id {kind}, n_bytes long, n_tokens long")
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
