@@ -131,7 +131,7 @@ def learn(docs: DataFrame, rows: int = ROWS) -> Network | None:
     """A network from the labelled rows of documents that aren't held out; a bounded sample in the order of a hash."""
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     start = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit("at")), F.greatest(F.lit(1), F.char_length("text") - PIECE))
-    picked = bounded_sample(known.select("doc_id", "lang", F.substr("text", start.cast("int"), F.lit(PIECE)).alias("piece")), rows, "doc_id")
+    picked = bounded_sample(known.select("doc_id", "lang", F.substr("text", start.cast("int"), F.lit(PIECE)).alias("piece")), rows, "doc_id", "piece")
     return train([r.piece for r in picked], [r.lang for r in picked])
 
 

@@ -3,8 +3,9 @@
 Labellers are expressions that vote 1 (good), 0 (bad) or -1 (no opinion) on whole texts. Votes are counted by pattern (at most 3^labellers rows,
 whatever the corpus), over all documents. EM on the counts estimates the share of good documents and each labeller's accuracy on either class;
 it starts from the majority vote, which also fixes which class is the good one. Posteriors go back to documents by a join with the patterns.
-A bounded sample (ROWS documents in the order of a hash, PIECE characters of each: documented bounds of the fit alone) trains logistic regression on
-hashed words and word shapes against the posteriors; the scorer then reads every whole text.
+A bounded sample (ROWS documents in the order of a hash of id and text: a documented bound of the fit alone) trains logistic regression on hashed words
+and word shapes of whole texts against the posteriors: tasks send feature counts, at most BUCKETS for each row. The scorer then reads every whole text.
+Votes are taken in the pass that counts patterns and again in the one that scores: taking them once would write and read back all texts instead.
 
 Defined results: null, empty and blank texts are no documents to keep: posterior as their votes say, score 0, not kept; a null doc_id is kept
 as such; repeated rows agree; if nothing can be learned, score is the posterior.
@@ -21,9 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, bounded_sample, col, let, small_batches, table
+from .common import Recent, by_share, col, let, share_of, small_batches, table, tidy
 
-ROWS, PIECE, BUCKETS, EPOCHS, CACHE, KEEP = 3_000, 8_192, 1 << 16, 6, 48 << 20, 0.5
+ROWS, BUCKETS, EPOCHS, CACHE, KEEP = 3_000, 1 << 16, 6, 48 << 20, 0.5
 SYMBOLS = "#$%&*{}<>|\\^~=_@"
 #: Frequent function words of the corpus's four languages.
 FUNCTION_WORDS = "the of and to in is was for that with a le la les de des et un une est que der die das und ein eine ist mit von zu el los las y en por una con"
@@ -96,15 +97,19 @@ def features(word: str) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(word.lower()) % BUCKETS, xxhash.xxh3_64_intdigest("\0" + shape) % BUCKETS
 
 
-def fit_scorer(texts: list[str], posteriors: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> tuple[np.ndarray, float]:
+def counted_features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Buckets of a whole text and their mean counts by word, or None without words."""
+    words = (text or "").split()
+    if not words:
+        return None
+    ids, n = np.unique(np.array([f for w in words for f in features(w)], np.int32), return_counts=True)
+    return ids, (n / len(words)).astype(np.float32)
+
+
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], posteriors: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on mean hashed features, by AdaGrad."""
     rng = np.random.default_rng(seed)
     weights, bias, seen, seen_bias = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-6), 1e-6
-    rows = []
-    for t in texts:
-        words = t.split()
-        ids, n = np.unique(np.array([f for w in words for f in features(w)], np.int64), return_counts=True)
-        rows.append((ids, n / max(1, len(words))))
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             ids, x = rows[i]
@@ -117,6 +122,20 @@ def fit_scorer(texts: list[str], posteriors: np.ndarray, epochs: int = EPOCHS, s
     return weights, bias
 
 
+def sampled_features(docs: DataFrame, rows: int, n: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(pattern, buckets, counts) of about `rows` of the n rows of docs(_id, _text), in the order of a hash; texts stay in the tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(h, p, *f) for h, p, t in zip(batch["_h"], batch["_pattern"], batch["_text"]) if (f := counted_features(t))]
+            yield pd.DataFrame([(h, p, i.tobytes(), x.tobytes()) for h, p, i, x in found], columns=["_h", "_pattern", "_ids", "_x"])
+
+    picked = docs.where(by_share(share_of(rows, n), "_id", "_text")).withColumn("_pattern", vote_pattern(F.col("_text")))
+    sent = picked.select(F.xxhash64("_id", "_text").alias("_h"), "_pattern", "_text").mapInPandas(tidy(run), "_h long, _pattern string, _ids binary, _x binary")
+    drawn = sorted((tuple(r) for r in sent.limit(2 * rows).collect()), key=lambda r: (r[0] % 2**52, r[2], r[3]))[:rows]
+    return [(p, np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for _, p, i, x in drawn]
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
     """(_id, _posterior, _score, _kept) for each row."""
     spark = docs.sparkSession
@@ -127,9 +146,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     if counted:
         good, _, _ = expectation_maximisation(np.array([[int(x) for x in r["_pattern"].split(",")] for r in counted]), np.array([r["count"] for r in counted], float))
     known = {r["_pattern"]: float(g) for r, g in zip(counted, good)} if counted else {}
-    sample = bounded_sample(voted.select("_id", "_pattern", F.substring("_text", 1, PIECE).alias("_piece")), rows, "_id")
-    picked = [(r["_piece"], known[r["_pattern"]]) for r in sample if (r["_piece"] or "").strip()]
-    fitted = fit_scorer([t for t, _ in picked], np.array([p for _, p in picked])) if picked else None
+    sample = sampled_features(docs, rows, sum(r["count"] for r in counted))
+    fitted = fit_scorer([(ids, x) for _, ids, x in sample], np.array([known[p] for p, _, _ in sample])) if sample else None
     shared = spark.sparkContext.broadcast((known, fitted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +170,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
             yield pd.DataFrame({"_id": batch["_id"], "_posterior": p, "_score": scores, "_kept": [s >= KEEP for s in scores]})
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return voted.select("_id", "_text", "_pattern").mapInPandas(run, f"_id {kind}, _posterior double, _score double, _kept boolean")
+    return voted.select("_id", "_text", "_pattern").mapInPandas(tidy(run), f"_id {kind}, _posterior double, _score double, _kept boolean")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
