@@ -10,13 +10,15 @@
 4. A shard takes its quota of a source as a run of the source's permuted draws, disjoint from other shards' runs, and its
    documents are then shuffled inside of the shard by a hash.
 
-Everything is DataFrame functions. Of documents, only those of the blocks at the edge are shuffled (identity and size), to find how far the edge
-goes; the decision itself is made where a document lies, by a join with the table of blocks, which is broadcast once it is
-counted to be small. The tree and the blocks are tables of some thousand rows, whatever the input. mix() moves each text once.
-Hashes are seeded, so reruns agree.
+Everything is DataFrame functions. The edge is found by a second histogram: sizes by further bits of the hash tell in which of CELLS parts of its block
+it lies, and only documents of that part, a 1 / CELLS^2 of their source or so, are shuffled (identity and size) and put in order. The decision
+itself is made where a document lies, by a join with the table of blocks, which is broadcast once it is counted to be small. The tree, the
+blocks and the histograms grow with the number of sources, not with the documents: about BLOCKS plus two rows of each source, and CELLS rows of each in the
+histograms; the order of all sources by name and by headroom is one sort of a row for each. mix() moves each text once. Hashes are seeded, so reruns agree.
 
 Defined results: null or empty text has size 0 and is taken 0 words; a null source is a source of its own, last in order; a null
-doc_id is an identity like others; repeated rows are separate documents that agree in every hash and are told apart by rank.
+doc_id is an identity like others; repeated rows are separate documents that agree in every hash, and are all taken or all left where the edge meets them;
+an empty table gives an empty one; mix() replaces a column _shard and keeps all others, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import col, cut, packed, small_side, table
 
-CAP, WEIGHTS, BLOCKS, SHARDS, SLICE, SEED = 3, (1, 2, 3), 1024, 16, 16 << 20, 20_011
+CAP, WEIGHTS, BLOCKS, CELLS, SHARDS, SLICE, SEED = 3, (1, 2, 3), 1024, 4096, 16, 16 << 20, 20_011
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -78,7 +80,7 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
 
 def plan(sized: DataFrame, weights=WEIGHTS, cap: int = CAP, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """sized(_id, _src, _size, _h, ...) to the same rows with _s, _target, _copies and _shards (a shard for each copy)."""
-    cells = 4096
+    cells = CELLS
     block = lambda c: F.floor(c * F.col("_nb") / cells).cast("long")
     by_cell = cut(sized.groupBy("_src", F.pmod(F.col("_h"), F.lit(cells)).alias("_cell")).agg(F.sum("_size").alias("_words")))
     goal = targets(by_cell.groupBy("_src").agg(F.sum("_words").alias("_s")), weights, cap)
@@ -101,22 +103,30 @@ def plan(sized: DataFrame, weights=WEIGHTS, cap: int = CAP, blocks: int = BLOCKS
     runs = leaves.withColumn("_stop", stop).select("_src", "_shard", F.explode(F.sequence(F.col("_stop") - F.col("_q") + 1, F.col("_stop"))).alias("_seq"))
     dealt = draws.join(runs, ["_src", "_seq"]).groupBy("_src", "_block").agg(F.array_sort(F.collect_list(F.struct("_copy", "_shard"))).alias("_dealt"))
     placed = sized.join(small_side(goal.select("_src", "_nb")), "_src").withColumn("_block", block(F.pmod(F.col("_h"), F.lit(cells)))).drop("_nb")
-    # of a block that is drawn in part, the documents up to a place in hash order
+    # of a block that is drawn in part, the documents up to a place in the order of further bits of the hash, then the hash
+    part = F.pmod(F.shiftrightunsigned("_h", 12), F.lit(CELLS))
     place = F.struct("_h", "_id", "_size")
-    edge = per_block.where("_room > 0 and _room < _words").select("_src", "_block", "_room")
+    edge = small_side(cut(per_block.where("_room > 0 and _room < _words").select("_src", "_block", "_room")))
+    at_edge = placed.select("_src", "_block", "_h", "_id", "_size", part.alias("_part")).join(edge, ["_src", "_block"])
+    sums = at_edge.groupBy("_src", "_block", "_part").agg(F.sum("_size").alias("_own"), F.first("_room").alias("_room"))
+    upto = F.sum("_own").over(Window.partitionBy("_src", "_block").orderBy("_part"))
+    crossed = sums.withColumn("_before", upto - F.col("_own")).where("_before < _room and _room <= _before + _own")
+    crossed = small_side(cut(crossed.select("_src", "_block", "_part", "_before")))  # a row for each edge
     inside = Window.partitionBy("_src", "_block").orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = placed.select("_src", "_block", "_h", "_id", "_size").join(small_side(edge), ["_src", "_block"]).withColumn("_upto", F.sum("_size").over(inside))
-    last = parts.where(F.col("_upto") - F.col("_size") / 2 <= F.col("_room")).groupBy("_src", "_block").agg(F.max(place).alias("_last"))
-    per_block = cut(per_block.join(dealt, ["_src", "_block"], "left").join(last, ["_src", "_block"], "left"))
-    rows = placed.join(small_side(per_block), ["_src", "_block"])
-    more = (F.col("_room") > 0) & ((F.col("_room") >= F.col("_words")) | F.coalesce(place <= F.col("_last"), F.lit(False)))
+    docs = at_edge.join(crossed, ["_src", "_block", "_part"]).withColumn("_upto", F.col("_before") + F.sum("_size").over(inside))
+    last = docs.where(F.col("_upto") - F.col("_size") / 2 <= F.col("_room")).groupBy("_src", "_block").agg(F.max(place).alias("_last"))
+    per_block = per_block.join(dealt, ["_src", "_block"], "left").join(last, ["_src", "_block"], "left").join(crossed.select("_src", "_block", F.col("_part").alias("_edge")), ["_src", "_block"], "left")
+    rows = placed.join(small_side(cut(per_block)), ["_src", "_block"])
+    before = F.coalesce((part < F.col("_edge")) | ((part == F.col("_edge")) & (place <= F.col("_last"))), F.lit(False))
+    more = (F.col("_room") > 0) & ((F.col("_room") >= F.col("_words")) | before)
     rows = rows.withColumn("_copies", F.col("_base") + F.when(more, 1).otherwise(0))
     return rows.withColumn("_shards", F.coalesce(F.transform(F.slice("_dealt", 1, F.col("_copies").cast("int")), lambda d: d["_shard"].cast("int")), F.array().cast("array<int>")))
 
 
 def sized(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed: int = SEED, *keep: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("_id"), _source_key(F.col(source_col)).alias("_src"), size_of(F.col(text_col)).alias("_size"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"), *keep)
+    at = lambda name: name if isinstance(name, Column) else col(name)
+    return docs.select(at(id_col).alias("_id"), _source_key(at(source_col)).alias("_src"), size_of(at(text_col)).alias("_size"),
+        F.xxhash64(F.lit(seed), at(id_col), at(text_col)).alias("_h"), *keep)
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, slice_bytes: int = SLICE, **columns) -> DataFrame:
@@ -127,7 +137,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, slice_bytes: in
     at = {"id_col": "doc_id", "text_col": "text", "source_col": "source"} | columns
     total = docs.agg(F.sum(F.octet_length(col(at["text_col"])))).first()[0] or 0
     slices = max(1, -(-total // (shards * slice_bytes)))
-    rows = sized(docs.select(packed(docs).alias("_row")), f"_row.{at['id_col']}", f"_row.{at['text_col']}", f"_row.{at['source_col']}", seed, "_row")
+    rows = sized(docs.select(packed(docs).alias("_row")), *[F.col("_row")[at[c]] for c in ("id_col", "text_col", "source_col")], seed, "_row")
     rows = plan(rows, shards=shards, seed=seed).select("_h", "_row", F.posexplode("_shards").alias("_copy", "_shard"))
     mixed = F.xxhash64(F.lit(seed + 7), "_h", "_copy")
     rows = rows.repartition(shards * slices, "_shard", F.pmod(F.xxhash64(F.lit(seed + 8), "_h", "_copy"), F.lit(slices))).sortWithinPartitions("_shard", mixed)
