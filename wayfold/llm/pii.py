@@ -5,7 +5,9 @@ matches themselves (regexp_extract_all) alternate, so running sums of their leng
 
 Kinds. email, ip, card (Luhn) and phone are the base kinds: every match that its validator confirms is reported, whatever its score.
 iban (mod 97), ssn and secret are added by the method: reported if the score reaches THRESHOLD, where the score is the kind's prior,
-plus CONFIRMED if a checksum confirmed it, plus CONTEXT if one of the kind's words stands within WINDOW characters before it.
+plus CONFIRMED if a checksum confirmed it, plus CONTEXT if one of the kind's words stands within WINDOW characters before or after it. Words
+end where letters end ("pay" isn't in "repay", "key" is in "api_key"); before a match the text itself is looked at, over earlier matches too, after it as
+far as two matches on.
 An iban's end can't be told from its form, as words in capitals or numbers may follow: each end of a group is tried with the country's length and mod 97.
 Overlaps between kinds are kept, as spans of two kinds may both be meant.
 
@@ -13,7 +15,7 @@ The patterns are written so that no input makes them slow or deep: repeated grou
 a match may start only where the run of characters starts or the match before ended, which changes no leftmost match.
 
 Defined results: null and empty texts have no spans; order of spans is by start, then kind in the order of KINDS; repeated rows
-are reported each; other columns play no part.
+are reported each; an empty table gives an empty one; other columns play no part and are kept.
 """
 
 from __future__ import annotations
@@ -21,20 +23,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import col, let, table
 
 THRESHOLD, CONFIRMED, CONTEXT, WINDOW = 0.6, 0.5, 0.4, 40
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: kind: (pattern, a cheap test that a match implies, prior, words that speak for it)
 KINDS = {
-    "email": (rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++", "@", 0.9, "mail|e-mail|contact|write"),
-    "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|host|server|address"),
-    "card": (r"[0-9](?:[\x20-]?[0-9])++", None, 0.3, "card|visa|master|credit|pay"),
-    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|tel|call|mobile|fax"),
-    "iban": (r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})", None, 0.2, "iban|account|bank|konto|compte|cuenta"),
+    "email": (rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++", "@", 0.9, "e?-?mails?|contact|write"),
+    "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, "ip|host|server|address"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])++", None, 0.3, "cards?|visa|master|mastercard|credit|pay|payment"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|tel|telephone|call|mobile|fax"),
+    "iban": (r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})", None, 0.2, "iban|accounts?|bank|konto|compte|cuenta"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social|security|tax"),
-    "secret": (r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,}+(?![A-Za-z0-9])", None, 0.3, "token|secret|key|passw|api"),
+    "secret": (r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,}+(?![A-Za-z0-9])", None, 0.3, "tokens?|secrets?|keys?|apikey|passw(?:or)?d|password|api"),
 }
 #: From the place where an IBAN may start: groups that end where letters and digits end, as many as there are.
 _GROUPS = r"^[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?:\x20[A-Z0-9]++(?![a-z]))*+"
@@ -45,6 +47,8 @@ _LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
     24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
+#: Words that speak for a kind, in lower case, wherever letters don't go on.
+_WORDS = r"(?<!\p{{L}})(?:{0})(?!\p{{L}})"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 BASE = ("email", "ip", "card", "phone")
 
@@ -110,20 +114,26 @@ def spans_of(kind: str, text: Column) -> Column:
     def step(acc: Column, e: Column) -> Column:
         start = acc["at"] + F.char_length(e["gap"])
         end = start + F.char_length(e["match"])
-        near = F.lower(F.right(e["gap"], F.lit(WINDOW))).rlike(words)
+        before = F.right(F.concat(acc["before"], e["gap"]), F.lit(WINDOW))
+        near = F.lower(F.concat(before, F.lit(" "), F.left(e["after"], F.lit(WINDOW)))).rlike(_WORDS.format(words))
         score = F.lit(prior + bonus) + F.when(near, CONTEXT).otherwise(0.0)
         found = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.least(F.lit(1.0), score).alias("score"))
         ok = valid(kind, e["match"])
         if kind not in BASE:
             ok = ok & (score >= THRESHOLD)
-        return F.struct(end.alias("at"), F.when(ok, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).cast(SPAN).alias("out"))
+        so_far = F.right(F.concat(before, e["match"]), F.lit(WINDOW))
+        return F.struct(end.alias("at"), so_far.alias("before"), F.when(ok, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).cast(SPAN).alias("out"))
 
     def from_matches(matches: Column) -> Column:
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-        pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("match"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        walked = F.aggregate(pairs, start, step, lambda a: a["out"])
-        return F.when(F.size(matches) > 0, walked).otherwise(F.array().cast(SPAN))
+        def walked(gaps: Column) -> Column:
+            next_ = lambda x, i: F.coalesce(F.get(x, i + 1), F.lit(""))
+            head = lambda x: F.left(x, F.lit(WINDOW))
+            after = F.transform(matches, lambda m, i: F.concat(head(next_(gaps, i)), head(next_(matches, i)), head(next_(gaps, i + 1))))
+            triples = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"), after.alias("after"))
+            start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast(SPAN).alias("out"))
+            return F.aggregate(triples, start, step, lambda a: a["out"])
+
+        return F.when(F.size(matches) > 0, let(F.split(text, pattern, -1), walked)).otherwise(F.array().cast(SPAN))
 
     worth = F.contains(text, F.lit(hint)) if hint else text.rlike("[0-9]")
     return F.when(worth, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), from_matches)).otherwise(F.array().cast(SPAN))
@@ -150,7 +160,8 @@ def iban_spans(text: Column) -> Column:
         def walked(own: Column) -> Column:
             new = (start >= acc["end"]) & (own != "")
             end = F.when(new, start + F.char_length(own)).otherwise(acc["end"])
-            score = F.lit(prior + CONFIRMED) + F.when(F.lower(acc["before"]).rlike(words), CONTEXT).otherwise(0.0)
+            after = F.substr(F.left(e["piece"], F.char_length(own) + WINDOW), F.char_length(own) + 1)
+            score = F.lit(prior + CONFIRMED) + F.when(F.lower(F.concat(acc["before"], F.lit(" "), after)).rlike(_WORDS.format(words)), CONTEXT).otherwise(0.0)
             found = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit("iban").alias("kind"), F.least(F.lit(1.0), score).alias("score"))
             rest = F.substr(e["piece"], F.greatest(F.lit(1), end - start + 1))
             before = F.right(F.concat(F.when(new, "").otherwise(acc["before"]), rest), F.lit(WINDOW))
@@ -173,8 +184,8 @@ def iban_spans(text: Column) -> Column:
 
 
 def pii_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs and _spans, array<struct<start, rank, end, kind, score>> in order of start, then kind."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """docs and _spans, array<struct<start, rank, end, kind, score>> in order of start, then kind; it replaces a column of that name."""
+    text = F.coalesce(col(text_col), F.lit(""))
     return docs.withColumn("_spans", F.array_sort(F.concat(*[iban_spans(text) if k == "iban" else spans_of(k, text) for k in KINDS])))
 
 
