@@ -125,7 +125,7 @@ def test_near_duplicates(spark, width, percent):
 def test_core_pairs_lose_nothing(spark):
     """Within a group, every pair that is similar enough is linked or a candidate, or connected to begin with."""
     rows = [(i, t) for i, t in families(9) if t and len(t) > 10]
-    texts = spark.createDataFrame(rows, "_id long, _text string")
+    texts = spark.createDataFrame(rows, "_rep long, _text string")
     grouped = spark.createDataFrame([(0, i, i) for i, _ in rows], "_hub long, _rep long, _comp long")
     links, candidates = minhash.core_pairs(grouped, texts, 3, 85)
     groups = components(links.union(candidates)).collect()
