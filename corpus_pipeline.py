@@ -36,12 +36,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document of least doc_id stays, one row of it."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) one document stays, that of least doc_id (then of least text hash), once.
+
+    Documents that share a doc_id but not their text are told apart; texts without words and rows without a doc_id are no copies of any other and stay.
+    """
     docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs).where("_kept and _id is not null").select(F.col("_id").alias("doc_id")).distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_r", one).where("_r = 1")
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    found = near_duplicates(docs)
+    one = found.where("_kept and _group is not null").groupBy("_group").agg(F.min(F.struct("_id", "_key")).alias("_m")).select(F.col("_m._id").alias("doc_id"), F.col("_m._key").alias("_key"))
+    wordless = found.where("_id is not null and _group is null").select(F.col("_id").alias("doc_id"), "_key").distinct()
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    copies = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("lang", "source", "n_chars"))
+    kept = keyed.where("doc_id is not null").join(one.union(wordless), ["doc_id", "_key"], "left_semi").withColumn("_r", copies).where("_r = 1")
+    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian 32-bit integers), and digests of ids and decoded text, for each row."""
+    """doc_id, n_tokens, ids (little-endian 32-bit integers), and digests of ids and decoded text, for each row; a null text is the empty text."""
     return encode_decode(docs, keep_ids=True).withColumnRenamed("_id", "doc_id")
 
 
