@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import ann, lang_id, media, minhash, mixing, quality
+from wayfold.llm import ann, lang_id, media, minhash, mixing, pii, quality, sp_codec, token_counts
 from wayfold.llm.components import components
 
 SF = "/root/testdata/sf0.01"
@@ -67,6 +67,38 @@ def test_mix_odd_rows(odd, odd_rows, none):
     assert mixing.plan(mixing.sized(none)).collect() == [] and mixing.mix(none).collect() == []
 
 
+def brute_mixing(rows):
+    """Of (doc_id, text, source): sizes, sizes of sources and targets, by plain loops."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    total = defaultdict(int)
+    for n, (_, _, s) in zip(size, rows):
+        total[s] += n
+    goal = brute_targets(total)
+    return [(i, n, total[s], goal[s]) for n, (i, _, s) in zip(size, rows)]
+
+
+def test_mixing_query_against_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
+    got = mixing.op3_mixing(spark, SF).collect()
+    want = {i: x for i, *x in brute_mixing(rows)}
+    taken = defaultdict(int)
+    for r in got:
+        n, s, goal = want[r.doc_id]
+        assert (r["size"], r.source_size) == (n, s) and r.target == pytest.approx(goal) and r.taken in (0, n, 2 * n, 3 * n)
+        taken[s, goal] += r.taken
+    longest = max(n for n, _, _ in want.values())
+    assert len(got) == len(rows) and all(abs(n - goal) <= longest for (_, goal), n in taken.items())
+    assert {(r.doc_id, r.taken) for r in mixing.op3_mixing(spark, SF).collect()} == {(r.doc_id, r.taken) for r in got}
+
+
+def test_mixing_rows_without_an_id(spark):
+    """A third of all rows without an id, in one source: its taken words come near its target all the same."""
+    rows = [(None if i % 3 == 0 else i, " ".join(["w"] * (5 + i % 7)) + f" {i}", "hot" if i % 3 == 0 else f"s{i % 5}") for i in range(3000)]
+    got = mixing.plan(mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string"))).toPandas()
+    for _, g in got.groupby("_src"):
+        assert abs((g["_size"] * g["_copies"]).sum() - g["_target"].iloc[0]) <= 12
+
+
 # -- near duplicates
 
 
@@ -139,6 +171,33 @@ def test_core_pairs_lose_nothing(spark):
     assert len(near) + candidates.count() < len(rows) ** 2 / 8
 
 
+def test_common_passages_make_no_quadratic_join(spark):
+    """Nearly half of a group share a passage but are not similar enough: pairs stay far under the square, and grow with the group."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base, passage = [word() for _ in range(120)], [word() for _ in range(9)]
+    made = []
+    for n in (400, 1600):
+        rows = []
+        for i in range(n):
+            own = list(base)
+            for at in rng.sample(range(120), 7):
+                own[at] = word()
+            rows.append((i, " ".join(own[:60] + (passage if i % 20 < 9 else [word() for _ in range(9)]) + own[60:])))
+        texts = spark.createDataFrame(rows, "_rep long, _text string")
+        grouped = spark.createDataFrame([(0, i, i) for i, _ in rows], "_hub long, _rep long, _comp long")
+        links, pairs = minhash.core_pairs(grouped, texts, 3, 85, most=256)
+        made.append(links.count() + pairs.count())
+    assert made[1] <= 8 * max(made[0], 400) and made[1] < 1600**2 / 100
+
+
+def test_near_duplicates_of_string_ids_and_two_texts_of_one_id(spark):
+    base = [" ".join(f"w{k}{i}" for i in range(40)) for k in range(3)]
+    rows = [("b", base[0]), ("a", base[0] + " end"), ("c", base[1]), ("c", base[2]), ("d", base[2] + " end"), ("c", base[1])]
+    got = {(r["_id"], r["_n"], r["_component"], r["_kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), 3, 85).collect()}
+    assert got == {("b", 38, "a", False), ("a", 39, "a", True), ("c", 38, "c", True), ("d", 39, "c", False)}
+
+
 def test_near_duplicates_odd_rows(odd, odd_rows, none):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(odd_rows)
@@ -218,6 +277,50 @@ def test_quality_odd_rows(odd, odd_rows, none):
     assert quality.quality(none).collect() == []
 
 
+def test_quality_sample_is_not_taken_by_null_ids(spark):
+    rows = [(None if i % 4 == 0 else i, f"text number {i} " * 20) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "_id long, _text string").repartition(5)
+    a, b = (quality.sampled_features(docs, 500, 4000) for _ in range(2))
+    assert len(a) == 500 and all((x[1] == y[1]).all() for x, y in zip(a, b))
+    from wayfold.llm.common import bounded_sample
+
+    picked = bounded_sample(docs, 500, "_id", "_text")
+    assert len(picked) == 500 and 0.15 < sum(r["_id"] is None for r in picked) / 500 < 0.35
+
+
+def test_quality_query_against_brute_force(spark):
+    """Every row's posterior is its pattern's, from EM on the votes of a plain implementation; the scorer is logistic regression on whole texts."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    votes = {i: brute_votes(t or "") for i, t in docs.items()}
+    patterns = sorted(set(votes.values()))
+    counts = np.array([sum(v == p for v in votes.values()) for p in patterns], float)
+    good, _, _ = quality.expectation_maximisation(np.array([[int(x) for x in p.split(",")] for p in patterns]), counts)
+    want = dict(zip(patterns, good))
+    rows = [(f, want[votes[i]]) for i, t in docs.items() if (f := quality.counted_features(t))]
+    got = quality.op8_quality(spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert r.posterior == pytest.approx(want[votes[r.doc_id]], abs=1e-9) and r.kept == (r.score >= 0.5)
+    by = {r.doc_id: r.score for r in got}
+    weights, bias = quality.fit_scorer([f for f, _ in rows], np.array([p for _, p in rows]))
+    again = {i: float(1 / (1 + np.exp(-(weights[f[0]] @ f[1] + bias)))) for i, t in docs.items() if (f := quality.counted_features(t))}
+    assert np.corrcoef([by[i] for i in again], list(again.values()))[0, 1] > 0.98 and all(by[i] == 0 for i in docs if i not in again)
+
+
+def test_clashing_columns_stay(odd, odd_rows, none):
+    network = lang_id.train(["the cat sat on the mat"] * 4 + ["der hund und die katze"] * 4, ["en"] * 4 + ["de"] * 4)
+    names = ["_row", "_new", "_found", "_lang", "_score", "_h", "_size", "_block", "_part", "_shards", "_spans"]
+    wide = odd.withColumns({n: F.lit(f"own {n}") for n in names})
+    for out, new in ((lang_id.identify(wide, network), {"_lang", "_score"}), (mixing.mix(wide), {"_shard"}), (pii.pii_spans(wide), {"_spans"})):
+        rows = out.collect()
+        assert set(wide.columns) | new == set(out.columns) and all(r[n] == f"own {n}" for r in rows for n in names if n not in new)
+    ids = wide.withColumnsRenamed({"doc_id": "a.b", "text": "t`x"})
+    key = sorted(map(str, (r[0] for r in odd_rows)))
+    outs = [minhash.near_duplicates(ids, id_col="a.b", text_col="t`x"), quality.quality(ids, "a.b", "t`x"), token_counts.token_counts(ids, id_col="a.b", text_col="t`x"), sp_codec.encode_decode(ids, id_col="a.b", text_col="t`x"), media.pages_of(ids, "a.b", "t`x")]
+    for out in outs:
+        assert sorted(str(r["_id"]) for r in out.collect()) == key
+
+
 def brute_votes(t):
     """Labellers on words without white space and lines that aren't empty."""
     words, lines = re.findall(r"[^ \t\n\x0b\f\r]+", t), [x for x in t.split("\n") if x]
@@ -242,10 +345,8 @@ def test_votes_on_blank_lines_tabs_and_double_spaces(spark):
 # -- nearest neighbours
 
 
-def test_ann_recall(spark):
-    rows = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+def recall(rows, got):
     x, ids = np.stack(rows.embedding).astype(float), rows.vec_id.to_numpy()
-    got = ann.nearest(spark.read.parquet(f"{SF}/embeddings.parquet"), lambda i: i % 20 == 0, leaf=16, share=0.3).toPandas()
     hits = total = 0
     for i in np.flatnonzero(ids % 20 == 0):
         s = x @ x[i]
@@ -255,7 +356,42 @@ def test_ann_recall(spark):
         assert list(mine["rank"]) == list(range(1, 21)) and ids[i] not in set(mine.vec_id)
         assert np.allclose(mine.score, [x[np.flatnonzero(ids == v)[0]] @ x[i] for v in mine.vec_id])
         hits, total = hits + len(set(best) & set(mine.vec_id)), total + 20
-    assert hits / total >= 0.9
+    return hits / total
+
+
+def test_ann_recall_of_the_forest_alone(spark):
+    """Leaves small enough for two tiers of each tree and far more of them than are probed: nothing but the forest finds candidates."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.toPandas()
+    vectors = df.select(F.col("vec_id").alias("cid"), F.col("embedding")).toPandas()
+    raw = spark.createDataFrame([(int(c), np.asarray(v, "<f8").tobytes()) for c, v in zip(vectors.cid, vectors.embedding)], "cid long, vec binary")
+    index, subtrees = ann.grow(raw, 1.0, "<f8", leaf=16)
+    sizes = index.groupBy("tree", "cell").count().toPandas()
+    assert len(subtrees) == 2 and sizes["count"].max() <= 16 and sizes.groupby("tree")["count"].sum().eq(len(rows)).all()
+    assert len(sizes) > 4 * 130
+    got = ann.nearest(df, lambda i: i % 20 == 0, leaf=16, probes=130).toPandas()
+    assert recall(rows, got) >= 0.9
+
+
+def test_probes_are_those_of_least_penalty():
+    rng = np.random.default_rng(3)
+    q, cells = rng.standard_normal(9), []
+    for tree in range(3):
+        cells.append((0.1 * tree, tree, 1, 3, rng.standard_normal(7) * 0.3))
+    cells.append((0.05, 3, 9, 0, None))
+    want = [(0.05, 3, 9)]
+    for penalty, tree, cell, bits, splits in cells[:3]:
+        m = ann.directions(tree, 0, 9)[:7] @ q - splits
+        for leaf in range(8):
+            node, p = 0, penalty
+            for k in (2, 1, 0):
+                right = leaf >> k & 1
+                p += max(-m[node] if right else m[node], 0) ** 2
+                node = 2 * node + 1 + right
+            want.append((p, tree, cell * 8 + leaf))
+    got = ann.probe(q, cells, 12, 0)
+    assert [x[1:] for x in got] == [x[1:] for x in sorted(want)[:12]] and [x[0] for x in got] == pytest.approx([x[0] for x in sorted(want)[:12]])
+    assert len(ann.probe(q, cells, 100, 0)) == 25
 
 
 def test_ann_ties_and_odd_vectors(spark):
@@ -280,21 +416,122 @@ def test_sequence_keeps_order_and_captions():
     assert media.sequence(None) == [] == media.sequence("")
 
 
-def test_payloads_survive(odd, odd_rows, none):
-    got = media.resolve(media.interleave(media.pages_of(odd), "_html").drop("_html"), media.store(odd)).collect()
+def items(page):
+    return [(x["kind"], x["text"] if x["kind"] == "text" else x["digest"], x["caption"]) for x in media.sequence(page)]
+
+
+def test_captions_and_broken_pages():
+    img, cap = '<img src="sha256:{0}">'.format, "<figcaption>{0}</figcaption>".format
+    t, m = lambda x: ("text", x, None), lambda d, c=None: ("media", d, c)
+    cases = {
+        f"<figure>{cap('c')}{img('a')}</figure>{img('b')}": [m("a", "c"), m("b")],  # caption first; none for what follows
+        f"<figure>{img('a')}{img('b')}{cap('c')}</figure>": [m("a", "c"), m("b", "c")],
+        f"<figure>{img('a')}</figure>tail{cap('stray')}{img('b')}": [m("a"), t("tail"), t("stray"), m("b")],
+        f"<figure>{img('a')}<figcaption>open</figure><p>after</p>{img('b')}": [m("a", "open"), t("after"), m("b")],
+        f"<figure>{img('a')}<figcaption>open<p>rest of the page</p>{img('b')}": [m("a"), t("open"), t("rest of the page"), m("b")],
+        f"<figure>{cap('alone')}</figure><p>x</p>": [t("alone"), t("x")],
+        f"<figure>{img('a')}<figure>{img('b')}{cap('c')}</figure>": [m("a"), m("b", "c")],
+        f"a<template>hidden {img('z')}</template>b": [t("a"), t("b")],
+        f"a<template>shown {img('z')} b": [t("a"), t("shown"), m("z"), t("b")],
+        "a<style>p{}</style>b<script>if (a < b) x()</script>c": [t("abc")],
+        f'<img src="x.png" alt="alt"><img>{cap("no figure")}': [m("x.png", "alt"), m(""), t("no figure")],
+        "<p>one <b>bold</b> two<br>three": [t("one bold two"), t("three")],
+    }
+    for page, want in cases.items():
+        assert items(page) == want, page
+    assert all([x["pos"] for x in media.sequence(p)] == list(range(len(w))) for p, w in cases.items())
+
+
+def test_pages_table(spark):
+    """Real pages: all visible words come out once and in order."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.off = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.off += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            self.out += [] if self.off else [data]
+
+    for r in media.interleave(spark.read.parquet(f"{SF}/pages.parquet")).collect():
+        w = Words()
+        w.feed(r.html or "")
+        assert "".join("".join(x.text for x in r["_sequence"]).split()) == "".join("".join(w.out).split())
+
+
+def brute_media(text):
+    """What the contract says of one text, apart from the feature."""
+    import hashlib
+    import zlib
+
+    raw = (text or "").encode()
+    full = raw + b"\xff" * ((-len(raw)) % 576 or (576 if not raw else 0))
+    stored = f"P5\n24 {len(full) // 24}\n255\n".encode() + full
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    return len(raw), len(full), sha(full), zlib.crc32(full[-32:]) & 0xFFFFFFFF, len(stored), sha(stored)
+
+
+def brute_feature(text):
+    raw = (text or "").encode()
+    full = raw + b"\xff" * ((-len(raw)) % 576 or (576 if not raw else 0))
+    high = len(full) // 24
+    hist = [sum(n for b, n in zip(*np.unique(list(full), return_counts=True)) if b // 32 == k) for k in range(8)]
+    edges = [int(i * high / 8) for i in range(9)]
+    grid = [[np.mean([full[y * 24 + x] for y in range(edges[i], edges[i + 1]) for x in range(3 * j, 3 * j + 3)]) for j in range(8)] for i in range(8)]
+    bits = "".join("1" if v > np.mean(grid) else "0" for row in grid for v in row)
+    return f"h={high};mean={sum(full) / len(full):.6f};hist={','.join(map(str, hist))};ahash={int(bits, 2):016x}"
+
+
+def test_media_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = media.op10_media(spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        t = docs[r.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == brute_media(t)
+        lines = [x for x in (t or "").split("\n") if x.split()]
+        assert r.caption == f"payload of {r.n_bytes} bytes" and r.position == (1 if (t or "").split("\n")[0].split() else 0) and r["items"] == len(lines) + 1
+    assert all(r.feature == brute_feature(docs[r.doc_id]) for r in got[:40])
+
+
+def test_payloads_survive(spark, odd, odd_rows, none):
+    pages = media.interleave(media.pages_of(odd), "_html").drop("_html")
+    table = media.store(odd.select(media.payload_of(F.col("text")).alias("payload")))
+    got = media.resolve(pages, media.described(table)).collect()
     assert len(got) == len(odd_rows)
     for r in got:
-        texts = [t for i, t, *_ in odd_rows if i == r["_id"]]
-        assert (r.payload_bytes, r.payload_sha256) in {(len(p), __import__("hashlib").sha256(p).hexdigest()) for p in (media.payload(t)[0] for t in texts)}
-        assert r.payload_bytes % media.TILE == 0 and r.payload_bytes > 0
-    raw = media.payload("é" * 1000)[0]
+        texts = {t for i, t, *_ in odd_rows if i == r["_id"]}
+        found = [s.media for s in r["_sequence"] if s.kind == "media"]
+        assert len(found) == 1 and (r["_n_bytes"], found[0].payload_bytes, found[0].payload_sha256) in {brute_media(t)[:3] for t in texts}
+    stored = {r.digest: bytes(r.stored) for r in table.collect()}
+    assert stored and all(__import__("hashlib").sha256(media.decode(v).tobytes()).hexdigest() == k for k, v in stored.items())
+    raw = media.payload("é" * 1000)
     assert media.decode(media.encode(raw)).tobytes() == raw
     with pytest.raises(ValueError):
         media.decode(media.encode(raw)[:-1])
-    assert media.store(none).collect() == [] and media.pages_of(none).collect() == []
-
-
-def test_unresolved_references_stay(spark):
-    pages = media.interleave(spark.createDataFrame([(1, '<img src="sha256:zz">')], "id int, html string"))
-    rows = media.resolve(pages, media.store(spark.createDataFrame([("a",)], "text string"))).collect()
-    assert len(rows) == 1 and rows[0].feature is None and rows[0]["_digest"] == "zz"
+    empty = none.select(media.payload_of(F.col("text")).alias("payload"))
+    assert media.store(empty).collect() == [] and media.pages_of(none).collect() == [] and media.described(media.store(empty)).collect() == []
+
+
+def test_sequences_are_resolved_in_place(spark):
+    clash = "page int, html string, digest string, feature string, _key string, _media int, _found int, _row int, _pos int, caption string, `a.b` string"
+    known = media.payload("a")
+    import hashlib
+
+    d = hashlib.sha256(known).hexdigest()
+    html = f'<p>x</p><img src="sha256:{d}"><p>y</p><img src="sha256:zz" alt="q"><img src="sha256:{d}">'
+    rows = [(i, h, "c", "c", "c", 1, 2, 3, 4, "c", "d") for i, h in enumerate([html, html, "<p>no media</p>", None, ""])]
+    pages = media.interleave(spark.createDataFrame(rows, clash))
+    table = media.described(media.store(spark.createDataFrame([(bytearray(known),), (None,)], "payload binary")))
+    got = {r.page: r for r in media.resolve(pages, table).collect()}
+    assert len(got) == 5 and all((r.digest, r["_row"], r["a.b"], r.caption) == ("c", 3, "d", "c") for r in got.values())
+    for k in (0, 1):
+        assert [(s.pos, s.kind, s.text or s.digest, s.media and s.media.payload_bytes) for s in got[k]["_sequence"]] == [(0, "text", "x", None), (1, "media", d, 576), (2, "text", "y", None), (3, "media", "zz", None), (4, "media", d, 576)]
+    assert [s.text for s in got[2]["_sequence"]] == ["no media"] and got[3]["_sequence"] == [] == got[4]["_sequence"]

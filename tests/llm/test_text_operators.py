@@ -152,3 +152,54 @@ def test_counting_against_library():
     for _ in range(4000):
         t = "".join(rng.choice(few) for _ in range(rng.randint(0, 10)))
         assert c.count(t, {}) == len(c.library.encode(t, add_special_tokens=False).ids)
+
+
+def test_tokenizers_on_documents(spark):
+    """op4 and op7 over all documents of the smallest table, against the libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()}
+    pieces, words = sentencepiece.SentencePieceProcessor(model_file=sp_codec.model_path()), Tokenizer.from_file(token_counts.model_path())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = sp_codec.op4_sentencepiece(spark, FOLDER).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        ids = pieces.encode(docs[r.doc_id], add_bos=True, add_eos=True)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(b"".join(i.to_bytes(4, "little") for i in ids)), sha(pieces.decode(ids).encode()))
+    got = token_counts.op7_token_counts(spark, FOLDER).collect()
+    assert len(got) == len(docs) and any(r.over_limit for r in got)
+    for r in got:
+        n = len(words.encode(docs[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 2048)
+
+
+def test_pii_query_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()}
+    got = pii.op2_pii(spark, FOLDER).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        base = brute_pii(docs[r.doc_id])
+        kinds = [x.split(":")[0] for x in base.split(",")]
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(map(kinds.count, BASE))
+        assert [x for x in r.spans.split(",") if x.split(":")[0] in BASE] == [x for x in base.split(",") if x] and len(r.scores) == len([x for x in r.spans.split(",") if x])
+
+
+def test_pii_context_on_both_sides_and_by_words(spark):
+    texts = ["078-05-1120 is my ssn", "078-05-1120 and the monkey", "pay tax: 1-2 078-05-1120", "ssn: 078-05-1120 078-05-1121", "api_key=" + "ab12" * 10, "monkeys " + "ab12" * 10, "repay 078-05-1120"]
+    found = {r.i: [s.kind for s in r["_spans"] if s.kind not in pii.BASE] for r in pii.pii_spans(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    assert found == {0: ["ssn"], 1: [], 2: ["ssn"], 3: ["ssn", "ssn"], 4: ["secret"], 5: [], 6: []}
+
+
+def test_caches_are_bounded_by_bytes():
+    from wayfold.llm.common import Recent
+
+    asked = []
+    r = Recent(lambda k: asked.append(k) or k * 100, 40_000)
+    for _ in range(3):
+        for k in range(500):
+            assert r[str(k)] == str(k) * 100
+    assert r.held <= 20_000 and len(r) + len(r.old) < 200 and len(asked) > 500
+    few = Recent(lambda k: asked.append(k) or None or 1, 1 << 20)
+    before = len(asked)
+    assert [few[k] for k in "aab"] == [1, 1, 1] and len(asked) == before + 2

@@ -259,8 +259,8 @@ def resolve(pages: DataFrame, media: DataFrame) -> DataFrame:
     def put(s: Column) -> Column:
         return F.struct(*[s[c].alias(c) for c in ("pos", "kind", "text", "digest", "caption")], F.try_element_at(F.col("_found"), s["digest"]).alias("media"))
 
-    same = [F.col("_row")[c].alias(c) for c in pages.columns if c != "_sequence"]
-    return joined.select(*same, F.transform(F.col("_row._sequence"), put).alias("_sequence"))
+    done = joined.select("_row", F.transform(F.col("_row._sequence"), put).alias("_new"))
+    return done.select(*[F.col("_row")[c].alias(c) for c in pages.columns if c != "_sequence"], F.col("_new").alias("_sequence"))
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:
