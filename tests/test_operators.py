@@ -106,15 +106,27 @@ def graph(n=60, seed=4):
     return nodes, out
 
 
-def test_astar_is_shortest():
+def test_routes_are_shortest(spark):
+    """All pairs at once, with and without cells, against Dijkstra; paths add up; unreachable is null, whatever the number of hops."""
     nodes, out = graph()
-    for start in range(0, 60, 7):
-        cost = dijkstra(out, start)
-        for end in range(60):
-            found = routes.astar(nodes, out, start, end)
-            assert (found[0] if found else None) == cost.get(end)
-    assert routes.astar(nodes, out, 1, 1) == (0, 0, [1])
-    assert routes.astar(nodes, out, 1, 999) is None
+    for i in range(100, 140):  # a chain of 40 hops, entered from node 0, that nothing leads back from
+        nodes[i] = (0.03 + i * 1e-4, 0.03)
+        out.setdefault(i - 1 if i > 100 else 0, []).append((i, 200, 5000))
+    e = spark.createDataFrame([(a, b, dm, ms) for a, x in out.items() for b, dm, ms in x] + [(0, 100, 999, 9999)], "src long, dst long, dist_dm long, time_ms long")
+    n = spark.createDataFrame([(i, round(la * 1e7), round(lo * 1e7)) for i, (la, lo) in nodes.items()], "id long, lat_e7 long, lon_e7 long")
+    pairs = [(k, a, b) for k, (a, b) in enumerate([(0, 59), (7, 7), (14, 3), (21, 139), (139, 0), (5, 12)])]
+    own = routes.by_cell(e, n, 1000)
+    light = {(a, b): (dm, ms) for a, x in out.items() for b, dm, ms in sorted(x, key=lambda y: -y[2])}
+    for cells in (True, False):
+        got = {r.pair: r for r in routes.routes(spark.createDataFrame(pairs, "pair int, start long, end long"), own, n, 1000, cells).collect()}
+        for k, a, b in pairs:
+            cost = dijkstra(out, a).get(b)
+            assert got[k].time_ms == cost
+            if cost is not None:
+                steps = list(zip(got[k].path, got[k].path[1:]))
+                assert got[k].path[0] == a and got[k].path[-1] == b and len(steps) == got[k].hops
+                assert sum(light[s][1] for s in steps) == cost and sum(light[s][0] for s in steps) == got[k].dist_dm
+    assert got[4].time_ms is None and got[3].hops >= 40 and got[1].hops == 0
 
 
 def test_distances(spark):
@@ -133,22 +145,6 @@ def test_distances_raise_when_rounds_do_not_suffice(spark):
         routes.distances(e, sources, rounds=3)
 
 
-def test_shortest_distances_beyond_seven_hops(spark):
-    from wayfold.plans import QUERIES, graphs
-    from wayfold.plans.tables import Tables
-
-    folder = "/root/testdata/sf0.1"
-    out, region = {}, {}
-    nodes, edges = graphs._rings(Tables(spark, folder))
-    for r in edges.select("src", "dst", "time_ms").collect():
-        out.setdefault(r.src, []).append((r.dst, 0, r.time_ms))
-    for r in nodes.collect():
-        region.setdefault(r.region, []).append(r.id)
-    want = {(min(ids), n): cost for ids in region.values() for n, cost in dijkstra(out, min(ids)).items()}
-    got = QUERIES["g7_shortest_distances"](spark, folder).collect()
-    assert len(got) == len(want) == sum(map(len, region.values())) and {(r.source, r.node): r.cost for r in got} == want
-
-
 def test_graph_codec():
     rng = np.random.default_rng(1)
     g = codec.Graph(rng.integers(-(10**9), 10**9, (5, 2)).astype(np.int32), np.array([[2, 1, 50, 100, -1, 0], [0, 1, 255, 2**24 - 1, 0, 1], [0, 4, 3, 7, 1, 0]]), np.array([1, 0x1FF, 5], np.uint32), [[(1, 2), (3, -4)], [(0, 0)]], ["", "Straße"])

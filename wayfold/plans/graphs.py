@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, geo
 from ..graph import build, codec, routes
+from ..shared import cut
 from .aggregates import JUNCTIONS, junctions
 from .registry import query
 
@@ -34,6 +35,7 @@ _PIECES = f"""jn as ({JUNCTIONS}), wn as (select x.*, j.ref is not null as is_j,
  ll as (select sg.*, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo, lag(lat_e7 / 1e7) over w as pla, lag(lon_e7 / 1e7) over w as plo from sg join geo_node on id = ref window w as (partition by way_id, segment order by pos)),
  dd as (select *, pow(sin(radians(la - pla) / 2), 2) + cos(radians(pla)) * cos(radians(la)) * pow(sin(radians(lo - plo) / 2), 2) as a from ll),
  pc as (select way_id, segment, min_by(ref, pos) as src, max_by(ref, pos) as dst, cast(sum(coalesce(cast(round_even({_HV} * 10, 0) as bigint), 0)) as bigint) as dist_dm, count(*) as points, min(highway) as highway, min(oneway) as oneway, min(name) as name, min(rf) as rf from dd group by way_id, segment having count(*) >= 2)"""
+_PIECED = f"with {_PIECES}"
 _SPEED = "case highway " + " ".join(f"when '{k}' then {v}" for k, v in bits.SPEEDS.items()) + " else 30 end"
 _EDGES = f"""with {_PIECES}, ed as (select way_id, segment, src, dst, 0 as back, dist_dm, {_SPEED} as speed, highway from pc where src <> dst and oneway <> '-1' union all select way_id, segment, dst, src, 1, dist_dm, {_SPEED}, highway from pc where src <> dst and oneway not in ('yes', '1', 'true'))"""
 
@@ -43,70 +45,84 @@ def g1(t):
     return edges(t).select("way_id", "segment", "src", "dst", "back", "dist_dm", "speed", "time_ms")
 
 
-#: A small street grid with one-way streets, for path queries: region = nation, nodes are suppliers in a ring with chords.
-def _rings(t):
-    s = t.supplier.select(c("s_suppkey").alias("id"), c("s_nationkey").alias("region"))
-    at = s.withColumn("i", F.row_number().over(Window.partitionBy("region").orderBy("id")) - 1).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("region")))
-    nodes = at.select("region", "id", "i", "k", (c("i") * 500).alias("lat_e7"), (c("i") * 7919 % 2_000).alias("lon_e7"))
-    step = lambda d, m: nodes.alias("a").join(nodes.select("region", c("i").alias("j"), c("id").alias("dst")), "region").where(f"j = (i + {d}) % k and id <> dst").select("region", c("id").alias("src"), "dst", (c("i") * m + 900).alias("dist_dm"))
-    e = step(1, 37).unionByName(step(3, 91)).withColumns({"speed": F.lit(30) + c("src") % 3 * 20, "access": (c("src") % 9).cast("int")})
-    return nodes, e.withColumn("time_ms", F.rint(c("dist_dm") * 360.0 / c("speed")).cast("long"))
+#: Road junctions that ways share have ids below this; a pair goes from the least to the greatest one of a remainder.
+_SHARED, _PAIRS = 100_000_000, 4
 
 
-_RINGS = """nd as (select s_nationkey as region, s_suppkey as id, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as i, count(*) over (partition by s_nationkey) as k from supplier),
- re as (select a.region, a.id as src, b.id as dst, a.i * d.m + 900 as dist_dm, 30 + a.id % 3 * 20 as speed from nd a join nd b on b.region = a.region join (values (1, 37), (3, 91)) d(s, m) on b.i = (a.i + d.s) % a.k and a.id <> b.id),
- wt as (select src, dst, min(cast(round_even(dist_dm * 360.0 / speed, 0) as bigint)) as w from re group by src, dst)"""
+def graph(t, main: bool = False):
+    """(edges by cell, nodes) of the road graph that g1 extracts."""
+    nodes = cut(t.geo_node)
+    return routes.by_cell(routes.main_roads(edges(t)) if main else edges(t), nodes), nodes
 
 
-def _pairs(nodes):
-    last = nodes.groupBy("region").agg(F.min("id").alias("start"), F.max("id").alias("end"))
-    return last.withColumn("pair", c("region").cast("long"))
+def pairs_of(edge_rows):
+    """(pair, start, end) for each remainder that has such junctions."""
+    src = edge_rows.where(c("src") < _SHARED).groupBy((c("src") % _PAIRS).alias("pair")).agg(F.min("src").alias("start"))
+    dst = edge_rows.where(c("dst") < _SHARED).groupBy((c("dst") % _PAIRS).alias("pair")).agg(F.max("dst").alias("end"))
+    return src.join(dst, "pair")
 
 
-_DIST = f"with recursive {_RINGS}, rec(source, node, cost, hops) as (select distinct min(id) over (partition by region), min(id) over (partition by region), cast(0 as bigint), 0 from nd union all select source, dst, cost + w, hops + 1 from rec join wt on src = node where hops < 7)"
+_PAIR = f"pr as (select pair, s, e from (select src % {_PAIRS} as pair, min(src) as s from ed where src < {_SHARED} group by 1) x join (select dst % {_PAIRS} as pair, max(dst) as e from ed where dst < {_SHARED} group by 1) y using (pair))"
 
 
-@query("g2_astar_cost", f"{_DIST} select p.region as pair, min(cost) as time_ms from (select region, min(id) as s, max(id) as e from nd group by region) p left join rec on rec.source = p.s and rec.node = p.e group by p.region")
+def _least(name: str, edge: str, start: str) -> str:
+    """SQL for least costs (pair, node, cost) by keyed recursion over edges (src, dst, w)."""
+    return f"""{name}(pair, node, cost) using key (pair, node) as (select pair, node, cast(0 as bigint) from ({start}) z union
+ select n.pair, n.node, n.cost from (select r.pair, x.dst as node, min(r.cost + x.w) as cost from {name} r join {edge} x on x.src = r.node group by 1, 2) n left join recurring.{name} k on k.pair = n.pair and k.node = n.node where k.cost is null or n.cost < k.cost)"""
+
+
+_WT = "wt as (select src, dst, min(cast(round_even(dist_dm * 360.0 / speed, 0) as bigint)) as w from ed group by src, dst)"
+_MAIN = "mn as (select src, dst, min(cast(round_even(dist_dm * 360.0 / speed, 0) as bigint)) as w from ed where highway in ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary', 'primary_link') group by src, dst)"
+_ROUTED = _EDGES.replace("with ", "with recursive ", 1) + f", {_WT}, {_PAIR}, {_least('rec', 'wt', 'select pair, s as node from pr')}"
+
+
+@query("g2_astar_cost", f"{_ROUTED} select pr.pair, cost as time_ms from pr left join rec on rec.pair = pr.pair and rec.node = pr.e")
 def g2(t):
-    nodes, e = _rings(t)
-    return routes.routes(_pairs(nodes), e, nodes).select("pair", "time_ms")
+    own, nodes = graph(t)
+    return routes.routes(pairs_of(own), own, nodes, cells=False).select("pair", "time_ms")
 
 
-@query("g3_astar_by_cell", f"{_DIST} select p.region as pair, min(cost) as time_ms from (select region, min(id) as s, max(id) as e from nd group by region) p left join rec on rec.source = p.s and rec.node = p.e group by p.region")
+@query("g3_astar_by_cell", f"{_ROUTED} select pr.pair, cost as time_ms from pr left join rec on rec.pair = pr.pair and rec.node = pr.e")
 def g3(t):
-    """Only the regions of the asked pairs are read: a semi-join on the partition key before anything is collected."""
-    nodes, e = _rings(t)
-    pairs = _pairs(nodes)
-    wanted = pairs.select("region").distinct()
-    return routes.routes(pairs, e.join(wanted, "region", "left_semi"), nodes.join(wanted, "region", "left_semi")).select("pair", "time_ms")
+    """As g2, over edges written by cell: each round reads the cells that its frontier stands in."""
+    own, nodes = graph(t)
+    return routes.routes(pairs_of(own), own, nodes).select("pair", "time_ms")
 
 
-@query("g4_astar_main_roads")
+@query("g4_astar_main_roads", f"{_EDGES.replace('with ', 'with recursive ', 1)}, {_MAIN}, {_PAIR.replace('from ed', 'from mn')}, {_least('rec', 'mn', 'select pair, s as node from pr')} select pr.pair, cost as time_ms from pr left join rec on rec.pair = pr.pair and rec.node = pr.e")
 def g4(t):
-    nodes, e = _rings(t)
-    return routes.routes(_pairs(nodes), e, nodes, tier_only=True).select("pair", "time_ms", "hops")
+    own, nodes = graph(t, main=True)
+    return routes.routes(pairs_of(own), own, nodes).select("pair", "time_ms")
+
+
+_MIDS = f"md as (select pr.pair, s, e, min(src) as a, max(src) as b from pr join (select distinct src from mn where src < {_SHARED}) m on m.src % {_PAIRS} = (pr.pair + 1) % {_PAIRS} group by 1, 2, 3)"
 
 
-@query("g5_two_pass_route")
+@query("g5_two_pass_route", f"""{_EDGES.replace('with ', 'with recursive ', 1)}, {_WT}, {_MAIN}, {_PAIR}, {_MIDS}, {_least('r0', 'wt', 'select pair, s as node from md')}, {_least('r1', 'mn', 'select pair, a as node from md')}, {_least('r2', 'wt', 'select pair, b as node from md')}
+ select md.pair, r0.cost + r1.cost + r2.cost as time_ms from md left join r0 on r0.pair = md.pair and r0.node = md.a left join r1 on r1.pair = md.pair and r1.node = md.b left join r2 on r2.pair = md.pair and r2.node = md.e""")
 def g5(t):
-    nodes, e = _rings(t)
-    mids = nodes.groupBy("region").agg(F.min_by("id", F.abs(c("i") - 1)).alias("a"), F.min_by("id", F.abs(c("i") - 2)).alias("b"))
-    return routes.two_pass(_pairs(nodes).join(mids, "region"), e.withColumn("access", F.lit(1)), nodes).select("pair", "time_ms", "dist_dm", F.size("path").alias("nodes"))
+    """Local roads to a junction of main roads, main roads to another, local roads to the end."""
+    every, nodes = cut(edges(t).select("src", "dst", "dist_dm", "time_ms", "access", "speed")), cut(t.geo_node)
+    own, main = routes.by_cell(every, nodes), routes.by_cell(routes.main_roads(every), nodes)
+    mids = main.where(c("src") < _SHARED).groupBy(((c("src") + _PAIRS - 1) % _PAIRS).alias("pair")).agg(F.min("src").alias("a"), F.max("src").alias("b"))
+    return routes.two_pass(pairs_of(own).join(mids, "pair"), own, main, nodes).select("pair", "time_ms")
 
 
-@query("g6_measure_path", f"with {_RINGS}, p as (select region as path, id, i, lead(id) over (partition by region order by i) as nx from nd where i <= 3) select path, count(*) as hops, cast(sum(d) as bigint) as dist_dm from p left join (select src, dst, min(dist_dm) as d from re group by src, dst) e on e.src = p.id and e.dst = p.nx where nx is not null group by path")
+@query("g6_measure_path", f"{_PIECED} select way_id as path, count(*) as hops, cast(sum(d) as bigint) as dist_dm from (select p.way_id, p.segment, min_by(q.dist_dm, row(q.way_id, q.segment)) as d from pc p join pc q on q.src = p.src and q.dst = p.dst group by p.way_id, p.segment) x group by way_id")
 def g6(t):
-    nodes, e = _rings(t)
-    paths = nodes.where("i <= 3").groupBy(c("region").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("nodes"))
-    flat = e.select("src", "dst", "dist_dm", c("dist_dm").alias("way_id"), F.lit(0).alias("segment"), F.lit(0).alias("back"))
-    return build.measure(paths, flat)
+    """Each way's whole path over its junctions is measured again; a hop takes the first of parallel pieces."""
+    own = cut(pieces(t).select("way_id", "segment", "src", "dst", "dist_dm"))
+    ends = F.array_sort(F.collect_list(F.struct("segment", "src", "dst")))
+    path = F.concat(F.transform("_s", lambda x: x["src"]), F.array(F.element_at("_s", -1)["dst"]))
+    paths = own.groupBy(c("way_id").alias("path")).agg(ends.alias("_s")).select("path", path.alias("nodes"))
+    return build.measure(paths, own.withColumn("back", F.lit(0)))
 
 
-@query("g7_shortest_distances", f"{_DIST} select source, node, min(cost) as cost from rec group by source, node")
+@query("g7_shortest_distances", f"{_EDGES.replace('with ', 'with recursive ', 1)}, {_WT}, {_least('rec', 'wt', f'select min(src) as pair, min(src) as node from ed where src < {_SHARED}')} select pair as source, node, cost from rec")
 def g7(t):
-    """All distances, however many hops; the SQL stops at 7 and lacks the nodes beyond, as in sf0.1's regions."""
-    nodes, e = _rings(t)
-    return routes.distances(e, nodes.groupBy("region").agg(F.min("id").alias("source")))
+    """All distances from one junction, however many hops."""
+    own = edges(t)
+    return routes.distances(own, own.where(c("src") < _SHARED).agg(F.min("src").alias("source")))
 
 
 @query("g8_route_corpus_diff", "select coalesce(a.seq, b.seq) as route, case when b.seq is null then 'missing' when a.seq is null then 'extra' when abs(a.size - b.size) > 5 then 'differs' else 'same' end as status from (select seq, size from geo_tile where seq % 7 <> 0) a full join (select seq, case when seq % 10 = 0 then size + seq % 12 else size end as size from geo_tile where seq % 9 <> 0) b on a.seq = b.seq")
@@ -136,11 +152,11 @@ def g11(t):
     return e.join(F.broadcast(asked), "src", "left_semi").select("src", "dst", "dist_dm", "way_id")  # two rows
 
 
-@query("g13_sample_route_health", "select distinct cast(s_nationkey as bigint) as region, true as ok from supplier where s_nationkey < 3")
+@query("g13_sample_route_health", f"{_ROUTED} select pr.pair, cost is not null as ok from pr left join rec on rec.pair = pr.pair and rec.node = pr.e where pr.pair < 3")
 def g13(t):
-    nodes, e = _rings(t)
-    found = routes.routes(_pairs(nodes).where("region < 3"), e, nodes)
-    return found.select(c("pair").alias("region"), (c("time_ms").isNotNull() & (c("hops") >= 0)).alias("ok"))
+    """Sample pairs and whether there is a way; not all have one."""
+    own, nodes = graph(t)
+    return routes.routes(pairs_of(own).where("pair < 3"), own, nodes).select("pair", (c("time_ms").isNotNull() & (c("hops") >= 0)).alias("ok"))
 
 
 _WORD = "case highway " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(bits.ROAD_CLASSES, 1)) + " else 0 end"
@@ -160,23 +176,22 @@ def g15(t):
     return sums.join(F.broadcast(modes), "class")  # 21 rows
 
 
-@query("sc13_graph_roundtrip", f"with {_RINGS} select region, count(*) as edges, cast(sum(dist_dm) as bigint) as dm, true as same from re group by region")
+@query("sc13_graph_roundtrip", f"{_EDGES} select cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, cast(floor(lon_e7 * 10 / 1e7) as bigint) as cx, count(*) as edges, cast(sum(dist_dm) as bigint) as dm, cast(sum(speed) as bigint) as speeds, count(distinct src) as sources from ed join geo_node on id = src group by 1, 2")
 def sc13(t):
-    """Each region's graph is encoded to a blob and decoded again."""
-    nodes, e = _rings(t)
-    both = e.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "dist_dm", "speed", "access"))).alias("edges")).join(
-        nodes.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("id", "lat_e7", "lon_e7"))).alias("nodes")), "region")
+    """The edges of each cell of the graph are encoded to a blob; what is reported is counted from the decoded blobs. A cell is bounded by its area."""
+    cells = build.partition(edges(t), t.geo_node)
+    lists = F.array_sort(F.collect_list(F.struct("src", "dst", "dist_dm", "speed", "access")))
+    both = cells.groupBy("cy", "cx").agg(lists.alias("edges"))
 
     def run(batches):
         for batch in batches:
             rows = []
-            for region, es, ns in zip(batch["region"], batch["edges"], batch["nodes"]):
-                at = {n["id"]: i for i, n in enumerate(ns)}
+            for cy, cx, es in zip(batch["cy"], batch["cx"], batch["edges"]):
+                at = {n: i for i, n in enumerate(sorted({x[k] for x in es for k in ("src", "dst")}))}
                 table = np.array([[at[x["src"]], at[x["dst"]], x["speed"], x["dist_dm"], -1, 0] for x in es], np.int64)
-                g = codec.Graph(np.array([[n["lat_e7"], n["lon_e7"]] for n in ns], np.int32), table, np.array([x["access"] for x in es], np.uint32))
+                g = codec.Graph(np.zeros((len(at), 2), np.int32), table, np.array([x["access"] for x in es], np.uint32))
                 back = codec.decode(codec.encode(g))
-                same = (back.nodes == g.nodes).all() and (back.edges == table[np.argsort(table[:, 0], kind="stable")]).all()
-                rows.append((region, len(back.edges), int(back.edges[:, 3].sum()), bool(same)))
-            yield pd.DataFrame(rows, columns=["region", "edges", "dm", "same"])
+                rows.append((cy, cx, len(back.edges), int(back.edges[:, 3].sum()), int(back.edges[:, 2].sum()), len(np.unique(back.edges[:, 0]))))
+            yield pd.DataFrame(rows, columns=["cy", "cx", "edges", "dm", "speeds", "sources"])
 
-    return both.mapInPandas(run, "region int, edges long, dm long, same boolean")
+    return both.mapInPandas(run, "cy long, cx long, edges long, dm long, speeds long, sources long")

@@ -81,7 +81,7 @@ VIEWS = {
     "geo_tile": """select seq, z, x, y, case seq % 3 when 0 then 'vector' when 1 then 'terrain' else 'satellite' end as kind, case when seq % 13 = 0 then 0 when seq % 13 = 1 then 55 else (seq*37) % 5000 end as size,
  seq % 40 as age from (select p_partkey as seq, cast(p_partkey % 9 as int) as z, cast((p_partkey*7919) % cast(pow(2, p_partkey % 9) as bigint) as int) as x, cast((p_partkey*104729) % cast(pow(2, p_partkey % 9) as bigint) as int) as y from {part}) q""",
     "geo_pixel": """select s_suppkey as tile, cast(r.c as int) as row_, cast(k.c as int) as col, case when s_suppkey % 5 = 0 and k.c < s_suppkey % 16 then 0 when s_suppkey % 7 = 0 then 0 else (s_suppkey * 31 + r.c * 17 + k.c * 13) % 900 + 1 end as elev
- from {supplier} cross join (select s_suppkey - 1 as c from {supplier} where s_suppkey <= 16) r cross join (select s_suppkey - 1 as c from {supplier} where s_suppkey <= 16) k where s_suppkey <= 60""",
+ from {supplier} cross join (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15)) as r(c) cross join (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15)) as k(c)""",
     "obs_prop": """select event_id as row_no, user_id as qid, case when event_type = 'view' then cast(floor(value) as bigint) end as population, case when event_type = 'click' then floor(value * 100) / 100 end as area,
  case when event_type in ('signup','purchase') then event_type end as label from {events}""",
     "entries_a": """select source || '/' || cast(doc_id as string) as path, md5(text) as h, n_chars as size from {documents} where doc_id % 10 <> 0""",
