@@ -51,7 +51,7 @@ from .components import components
 
 PERMS, ROWS, MARGIN, SMALL, SEED = 96, 6, 0.15, 8, 7
 #: Pairs that one element of a group may make, and members of a group for each of its salts.
-PAIRS, HOT = 4096, 1000
+PAIRS, HOT = 1 << 18, 1000
 BANDS = 2 * PERMS // ROWS
 CACHE, CHUNK = 24 << 20, 4096
 
@@ -174,36 +174,46 @@ def core_pairs(grouped: DataFrame, texts: DataFrame, width: int, percent: int, m
     stand, and all other pairs of a group, in different components, that can be linked."""
     sets = cut(texts.join(grouped.select("_rep").distinct(), "_rep").select("_rep", _elements(width)("_text").alias("_els")))
     links, candidates, level = [], [], cut(grouped)
-    while True:
-        near, far, deeper = _round(level, sets, percent, most)
+    while level is not None:
+        near, far, level = _round(level, sets, percent, most)
         links.append(near)
         candidates.append(far)
-        level = cut(deeper)
-        if level.isEmpty():
-            break
     return cut(reduce(DataFrame.union, links).distinct()), cut(reduce(DataFrame.union, candidates).distinct())
 
 
-def _round(grouped: DataFrame, sets: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, candidates, groups of the next round)."""
+def _round(grouped: DataFrame, sets: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(links, candidates, groups of the next round or None)."""
     over, under = 100 + percent, 100 - percent
     sizes = cut(grouped.groupBy("_hub").agg(F.count(F.lit(1)).alias("_docs")))
-    hot = small_side(cut(sizes.where(F.col("_docs") > HOT).select("_hub", F.ceil(F.col("_docs") / HOT).alias("_salts"))))
-    dealt = lambda df, by: df.join(hot, "_hub", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")), F.lit(0))).drop("_salts")
-    spread = lambda df: df.join(hot, "_hub", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    hot = sizes.where(F.col("_docs") > HOT).select("_hub", F.ceil(F.col("_docs") / HOT).alias("_salts"))
+    if any_hot := not hot.isEmpty():
+        hot = small_side(hot)
+
+    def dealt(df: DataFrame, by: str) -> DataFrame:
+        """df, each row in one of its group's salts."""
+        if not any_hot:
+            return df.withColumn("_salt", F.lit(0).cast("long"))
+        return df.join(hot, "_hub", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")), F.lit(0))).drop("_salts")
+
+    def spread(df: DataFrame) -> DataFrame:
+        """df, each row in all of its group's salts."""
+        if not any_hot:
+            return df.withColumn("_salt", F.lit(0).cast("long"))
+        return df.join(hot, "_hub", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+
     at = ["_hub", "_salt"]
 
     rows = cut(grouped.join(sets, "_rep"))
     counts = rows.select("_hub", F.explode("_els").alias("_el")).groupBy("_hub", "_el").count()
     often = dealt(counts, "_el").join(spread(sizes), at).where(F.col("count") * 2 > F.col("_docs"))
-    core = cut(often.groupBy("_hub").agg(F.collect_list("_el").alias("_core")))  # at most twice as many as its sets have on average
+    core = often.groupBy("_hub").agg(F.collect_list("_el").alias("_core"))  # at most twice as many as its sets have on average
     known = F.coalesce("_core", F.array().cast("array<long>"))
     differs = F.concat(F.array_except("_els", known), F.array_except(known, "_els"))
     rows = dealt(rows, "_rep").join(spread(core), at, "left").select(*at, "_rep", "_comp", F.size("_els").alias("_n"), differs.alias("_diff"))
     rows = cut(rows.withColumn("_s", F.size("_diff").cast("long") * over - F.col("_n") * under))
     least = rows.groupBy("_hub").agg(F.min(F.struct("_s", "_rep")).alias("_m")).select("_hub", F.col("_m._s").alias("_least"), F.col("_m._rep").alias("_mid"))
-    rows = rows.join(spread(cut(least)), at).withColumn("_near", F.col("_s") <= -F.col("_least"))
-    links = cut(rows.where("_near and _rep <> _mid").select(F.least("_rep", "_mid").alias("a"), F.greatest("_rep", "_mid").alias("b")).distinct())
+    rows = rows.join(spread(least), at).withColumn("_near", F.col("_s") <= -F.col("_least"))
+    links = rows.where("_near and _rep <> _mid").select(F.least("_rep", "_mid").alias("a"), F.greatest("_rep", "_mid").alias("b"))
 
     q = F.col("_s") + F.greatest(F.col("_least"), -F.col("_least"))
     shared = F.when(F.col("_least") <= 0, F.floor(q / (2 * over)) + 1).otherwise(F.ceil(q / (2 * over)))
@@ -223,12 +233,13 @@ def _round(grouped: DataFrame, sets: DataFrame, percent: int, most: int) -> tupl
     keys = entries.groupBy("_hub", "_el").agg(made.alias("_made"), F.xxhash64(*members).alias("_next"), (F.min("_comp") < F.max("_comp")).alias("_open"))
     keys = cut(keys.where("_open and _made > 0"))
     few = entries.join(keys.where(F.col("_made") <= most).select("_hub", "_el"), ["_hub", "_el"], "left_semi")
-    deeper = entries.join(keys.where(F.col("_made") > most).select("_hub", "_el", "_next"), ["_hub", "_el"]).select(F.col("_next").alias("_hub"), "_rep", "_comp").distinct()
+    over_most = keys.where(F.col("_made") > most).select("_hub", "_el", "_next")
+    deeper = None if over_most.isEmpty() else cut(entries.join(over_most, ["_hub", "_el"]).select(F.col("_next").alias("_hub"), "_rep", "_comp").distinct())
     far = few.where("not _near").toDF("_hub", "_el", "_rep2", "_comp2", "_near2", "_s2", "_left2", "_in2")
     both = few.where("_in").join(far, ["_hub", "_el"]).where("_comp <> _comp2").where("_near or (_in2 and _rep < _rep2)")
     # of the elements that two differences share, the first in the order leaves enough after it on both sides
     both = both.where(F.least("_left", "_left2") * (2 * over) >= F.col("_s") + F.col("_s2"))
-    return links, cut(both.select(F.least("_rep", "_rep2").alias("a"), F.greatest("_rep", "_rep2").alias("b")).distinct()), deeper
+    return links, both.select(F.least("_rep", "_rep2").alias("a"), F.greatest("_rep", "_rep2").alias("b")), deeper
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
