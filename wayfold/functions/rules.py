@@ -167,34 +167,86 @@ POI_RANKS = {
     "shop": 18, "grocery": 19, "fast_food": 20, "clothing_store": 21, "bar": 22,
 }
 POI_SUBCLASSES = {"information": "information", "place_of_worship": "religion", "pitch": "sport"}
-#: Keys in order of precedence, with the values that make a point of interest; None: any value. A parameter of poi(); the long
-#: lists of shops and sports are left open, as every shop is a point of interest and other values of sport are rare.
-POI_KEYS: dict[str, tuple[str, ...] | None] = {
-    "amenity": tuple(
-        "arts_centre bank bar bbq bicycle_parking bicycle_rental biergarten bus_station cafe cinema clinic college community_centre courthouse dentist doctors embassy fast_food ferry_terminal fire_station food_court fuel grave_yard hospital ice_cream kindergarten library marketplace motorcycle_parking nightclub nursing_home parking pharmacy place_of_worship police post_box post_office prison pub public_building recycling restaurant school shelter swimming_pool taxi telephone theatre toilets townhall university veterinary waste_basket".split()
+#: Keys in order of precedence, with the values that make a point of interest. A parameter of poi(). Any other shop is one too, of class shop.
+POI_KEYS: dict[str, tuple[str, ...]] = {
+    "aerialway": (
+        "station",
+    ),
+    "amenity": (
+        "arts_centre", "bank", "bar", "bbq", "bicycle_parking", "bicycle_rental", "biergarten", "bus_station", "cafe", "cinema", "clinic", "college", "community_centre",
+        "courthouse", "dentist", "doctors", "embassy", "fast_food", "ferry_terminal", "fire_station", "food_court", "fuel", "grave_yard", "hospital", "ice_cream",
+        "kindergarten", "library", "marketplace", "motorcycle_parking", "nightclub", "nursing_home", "parking", "pharmacy", "place_of_worship", "police", "post_box",
+        "post_office", "prison", "pub", "public_building", "recycling", "restaurant", "school", "shelter", "swimming_pool", "taxi", "telephone", "theatre", "toilets",
+        "townhall", "university", "veterinary", "waste_basket",
+    ),
+    "barrier": (
+        "bollard", "border_control", "cycle_barrier", "gate", "lift_gate", "sally_port", "stile", "toll_booth",
+    ),
+    "building": (
+        "dormitory",
+    ),
+    "highway": (
+        "bus_stop",
+    ),
+    "historic": (
+        "monument", "castle", "ruins",
+    ),
+    "landuse": (
+        "basin", "brownfield", "cemetery", "reservoir", "winter_sports",
+    ),
+    "leisure": (
+        "dog_park", "escape_game", "garden", "golf_course", "ice_rink", "hackerspace", "marina", "miniature_golf", "park", "pitch", "playground", "sports_centre", "stadium",
+        "swimming_area", "swimming_pool", "water_park",
+    ),
+    "railway": (
+        "halt", "station", "subway_entrance", "train_station_entrance", "tram_stop",
+    ),
+    "shop": (
+        "accessories", "alcohol", "antiques", "art", "bag", "bakery", "beauty", "bed", "beverages", "bicycle", "books", "boutique", "butcher", "camera", "car", "car_repair",
+        "carpet", "charity", "chemist", "chocolate", "clothes", "coffee", "computer", "confectionery", "convenience", "copyshop", "cosmetics", "deli", "delicatessen",
+        "department_store", "doityourself", "dry_cleaning", "electronics", "erotic", "fabric", "florist", "frozen_food", "furniture", "garden_centre", "general", "gift",
+        "greengrocer", "hairdresser", "hardware", "hearing_aids", "hifi", "ice_cream", "interior_decoration", "jewelry", "kiosk", "lamps", "laundry", "mall", "massage",
+        "mobile_phone", "motorcycle", "music", "musical_instrument", "newsagent", "optician", "outdoor", "perfume", "perfumery", "pet", "photo", "second_hand", "shoes",
+        "sports", "stationery", "supermarket", "tailor", "tattoo", "ticket", "tobacco", "toys", "travel_agency", "video", "video_games", "watches", "weapons", "wholesale",
+        "wine",
+    ),
+    "sport": (
+        "american_football", "archery", "athletics", "australian_football", "badminton", "baseball", "basketball", "beachvolleyball", "billiards", "bmx", "boules", "bowls",
+        "boxing", "canadian_football", "canoe", "chess", "climbing", "climbing_adventure", "cricket", "cricket_nets", "croquet", "curling", "cycling", "disc_golf", "diving",
+        "dog_racing", "equestrian", "fatsal", "field_hockey", "free_flying", "gaelic_games", "golf", "gymnastics", "handball", "hockey", "horse_racing", "horseshoes",
+        "ice_hockey", "ice_stock", "judo", "karting", "korfball", "long_jump", "model_aerodrome", "motocross", "motor", "multi", "netball", "orienteering", "paddle_tennis",
+        "paintball", "paragliding", "pelota", "racquet", "rc_car", "rowing", "rugby", "rugby_league", "rugby_union", "running", "sailing", "scuba_diving", "shooting",
+        "shooting_range", "skateboard", "skating", "skiing", "soccer", "surfing", "swimming", "table_soccer", "table_tennis", "team_handball", "tennis", "toboggan",
+        "volleyball", "water_ski", "yoga",
+    ),
+    "tourism": (
+        "alpine_hut", "aquarium", "artwork", "attraction", "bed_and_breakfast", "camp_site", "caravan_site", "chalet", "gallery", "guest_house", "hostel", "hotel",
+        "information", "motel", "museum", "picnic_site", "theme_park", "viewpoint", "zoo",
+    ),
+    "waterway": (
+        "dock",
     ),
-    "historic": ("monument", "castle", "ruins"),
-    "landuse": ("basin", "brownfield", "cemetery", "reservoir", "winter_sports"),
-    "leisure": tuple("dog_park escape_game garden golf_course ice_rink hackerspace marina miniature_golf park pitch playground sports_centre stadium swimming_area swimming_pool water_park".split()),
-    "tourism": tuple("alpine_hut aquarium artwork attraction bed_and_breakfast camp_site caravan_site chalet gallery guest_house hostel hotel information motel museum picnic_site theme_park viewpoint zoo".split()),
-    "shop": None,
 }
 
 
-def poi(tags: dict[str, Column], keys: dict[str, tuple[str, ...] | None] = POI_KEYS) -> Column:
+def poi(tags: dict[str, Column], keys: dict[str, tuple[str, ...]] = POI_KEYS) -> Column:
     """struct<rank, class, subclass, layer> of the first key whose value makes a point of interest, else null."""
-    out = F.lit(None)
+
+    def found(rank: Column, cls: Column, sub: Column) -> Column:
+        return F.struct(rank.alias("rank"), cls.alias("class"), sub.alias("subclass"), F.when(rank > 4, "poi_detail").otherwise("poi").alias("layer"))
+
+    shop = tags.get("shop", F.lit(""))
+    out = F.when(shop != "", found(F.lit(POI_RANKS["shop"]), F.lit("shop"), shop))
     for key, values in reversed(list(keys.items())):
+        if key not in tags:
+            continue
         v = tags[key]
-        hit = (v != "") if values is None else v.isin(*values)
         cls = lookup(POI_CLASSES, v, key)
-        rank = lookup(POI_RANKS, cls, 25)
         special = lookup(POI_SUBCLASSES, v, "")
         sub = v
         for s in sorted(set(POI_SUBCLASSES.values())):
             sub = F.when(special == s, tags.get(s, F.lit(""))).otherwise(sub)
-        layer = F.when(rank > 4, "poi_detail").otherwise("poi")
-        out = F.when(hit, F.struct(rank.alias("rank"), F.when(special != "", v).otherwise(cls).alias("class"), sub.alias("subclass"), layer.alias("layer"))).otherwise(out)
+        out = F.when(v.isin(*values), found(lookup(POI_RANKS, cls, 25), F.when(special != "", v).otherwise(cls), sub)).otherwise(out)
     return out
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..shared import cut
+from .ordering import dense_index
 
 
 def prefix_index(df: DataFrame, name: str) -> DataFrame:
@@ -26,23 +30,32 @@ def _hex(bucket: Column, n: int) -> Column:
 def fan_out(df: DataFrame, chunk: str, name: str, size: Column, threshold: int, buckets: int = 16, depth: int = 5, order: str = "seq") -> DataFrame:
     """df with `leaf`: chunks over `threshold` bytes are split, and split again, into hash buckets of the name.
 
-    A level is one aggregation and one join; there are at most `depth`. Where more than three quarters of a chunk's rows hash to one
-    bucket, which the same hash could not part again, its rows are dealt by position instead. Chunks that fit, or hold one row, are leaves.
+    A level is one aggregation and one join, over rows that are still open; there are at most `depth`, and none after the first that splits nothing.
+    Where more than three quarters of a chunk's rows hash to one bucket, which the same hash could not part again, its rows are dealt by position instead:
+    only these are put in order, by ranges (ordering.dense_index), so no task holds a whole chunk. Chunks that fit, or hold one row, are leaves.
     """
-    rows = df.withColumn("leaf", F.col(chunk)).withColumn("_size", size).withColumn("_open", F.lit(True))
-    hashed = text.fnv1a(F.col(name), buckets)
-    for _ in range(depth):
-        rows = rows.withColumn("_b", hashed)
-        per = rows.where("_open").groupBy("leaf", "_b").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("s"))
+    columns = [*df.columns, "leaf"]
+    rows = df.withColumn("leaf", F.col(chunk)).withColumn("_size", size).withColumn("_b", text.fnv1a(F.col(name), buckets))
+    rows, done = cut(rows), []
+    for level in range(depth):
+        per = rows.groupBy("leaf", "_b").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("s"))
         stats = per.groupBy("leaf").agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.max("n").alias("_most"))
         # brackets and commas of the serialised array count too
-        stats = stats.select("leaf", ((F.col("_s") + F.col("_n") + 1 > threshold) & (F.col("_n") > 1)).alias("_split"), (F.col("_most") > 0.75 * F.col("_n")).alias("_deal"))
-        rows = rows.join(stats, "leaf", "left").withColumn("_split", F.col("_open") & F.coalesce("_split", F.lit(False)))
-        position = F.row_number().over(Window.partitionBy("leaf").orderBy(order)) - 1
-        bucket = F.when(F.col("_deal"), position % buckets).otherwise(F.col("_b"))
-        rows = rows.withColumn("leaf", F.when(F.col("_split"), F.concat("leaf", F.lit("-"), _hex(bucket, buckets))).otherwise(F.col("leaf")))
-        rows = rows.withColumn("_open", F.col("_split")).drop("_split", "_deal", "_b")
-    return rows.drop("_open", "_size")
+        split = (F.col("_s") + F.col("_n") + 1 > threshold) & (F.col("_n") > 1)
+        stats = cut(stats.where(split).select("leaf", (F.col("_most") > 0.75 * F.col("_n")).alias("_deal")))
+        if stats.isEmpty():
+            break
+        done.append(rows.join(stats, "leaf", "left_anti").select(*columns))
+        open_ = rows.join(stats, "leaf")
+        bucket = lambda b: F.concat("leaf", F.lit("-"), _hex(b, buckets))
+        parts = [open_.where(~F.col("_deal")).drop("_deal").withColumn("leaf", bucket(F.col("_b")))]
+        if not stats.where("_deal").isEmpty():
+            dealt = dense_index(open_.where("_deal").drop("_deal"), ["leaf", order], "_i")
+            first = dealt.groupBy("leaf").agg(F.min("_i").alias("_from"))
+            dealt = dealt.join(first, "leaf").withColumn("leaf", bucket((F.col("_i") - F.col("_from")) % buckets))
+            parts.append(dealt.drop("_i", "_from").select(*parts[0].columns))
+        rows = cut(reduce(DataFrame.unionByName, parts))
+    return reduce(DataFrame.unionByName, [*done, rows.select(*columns)])
 
 
 def adaptive_split(df: DataFrame, chunk: str, name: str, size: Column, threshold: int, most: int = 256) -> DataFrame:

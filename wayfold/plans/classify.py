@@ -100,16 +100,15 @@ def cl11(t):
     return t.geo_tag.select("id", rules.park_class(c("boundary"), c("leisure")).alias("class")).where("class is not null")
 
 
-_TAGS = ("amenity", "historic", "landuse", "leisure", "tourism", "shop")
+_TAGS = tuple(rules.POI_KEYS)
 
 
 def _poi_sql() -> str:
-    hit = lambda k: f"{k} <> ''" if rules.POI_KEYS[k] is None else f"{k} in {_in(rules.POI_KEYS[k])}"
-    key = "case " + " ".join(f"when {hit(k)} then '{k}'" for k in rules.POI_KEYS) + " end"
-    value = "case key_ " + " ".join(f"when '{k}' then {k}" for k in rules.POI_KEYS) + " end"
+    key = "case " + " ".join(f"when {k} in {_in(v)} then '{k}'" for k, v in rules.POI_KEYS.items()) + " when shop <> '' then 'other' end"
+    value = "case key_ " + " ".join(f"when '{k}' then {k}" for k in rules.POI_KEYS) + " else shop end"
     cls = _cases("v", rules.POI_CLASSES, "key_")
-    return f"""select id, rank_, case when v in {_in(rules.POI_SUBCLASSES)} then v else class end as class, case when v in {_in(rules.POI_SUBCLASSES)} then '' else v end as subclass, case when rank_ > 4 then 'poi_detail' else 'poi' end as layer
- from (select *, {_cases('class', rules.POI_RANKS, '25')} as rank_ from (select *, {cls} as class from (select *, {value} as v from (select *, {key} as key_ from geo_tag) a where key_ is not null) b) d) e"""
+    return f"""select id, rank_, case when key_ <> 'other' and v in {_in(rules.POI_SUBCLASSES)} then v else class end as class, case when key_ = 'other' then v when v = 'pitch' then sport when v in {_in(rules.POI_SUBCLASSES)} then '' else v end as subclass, case when rank_ > 4 then 'poi_detail' else 'poi' end as layer
+ from (select *, {_cases('class', rules.POI_RANKS, '25')} as rank_ from (select *, case when key_ = 'other' then 'shop' else {cls} end as class from (select *, {value} as v from (select *, {key} as key_ from geo_tag) a where key_ is not null) b) d) e"""
 
 
 @query("cl12_poi_rank", _poi_sql())

@@ -45,9 +45,14 @@ def sc3(t):
     return one.select(F.lit("zoom").alias("what"), "seq").union(upto.select(F.lit("upto"), "seq")).union(box.select(F.lit("box"), "seq"))
 
 
-@query("sc4_tile_counts", "select count(*) as tiles, min(z) as least_, max(z) as most from geo_tile")
+@query("sc4_tile_counts", "select tiles, least_, most, metadata from (select count(*) as tiles, min(z) as least_, max(z) as most from geo_tile) a, (select string_agg(n_name || '=' || cast(n_regionkey as varchar), ',' order by n_name) as metadata from nation) b")
 def sc4(t):
-    return t.geo_tile.agg(F.count(F.lit(1)).alias("tiles"), F.min("z").alias("least_"), F.max("z").alias("most"))
+    """Counts of tiles beside the archive's metadata, rows of name and value as one map."""
+    counts = t.geo_tile.agg(F.count(F.lit(1)).alias("tiles"), F.min("z").alias("least_"), F.max("z").alias("most"))
+    pairs = F.map_from_entries(F.collect_list(F.struct("n_name", c("n_regionkey").cast("string"))))
+    metadata = t.nation.agg(pairs.alias("metadata"))  # one row, of an archive's few names
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return counts.crossJoin(F.broadcast(metadata)).select("tiles", "least_", "most", shown.alias("metadata"))
 
 
 @query("sc5_nested_parquet", "select seq, num, street, city, dataset from geo_addr_new where lat_e7 between 0 and 300000000")
@@ -119,11 +124,13 @@ def sc14(t):
     return whole.join(sizes, "name").select("name", "bytes", F.md5("body").alias("body"))
 
 
-@query("sc15_side_sources", "select seq, 'ocean' as layer, null as featurecla from geo_tile where kind = 'vector' union all select seq, 'glacier', 'Glaciated areas' from geo_tile where kind = 'terrain'")
+@query("sc15_side_sources", "select seq, 'ocean' as layer, null as featurecla from geo_tile where kind = 'vector' union all select seq, 'glacier', case when z > 4 then 'Glaciated areas' else 'Ice shelves' end from geo_tile where kind = 'terrain'")
 def sc15(t):
-    ocean = t.geo_tile.where("kind = 'vector'").select("seq", F.lit("ocean").alias("layer"))
-    ice = t.geo_tile.where("kind = 'terrain'").select("seq", F.lit("glacier").alias("layer"), F.lit("Glaciated areas").alias("featurecla"))
-    return ocean.unionByName(ice, allowMissingColumns=True)
+    """Side sources as written tables of their own columns, of which only the wanted ones are read, as one layer table."""
+    folder = scratch(t.spark)
+    t.geo_tile.where("kind = 'vector'").select("seq", "x", "y", "size").write.parquet(f"{folder}/ocean")
+    t.geo_tile.where("kind = 'terrain'").select("seq", "age", F.when(c("z") > 4, "Glaciated areas").otherwise("Ice shelves").alias("featurecla")).write.parquet(f"{folder}/glacier")
+    return readers.side_sources(t.spark, folder, {"ocean": ["seq"], "glacier": ["seq", "featurecla"]})
 
 
 @query("sk1_feed_roundtrip", _FEED)

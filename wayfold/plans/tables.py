@@ -55,20 +55,22 @@ VIEWS = {
     "geo_tag": """select p_partkey as id, p_size as k, case p_size % 9 when 0 then 'city' when 1 then 'town' when 2 then 'village' when 3 then 'country' when 4 then 'state' when 5 then 'hamlet' when 6 then 'island' else '' end as place,
  (p_partkey * 7919) % 6000000 as population, case p_partkey % 7 when 0 then 'yes' when 1 then '2' when 2 then '4' when 3 then '6' when 4 then 'no' else '' end as capital,
  case p_size % 16 when 0 then 'motorway' when 1 then 'trunk' when 2 then 'primary' when 3 then 'secondary' when 4 then 'tertiary' when 5 then 'residential' when 6 then 'service' when 7 then 'footway'
-  when 8 then 'motorway_link' when 9 then 'primary_link' when 10 then 'construction' when 11 then 'raceway' when 12 then 'proposed' when 13 then 'track' when 14 then 'tertiary_link' else '' end as highway,
+  when 8 then 'motorway_link' when 9 then 'primary_link' when 10 then 'construction' when 11 then 'raceway' when 12 then 'proposed' when 13 then 'track' when 14 then 'tertiary_link' when 15 then 'bus_stop' else '' end as highway,
  case p_partkey % 5 when 0 then 'primary' when 1 then 'residential' else '' end as construction,
  case p_partkey % 6 when 0 then 'asphalt' when 1 then 'gravel' when 2 then 'wood' when 3 then 'mud' else '' end as surface,
- case p_size % 8 when 0 then 'rail' when 1 then 'narrow_gauge' when 2 then 'light_rail' when 3 then 'subway' when 4 then 'tram' when 5 then 'abandoned' else '' end as railway,
+ case p_size % 8 when 0 then 'rail' when 1 then 'narrow_gauge' when 2 then 'light_rail' when 3 then 'subway' when 4 then 'tram' when 5 then 'abandoned' when 6 then 'station' when 7 then 'halt' else '' end as railway,
  case p_partkey % 4 when 0 then 'main' when 1 then 'branch' else '' end as usage_, case p_partkey % 3 when 0 then 'yard' else '' end as service,
  case p_partkey % 10 when 0 then '2' when 1 then '4' when 2 then '6' when 3 then '7' when 4 then '8' when 5 then 'x' else '' end as admin_level,
  case p_partkey % 13 when 0 then 'yes' else '' end as maritime, case p_partkey % 12 when 0 then 'yes' else '' end as disputed,
- case p_size % 10 when 0 then 'river' when 1 then 'stream' when 2 then 'canal' when 3 then 'dam' when 4 then 'boatyard' when 5 then 'fuel' else '' end as waterway,
+ case p_size % 10 when 0 then 'river' when 1 then 'stream' when 2 then 'canal' when 3 then 'dam' when 4 then 'boatyard' when 5 then 'fuel' when 6 then 'dock' else '' end as waterway,
  case p_size % 11 when 0 then 'water' when 1 then 'wood' when 2 then 'beach' when 3 then 'wetland' when 4 then 'peak' when 5 then 'glacier' else '' end as natural_,
  case p_partkey % 8 when 0 then 'forest' when 1 then 'residential' when 2 then 'farm' when 3 then 'cemetery' when 4 then 'reservoir' else '' end as landuse,
  case p_size % 7 when 0 then 'park' when 1 then 'nature_reserve' when 2 then 'pitch' when 3 then 'golf_course' else '' end as leisure,
  case p_partkey % 9 when 0 then 'hospital' when 1 then 'cafe' when 2 then 'place_of_worship' when 3 then 'fuel' when 4 then 'school' when 5 then 'bar' else '' end as amenity,
  case p_size % 6 when 0 then 'hotel' when 1 then 'museum' when 2 then 'viewpoint' when 3 then 'information' else '' end as tourism,
  case p_partkey % 14 when 0 then 'books' when 1 then 'wine' when 2 then 'odd' when 3 then 'supermarket' else '' end as shop,
+ case p_partkey % 23 when 0 then 'station' when 1 then 'gondola' else '' end as aerialway, case p_partkey % 18 when 0 then 'gate' when 1 then 'stile' when 2 then 'fence' else '' end as barrier,
+ case p_partkey % 21 when 0 then 'dormitory' when 1 then 'yes' else '' end as building, case p_partkey % 16 when 0 then 'soccer' when 1 then 'tennis' when 2 then 'golf' when 3 then 'quidditch' else '' end as sport,
  case p_partkey % 15 when 0 then 'castle' when 1 then 'ruins' when 2 then 'tomb' else '' end as historic,
  case p_size % 5 when 0 then 'aerodrome' when 1 then 'terminal' when 2 then 'runway' else '' end as aeroway, case p_partkey % 6 when 0 then 'international' when 1 then 'odd' else '' end as aerodrome,
  case when p_partkey % 3 = 0 then p_name else '' end as name, case when p_partkey % 9 = 0 then p_name || ' EN' when p_partkey % 9 = 3 then p_name else '' end as name_en,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +85,9 @@ def whole_chunks(parts: DataFrame, manifest: DataFrame) -> DataFrame:
     out = both.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce(good, F.lit(False))).alias("_good"), F.array_sort(F.collect_list(F.struct("idx", "data"))).alias("_parts"))
     body = F.aggregate("_parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["data"]))
     return out.select("name", "n", F.when(F.col("_good"), body).alias("body"))
+
+
+def side_sources(spark: SparkSession, folder: str, wanted: dict[str, list[str]]) -> DataFrame:
+    """Tables beside each other in a folder as one, with `layer`; of each only the wanted columns are read, and others of them are null."""
+    parts = [spark.read.parquet(f"{folder}/{layer}").select(*columns, F.lit(layer).alias("layer")) for layer, columns in wanted.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
