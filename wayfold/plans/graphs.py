@@ -89,23 +89,35 @@ def g3(t):
     return routes.routes(pairs_of(own), own, nodes).select("pair", "time_ms")
 
 
-@query("g4_astar_main_roads", f"{_EDGES.replace('with ', 'with recursive ', 1)}, {_MAIN}, {_PAIR.replace('from ed', 'from mn')}, {_least('rec', 'mn', 'select pair, s as node from pr')} select pr.pair, cost as time_ms from pr left join rec on rec.pair = pr.pair and rec.node = pr.e")
+def two_steps(main):
+    """(pair, a, b): of each remainder the least node with a way over two edges to another one, and the least such end."""
+    on = main.select(c("src").alias("a"), c("dst").alias("_mid")).join(main.select(c("src").alias("_mid"), c("dst").alias("b")), "_mid").where("a <> b")
+    return on.groupBy((c("a") % _PAIRS).alias("pair")).agg(F.min(F.struct("a", "b")).alias("_m")).select("pair", "_m.a", "_m.b")
+
+
+_MIDS = f"md as (select x.src % {_PAIRS} as pair, min(x.src) as a, min_by(y.dst, row(x.src, y.dst)) as b from mn x join mn y on y.src = x.dst where y.dst <> x.src group by 1)"
+_MAINLY = _EDGES.replace("with ", "with recursive ", 1) + f", {_MAIN}, {_MIDS}, {_least('r1', 'mn', 'select pair, a as node from md')}"
+
+
+@query("g4_astar_main_roads", f"{_MAINLY} select md.pair, cost as time_ms from md left join r1 on r1.pair = md.pair and r1.node = md.b")
 def g4(t):
     own, nodes = graph(t, main=True)
-    return routes.routes(pairs_of(own), own, nodes).select("pair", "time_ms")
+    return routes.routes(two_steps(own).select("pair", c("a").alias("start"), c("b").alias("end")), own, nodes).select("pair", "time_ms")
 
 
-_MIDS = f"md as (select pr.pair, s, e, min(src) as a, max(src) as b from pr join (select distinct src from mn where src < {_SHARED}) m on m.src % {_PAIRS} = (pr.pair + 1) % {_PAIRS} group by 1, 2, 3)"
+_LEGS = f"lg as (select md.pair, a, b, coalesce(min(x.src), a) as s, coalesce(max(y.dst), b) as e from md left join wt x on x.dst = a left join wt y on y.src = b group by md.pair, a, b)"
 
 
-@query("g5_two_pass_route", f"""{_EDGES.replace('with ', 'with recursive ', 1)}, {_WT}, {_MAIN}, {_PAIR}, {_MIDS}, {_least('r0', 'wt', 'select pair, s as node from md')}, {_least('r1', 'mn', 'select pair, a as node from md')}, {_least('r2', 'wt', 'select pair, b as node from md')}
- select md.pair, r0.cost + r1.cost + r2.cost as time_ms from md left join r0 on r0.pair = md.pair and r0.node = md.a left join r1 on r1.pair = md.pair and r1.node = md.b left join r2 on r2.pair = md.pair and r2.node = md.e""")
+@query("g5_two_pass_route", f"""{_MAINLY}, {_WT}, {_LEGS}, {_least('r0', 'wt', 'select pair, s as node from lg')}, {_least('r2', 'wt', 'select pair, b as node from lg')}
+ select lg.pair, r0.cost + r1.cost + r2.cost as time_ms from lg left join r0 on r0.pair = lg.pair and r0.node = lg.a left join r1 on r1.pair = lg.pair and r1.node = lg.b left join r2 on r2.pair = lg.pair and r2.node = lg.e""")
 def g5(t):
     """Local roads to a junction of main roads, main roads to another, local roads to the end."""
     every, nodes = cut(edges(t).select("src", "dst", "dist_dm", "time_ms", "access", "speed")), cut(t.geo_node)
     own, main = routes.by_cell(every, nodes), routes.by_cell(routes.main_roads(every), nodes)
-    mids = main.where(c("src") < _SHARED).groupBy(((c("src") + _PAIRS - 1) % _PAIRS).alias("pair")).agg(F.min("src").alias("a"), F.max("src").alias("b"))
-    return routes.two_pass(pairs_of(own).join(mids, "pair"), own, main, nodes).select("pair", "time_ms")
+    legs = two_steps(main)
+    near = legs.join(own.select(c("dst").alias("a"), c("src").alias("_s")), "a", "left").join(own.select(c("src").alias("b"), c("dst").alias("_e")), "b", "left")
+    asked = near.groupBy("pair", "a", "b").agg(F.coalesce(F.min("_s"), c("a")).alias("start"), F.coalesce(F.max("_e"), c("b")).alias("end"))
+    return routes.two_pass(cut(asked), own, main, nodes).select("pair", "time_ms")
 
 
 @query("g6_measure_path", f"{_PIECED} select way_id as path, count(*) as hops, cast(sum(d) as bigint) as dist_dm from (select p.way_id, p.segment, min_by(q.dist_dm, row(q.way_id, q.segment)) as d from pc p join pc q on q.src = p.src and q.dst = p.dst group by p.way_id, p.segment) x group by way_id")
