@@ -26,7 +26,8 @@ elements after it in both (positional filter). An element that would make more t
 in it are a group of the next round, with a core of their own, which then holds what they share. They are at most half of their group, so the rounds end,
 and elements with the same documents make one group.
 
-Groups of more than HOT members are dealt to salts in proportion to their size wherever they meet their core or another value of the group; buckets are
+Where sizes, cores and other values of groups are counted to be small they are broadcast to the members; else groups of more than HOT members are dealt to
+salts in proportion to their size, so that no group meets its values in one task. Buckets are
 found with grouped counts (partial aggregation) and equi-joins, whose hot keys AQE may split. Nothing of the corpus goes to the driver.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing; rows that share a doc_id but not their text are documents of
@@ -46,12 +47,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent, col, cut, forget, small_batches, small_side, table, tidy, worker_state
+from .common import BROADCAST_ROWS, Recent, col, cut, forget, small_batches, small_side, table, tidy, worker_state
 from .components import components
 
 PERMS, ROWS, MARGIN, SMALL, SEED = 96, 6, 0.15, 8, 7
-#: Pairs that one element of a group may make, and members of a group for each of its salts.
-PAIRS, HOT = 1 << 18, 1000
+#: Pairs that one element of a group may make; members of a group for each of its salts; elements of all cores up to which they are broadcast (8 MB).
+PAIRS, HOT, CORE_ELEMENTS = 1 << 18, 1000, 1 << 20
 BANDS = 2 * PERMS // ROWS
 CACHE, CHUNK = 24 << 20, 4096
 
@@ -185,34 +186,28 @@ def _round(grouped: DataFrame, sets: DataFrame, percent: int, most: int) -> tupl
     """(links, candidates, groups of the next round or None)."""
     over, under = 100 + percent, 100 - percent
     sizes = cut(grouped.groupBy("_hub").agg(F.count(F.lit(1)).alias("_docs")))
-    hot = sizes.where(F.col("_docs") > HOT).select("_hub", F.ceil(F.col("_docs") / HOT).alias("_salts"))
-    if any_hot := not hot.isEmpty():
-        hot = small_side(hot)
 
-    def dealt(df: DataFrame, by: str) -> DataFrame:
-        """df, each row in one of its group's salts."""
-        if not any_hot:
-            return df.withColumn("_salt", F.lit(0).cast("long"))
-        return df.join(hot, "_hub", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")), F.lit(0))).drop("_salts")
-
-    def spread(df: DataFrame) -> DataFrame:
-        """df, each row in all of its group's salts."""
-        if not any_hot:
-            return df.withColumn("_salt", F.lit(0).cast("long"))
-        return df.join(hot, "_hub", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-
-    at = ["_hub", "_salt"]
+    def meet(df: DataFrame, groups: DataFrame, how: str, by: str, small: bool) -> DataFrame:
+        """df with a table of one row for each group: broadcast if that is small, else by group and salt, of which large groups have many."""
+        if small:
+            return df.join(F.broadcast(groups), "_hub", how)
+        hot = small_side(sizes.where(F.col("_docs") > HOT).select("_hub", F.ceil(F.col("_docs") / HOT).alias("_salts")))
+        salted = df.join(hot, "_hub", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")), F.lit(0))).drop("_salts")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))
+        return salted.join(groups.join(hot, "_hub", "left").withColumn("_salt", every).drop("_salts"), ["_hub", "_salt"], how).drop("_salt")
 
+    few_groups = sizes.count() <= BROADCAST_ROWS
     rows = cut(grouped.join(sets, "_rep"))
     counts = rows.select("_hub", F.explode("_els").alias("_el")).groupBy("_hub", "_el").count()
-    often = dealt(counts, "_el").join(spread(sizes), at).where(F.col("count") * 2 > F.col("_docs"))
-    core = often.groupBy("_hub").agg(F.collect_list("_el").alias("_core"))  # at most twice as many as its sets have on average
+    often = meet(counts, sizes, "inner", "_el", few_groups).where(F.col("count") * 2 > F.col("_docs"))
+    core = cut(often.groupBy("_hub").agg(F.collect_list("_el").alias("_core")))  # at most twice as many as its sets have on average
+    elements = core.agg(F.sum(F.size("_core"))).first()[0] or 0
     known = F.coalesce("_core", F.array().cast("array<long>"))
     differs = F.concat(F.array_except("_els", known), F.array_except(known, "_els"))
-    rows = dealt(rows, "_rep").join(spread(core), at, "left").select(*at, "_rep", "_comp", F.size("_els").alias("_n"), differs.alias("_diff"))
+    rows = meet(rows, core, "left", "_rep", elements <= CORE_ELEMENTS).select("_hub", "_rep", "_comp", F.size("_els").alias("_n"), differs.alias("_diff"))
     rows = cut(rows.withColumn("_s", F.size("_diff").cast("long") * over - F.col("_n") * under))
     least = rows.groupBy("_hub").agg(F.min(F.struct("_s", "_rep")).alias("_m")).select("_hub", F.col("_m._s").alias("_least"), F.col("_m._rep").alias("_mid"))
-    rows = rows.join(spread(least), at).withColumn("_near", F.col("_s") <= -F.col("_least"))
+    rows = meet(rows, least, "inner", "_rep", few_groups).withColumn("_near", F.col("_s") <= -F.col("_least"))
     links = rows.where("_near and _rep <> _mid").select(F.least("_rep", "_mid").alias("a"), F.greatest("_rep", "_mid").alias("b"))
 
     q = F.col("_s") + F.greatest(F.col("_least"), -F.col("_least"))
