@@ -62,8 +62,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("mixing", mix_sources), ("sentencepiece", encode)]
 
-#: SQL can't express the language model, the banding or the tokenizer. tests/llm/test_pipeline.py checks columns, counts and the bytes of ids only: no stage's rows are
-#: compared with brute force on the pipeline's own input.
+#: SQL can't express the language model, the banding or the tokenizer; tests/llm/test_pipeline.py compares each stage after the first with brute force on the rows
+#: that the stage before it kept, and checks which documents the first one keeps.
 ORACLE_SQL = None
 
 
