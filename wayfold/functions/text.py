@@ -18,9 +18,15 @@ STREET_WORDS = {
 
 
 @F.pandas_udf(T.StringType())
-def fold(s: pd.Series) -> pd.Series:
-    """Lower case without accents, by compatibility decomposition. The one text function here without a built-in form."""
-    return s.map(lambda x: x if x is None else x.lower() if x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not unicodedata.combining(c)))
+def _decomposed(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not unicodedata.combining(c)))
+
+
+def fold(s: Column | str) -> Column:
+    """Lower case without accents, by compatibility decomposition, which has no built-in form: only names that aren't ASCII are worked on in Python."""
+    s = F.col(s) if isinstance(s, str) else s
+    plain = s.rlike(r"\A\p{ASCII}*\z")
+    return F.when(plain, F.lower(s)).otherwise(_decomposed(F.when(~plain, s)))
 
 
 def street_key(folded: Column, words: dict[str, str] = STREET_WORDS) -> Column:
