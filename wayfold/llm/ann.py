@@ -4,8 +4,8 @@ Inner product becomes an angle by one more component, sqrt(largest squared norm
 vectors at the median of their projections on a random direction; directions come from a seed, the tree and the node's place in its subtree, so
 only medians are stored.
 
-Index: grown in tiers. Each tier counts the vectors of every cell (a node of a tree); those of more than LEAF are open and get a subtree of up to
-2^BITS leaves, whose medians are taken from a sample of about FIT vectors for each leaf of that subtree, drawn in the cell, so no group is larger
+Index: grown in tiers. Each tier counts the vectors of every cell (a node of a tree); those of more than 1.5 * LEAF are open and get a subtree of up to
+2^BITS leaves of at most about LEAF, whose medians are taken from a sample of about FIT vectors for each leaf of that subtree, drawn in the cell, so no group is larger
 than FIT * 2^BITS or so. All vectors of open cells go down their subtree. The tiers end when no cell is open: leaves are bounded at any size of
 the table, and nothing of it is fitted on the driver. Vectors move once for each tree and tier, in the type that they have (4 bytes a component).
 
@@ -32,14 +32,14 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, small_batches, small_side, table
+from .common import col, cut, forget, small_batches, small_side, table
 
 K, EVERY = 20, 20
 TREES, LEAF, BITS, FIT, PROBES, FEW, GROWTH, TILE, SEED = 8, 256, 6, 64, 64, 512, 0.8, 2048, 11
@@ -103,25 +103,27 @@ def _matrix(column: pd.Series, kind: str) -> np.ndarray:
 
 
 def best_of(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query (ids, scores) of its k best rows of x: a matrix product proposes them, sums in a fixed order score them."""
+    """For blocks of queries, (ids, scores) of the k best rows of x for each: a matrix product proposes them, sums in a fixed order score them."""
     for at in range(0, len(queries), 256):
-        fast = queries[at : at + 256] @ x.T
-        for q, f in zip(queries[at : at + 256], fast):
-            near = np.argpartition(-f, k + SPARE)[: k + SPARE] if len(x) > k + SPARE else np.arange(len(x))
-            exact = np.cumsum(x[near] * q, axis=1)[:, -1]  # one after the other, so that equal vectors score equally anywhere
-            order = np.lexsort((ids[near], -exact))[:k]
-            yield ids[near][order], exact[order]
+        q = queries[at : at + 256]
+        if len(x) > k + SPARE:
+            near = np.argpartition(-(q @ x.T), k + SPARE, axis=1)[:, : k + SPARE]
+        else:
+            near = np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
+        exact = np.zeros(near.shape)
+        for xd, qd in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(q.T)):  # one component after the other, so that equal vectors score equally anywhere
+            exact += np.take(xd, near) * qd[:, None]
+        order = np.lexsort((ids[near], -exact), axis=1)[:, :k]
+        yield np.take_along_axis(ids[near], order, 1), np.take_along_axis(exact, order, 1)
 
 
 def _score(k: int, kind: str):
     def score(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list = [np.empty((0,), np.int64)], [np.empty((0,), np.int64)], [np.empty((0,))]
-        if len(rows) and len(queries):
-            found = best_of(_matrix(rows["vec"], kind), rows["cid"].to_numpy(), _matrix(queries["vec"], kind), k)
-            for query, (ids, scores) in zip(queries["query"], found):
-                for kept, values in zip(out, (np.full(len(ids), query), ids, scores)):
-                    kept.append(values)
-        return pd.DataFrame(dict(zip(("query", "cid", "score"), map(np.concatenate, out))))
+        if not len(rows) or not len(queries):
+            return pd.DataFrame({"query": np.empty(0, np.int64), "cid": np.empty(0, np.int64), "score": np.empty(0)})
+        found = list(best_of(_matrix(rows["vec"], kind), rows["cid"].to_numpy(), _matrix(queries["vec"], kind), k))
+        ids, scores = (np.concatenate(part) for part in zip(*found))
+        return pd.DataFrame({"query": np.repeat(queries["query"].to_numpy(), ids.shape[1]), "cid": ids.ravel(), "score": scores.ravel()})
 
     return score
 
@@ -162,10 +164,10 @@ def grow(vectors: DataFrame, norm2: float, kind: str, trees: int = TREES, leaf:
 
     at = ["tree", "cell"]
     open_ = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(1).cast("long").alias("cell"), "cid", "vec")
-    closed, subtrees = [], []
+    closed, subtrees, grown = [], [], []
     while True:
         bits = F.least(F.lit(BITS), F.ceil(F.log2(F.col("n") / leaf))).cast("int")
-        sizes = cut(open_.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).withColumn("bits", F.when(F.col("n") > leaf, bits).otherwise(0)))
+        sizes = cut(open_.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).withColumn("bits", F.when(F.col("n") > 1.5 * leaf, bits).otherwise(0)))
         # 56 bits of path are more than any table needs; vectors that no direction tells apart stay together, and are scored in tiles
         more = sizes.where((F.col("bits") > 0) & (F.col("cell") < F.lit(2**56)))
         tier = len(subtrees)
@@ -177,10 +179,11 @@ def grow(vectors: DataFrame, norm2: float, kind: str, trees: int = TREES, leaf:
         drawn = open_.join(small_side(more, SUBTREES), at).where(wanted).select(*at, "bits", "vec")
         subtrees.append(cut(drawn.groupBy(*at).applyInPandas(fit(tier), "tree int, cell long, bits int, splits array<double>")))
         open_ = cut(open_.join(small_side(subtrees[-1], SUBTREES), at).mapInPandas(down(tier), "tree int, cell long, cid long, vec binary"))
-    index = closed[0]
-    for part in closed[1:]:
-        index = index.unionByName(part)
-    return cut(index), subtrees
+        grown.append(open_)
+    index = cut(reduce(DataFrame.unionByName, closed))
+    for stale in grown:
+        forget(stale)
+    return index, subtrees
 
 
 def search(queries: DataFrame, subtrees: list[DataFrame], probes: int, kind: str, trees: int = TREES) -> DataFrame:
