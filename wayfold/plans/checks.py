@@ -196,9 +196,9 @@ def v16(t):
     return rows.withColumn("peak", peak).select("source", "platform", "peak", F.when(c("peak").isNull() | (c("peak") > c("ceiling")), "fail").otherwise("pass").alias("status"))
 
 
-@_check("v17_cells_present", "select la, lo, d.n from (select la, lo from range(-30, -20) a(la), range(-100, -90) b(lo)) g left join (select cast(floor(lat_e7 / 1e7) as bigint) as la, cast(floor(lon_e7 / 1e7) as bigint) as lo, count(*) as n from geo_poi group by 1, 2) d using (la, lo)", "n is null", "cast(la as varchar) || ' ' || cast(lo as varchar)")
+@_check("v17_cells_present", "select la, lo, d.n from (select la, lo from range(-60, 61) a(la), range(-170, 171) b(lo)) g left join (select cast(floor(lat_e7 / 1e7) as bigint) as la, cast(floor(lon_e7 / 1e7) as bigint) as lo, count(*) as n from geo_poi group by 1, 2) d using (la, lo)", "n is null", "cast(la as varchar) || ' ' || cast(lo as varchar)")
 def v17(t):
-    grid = t.spark.range(-30, -20).select(c("id").alias("la"), F.explode(F.sequence(F.lit(-100).cast("long"), F.lit(-91).cast("long"))).alias("lo"))
+    grid = t.spark.range(-60, 61).select(c("id").alias("la"), F.explode(F.sequence(F.lit(-170).cast("long"), F.lit(170).cast("long"))).alias("lo"))
     have = t.geo_poi.groupBy(F.floor(c("lat_e7") / 1e7).alias("la"), F.floor(c("lon_e7") / 1e7).alias("lo")).agg(F.count(F.lit(1)).alias("k"))
     return verdict(grid.join(have, ["la", "lo"], "left"), "v17_cells_present", c("k").isNull(), F.concat_ws(" ", c("la").cast("string"), c("lo").cast("string")))
 
