@@ -36,14 +36,14 @@ def _place(spark: SparkSession, path: str) -> tuple:
     return place, place.getFileSystem(context._jsc.hadoopConfiguration())
 
 
-def cut(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def cut(df: DataFrame, by: list[str] | None = None, codec: str = "snappy") -> DataFrame:
     """df written, in folders by the columns `by` if any, as a table to a shared folder and read back: its lineage ends here, and lost executors lose nothing of it.
 
     A table, not checkpoint(), because a checkpoint keeps the size estimates of the plan that made it: in iterations with joins these are
     multiplied round by round, up to numbers of millions of digits that the planner then computes with. The table goes when the driver ends, or by forget().
     """
     path = folder(df.sparkSession)
-    df.write.partitionBy(*by or []).parquet(path)
+    df.write.partitionBy(*by or []).option("compression", codec).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._wayfold_path = path
     return back
