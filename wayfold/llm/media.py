@@ -132,12 +132,15 @@ def sequence(page: str | None) -> list[dict]:
     return parser.finish()
 
 
-def interleave(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages and _sequence."""
+def interleave(pages: DataFrame, html_col: str = "html", texts: bool = True) -> DataFrame:
+    """pages and _sequence; without `texts`, text structs keep their place but not their text, which then needn't leave the worker."""
+
+    def items(page: str | None) -> list[dict]:
+        return sequence(page) if texts else [x | {"text": None} for x in sequence(page)]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(sequence)
+            yield batch.map(items)
 
     @F.pandas_udf(SEQUENCE)
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -206,7 +209,7 @@ def store(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
 
     small_batches(payloads.sparkSession)
     rows = payloads.select(col(payload_col).alias("_raw")).where("_raw is not null")
-    return cut(rows.mapInPandas(tidy(run), "digest string, stored binary"))
+    return cut(rows.mapInPandas(tidy(run), "digest string, stored binary"), codec="zstd")
 
 
 #: Digests that a task remembers; beyond them a payload may be stored again.
@@ -266,10 +269,10 @@ def resolve(pages: DataFrame, media: DataFrame) -> DataFrame:
 def op10_media(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     media = described(store(docs.select(payload_of(F.col("text")).alias("payload"))))
-    pages = interleave(pages_of(docs), "_html")
-    # the query reports no texts, so they needn't move
-    light = F.transform("_sequence", lambda s: s.withField("text", F.lit(None).cast("string")))
-    found = resolve(pages.select("_id", "_n_bytes", F.size("_sequence").alias("_items"), light.alias("_sequence")), media)
-    rows = found.select("*", F.filter("_sequence", lambda s: s["kind"] == "media")[0].alias("_m"))
+    pages = interleave(pages_of(docs), "_html", texts=False)
+    # the query reports no texts, so only media structs move, with their positions
+    only = F.filter("_sequence", lambda s: s["kind"] == "media")
+    found = resolve(pages.select("_id", "_n_bytes", F.size("_sequence").alias("_items"), only.alias("_sequence")), media)
+    rows = found.select("*", F.col("_sequence")[0].alias("_m"))
     measures = [F.col(f"_m.media.{x.split()[0]}") for x in MEDIA.split(", ")[1:]]
     return rows.select(F.col("_id").alias("doc_id"), F.col("_n_bytes").alias("n_bytes"), *measures, F.col("_m.pos").alias("position"), F.col("_m.caption").alias("caption"), F.col("_items").alias("items"))
