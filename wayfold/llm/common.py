@@ -7,6 +7,7 @@ import functools
 from collections.abc import Callable, Iterator
 from sys import getsizeof
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,27 @@ def packed(df: DataFrame) -> Column:
     return F.struct(*[col(c).alias(c) for c in df.columns])
 
 
+def beside(df: DataFrame, run: Callable[[Iterator], Iterator], kind: str, *names: str) -> DataFrame:
+    """df and the fields of `kind` that run makes from batches of the columns `names`, one row for each.
+
+    Only these columns go to Python: what passes through pandas changes where nulls are (a long becomes a double), so ids stay with Spark.
+    """
+    small_batches(df.sparkSession)
+    if len(names) == 1:
+
+        @F.pandas_udf(f"struct<{', '.join(':'.join(field.split(' ', 1)) for field in kind.split(', '))}>")
+        def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            yield from run(batches)
+
+    else:
+
+        @F.pandas_udf(f"struct<{', '.join(':'.join(field.split(' ', 1)) for field in kind.split(', '))}>")
+        def made(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+            yield from run(batches)
+
+    return df.withColumn("_made", made(*names)).select(*df.columns, "_made.*")
+
+
 #: Bytes of an entry of a dict besides its key and value, at the usual load.
 _SLOT = 100
 

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, Recent, col, cut, forget, small_batches, small_side, table, tidy, worker_state
+from .common import BROADCAST_ROWS, Recent, beside, col, cut, forget, small_batches, small_side, table, tidy, worker_state
 from .components import components
 
 PERMS, ROWS, MARGIN, SMALL, SEED = 96, 6, 0.15, 8, 7
@@ -107,20 +107,16 @@ def sketch(hashes: np.ndarray, perms: int = PERMS, rows: int = ROWS, seed: int =
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """docs(_id, _text, _key) to (_id, _key, _n, _set, _sig, _keys) for each row; the last three are null where the set is empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
             rows = []
-            for text in batch["_text"]:
+            for text in texts:
                 h = shingles(text, width)
                 rows.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), *sketch(h)) if len(h) else (0, None, None, None))
-            frame = pd.DataFrame(rows, columns=["_n", "_set", "_sig", "_keys"])
-            frame.insert(0, "_id", batch["_id"].to_numpy())
-            frame.insert(1, "_key", batch["_key"].to_numpy())
-            yield frame
-
-    small_batches(docs.sparkSession)
-    kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInPandas(tidy(run), f"_id {kind}, _key long, _n long, _set binary, _sig binary, _keys array<long>")
+            yield pd.DataFrame(rows, columns=["_n", "_set", "_sig", "_keys"])
+
+    found = beside(docs.select("_id", "_text", "_key"), tidy(run), "_n long, _set binary, _sig binary, _keys array<long>", "_text")
+    return found.select("_id", "_key", "_n", "_set", "_sig", "_keys")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, by_share, col, let, share_of, small_batches, table, tidy
+from .common import Recent, beside, by_share, col, let, share_of, small_batches, table, tidy
 
 ROWS, BUCKETS, EPOCHS, CACHE, KEEP = 3_000, 1 << 16, 6, 48 << 20, 0.5
 SYMBOLS = "#$%&*{}<>|\\^~=_@"
@@ -150,15 +150,15 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     fitted = fit_scorer([(ids, x) for _, ids, x in sample], np.array([known[p] for p, _, _ in sample])) if sample else None
     shared = spark.sparkContext.broadcast((known, fitted))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         posterior, model = shared.value
         if model:
             weights, bias = model
             worth = Recent(lambda w: float(sum(weights[f] for f in features(w))), CACHE)
-        for batch in batches:
-            p = [posterior[x] for x in batch["_pattern"]]
+        for texts, patterns in batches:
+            p = [posterior[x] for x in patterns]
             scores = []
-            for text, own in zip(batch["_text"], p):
+            for text, own in zip(texts, p):
                 words = text.split() if text else []
                 if not words:
                     scores.append(0.0)
@@ -167,10 +167,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
                 else:
                     z = sum(map(worth.__getitem__, words)) / len(words) + bias
                     scores.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-            yield pd.DataFrame({"_id": batch["_id"], "_posterior": p, "_score": scores, "_kept": [s >= KEEP for s in scores]})
+            yield pd.DataFrame({"_posterior": p, "_score": scores, "_kept": [s >= KEEP for s in scores]})
 
-    kind = docs.schema["_id"].dataType.simpleString()
-    return voted.select("_id", "_text", "_pattern").mapInPandas(tidy(run), f"_id {kind}, _posterior double, _score double, _kept boolean")
+    found = beside(voted, tidy(run), "_posterior double, _score double, _kept boolean", "_text", "_pattern")
+    return found.select("_id", "_posterior", "_score", "_kept")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import Recent, col, small_batches, table, tidy, worker_state
+from .common import Recent, beside, col, table, tidy, worker_state
 
 MARK = "▁"
 #: Bytes of the worker caches of units and pairs, and characters of the longest unit that is kept in one.
@@ -162,22 +162,19 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     No shuffle: a row's result depends on its text alone.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path or model_path())
-        for batch in batches:
+        for texts in batches:
             out = []
-            for text in batch["_text"]:
+            for text in texts:
                 ids = own.encode(text or "")
                 decoded = own.decode(ids)
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids if keep_ids else None))
-            frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-            frame.insert(0, "_id", batch["_id"].to_numpy())
-            yield frame if keep_ids else frame.drop(columns="ids")
-
-    small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(col(id_col).alias("_id"), col(text_col).alias("_text"))
-    return rows.mapInPandas(tidy(run, "pieces"), f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids)[: 3 + keep_ids])
+            yield pd.DataFrame(out, columns=names)
+
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + keep_ids]
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
+    return beside(docs.select(col(id_col).alias("_id"), col(text_col).alias("_text")), tidy(run, "pieces"), kind, "_text").select("_id", *names)
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ agree; null ids are kept; an empty table gives an empty one; other columns play
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, by_share, col, share_of, small_batches, table, tidy, worker_state
+from .common import Recent, beside, by_share, col, share_of, small_batches, table, tidy, worker_state
 
 MODEL, LIMIT = "word_bpe_49k.json", 2048
 FREQUENT, SAMPLE, CACHE, LONG = 32_768, 1_000, 64 << 20, 48
@@ -37,13 +38,15 @@ class Counting:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        # pre-tokens are normalised already, and that isn't idempotent: lower case makes new sequences of marks, which a second NFC would reorder
+        self.model = Tokenizer.from_str(json.dumps(json.loads(self.library.to_str()) | {"normalizer": None}))
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True))))
         self.find = regex.compile(PRE_TOKEN).findall
         self.recent = Recent(self.length, CACHE)
 
     def length(self, pre_token: str) -> int:
-        return len(self.library.encode(pre_token, add_special_tokens=False).ids)
+        return len(self.model.encode(pre_token, add_special_tokens=False).ids)
 
     def pre_tokens(self, text: str) -> list[str]:
         return self.find(text.lower() if text.isascii() else self.library.normalizer.normalize_str(text))
@@ -97,14 +100,14 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent_lengths(docs, path, id_col, text_col))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own, frequent = counting(path or model_path()), shared.value
         for batch in batches:
-            texts = [t or "" for t in batch["_text"]]
-            yield pd.DataFrame({"_id": batch["_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": [own.count(t, frequent) for t in texts]})
+            texts = [t or "" for t in batch]
+            yield pd.DataFrame({"n_bytes": [len(t.encode()) for t in texts], "n_tokens": [own.count(t, frequent) for t in texts]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(col(id_col).alias("_id"), col(text_col).alias("_text")).mapInPandas(tidy(run, "tokens"), f"_id {kind}, n_bytes long, n_tokens long")
+    rows = docs.select(col(id_col).alias("_id"), col(text_col).alias("_text"))
+    return beside(rows, tidy(run, "tokens"), "n_bytes long, n_tokens long", "_text").select("_id", "n_bytes", "n_tokens")
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
