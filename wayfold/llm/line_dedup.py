@@ -5,7 +5,7 @@ corpus; the first one stays, each later one marks its three lines, and the union
 
 * the first occurrence of every distinct line survives, because a line is only removed where an equal one stands earlier;
 * documents with fewer than three lines are left alone;
-* windows without a visible character do not count.
+* windows without a visible character (anything but ASCII white space) do not count.
 
 Defined results: null text stays null with n_lines 0; an empty text has one (empty) line; a null doc_id is a valid identity and
 sorts first; rows that agree in doc_id and text are one document and are treated alike (each keeps what the first keeps);
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import col, let, packed, table
 
 WIDTH = 3
+#: Anything but ASCII white space.
+VISIBLE = r"[^\x20\x09-\x0D]"
 
 
 def _lines(text: Column) -> Column:
@@ -36,7 +38,7 @@ def windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
     def of(lines: Column) -> Column:
         def one(i: Column) -> Column:
             parts = [F.get(lines, i + k) for k in range(width)]
-            seen = F.trim(F.concat(*parts)) != ""
+            seen = F.concat(*parts).rlike(VISIBLE)
             return F.struct(i.alias("_pos"), F.xxhash64(*parts).alias("_h1"), F.xxhash64(F.lit("w"), *reversed(parts)).alias("_h2"), seen.alias("_seen"))
 
         return F.when(F.size(lines) >= width, F.transform(F.sequence(F.lit(0), F.size(lines) - width), one))
@@ -81,7 +83,7 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
 SQL = """
 with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents where text is not null),
 w as (select doc_id, pos, line as a, lead(line, 1) over d as b, lead(line, 2) over d as c from l window d as (partition by doc_id order by pos)),
-v as (select * from w where c is not null and trim(a || b || c, ' ') <> ''),
+v as (select * from w where c is not null and regexp_matches(a || b || c, '[^\\x20\\x09-\\x0D]')),
 r as (select doc_id, pos, row_number() over (partition by a, b, c order by doc_id, pos) as k from v),
 g as (select distinct doc_id, pos + unnest([0, 1, 2]) as pos from r where k > 1),
 k as (select l.doc_id, count(*) as n_lines, count(g.pos) as n_removed, coalesce(string_agg(line, chr(10) order by l.pos) filter (where g.pos is null), '') as text
