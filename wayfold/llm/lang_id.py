@@ -1,8 +1,9 @@
 """Language ID: a byte convolutional network over fixed-length windows, trained in numpy, applied to whole texts.
 
 Filters of WIDTHS bytes (a weight for each position, byte and filter), rectified, max-pooled over a window of WINDOW bytes, then softmax.
-Training: at most ROWS labelled rows, taken in the order of a hash of doc_id (a documented bound), with a piece of at most PIECE characters of
-each; classes weigh alike. Only text and lang are learned from, and only text is looked at in a prediction.
+Training: about ROWS labelled rows of each label, drawn by a hash of id and text, whole; of all their windows about WINDOWS / labels of each label, drawn by
+a hash of row and place (documented bounds of the fit alone); classes weigh alike, so a label of few rows is learned like the others. The table of rows
+by label is collected: its size is the number of labels. Only text and lang are learned from, and only text is looked at in a prediction.
 Inference: the whole text, as UTF-8 with A-Z lower-cased, is cut into windows, the last one padded; windows go through the network in batches
 of BATCH, so memory is bounded whatever the text's length; a text's probabilities are its windows' mean, weighted by their bytes.
 
@@ -21,11 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, col, packed, small_batches, table, tidy, worker_state
+from .common import col, packed, share_of, small_batches, table, tidy, worker_state
 
 UNKNOWN = "und"
 WIDTHS, FILTERS, WINDOW, BATCH = (2, 3, 4), 16, 192, 64
-ROWS, PIECE, EPOCHS, STEP, SEED = 2_000, 1_536, 4, 0.02, 3
+ROWS, WINDOWS, LEAST, EPOCHS, STEP, SEED = 500, 16_000, 200, 4, 0.02, 3
 
 
 @dataclass
@@ -70,17 +71,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def windows_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+def windows_of(text: str | bytes) -> tuple[np.ndarray, np.ndarray]:
     """All windows of a text and the number of its bytes in each."""
-    raw = text.encode().lower()
+    raw = (text if isinstance(text, bytes) else text.encode()).lower()
     n = max(1, -(-len(raw) // WINDOW))
     sizes = np.full(n, WINDOW)
     sizes[-1] = len(raw) - WINDOW * (n - 1)
     return np.frombuffer(raw.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW), sizes
 
 
-def train(texts: list[str], langs: list[str], seed: int = SEED, epochs: int = EPOCHS) -> Network | None:
-    """A network from labelled texts, by Adam on the cross entropy of windows; the gradient of max pooling reaches one position."""
+def train(texts: list[str | bytes], langs: list[str], seed: int = SEED, epochs: int = EPOCHS) -> Network | None:
+    """A network from labelled texts, or single windows of them as bytes, by Adam on the cross entropy of windows; the gradient of max pooling reaches one position."""
     labels = sorted(set(langs))
     if not labels:
         return None
@@ -127,12 +128,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, rows: int = ROWS) -> Network | None:
-    """A network from the labelled rows of documents that aren't held out; a bounded sample in the order of a hash."""
+def learn(docs: DataFrame, rows: int = ROWS, windows: int = WINDOWS) -> Network | None:
+    """A network from the labelled rows of documents that aren't held out: about `rows` rows of each label, about `windows` windows in all (LEAST of a label at least)."""
+    h = lambda *key: F.pmod(F.xxhash64(*key), F.lit(2**52))
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    start = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit("at")), F.greatest(F.lit(1), F.char_length("text") - PIECE))
-    picked = bounded_sample(known.select("doc_id", "lang", F.substr("text", start.cast("int"), F.lit(PIECE)).alias("piece")), rows, "doc_id", "piece")
-    return train([r.piece for r in picked], [r.lang for r in picked])
+    known = known.select("lang", h("doc_id", "text").alias("_h"), F.col("text").cast("binary").alias("_raw"))
+    pieces = F.greatest(F.lit(1), F.ceil(F.octet_length("_raw") / WINDOW)).cast("int")
+
+    def bound(counts: dict[str, int], most: int) -> Column:
+        """Whether _h is under the bound of the row's label."""
+        shares = {k: int(2**52 * share_of(most, n)) for k, n in counts.items()}
+        return F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang")) > F.col("_h")
+
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    drawn = known.where(bound(counts, rows))
+    each = max(LEAST, windows // len(counts))
+    of_label = {r.lang: r.n for r in drawn.groupBy("lang").agg(F.sum(pieces).alias("n")).collect()}
+    cut_up = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substr("_raw", i * WINDOW + 1, F.lit(WINDOW)))
+    parts = drawn.select("lang", F.col("_h").alias("_row"), F.posexplode(cut_up).alias("_pos", "_piece")).select("lang", h("_row", "_pos").alias("_h"), "_piece")
+    parts = parts.where(bound(of_label, each)).limit(2 * each * len(counts)).collect()
+    parts.sort(key=lambda r: (r.lang, r["_h"], bytes(r["_piece"])))
+    return train([bytes(r["_piece"]) for r in parts], [r.lang for r in parts])
 
 
 def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
