@@ -132,15 +132,12 @@ def sequence(page: str | None) -> list[dict]:
     return parser.finish()
 
 
-def interleave(pages: DataFrame, html_col: str = "html", texts: bool = True) -> DataFrame:
-    """pages and _sequence; without `texts`, text structs keep their place but not their text, which then needn't leave the worker."""
-
-    def items(page: str | None) -> list[dict]:
-        return sequence(page) if texts else [x | {"text": None} for x in sequence(page)]
+def interleave(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """pages and _sequence."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(items)
+            yield batch.map(sequence)
 
     @F.pandas_udf(SEQUENCE)
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -266,13 +263,31 @@ def resolve(pages: DataFrame, media: DataFrame) -> DataFrame:
     return done.select(*[F.col("_row")[c].alias(c) for c in pages.columns if c != "_sequence"], F.col("_new").alias("_sequence"))
 
 
+def sequence_digest(items: Column) -> Column:
+    """SHA-256 of an aligned sequence: a line for each item, its place, kind, text (as its own SHA-256) or media reference, stored form and caption.
+
+    Items whose text is a digest already (kind 'text', no text, digest set) give the same as those with the text itself.
+    """
+
+    def line(s: Column) -> Column:
+        body = F.when(s["kind"] == "text", F.coalesce(F.sha2(s["text"], 256), s["digest"])).otherwise(F.concat_ws(" ", F.coalesce(s["digest"], F.lit("")), F.coalesce(s["media"]["media_sha256"], F.lit(""))))
+        return F.concat_ws("\t", s["pos"].cast("string"), s["kind"], body, F.coalesce(s["caption"], F.lit("")))
+
+    return F.sha2(F.array_join(F.transform(items, line), "\n"), 256)
+
+
+def digested(items: Column) -> Column:
+    """A sequence whose texts are replaced by their SHA-256 in `digest`: what sequence_digest() needs of them is 64 bytes, so whole texts needn't be shuffled."""
+    text = lambda s: s["kind"] == "text"
+    new = lambda s: F.struct(s["pos"], s["kind"], F.when(text(s), None).otherwise(s["text"]).alias("text"), F.when(text(s), F.sha2(s["text"], 256)).otherwise(s["digest"]).alias("digest"), s["caption"])
+    return F.transform(items, new).cast(SEQUENCE)
+
+
 def op10_media(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     media = described(store(docs.select(payload_of(F.col("text")).alias("payload"))))
-    pages = interleave(pages_of(docs), "_html", texts=False)
-    # the query reports no texts, so only media structs move, with their positions
-    only = F.filter("_sequence", lambda s: s["kind"] == "media")
-    found = resolve(pages.select("_id", "_n_bytes", F.size("_sequence").alias("_items"), only.alias("_sequence")), media)
-    rows = found.select("*", F.col("_sequence")[0].alias("_m"))
+    pages = interleave(pages_of(docs), "_html").select("_id", "_n_bytes", digested(F.col("_sequence")).alias("_sequence"))
+    rows = resolve(pages, media).select("*", F.filter("_sequence", lambda s: s["kind"] == "media")[0].alias("_m"))
     measures = [F.col(f"_m.media.{x.split()[0]}") for x in MEDIA.split(", ")[1:]]
-    return rows.select(F.col("_id").alias("doc_id"), F.col("_n_bytes").alias("n_bytes"), *measures, F.col("_m.pos").alias("position"), F.col("_m.caption").alias("caption"), F.col("_items").alias("items"))
+    return rows.select(F.col("_id").alias("doc_id"), F.col("_n_bytes").alias("n_bytes"), *measures, F.col("_m.pos").alias("position"), F.col("_m.caption").alias("caption"),
+        F.size("_sequence").alias("items"), sequence_digest(F.col("_sequence")).alias("sequence_sha256"))
