@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -234,6 +235,49 @@ def test_language_odd_rows(odd, odd_rows, none):
     assert lang_id.learn(odd) is not None
 
 
+def slow_language(net, text):
+    """lang_pred and score of one text, window by window, position by position."""
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    raw = text.encode().lower()
+    total = np.zeros(len(net.labels))
+    for at in range(0, len(raw), lang_id.WINDOW):
+        part = raw[at : at + lang_id.WINDOW]
+        x = np.frombuffer(part.ljust(lang_id.WINDOW, b"\0"), np.uint8)
+        pooled = [np.maximum(np.max([sum(w[k, x[p + k]] for k in range(len(w))) for p in range(lang_id.WINDOW - len(w) + 1)], axis=0) + b, 0) for w, b in zip(net.filters, net.biases)]
+        z = np.exp(np.concatenate(pooled) @ net.dense + net.bias)
+        total += len(part) * z / z.sum()
+    total /= len(raw)
+    return net.labels[int(total.argmax())], float(total.max())
+
+
+def test_language_query_against_brute_force(spark):
+    """The query's rows for a small table from the learned network by its definition."""
+    import zlib
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    net, texts = lang_id.learn(docs), {r.doc_id: r.text for r in docs.collect()}
+    got = lang_id.op6_lang_id(spark, folder).collect()
+    assert len(got) == len(texts) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    for r in got:
+        if len(texts[r.doc_id] or "") < 3000:
+            lang, score = slow_language(net, texts[r.doc_id])
+            assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
+def test_rare_languages_are_learned(spark):
+    """One label in a thousand rows, and labels in the far part of long texts only."""
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    rows = [(i, " ".join(word("abcdefg") for _ in range(50)), "common") for i in range(4000)] + [(9000 + i, " ".join(word("qrstuvw") for _ in range(600)), "rare") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = lang_id.learn(docs, rows=100, windows=400)
+    assert net.labels == ["common", "rare"]
+    got = lang_id.identify(docs.where("doc_id >= 9000 or doc_id % 40 = 0"), net).collect()
+    assert all(r["_lang"] == r.lang for r in got)
+
+
 def test_network_matches_its_definition():
     rng = np.random.default_rng(0)
     net = lang_id.train(["abc def ghi"] * 3 + ["xyz uvw rst"] * 3, ["p"] * 3 + ["q"] * 3, epochs=1)
@@ -498,6 +542,11 @@ def test_media_against_brute_force(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == brute_media(t)
         lines = [x for x in (t or "").split("\n") if x.split()]
         assert r.caption == f"payload of {r.n_bytes} bytes" and r.position == (1 if (t or "").split("\n")[0].split() else 0) and r["items"] == len(lines) + 1
+        text = lambda x: ("text", hashlib.sha256(" ".join(x.split()).encode()).hexdigest(), "")
+        first, *rest = (t or "").split("\n")
+        figure = ("media", f"{r.payload_sha256} {r.media_sha256}", r.caption)
+        items = [*([text(first)] if first.split() else []), figure, *[text(x) for x in rest if x.split()]]
+        assert r.sequence_sha256 == hashlib.sha256("\n".join("\t".join([str(i), *x]) for i, x in enumerate(items)).encode()).hexdigest()
     assert all(r.feature == brute_feature(docs[r.doc_id]) for r in got[:40])
 
 

@@ -28,7 +28,7 @@ def brute_lines(rows):
         lines, gone = t.split("\n"), set()
         for p in range(len(lines) - 2):
             w = tuple(lines[p : p + 3])
-            if "".join(w).strip(" "):
+            if "".join(w).strip("\x20\t\n\x0b\x0c\r"):
                 if w in seen:
                     gone |= {p, p + 1, p + 2}
                 seen.setdefault(w, (i, p))
@@ -54,6 +54,13 @@ def test_line_dedup_odd_rows(odd, odd_rows, none):
     assert line_dedup.line_dedup(none).collect() == []
 
 
+def test_lines_of_tabs_are_not_visible(spark):
+    tabs = "\t\n \t\n\x0b\n\t"
+    rows = [(1, "a\n" + tabs), (2, tabs), (3, tabs + "\nb"), (4, "\u00a0\n\t\n\t"), (5, "\u00a0\n\t\n\t")]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t for (i, _), t in brute_lines(rows).items()} and got[2] == tabs and got[5] == ""
+
+
 # -- PII
 
 BASE = {
@@ -90,6 +97,14 @@ def test_pii_against_brute_force(spark, odd_rows):
         assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r["_spans"] if s.kind in pii.BASE) == brute_pii(texts[r.i])
 
 
+def test_pii_of_a_text_of_many_matches(spark):
+    """Time must not grow with the square of the matches: 10^5 of them in one text."""
+    text = "a@b.cd " * 100_000 + "1.2.3.4 AB12 " * 20_000
+    spans = pii.pii_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("_spans").first()[0]
+    base = [s for s in spans if s.kind in pii.BASE]
+    assert len(base) == 120_000 and [(s.start, s.end) for s in base[:100_000]] == [(7 * i, 7 * i + 6) for i in range(100_000)]
+
+
 def test_pii_method_adds_spans(spark):
     good, bad = "DE89370400440532013000", "DE89370400440532013001"
     texts = [f"iban {good}.", f"iban {bad}.", "my ssn is 078-05-1120 ok", "part 078-05-1120", 'token = "' + "ab12" * 10 + '"', "GB82 WEST 1234 5698 7654 32"]
@@ -149,8 +164,9 @@ def test_counting_against_library():
     c = token_counts.Counting(token_counts.model_path())
     rng = random.Random(2)
     few = ["a", "B", "the", "'s", "'LL", "é", "É", "İ", "Σ", " ", "\n", "<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "日本", "12", "½", "😀", "́", "\x1c", "\x85", "ﬁ", "...", "!!", "ａ"]
-    for _ in range(4000):
-        t = "".join(rng.choice(few) for _ in range(rng.randint(0, 10)))
+    marks = ["\u0130", "\u0301", "\u064e", "\u0307", "\u0323", "\u05b4", "\u0345", "\u1e9b", "\u212b", "\u03a9", "\u1fb3", "i", "S", "\u0130\u064e", "\t", "'", " "]
+    for k in range(24_000):
+        t = "".join(rng.choice(few if k % 6 == 0 else marks) for _ in range(rng.randint(0, 10)))
         assert c.count(t, {}) == len(c.library.encode(t, add_special_tokens=False).ids)
 
 
