@@ -542,14 +542,22 @@ def test_media_against_brute_force(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == brute_media(t)
         lines = [x for x in (t or "").split("\n") if x.split()]
         assert r.caption == f"payload of {r.n_bytes} bytes" and r.position == (1 if (t or "").split("\n")[0].split() else 0) and r["items"] == len(lines) + 1
-        text = lambda x: ("text", hashlib.sha256(" ".join(x.split()).encode()).hexdigest(), "")
-        first, *rest = (t or "").split("\n")
-        figure = ("media", f"{r.payload_sha256} {r.media_sha256}", r.caption)
-        items = [*([text(first)] if first.split() else []), figure, *[text(x) for x in rest if x.split()]]
-        assert r.sequence_sha256 == hashlib.sha256("\n".join("\t".join([str(i), *x]) for i, x in enumerate(items)).encode()).hexdigest()
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        texts = [[sha(" ".join(x.split())) for x in part if x.split()] for part in ((t or "").split("\n")[:1], (t or "").split("\n")[1:])]
+        figure = f"{r.position}\tmedia\t{r.payload_sha256} {r.media_sha256}\t{r.caption}"
+        items = [*[f"0\ttext\t{sha(chr(10).join(x))}\t" for x in texts[:1] if x], figure, *[f"{r.position + 1}\ttext\t{sha(chr(10).join(x))}\t" for x in texts[1:] if x]]
+        assert r.sequence_sha256 == sha("\n".join(items))
     assert all(r.feature == brute_feature(docs[r.doc_id]) for r in got[:40])
 
 
+def test_folding_keeps_places_and_media(spark):
+    html = '<img src="sha256:a"><img src="sha256:b"><p>x</p><p>y</p><img src="sha256:c"><p>z</p>'
+    rows = media.interleave(spark.createDataFrame([(html,), ("<p>only</p><p>text</p>",), ("",), (None,), ('<img src="sha256:d">',)], "html string"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = [[(s.pos, s.kind, s.digest) for s in r[0]] for r in rows.select(media.folded(F.col("_sequence"))).collect()]
+    assert got == [[(0, "media", "a"), (1, "media", "b"), (2, "text", sha(sha("x") + "\n" + sha("y"))), (4, "media", "c"), (5, "text", sha(sha("z")))], [(0, "text", sha(sha("only") + "\n" + sha("text")))], [], [], [(0, "media", "d")]]
+
+
 def test_payloads_survive(spark, odd, odd_rows, none):
     pages = media.interleave(media.pages_of(odd), "_html").drop("_html")
     table = media.store(odd.select(media.payload_of(F.col("text")).alias("payload")))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, packed, small_batches, table, tidy
+from .common import col, cut, let, packed, small_batches, table, tidy
 
 WIDTH, TILE, PAD = 24, 576, 255
 SEQUENCE = "array<struct<pos:int,kind:string,text:string,digest:string,caption:string>>"
@@ -263,31 +263,39 @@ def resolve(pages: DataFrame, media: DataFrame) -> DataFrame:
     return done.select(*[F.col("_row")[c].alias(c) for c in pages.columns if c != "_sequence"], F.col("_new").alias("_sequence"))
 
 
-def sequence_digest(items: Column) -> Column:
-    """SHA-256 of an aligned sequence: a line for each item, its place, kind, text (as its own SHA-256) or media reference, stored form and caption.
+def folded(items: Column) -> Column:
+    """A sequence in which each stretch of texts between media is one text struct, at the place of its first, whose `digest` is the SHA-256 of its texts' SHA-256s, a line for each.
 
-    Items whose text is a digest already (kind 'text', no text, digest set) give the same as those with the text itself.
+    What sequence_digest() needs of whole texts is 64 characters a stretch, so they needn't be shuffled to be resolved.
     """
 
+    def stretch(own: Column) -> Column:
+        sha = F.sha2(F.array_join(F.transform(own, lambda s: F.sha2(s["text"], 256)), "\n"), 256)
+        return F.when(F.size(own) > 0, F.struct(own[0]["pos"].alias("pos"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("text"), sha.alias("digest"), F.lit(None).cast("string").alias("caption")))
+
+    def between(media: Column) -> Column:
+        place = lambda k: F.when(k < 0, -1).when(k < F.size(media), F.get(media, k)["pos"]).otherwise(F.size(items))
+        each = lambda k: F.array(let(F.slice(items, place(k - 1) + 2, place(k) - place(k - 1) - 1), stretch), F.get(media, k))
+        return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size(media)), each)), lambda s: s.isNotNull())
+
+    return let(F.filter(items, lambda s: s["kind"] == "media"), between)
+
+
+def sequence_digest(items: Column) -> Column:
+    """SHA-256 of a folded and resolved sequence: a line for each item, its place, kind, digest (and stored form, for media) and caption."""
+
     def line(s: Column) -> Column:
-        body = F.when(s["kind"] == "text", F.coalesce(F.sha2(s["text"], 256), s["digest"])).otherwise(F.concat_ws(" ", F.coalesce(s["digest"], F.lit("")), F.coalesce(s["media"]["media_sha256"], F.lit(""))))
+        body = F.when(s["kind"] == "text", s["digest"]).otherwise(F.concat_ws(" ", F.coalesce(s["digest"], F.lit("")), F.coalesce(s["media"]["media_sha256"], F.lit(""))))
         return F.concat_ws("\t", s["pos"].cast("string"), s["kind"], body, F.coalesce(s["caption"], F.lit("")))
 
     return F.sha2(F.array_join(F.transform(items, line), "\n"), 256)
 
 
-def digested(items: Column) -> Column:
-    """A sequence whose texts are replaced by their SHA-256 in `digest`: what sequence_digest() needs of them is 64 bytes, so whole texts needn't be shuffled."""
-    text = lambda s: s["kind"] == "text"
-    new = lambda s: F.struct(s["pos"], s["kind"], F.when(text(s), None).otherwise(s["text"]).alias("text"), F.when(text(s), F.sha2(s["text"], 256)).otherwise(s["digest"]).alias("digest"), s["caption"])
-    return F.transform(items, new).cast(SEQUENCE)
-
-
 def op10_media(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     media = described(store(docs.select(payload_of(F.col("text")).alias("payload"))))
-    pages = interleave(pages_of(docs), "_html").select("_id", "_n_bytes", digested(F.col("_sequence")).alias("_sequence"))
+    pages = interleave(pages_of(docs), "_html").select("_id", "_n_bytes", F.size("_sequence").alias("_items"), folded(F.col("_sequence")).alias("_sequence"))
     rows = resolve(pages, media).select("*", F.filter("_sequence", lambda s: s["kind"] == "media")[0].alias("_m"))
     measures = [F.col(f"_m.media.{x.split()[0]}") for x in MEDIA.split(", ")[1:]]
     return rows.select(F.col("_id").alias("doc_id"), F.col("_n_bytes").alias("n_bytes"), *measures, F.col("_m.pos").alias("position"), F.col("_m.caption").alias("caption"),
-        F.size("_sequence").alias("items"), sequence_digest(F.col("_sequence")).alias("sequence_sha256"))
+        F.col("_items").alias("items"), sequence_digest(F.col("_sequence")).alias("sequence_sha256"))
