@@ -8,9 +8,10 @@
 3. Different segments under one anchor may still share windows. Their bytes are fetched, once for each distinct segment, and the segments of an anchor are sorted together:
    grouping.suffix_order() makes the suffix array of their concatenation, where suffixes that share their first LENGTH bytes are neighbours. Anchors are dealt to bins of about
    BIN bytes by their hash, so a task sorts some thousand small texts, in batches of like length.
-4. Anchors of more than MOST different segments (a passage in a third of all documents, whose surroundings differ) are split by content: blocks of BLOCK windows, each
-   under a hash of the bytes that all of its windows share. What is alone there is unique; up to MOST are sorted as above; of larger groups (only the windows around a
-   passage's ends can make them) each window is a group of its own, told apart by 128 bits and counted with partial aggregation. No group meets in one task.
+4. Anchors of more than MOST different segments (a passage in a third of all documents, whose surroundings differ) are split by content: into blocks of BLOCKS[0] windows, each
+   under a hash of the bytes that all of its windows share. Equal blocks are one with a count, as segments are; what is alone under its key is unique; up to MOST different ones are sorted as above;
+   larger keys (only blocks across a passage's ends make them) are split again, into blocks of BLOCKS[1] windows and so on, down to single windows, which are told apart by 128 bits and counted with
+   partial aggregation. No group meets in one task, and a document adds a few rows for each end of a passage.
 5. Repeated windows go back to their texts as ranges, which are merged there.
 
 Equal texts are found by two 64-bit hashes, segments and single windows by 128 bits; apart from such collisions the result is exact.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import beside, col, cut, forget, small_batches, table, tidy
 from .grouping import suffix_order
 
-LENGTH, GRAM, MOST, BLOCK, BIN, BATCH, SEED = 400, 64, 32, 32, 6 << 20, 1 << 20, 17
+LENGTH, GRAM, MOST, BLOCKS, BIN, BATCH, SEED = 400, 64, 32, (32, 4, 1), 6 << 20, 1 << 20, 17
 ARRAYS = ["h", "pos", "low", "high", "s1", "s2"]
 _64 = (1 << 64) - 1
 
@@ -176,17 +177,35 @@ def _sorted(groups: DataFrame, spark) -> DataFrame:
     return groups.select(F.pmod(F.xxhash64("key"), F.lit(bins)).alias("_bin"), "key", "s1", "s2", "off", "raw").groupBy("_bin").applyInPandas(run, FOUND)
 
 
-def blocks_of(segments_: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(key, s1, s2, _n, off, raw) of segments with their bytes, for each block of `size` windows counted from the anchor's place; the key hashes anchor, block and the bytes that
-    all windows of the block share, which each of them holds whole."""
+def blocks_of(parts: DataFrame, size: int) -> DataFrame:
+    """parts(key, s1, s2, _n, off, raw) to (key, s1, s2, p1, p2, _n, off, raw): the blocks of `size` windows of each, counted from the anchor's place. The new key hashes the old one, the block and
+    the bytes that all windows of a block share, which each of them holds whole; (p1, p2) tells pieces apart."""
     last = F.col("off") + F.octet_length("raw") - LENGTH
     number = F.explode(F.sequence(F.floor(F.col("off") / size), F.floor(last / size)))
-    rows = segments_.select("key", "s1", "s2", "_n", "off", "raw", last.alias("_last"), number.alias("_block"))
+    rows = parts.select("key", "s1", "s2", "_n", "off", "raw", last.alias("_last"), number.alias("_block"))
     first, final = F.col("_block") * size, F.col("_block") * size + (size - 1)
     part = lambda start, n: F.substr("raw", (start - F.col("off") + 1).cast("int"), n.cast("int"))
     a, b = F.greatest(first, F.col("off")), F.least(final, F.col("_last"))
     key = F.xxhash64("key", "_block", part(final, F.lit(LENGTH - size + 1)))
-    return rows.select(key.alias("key"), "s1", "s2", "_n", a.alias("off"), part(a, b - a + LENGTH).alias("raw"))
+    rows = rows.select(key.alias("key"), "s1", "s2", "_n", a.alias("off"), part(a, b - a + LENGTH).alias("raw"))
+    return rows.select("key", "s1", "s2", F.xxhash64("key", "off", "raw").alias("p1"), F.xxhash64(F.lit(1), "key", "off", "raw").alias("p2"), "_n", "off", "raw")
+
+
+def repeated_parts(parts: DataFrame, spark, most: int = MOST, sizes: tuple[int, ...] = BLOCKS) -> DataFrame:
+    """parts(key, s1, s2, _n, off, raw), different within each key, to FOUND: the ranges of windows that other parts of their keys have too. Large keys are split into blocks of sizes[0] windows."""
+    counts = cut(parts.groupBy("key").agg(F.count(F.lit(1)).alias("_docs")).where("_docs > 1"))
+    found = _sorted(parts.join(counts.where(F.col("_docs") <= most).select("key"), "key", "left_semi"), spark)
+    large = counts.where(F.col("_docs") > most).select("key")
+    if large.isEmpty():
+        return found
+    pieces = cut(blocks_of(parts.join(large, "key", "left_semi"), sizes[0]))
+    different = cut(pieces.groupBy("key", "p1", "p2", "off").agg(F.sum("_n").alias("_n"), F.first("raw").alias("raw")))
+    whole = different.where("_n > 1").select(F.col("p1").alias("s1"), F.col("p2").alias("s2"), F.col("off").alias("a"), (F.col("off") + F.octet_length("raw") - LENGTH).alias("b"))
+    below = whole
+    if len(sizes) > 1:  # a block of one window is the window itself: its key has one piece
+        below = whole.unionByName(repeated_parts(different.select("key", F.col("p1").alias("s1"), F.col("p2").alias("s2"), "_n", "off", "raw"), spark, most, sizes[1:]))
+    up = pieces.select("s1", "s2", "p1", "p2").join(below.toDF("p1", "p2", "a", "b"), ["p1", "p2"]).select("s1", "s2", "a", "b")
+    return found.unionByName(up)
 
 
 def repeated_ranges(texts: DataFrame, most: int = MOST) -> DataFrame:
@@ -203,32 +222,12 @@ def repeated_ranges(texts: DataFrame, most: int = MOST) -> DataFrame:
     distinct = cut(hits.groupBy("h", "s1", "s2", "_differ").agg(F.sum("_m").alias("_n"), *first))
     whole = distinct.where("_n > 1").select("s1", "s2", (F.col("low") - F.col("pos")).alias("a"), (F.col("high") - F.col("pos")).alias("b"))
     several = distinct.where("_differ")
-    sizes = several.groupBy("h").agg((F.count(F.lit(1)) > most).alias("_hot"))
-    asked = several.join(sizes, "h").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("h", "s1", "s2", "_n", "_hot", "low", "high", "pos")).alias("_asked"))
+    asked = several.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("h", "s1", "s2", "_n", "low", "high", "pos")).alias("_asked"))
     one = texts.groupBy("_k1", "_k2").agg(F.first("_text").alias("_text"))
-    raw = F.transform("_asked", lambda s: F.struct(s["h"].alias("key"), s["s1"].alias("s1"), s["s2"].alias("s2"), s["_n"].alias("_n"), s["_hot"].alias("_hot"), (s["low"] - s["pos"]).alias("off"),
+    raw = F.transform("_asked", lambda s: F.struct(s["h"].alias("key"), s["s1"].alias("s1"), s["s2"].alias("s2"), s["_n"].alias("_n"), (s["low"] - s["pos"]).alias("off"),
         F.substr(F.col("_text").cast("binary"), (s["low"] + 1).cast("int"), (s["high"] - s["low"] + LENGTH).cast("int")).alias("raw")))
     contents = cut(one.join(asked, ["_k1", "_k2"]).select(F.explode(raw).alias("_s")).select("_s.*"))
-    found = [whole, _sorted(contents.where("not _hot"), spark)]
-
-    # blocks of windows around the anchors of many segments: those alone under their key are unique, few are sorted, many are told apart window by window
-    hot = contents.where("_hot")
-    if not hot.isEmpty():
-        blocks = cut(blocks_of(hot))
-        by_block = cut(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("_docs")).where("_docs > 1"))
-        few = blocks.join(by_block.where(F.col("_docs") <= most).select("key"), "key", "left_semi")
-        found.append(_sorted(few, spark))
-        many = blocks.join(by_block.where(F.col("_docs") > most).select("key"), "key", "left_semi")
-        place = F.explode(F.sequence(F.lit(0).cast("long"), F.octet_length("raw") - LENGTH))
-        windows = many.select("s1", "s2", "_n", "off", "raw", place.alias("_i"))
-        window = F.substr("raw", F.col("_i").cast("int") + 1, F.lit(LENGTH))
-        windows = cut(windows.select("s1", "s2", "_n", (F.col("off") + F.col("_i")).alias("a"), F.xxhash64(window).alias("w1"), F.xxhash64(F.lit(1), window).alias("w2")))
-        again = windows.groupBy("w1", "w2").agg(F.sum("_n").alias("_all")).where("_all > 1").select("w1", "w2")
-        found.append(windows.join(again, ["w1", "w2"]).select("s1", "s2", "a", F.col("a").alias("b")))
-
-    ranges = found[0]
-    for more in found[1:]:
-        ranges = ranges.unionByName(more)
+    ranges = whole.unionByName(repeated_parts(contents, spark, most))
     ranges = cut(ranges.groupBy("s1", "s2").agg(F.collect_set(F.struct("a", "b")).alias("_r")))  # at most LENGTH of them
     back = hits.select("_k1", "_k2", "pos", "s1", "s2").join(ranges, ["s1", "s2"]).select("_k1", "_k2", "pos", F.explode("_r").alias("_r"))
     stretch = F.struct((F.col("pos") + F.col("_r.a")).alias("a"), (F.col("pos") + F.col("_r.b")).alias("b"))
