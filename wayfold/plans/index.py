@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules, text
-from ..operators import buckets, conflate, nearest
+from ..operators import buckets, conflate
 from .filters import chip_sql
-from .joins import _COUNTRY, _points, countries
+from .joins import REVERSE, _points, countries, reverse
 from .registry import query
 from .scalar import _PK, FNV
 
@@ -163,22 +163,13 @@ def q2(t):
     return rows.select("seq", "n", m.alias("m")).orderBy("m", "seq").limit(300)
 
 
-_GEO = """min_by(q.name, row(pow(q.la - p.la, 2) + pow(q.lo - p.lo, 2), q.seq))"""
-
-
-@query("q3_reverse_geocode", f"""with pc as ({_COUNTRY.format(v='geo_poi')}), p as (select seq, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo from geo_poi), q as (select seq, name, class, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo from geo_place),
- ci as (select p.seq, {_GEO} as city from p left join (select * from q where class in ('city', 'town', 'village')) q on abs(trunc(q.la) - trunc(p.la)) <= 2 and abs(trunc(q.lo) - trunc(p.lo)) <= 2 group by p.seq),
- st as (select p.seq, {_GEO} as state from p cross join (select * from q where class = 'state') q group by p.seq)
- select p.seq, case when city is not null and state is not null then city || ', ' || state when city is not null and country is not null then city || ', ' || country when city is not null then city when state is not null then state else coalesce(country, '') end as label
- from p join pc on pc.seq = p.seq join ci on ci.seq = p.seq join st on st.seq = p.seq""")
+@query("q3_reverse_geocode", f"""with {REVERSE} select seq, case when city is not null and state is not null then city || ', ' || state when city is not null and alone then city when city is not null and country is not null then city || ', ' || country
+ when city is not null then city when state is not null then state else coalesce(country, '') end as label from rv""")
 def q3(t):
-    points, places = _points(t.geo_poi), _points(t.geo_place, "name", "class")
-    city = nearest.nearest_in_grid(points, places.where(c("class").isin("city", "town", "village")).drop("class"), lambda d: d.cast("long"), 2, ["seq"], "name", "seq").withColumnRenamed("name", "city")
-    state = nearest.nearest_of_few(points, places.where("class = 'state'").drop("class"), ["seq"], "name", "seq").withColumnRenamed("name", "state")
-    country = nearest.first_box(points, countries(t), ["seq"], "country")
-    second = F.coalesce("state", "country")
+    found = reverse(_points(t.geo_poi), _points(t.geo_place, "name", "class"), countries(t))
+    second = F.when(c("state").isNotNull() | c("alone"), c("state")).otherwise(c("country"))
     label = F.when(c("city").isNotNull() & second.isNotNull(), F.concat_ws(", ", "city", second)).otherwise(F.coalesce("city", "state", "country", F.lit("")))
-    return points.join(city, "seq").join(state, "seq").join(country, "seq").select("seq", label.alias("label"))
+    return found.select("seq", label.alias("label"))
 
 
 @query("q4_entry_by_id", "select 'Q' || cast(qid as varchar) as q, population as pop, area as ar, label as l from (select qid, min_by(population, row_no) filter (where population is not null) as population, min_by(area, row_no) filter (where area is not null) as area, min_by(label, row_no) filter (where label is not null) as label from obs_prop group by qid) x where qid in (1, 5, 9, 42)")

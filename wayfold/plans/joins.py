@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import conflate, nearest
+from ..shared import cut
 from .registry import query
 from .scalar import STREET
 
@@ -116,20 +117,19 @@ _NEAR = "select p.seq, min_by(q.name, row(pow(q.lat_e7 / 1e7 - p.lat_e7 / 1e7, 2
 
 @query("j10_nearest_state", _NEAR.format(a="state", w="q.class = 'state'"))
 def j10(t):
-    return nearest.nearest_of_few(_points(t.geo_poi), _points(t.geo_place.where("class = 'state'"), "name"), ["seq"], "name", "seq").withColumnRenamed("name", "state")
+    return nearest.nearest(_points(t.geo_poi), _points(t.geo_place.where("class = 'state'"), "name"), ["seq"], "name", "seq").withColumnRenamed("name", "state")
 
 
 _H = lambda q: f"2 * 6371000.0 * asin(sqrt(pow(sin(radians({q}.la - n.la) / 2), 2) + cos(radians(n.la)) * cos(radians({q}.la)) * pow(sin(radians({q}.lo - n.lo) / 2), 2)))"
 
 
-@query("j11_nearest_graph_node", f"""with n as (select id, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo from geo_node where id in (select ref from geo_way_node where highway in ('motorway', 'primary'))), q as (select * from (values (1, 37.2, -121.6), (2, 37.77, -121.9), (3, 38.0, -121.0)) v(q, la, lo))
- select q.q, min_by(n.id, row({_H('q')}, n.id)) as node from q cross join n group by q.q""")
+@query("j11_nearest_graph_node", f"""with n as (select id, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo from geo_node where id in (select ref from geo_way_node where highway in ('motorway', 'primary'))), q as (select seq, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo from geo_poi)
+ select q.seq, min_by(n.id, row({_H('q')}, n.id)) as node from q cross join n group by q.seq""")
 def j11(t):
+    """The nearest node of a main road, along the sphere, to each point of interest."""
     tier = t.geo_way_node.where(c("highway").isin("motorway", "primary")).select(c("ref").alias("id")).distinct()
-    nodes = t.geo_node.join(tier, "id", "left_semi").select("id", _lat().alias("la"), _lon().alias("lo"))
-    asked = nearest.as_rules(t.spark.createDataFrame([(1, 37.2, -121.6), (2, 37.77, -121.9), (3, 38.0, -121.0)], "q int, qla double, qlo double"))
-    d = geo.haversine(c("la"), c("lo"), c("qla"), c("qlo"))
-    return nodes.crossJoin(asked).groupBy("q").agg(F.min(F.struct(d.alias("d"), "id"))["id"].alias("node"))
+    nodes = t.geo_node.join(tier, "id", "left_semi").select("id", c("id").alias("node"), _lat().alias("lat"), _lon().alias("lon"))
+    return nearest.nearest(_points(t.geo_poi), nodes, ["seq"], "node", "id", sphere=True)
 
 
 #: Boxes (south, west, north, east, country) in order of precedence.
@@ -153,15 +153,62 @@ def j12(t):
     return nearest.first_box(_points(t.geo_poi), countries(t), ["seq"], "country")
 
 
-_IN = f"with pc as ({_COUNTRY.format(v='geo_poi')}), qc as ({_COUNTRY.format(v='geo_place')})"
-
-
-@query("j13_nearest_in_country", f"""{_IN} select p.seq, pc.country, min_by(q.name, row(pow(q.lat_e7 / 1e7 - p.lat_e7 / 1e7, 2) + pow(q.lon_e7 / 1e7 - p.lon_e7 / 1e7, 2), q.seq)) as place from geo_poi p join pc on pc.seq = p.seq
- left join (select g.*, qc.country from geo_place g join qc on qc.seq = g.seq) q on q.country = pc.country group by p.seq, pc.country""")
+#: Cities that are no part of a state, inside of a box (south, west, north, east), and what stands for the state there (none: nothing does).
+CITY_STATES = (
+    ("Washington", 38.79, -77.13, 39.00, -76.90, "D.C."), ("Tokyo", 35.45, 138.95, 35.95, 139.95, None), ("Beijing", 39.40, 115.40, 41.10, 117.50, None), ("Shanghai", 30.60, 120.85, 31.90, 122.20, None),
+    ("Hong Kong", 22.15, 113.80, 22.58, 114.45, None), ("Delhi", 28.40, 76.80, 28.90, 77.35, None),
+)
+CITIES = ("city", "town", "village")
+
+
+def country_of(points, places, boxes, keys):
+    """(keys, country): the first box that holds a point, else the nearest place of class country."""
+    found = nearest.first_box(points, boxes, keys, "country")
+    rest = points.join(found.where("country is null"), keys, "left_semi")
+    near = nearest.nearest(rest, places.where("class = 'country'").drop("class"), keys, "name", "seq").withColumnRenamed("name", "_near")
+    return found.join(near, keys, "left").select(*keys, F.coalesce("country", "_near").alias("country"))
+
+
+def reverse(points, places, boxes, bound=CITY_STATES):
+    """points(seq, lat, lon) and places(seq, name, class, lat, lon) to (seq, country, city, state, alone): city and state are sought inside of the point's country; a city that is its own state
+    overrides the state inside of its box, by a name or by none (alone). A country without cities falls back to all cities."""
+    own = points.join(country_of(points, places, boxes, ["seq"]), "seq").withColumn("country", F.coalesce("country", F.lit("")))
+    at = country_of(places, places, boxes, ["seq"]).withColumn("country", F.coalesce("country", F.lit("")))
+    named = places.join(at, "seq")
+    degree = lambda d: d.cast("long")
+    cities = cut(named.where(c("class").isin(*CITIES)).drop("class"))
+    own = cut(own.join(cities.select("country").distinct().withColumn("_has", F.lit(True)), "country", "left"))
+    inside = nearest.nearest_in_grid(own.where("_has"), cities, degree, 2, ["seq"], "name", "seq", ["country"])
+    other = nearest.nearest_in_grid(own.where("_has is null"), cities.drop("country"), degree, 2, ["seq"], "name", "seq")
+    own = own.join(inside.union(other).withColumnRenamed("name", "city"), "seq")
+    held, label, alone = F.lit(False), F.lit(None).cast("string"), F.lit(False)
+    for city, south, west, north, east, name in bound:
+        here = (c("city") == city) & c("lat").between(south, north) & c("lon").between(west, east)
+        held, label, alone = F.when(here, True).otherwise(held), F.when(here, F.lit(name)).otherwise(label), F.when(here, F.lit(name is None)).otherwise(alone)
+    own = cut(own.withColumns({"_held": F.coalesce(held, F.lit(False)), "_label": label, "alone": F.coalesce(alone, F.lit(False))}))
+    states = named.where("class = 'state'").drop("class")
+    state = nearest.nearest(own.where("not _held").select("seq", "country", "lat", "lon"), states, ["seq"], "name", "seq", ["country"]).withColumnRenamed("name", "_state")
+    out = own.join(state, "seq", "left")
+    return out.select("seq", F.when(c("country") != "", c("country")).alias("country"), "city", F.coalesce("_label", "_state").alias("state"), "alone")
+
+
+_BOUND = "(values " + ", ".join(f"('{n}', {s}, {w}, {no}, {e}, {'null' if x is None else repr(x)})" for n, s, w, no, e, x in CITY_STATES) + ") b(city, south, west, north, east, label)"
+_SQ = "pow(q.lat_e7 / 1e7 - p.lat_e7 / 1e7, 2) + pow(q.lon_e7 / 1e7 - p.lon_e7 / 1e7, 2)"
+_BOXED = "select p.seq, coalesce(x.country, (select min_by(q.name, row({d}, q.seq)) from geo_place q where q.class = 'country'), '') as country from {v} p join ({box}) x on x.seq = p.seq"
+#: (seq, country, city, state, alone)
+REVERSE = f"""pc as ({_BOXED.format(d=_SQ, v='geo_poi', box=_COUNTRY.format(v='geo_poi'))}), qc as ({_BOXED.format(d=_SQ, v='geo_place', box=_COUNTRY.format(v='geo_place'))}),
+ pp as (select p.seq, p.lat_e7, p.lon_e7, pc.country from geo_poi p join pc on pc.seq = p.seq), qq as (select g.seq, g.name, g.class, g.lat_e7, g.lon_e7, qc.country from geo_place g join qc on qc.seq = g.seq),
+ ci as (select p.seq, min_by(q.name, row({_SQ}, q.seq)) as city from pp p left join qq q on q.class in {CITIES} and (q.country = p.country or p.country not in (select country from qq where class in {CITIES}))
+  and abs(trunc(q.lat_e7 / 1e7) - trunc(p.lat_e7 / 1e7)) <= 2 and abs(trunc(q.lon_e7 / 1e7) - trunc(p.lon_e7 / 1e7)) <= 2 group by p.seq),
+ bo as (select p.seq, b.label from pp p join ci on ci.seq = p.seq join {_BOUND} on b.city = ci.city and p.lat_e7 / 1e7 between south and north and p.lon_e7 / 1e7 between west and east),
+ st as (select p.seq, min_by(q.name, row({_SQ}, q.seq)) as state from pp p left join qq q on q.class = 'state' and q.country = p.country group by p.seq),
+ rv as (select p.seq, nullif(p.country, '') as country, ci.city, case when bo.seq is null then st.state else bo.label end as state, bo.seq is not null and bo.label is null as alone from pp p join ci on ci.seq = p.seq join st on st.seq = p.seq left join bo on bo.seq = p.seq)"""
+
+
+@query("j13_nearest_in_country", f"with {REVERSE} select seq, country, state from rv")
 def j13(t):
-    points = _points(t.geo_poi).join(j12(t), "seq")
-    places = _points(t.geo_place, "name").join(nearest.first_box(_points(t.geo_place), countries(t), ["seq"], "country"), "seq").withColumnRenamed("country", "_k")
-    return nearest.nearest_of_few(points, places, ["seq", "country"], "name", "seq", F.col("country") == F.col("_k")).withColumnRenamed("name", "place")
+    """The nearest state inside of a point's country, or what a city-state puts in its place."""
+    return reverse(_points(t.geo_poi), _points(t.geo_place, "name", "class"), countries(t)).select("seq", "country", "state")
 
 
 _TE = "select seq, z, x / pow(2.0, z) * 360.0 - 180.0 as w, (x + 1) / pow(2.0, z) * 360.0 - 180.0 as e, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / pow(2.0, z))))) as s, degrees(atan(sinh(pi() * (1 - 2 * y / pow(2.0, z))))) as n from geo_tile"
