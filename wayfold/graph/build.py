@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import bits, geo
 from ..operators import islands
 
+#: Tags of a way that its edges carry on.
+TAGS = ("highway", "oneway", "name", "rf", "foot", "bicycle", "junction")
+
 
 def segments(way_nodes: DataFrame, nodes: DataFrame, junctions: DataFrame) -> DataFrame:
-    """One row per piece of a road between two junctions: (way_id, segment, src, dst, dist_dm, points, highway, oneway, label).
+    """One row per piece of a road between two junctions: (way_id, segment, src, dst, dist_dm, points, and TAGS).
 
-    way_nodes(way_id, pos, ref, highway, oneway, name, rf) are navigable ways. Lines are cut by window functions over a way, and
+    way_nodes(way_id, pos, ref, and TAGS) are navigable ways. Lines are cut by window functions over a way, and
     folded to a segment by one aggregation; nothing is larger than a way.
     """
     at = way_nodes.join(nodes.select(F.col("id").alias("ref"), "lat_e7", "lon_e7"), "ref")
@@ -23,7 +26,7 @@ def segments(way_nodes: DataFrame, nodes: DataFrame, junctions: DataFrame) -> Da
     step = geo.haversine(before("lat_e7"), before("lon_e7"), F.col("lat_e7") / 1e7, F.col("lon_e7") / 1e7)
     rows = cut.withColumn("_m", F.coalesce(F.rint(step * 10), F.lit(0.0)).cast("long"))
     out = rows.groupBy("way_id", "segment").agg(
-        F.min_by("ref", "pos").alias("src"), F.max_by("ref", "pos").alias("dst"), F.sum("_m").alias("dist_dm"), F.count(F.lit(1)).alias("points"), *[F.first(c).alias(c) for c in ("highway", "oneway", "name", "rf")],
+        F.min_by("ref", "pos").alias("src"), F.max_by("ref", "pos").alias("dst"), F.sum("_m").alias("dist_dm"), F.count(F.lit(1)).alias("points"), *[F.first(c).alias(c) for c in TAGS],
     )
     return out.where("points >= 2")
 
@@ -38,7 +41,7 @@ def edges(pieces: DataFrame) -> DataFrame:
     speed = bits.speed_of(F.col("highway"))
     return rows.select(
         "way_id", "segment", "_e.src", "_e.dst", "_e.back", "dist_dm", speed.alias("speed"), road_label(F.col("name"), F.col("rf")).alias("label"),
-        bits.access_word(F.col("highway"), F.lit(""), F.lit(""), F.col("oneway"), F.lit("")).alias("access"), F.rint(F.col("dist_dm") * 360.0 / speed).cast("long").alias("time_ms"),
+        bits.access_word(*[F.col(c) for c in ("highway", "foot", "bicycle", "oneway", "junction")]).alias("access"), F.rint(F.col("dist_dm") * 360.0 / speed).cast("long").alias("time_ms"),
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, geo
-from ..graph import build, codec, routes
+from ..graph import build, codec, routes, sample, search
+from ..operators import nearest
 from ..shared import cut
 from .aggregates import JUNCTIONS, junctions
 from .registry import query
@@ -34,35 +35,52 @@ _PIECES = f"""jn as ({JUNCTIONS}), wn as (select x.*, j.ref is not null as is_j,
  bn as (select *, case when is_j and pos > f and pos < l then 1 else 0 end as b from wn), nn as (select *, sum(b) over (partition by way_id order by pos) as n from bn), sg as (select *, cast(unnest(case when b = 1 then [n - 1, n] else [n] end) as bigint) as segment from nn),
  ll as (select sg.*, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo, lag(lat_e7 / 1e7) over w as pla, lag(lon_e7 / 1e7) over w as plo from sg join geo_node on id = ref window w as (partition by way_id, segment order by pos)),
  dd as (select *, pow(sin(radians(la - pla) / 2), 2) + cos(radians(pla)) * cos(radians(la)) * pow(sin(radians(lo - plo) / 2), 2) as a from ll),
- pc as (select way_id, segment, min_by(ref, pos) as src, max_by(ref, pos) as dst, cast(sum(coalesce(cast(round_even({_HV} * 10, 0) as bigint), 0)) as bigint) as dist_dm, count(*) as points, min(highway) as highway, min(oneway) as oneway, min(name) as name, min(rf) as rf from dd group by way_id, segment having count(*) >= 2)"""
+ pc as (select way_id, segment, min_by(ref, pos) as src, max_by(ref, pos) as dst, cast(sum(coalesce(cast(round_even({_HV} * 10, 0) as bigint), 0)) as bigint) as dist_dm, count(*) as points, min(highway) as highway, min(oneway) as oneway, min(name) as name, min(rf) as rf, min(foot) as foot, min(bicycle) as bicycle, min(junction) as junction from dd group by way_id, segment having count(*) >= 2)"""
 _PIECED = f"with {_PIECES}"
 _SPEED = "case highway " + " ".join(f"when '{k}' then {v}" for k, v in bits.SPEEDS.items()) + " else 30 end"
-_EDGES = f"""with {_PIECES}, ed as (select way_id, segment, src, dst, 0 as back, dist_dm, {_SPEED} as speed, highway from pc where src <> dst and oneway <> '-1' union all select way_id, segment, dst, src, 1, dist_dm, {_SPEED}, highway from pc where src <> dst and oneway not in ('yes', '1', 'true'))"""
+_CLASS = "case highway " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(bits.ROAD_CLASSES, 1)) + " else 0 end"
+_ACCESS = f"{_CLASS} + case when foot = 'no' then 32 else 0 end + case when bicycle = 'no' then 64 else 0 end + case when oneway in ('yes', '1', 'true') then 128 else 0 end + case when junction in ('roundabout', 'circular', 'mini_roundabout') then 256 else 0 end"
+_LABEL = "case when name <> '' and rf <> '' then name || ' (' || rf || ')' when name <> '' then name else rf end"
+_OUT = f"dist_dm, {_SPEED} as speed, highway, {_ACCESS} as access, {_LABEL} as label"
+_EDGES = f"""with {_PIECES}, ed as (select way_id, segment, src, dst, 0 as back, {_OUT} from pc where src <> dst and oneway <> '-1' union all select way_id, segment, dst, src, 1, {_OUT} from pc where src <> dst and oneway not in ('yes', '1', 'true'))"""
 
 
-@query("g1_graph_edges", f"{_EDGES} select way_id, segment, src, dst, back, dist_dm, speed, cast(round_even(dist_dm * 360.0 / speed, 0) as bigint) as time_ms from ed")
+@query("g1_graph_edges", f"{_EDGES} select way_id, segment, src, dst, back, dist_dm, speed, access, label, cast(round_even(dist_dm * 360.0 / speed, 0) as bigint) as time_ms from ed")
 def g1(t):
-    return edges(t).select("way_id", "segment", "src", "dst", "back", "dist_dm", "speed", "time_ms")
+    return edges(t).select("way_id", "segment", "src", "dst", "back", "dist_dm", "speed", "access", "label", "time_ms")
 
 
-#: Road junctions that ways share have ids below this; a pair goes from the least to the greatest one of a remainder.
-_SHARED, _PAIRS = 100_000_000, 4
+#: Road junctions that ways share have ids below this.
+_SHARED = 100_000_000
+#: Pairs that are routed, metres between their nodes, seed, cells to a degree and draws for each pair.
+_N, _LEAST_M, _MOST_M, _SEED, _SCALE, _TRIES = 100, 5_000.0, 60_000.0, 42, 10, 50
 
 
-def graph(t, main: bool = False):
-    """(edges by cell, nodes) of the road graph that g1 extracts."""
-    nodes = cut(t.geo_node)
-    return routes.by_cell(routes.main_roads(edges(t)) if main else edges(t), nodes), nodes
+def network(t, main: bool = False):
+    """(edges, nodes) of the road graph that g1 extracts, or of its main roads, written once."""
+    own = edges(t)
+    own = routes.main_roads(own) if main else own
+    return cut(own.select("src", "dst", "time_ms", "dist_dm", "access", "speed")), cut(t.geo_node)
 
 
-def pairs_of(edge_rows):
-    """(pair, start, end) for each remainder that has such junctions."""
-    src = edge_rows.where(c("src") < _SHARED).groupBy((c("src") % _PAIRS).alias("pair")).agg(F.min("src").alias("start"))
-    dst = edge_rows.where(c("dst") < _SHARED).groupBy((c("dst") % _PAIRS).alias("pair")).agg(F.max("dst").alias("end"))
-    return src.join(dst, "pair")
+def pairs_of(edge_rows, nodes, n=_N):
+    return sample.valid_pairs(edge_rows, nodes, n, _LEAST_M, _MOST_M, _SEED, _SCALE, _TRIES)
 
 
-_PAIR = f"pr as (select pair, s, e from (select src % {_PAIRS} as pair, min(src) as s from ed where src < {_SHARED} group by 1) x join (select dst % {_PAIRS} as pair, max(dst) as e from ed where dst < {_SHARED} group by 1) y using (pair))"
+def _sampled(edge: str, n: int = _N) -> str:
+    """SQL for pr(pair, s, e, metres), as sample.valid_pairs() draws them over edges `edge`(src, dst)."""
+    h = lambda name: f"cast('0x' || substr(md5('{_SEED}:' || cast(k as varchar) || ':{name}'), 1, 8) as bigint)"
+    away, turn = f"({_LEAST_M} + {_MOST_M - _LEAST_M} * ({h('away')} / 4294967296.0))", f"(2 * pi() * ({h('turn')} / 4294967296.0))"
+    hav = "pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2)"
+    return f"""hub as (select src as id from (select src, count(*) as c from (select distinct src, dst from {edge}) x group by src) x order by c desc, src limit 1),
+ fw(id) as (select id from hub union select x.dst from fw join {edge} x on x.src = fw.id), bw(id) as (select id from hub union select x.src from bw join {edge} x on x.dst = bw.id),
+ nd as (select id, lat_e7 / 1e7 as lat, lon_e7 / 1e7 as lon, cast(floor(lat_e7 * {_SCALE} / 1e7) as bigint) as cy, cast(floor(lon_e7 * {_SCALE} / 1e7) as bigint) as cx from geo_node where id in (select id from fw) and id in (select id from bw)),
+ nx as (select *, row_number() over (order by cy, cx, id) - 1 as i from nd), cl as (select cy, cx, min(i) as f, count(*) as m from nx group by cy, cx),
+ dr as (select k, {h('start')} % (select count(*) from nd) as i, {away} as away, {turn} as turn, {h('end')} as z from range({n * _TRIES}) r(k)),
+ d1 as (select k, z, x.id as s, x.lat as la, x.lon as lo, x.cy as sy, x.cx as sx, cast(floor((x.lat + away * cos(turn) / 111195.0) * {_SCALE}) as bigint) as cy, cast(floor((x.lon + away * sin(turn) / (111195.0 * cos(radians(x.lat)))) * {_SCALE}) as bigint) as cx from dr join nx x on x.i = dr.i),
+ d2 as (select d1.*, f + z % m as j from d1 join cl on cl.cy = d1.cy and cl.cx = d1.cx), d3 as (select d2.*, x.id as e, {hav.replace('lat', 'x.lat').replace('lon', 'x.lon')} as a from d2 join nx x on x.i = d2.j),
+ d4 as (select *, 2 * 6371000.0 * atan2(sqrt(a), sqrt(1 - a)) as metres from d3 where s <> e), d5 as (select *, row_number() over (partition by sy, sx, cy, cx order by k) as r from d4 where metres between {_LEAST_M} and {_MOST_M}),
+ pr as (select row_number() over (order by k) - 1 as pair, s, e, metres from (select * from d5 where r = 1 order by k limit {n}) x)"""
 
 
 def _least(name: str, edge: str, start: str) -> str:
@@ -73,51 +91,61 @@ def _least(name: str, edge: str, start: str) -> str:
 
 _WT = "wt as (select src, dst, min(cast(round_even(dist_dm * 360.0 / speed, 0) as bigint)) as w from ed group by src, dst)"
 _MAIN = "mn as (select src, dst, min(cast(round_even(dist_dm * 360.0 / speed, 0) as bigint)) as w from ed where highway in ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary', 'primary_link') group by src, dst)"
-_ROUTED = _EDGES.replace("with ", "with recursive ", 1) + f", {_WT}, {_PAIR}, {_least('rec', 'wt', 'select pair, s as node from pr')}"
+_ROUTED = _EDGES.replace("with ", "with recursive ", 1) + f", {_WT}, {_sampled('wt')}, {_least('rec', 'wt', 'select pair, s as node from pr')}"
+_STATUS = "select pr.pair, case when cost is null then 'unreachable' else 'ok' end as status, cost as time_ms from pr left join rec on rec.pair = pr.pair and rec.node = pr.e"
 
 
-@query("g2_astar_cost", f"{_ROUTED} select pr.pair, cost as time_ms from pr left join rec on rec.pair = pr.pair and rec.node = pr.e")
+@query("g2_astar_cost", f"{_ROUTED} {_STATUS}")
 def g2(t):
-    own, nodes = graph(t)
-    return routes.routes(pairs_of(own), own, nodes, cells=False).select("pair", "time_ms")
+    """Times of sampled pairs by the bucketed search over the plain graph."""
+    own, nodes = network(t)
+    return search.search(pairs_of(own, nodes), search.Graph.of(own, nodes)).ends.select("pair", "status", "time_ms")
 
 
-@query("g3_astar_by_cell", f"{_ROUTED} select pr.pair, cost as time_ms from pr left join rec on rec.pair = pr.pair and rec.node = pr.e")
+@query("g3_astar_by_cell", f"{_ROUTED} {_STATUS}")
 def g3(t):
-    """As g2, over edges written by cell: each round reads the cells that its frontier stands in."""
-    own, nodes = graph(t)
-    return routes.routes(pairs_of(own), own, nodes).select("pair", "time_ms")
-
+    """As g2, over the overlay of cells: only the cells of a pair's ends are searched inside; times are those of the ways' own edges, shortcuts taken apart."""
+    own, nodes = network(t)
+    graph = search.Graph.of(own, nodes, (_SCALE,))
+    found = search.search(pairs_of(own, nodes), graph)
+    times = search.hops(found).join(graph.levels[0].select("src", "dst", "w"), ["src", "dst"]).groupBy("pair").agg(F.sum("w").alias("time_ms"))
+    return found.ends.select("pair", "status").join(times, "pair", "left")
 
-def two_steps(main):
-    """(pair, a, b): of each remainder the least node with a way over two edges to another one, and the least such end."""
-    on = main.select(c("src").alias("a"), c("dst").alias("_mid")).join(main.select(c("src").alias("_mid"), c("dst").alias("b")), "_mid").where("a <> b")
-    return on.groupBy((c("a") % _PAIRS).alias("pair")).agg(F.min(F.struct("a", "b")).alias("_m")).select("pair", "_m.a", "_m.b")
 
+_MAINLY = _EDGES.replace("with ", "with recursive ", 1) + f", {_MAIN}, {_sampled('mn')}, {_least('rec', 'mn', 'select pair, s as node from pr')}"
 
-_MIDS = f"md as (select x.src % {_PAIRS} as pair, min(x.src) as a, min_by(y.dst, row(x.src, y.dst)) as b from mn x join mn y on y.src = x.dst where y.dst <> x.src group by 1)"
-_MAINLY = _EDGES.replace("with ", "with recursive ", 1) + f", {_MAIN}, {_MIDS}, {_least('r1', 'mn', 'select pair, a as node from md')}"
 
-
-@query("g4_astar_main_roads", f"{_MAINLY} select md.pair, cost as time_ms from md left join r1 on r1.pair = md.pair and r1.node = md.b")
+@query("g4_astar_main_roads", f"{_MAINLY} {_STATUS}")
 def g4(t):
-    own, nodes = graph(t, main=True)
-    return routes.routes(two_steps(own).select("pair", c("a").alias("start"), c("b").alias("end")), own, nodes).select("pair", "time_ms")
+    """Pairs and ways over main roads alone."""
+    own, nodes = network(t, main=True)
+    return search.search(pairs_of(own, nodes), search.Graph.of(own, nodes)).ends.select("pair", "status", "time_ms")
 
 
-_LEGS = f"lg as (select md.pair, a, b, coalesce(min(x.src), a) as s, coalesce(max(y.dst), b) as e from md left join wt x on x.dst = a left join wt y on y.src = b group by md.pair, a, b)"
+_NEAREST = f"(select min_by(n.id, row(2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)), n.id)) from (select m.id, pow(sin(radians(m.la - p.la) / 2), 2) + cos(radians(p.la)) * cos(radians(m.la)) * pow(sin(radians(m.lo - p.lo) / 2), 2) as h from ms m) n)"
+_LEGS = f"""ms as (select id, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo from geo_node where id in (select src from mn)), en as (select pair, s as id from pr union select pair, e from pr), ep as (select distinct en.id, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo from en join geo_node g on g.id = en.id),
+ nr as (select p.id, {_NEAREST} as near from ep p), lg as (select pair, s, e, x.near as a, y.near as b from pr join nr x on x.id = pr.s join nr y on y.id = pr.e)"""
+_TWO = _EDGES.replace("with ", "with recursive ", 1) + f", {_WT}, {_MAIN}, {_sampled('wt')}, {_LEGS}, {_least('r0', 'wt', 'select pair, s as node from lg')}, {_least('r1', 'mn', 'select pair, a as node from lg')}, {_least('r2', 'wt', 'select pair, b as node from lg')}"
 
 
-@query("g5_two_pass_route", f"""{_MAINLY}, {_WT}, {_LEGS}, {_least('r0', 'wt', 'select pair, s as node from lg')}, {_least('r2', 'wt', 'select pair, b as node from lg')}
- select lg.pair, r0.cost + r1.cost + r2.cost as time_ms from lg left join r0 on r0.pair = lg.pair and r0.node = lg.a left join r1 on r1.pair = lg.pair and r1.node = lg.b left join r2 on r2.pair = lg.pair and r2.node = lg.e""")
+@query("g5_two_pass_route", f"{_TWO} select lg.pair, a, b, r0.cost + r1.cost + r2.cost as time_ms from lg left join r0 on r0.pair = lg.pair and r0.node = lg.a left join r1 on r1.pair = lg.pair and r1.node = lg.b left join r2 on r2.pair = lg.pair and r2.node = lg.e")
 def g5(t):
-    """Local roads to a junction of main roads, main roads to another, local roads to the end."""
-    every, nodes = cut(edges(t).select("src", "dst", "dist_dm", "time_ms", "access", "speed")), cut(t.geo_node)
-    own, main = routes.by_cell(every, nodes), routes.by_cell(routes.main_roads(every), nodes)
-    legs = two_steps(main)
-    near = legs.join(own.select(c("dst").alias("a"), c("src").alias("_s")), "a", "left").join(own.select(c("src").alias("b"), c("dst").alias("_e")), "b", "left")
-    asked = near.groupBy("pair", "a", "b").agg(F.coalesce(F.min("_s"), c("a")).alias("start"), F.coalesce(F.max("_e"), c("b")).alias("end"))
-    return routes.two_pass(cut(asked), own, main, nodes).select("pair", "time_ms")
+    """Local roads to the nearest node that a main road leaves, main roads to the one nearest to the end, local roads to the end; null where a leg has no way."""
+    own, nodes = network(t)
+    main = cut(routes.main_roads(own))
+    pairs = cut(pairs_of(own, nodes))
+    place = lambda ids: nodes.join(ids, "id", "left_semi").select("id", (c("lat_e7") / 1e7).alias("lat"), (c("lon_e7") / 1e7).alias("lon"))
+    gates = place(main.select(c("src").alias("id")).distinct()).withColumn("gate", c("id"))
+    ends = place(pairs.select(F.explode(F.array("start", "end")).alias("id")).distinct())
+    near = cut(nearest.nearest(ends, gates, ["id"], "gate", "id", sphere=True))
+    legs = pairs.join(near.toDF("start", "a"), "start").join(near.toDF("end", "b"), "end")
+    legs = cut(legs)
+    every, over = search.Graph.of(own, nodes), search.Graph.of(main, nodes)
+    local = legs.select(c("pair").alias("_p"), F.explode(F.array(F.struct(F.lit(0).alias("leg"), c("start"), c("a").alias("end")), F.struct(F.lit(2).alias("leg"), c("b").alias("start"), "end"))).alias("_l"))
+    first = search.search(local.select((c("_p") * 4 + c("_l.leg")).alias("pair"), "_l.start", "_l.end"), every).ends
+    middle = search.search(legs.select((c("pair") * 4 + 1).alias("pair"), c("a").alias("start"), c("b").alias("end")), over).ends
+    times = first.unionByName(middle).groupBy(F.floor(c("pair") / 4).alias("pair")).agg(F.when(F.count("time_ms") == 3, F.sum("time_ms")).alias("time_ms"))
+    return legs.select("pair", "a", "b").join(times, "pair", "left")
 
 
 @query("g6_measure_path", f"{_PIECED} select way_id as path, count(*) as hops, cast(sum(d) as bigint) as dist_dm from (select p.way_id, p.segment, min_by(q.dist_dm, row(q.way_id, q.segment)) as d from pc p join pc q on q.src = p.src and q.dst = p.dst group by p.way_id, p.segment) x group by way_id")
@@ -145,11 +173,19 @@ def g8(t):
     return a.join(b, "route", "full").select("route", status.alias("status"))
 
 
-@query("g9_cell_diverse_sample", "select cy, id from (select cy, id, row_number() over (partition by cy order by md5(cast(id as varchar)), id) as r from (select distinct cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, id from geo_node) q) x where r <= 5")
+@query("g9_valid_pairs", f"{_EDGES.replace('with ', 'with recursive ', 1)}, {_WT}, {_sampled('wt')} select pair, s as start, e as end, cast(round_even(metres, 0) as bigint) as metres from pr")
 def g9(t):
-    cells = t.geo_node.select(geo.cell(c("lat_e7"), 10).alias("cy"), "id")
-    rank = F.row_number().over(Window.partitionBy("cy").orderBy(F.md5(c("id").cast("string").cast("binary")), "id"))
-    return cells.withColumn("r", rank).where("r <= 5").select("cy", "id")
+    """Seeded pairs of nodes that reach each other, within a window of distances, no two between the same two cells."""
+    own, nodes = network(t)
+    return pairs_of(own, nodes).select("pair", "start", "end", F.rint("metres").cast("long").alias("metres"))
+
+
+@query("g9_cell_diverse_sample", "select cy, cx, id from (select cy, cx, id, row_number() over (partition by cy, cx order by md5(cast(id as varchar)), id) as r from (select distinct cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, cast(floor(lon_e7 * 10 / 1e7) as bigint) as cx, id from geo_node) q) x where r <= 5")
+def g9_cells(t):
+    """Five nodes of each cell, by a hash: the least five are kept task by task, so a dense cell is no large window."""
+    cells = t.geo_node.select(geo.cell(c("lat_e7"), 10).alias("cy"), geo.cell(c("lon_e7"), 10).alias("cx"), F.struct(F.md5(c("id").cast("string").cast("binary")).alias("h"), "id").alias("m"))
+    rank = F.row_number().over(Window.partitionBy("cy", "cx").orderBy("m"))
+    return cells.withColumn("r", rank).where("r <= 5").select("cy", "cx", "m.id")
 
 
 @query("g10_cell_partitions", f"{_EDGES} select cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, cast(floor(lon_e7 * 10 / 1e7) as bigint) as cx, count(*) as n, cast(sum(dist_dm) as bigint) as dm from ed join geo_node on id = src group by 1, 2")
@@ -166,26 +202,23 @@ def g11(t):
 
 @query("g13_sample_route_health", f"{_ROUTED} select pr.pair, cost is not null as ok from pr left join rec on rec.pair = pr.pair and rec.node = pr.e where pr.pair < 3")
 def g13(t):
-    """Sample pairs and whether there is a way; not all have one."""
-    own, nodes = graph(t)
-    return routes.routes(pairs_of(own).where("pair < 3"), own, nodes).select("pair", (c("time_ms").isNotNull() & (c("hops") >= 0)).alias("ok"))
-
-
-_WORD = "case highway " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(bits.ROAD_CLASSES, 1)) + " else 0 end"
+    """Three sample pairs and whether their ways can be followed edge by edge."""
+    own, nodes = network(t)
+    ways = search.routes(pairs_of(own, nodes).where("pair < 3"), search.Graph.of(own, nodes))
+    return ways.select("pair", ((c("status") == "ok") & (F.size("path") == c("hops") + 1)).alias("ok"))
 
 
-@query("g14_link_and_oneway_counts", f"{_EDGES} select count(*) as edges, count(*) filter (where o.oneway in ('yes', '1', 'true')) as oneway, count(*) filter (where {_WORD} in (2, 4, 6, 8, 10)) as links from ed join (select distinct way_id as w, oneway from geo_way_node) o on o.w = ed.way_id")
+@query("g14_link_and_oneway_counts", f"{_EDGES} select count(*) as edges, count(*) filter (where access & 128 <> 0) as oneway, count(*) filter (where access & 31 in (2, 4, 6, 8, 10)) as links, count(*) filter (where access & 256 <> 0) as roundabouts from ed")
 def g14(t):
     bit = lambda b: c("access").bitwiseAND(F.lit(b))
-    return edges(t).agg(F.count(F.lit(1)).alias("edges"), F.count_if(bit(bits.ONEWAY) != 0).alias("oneway"), F.count_if(bit(31).isin(2, 4, 6, 8, 10)).alias("links"))
+    return edges(t).agg(F.count(F.lit(1)).alias("edges"), F.count_if(bit(bits.ONEWAY) != 0).alias("oneway"), F.count_if(bit(31).isin(2, 4, 6, 8, 10)).alias("links"), F.count_if(bit(bits.ROUNDABOUT) != 0).alias("roundabouts"))
 
 
-@query("g15_distance_by_class", f"{_EDGES} select {_WORD} as class, cast(sum(dist_dm) as bigint) as dm, {_WORD} <= 4 and {_WORD} > 0 as warn from ed group by 1, 3")
+@query("g15_distance_by_class", f"{_EDGES} select access & 31 as class, cast(sum(dist_dm) as bigint) as dm, cast(coalesce(sum(dist_dm) filter (where access & 32 <> 0), 0) as bigint) as no_foot_dm, cast(coalesce(sum(dist_dm) filter (where access & 64 <> 0), 0) as bigint) as no_bicycle_dm from ed group by 1")
 def g15(t):
-    """Distance by road class, with a warning where the class isn't for people on foot."""
-    modes = t.spark.createDataFrame([(i, 0 < i <= 4) for i in range(21)], "class int, warn boolean")
-    sums = edges(t).groupBy(c("access").bitwiseAND(F.lit(31)).alias("class")).agg(F.sum("dist_dm").alias("dm"))
-    return sums.join(F.broadcast(modes), "class")  # 21 rows
+    """Distance by road class, and how much of it is forbidden on foot and by bicycle, from each edge's own bits."""
+    held = lambda bit: F.sum(F.when(c("access").bitwiseAND(F.lit(bit)) != 0, c("dist_dm")).otherwise(0))
+    return edges(t).groupBy(c("access").bitwiseAND(F.lit(31)).alias("class")).agg(F.sum("dist_dm").alias("dm"), held(bits.FOOT_NO).alias("no_foot_dm"), held(bits.BICYCLE_NO).alias("no_bicycle_dm"))
 
 
 @query("sc13_graph_roundtrip", f"{_EDGES} select cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, cast(floor(lon_e7 * 10 / 1e7) as bigint) as cx, count(*) as edges, cast(sum(dist_dm) as bigint) as dm, cast(sum(speed) as bigint) as speeds, count(distinct src) as sources from ed join geo_node on id = src group by 1, 2")

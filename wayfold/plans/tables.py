@@ -49,7 +49,8 @@ VIEWS = {
     "geo_way_node": """select way_id, pos, case when (way_id + pos) % 4 = 0 then partkey else 100000000 + way_id * 100 + pos end as ref,
  case way_id % 5 when 0 then 'motorway' when 1 then 'primary' when 2 then 'residential' when 3 then 'construction' else 'service' end as highway,
  case when way_id % 7 = 0 then 'yes' when way_id % 11 = 0 then '-1' else '' end as oneway,
- case when way_id % 3 = 0 then 'Road ' || cast(way_id % 50 as string) else '' end as name, case when way_id % 4 = 0 then 'R' || cast(way_id % 20 as string) else '' end as rf
+ case when way_id % 3 = 0 then 'Road ' || cast(way_id % 50 as string) else '' end as name, case when way_id % 4 = 0 then 'R' || cast(way_id % 20 as string) else '' end as rf,
+ case when way_id % 13 = 0 then 'no' when way_id % 13 = 1 then 'yes' else '' end as foot, case when way_id % 17 = 0 then 'no' else '' end as bicycle, case way_id % 19 when 0 then 'roundabout' when 1 then 'circular' when 2 then 'jughandle' else '' end as junction
  from (select l_orderkey as way_id, l_partkey as partkey, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as bigint) as pos from {lineitem}) x""",
     "geo_node": """select ref as id, 370000000 + (ref * 7919) % 10000000 as lat_e7, -1220000000 + (ref * 104729) % 10000000 as lon_e7 from {geo_way_node} group by ref""",
     "geo_tag": """select p_partkey as id, p_size as k, case p_size % 9 when 0 then 'city' when 1 then 'town' when 2 then 'village' when 3 then 'country' when 4 then 'state' when 5 then 'hamlet' when 6 then 'island' else '' end as place,
