@@ -215,7 +215,7 @@ def repeated_ranges(texts: DataFrame, most: int = MOST) -> DataFrame:
     each = marks.select("_k1", "_k2", "_m", F.explode(F.arrays_zip(*ARRAYS)).alias("_s")).select("_k1", "_k2", "_m", "_s.*")
     differ = (F.min("s1") < F.max("s1")) | (F.min("s2") < F.max("s2"))
     twice = each.groupBy("h").agg(F.sum("_m").alias("_n"), differ.alias("_differ")).where("_n > 1").select("h", "_differ")
-    hits = cut(each.join(twice, "h"))
+    hits = cut(each.join(cut(twice), "h"))  # two plain exchanges, so that adaptive execution can split a hot anchor
     forget(marks)
 
     first = [F.first(c).alias(c) for c in ("_k1", "_k2", "pos", "low", "high")]
