@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import conflate
 from ..shared import folder as scratch
 from ..streaming import incremental
 from .registry import query
@@ -22,11 +21,11 @@ def st1(t):
     first = lambda v, n: F.min_by(v, F.when(c(v).isNotNull(), c(n))).alias(v)
     known = lambda v, n: F.min(F.when(c(v).isNotNull(), c(n))).alias(n)
 
-    def merge(old, new):
-        return old.unionByName(new).groupBy("qid").agg(first("population", "p_no"), first("label", "l_no"), F.min("row_no").alias("row_no"), known("population", "p_no"), known("label", "l_no")).select(*rows.columns)
+    def merge(every):
+        return every.groupBy("qid").agg(first("population", "p_no"), first("label", "l_no"), F.min("row_no").alias("row_no"), known("population", "p_no"), known("label", "l_no"), F.max("_batch").alias("_batch"))
 
-    table = incremental.VersionedTable(t.spark, f"{folder}/table", rows.schema)
-    incremental.fold_stream(stream, table, merge, f"{folder}/state")
+    table = incremental.Upserts(t.spark, f"{folder}/table", rows.schema, ["qid"], merge)
+    incremental.fold_stream(stream, table, f"{folder}/state")
     return table.read().select("qid", "population", "label", "row_no")
 
 
@@ -37,13 +36,13 @@ def st2(t):
     rows = t.geo_poi.select("seq", c("n").alias("label"))
     rows.unionByName(rows.select("seq", F.lit(None).cast("string").alias("label"))).repartition(2, "label").write.parquet(f"{folder}/in")
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    table = incremental.VersionedTable(t.spark, f"{folder}/table", rows.schema)
 
-    def merge(old, new):
-        one = new.groupBy("seq").agg(F.max("label").alias("label"))
-        return conflate.upsert(old, one, "seq", c("old.label").isNotNull() & c("new.label").isNull())
+    def merge(every):
+        last = F.struct(c("label").isNotNull(), "_batch")  # the last one with a label, else the last one
+        return every.groupBy("seq").agg(F.max_by("label", last).alias("label"), F.max_by("_batch", last).alias("_batch"))
 
-    incremental.fold_stream(stream, table, merge, f"{folder}/state")
+    table = incremental.Upserts(t.spark, f"{folder}/table", rows.schema, ["seq"], merge)
+    incremental.fold_stream(stream, table, f"{folder}/state")
     return table.read()
 
 
