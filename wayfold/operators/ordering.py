@@ -42,3 +42,37 @@ def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame
     inside = Window.partitionBy("_part").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return rows.join(_offsets(sums), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_n", "_in", "_before")
+
+
+def greedy_ranges(df: DataFrame, order: str, value: str, parts: int) -> DataFrame:
+    """(part, lo, hi, total): df's rows in the order of a distinct column, cut as a loop over them would: a part ends with the row that brings it to total / parts; the last one takes the rest.
+
+    The loop's rule is sequential, its rounds aren't: each row points to the first row after the part that would start at it, found by a search in running totals, and pointers are
+    doubled from the first row on, so as many rounds do as `parts` has bits. The search is inside of stretches of total / parts, so a window holds one part of the rows.
+    """
+    rows = running_total(df.select(F.col(order).alias("_o"), F.col(value).alias("_v")), "_o", "_v", "_ahead")
+    rows = cut(rows.select("_o", "_v", "_ahead", (F.col("_ahead") + F.col("_v")).alias("_to")))
+    total = rows.agg(F.sum("_v")).first()[0] or 0
+    share = total / parts
+    if not share:
+        return rows.groupBy(F.lit(0).alias("part")).agg(F.min("_o").alias("lo"), F.max("_o").alias("hi"), F.sum("_v").alias("total"))
+    stretch = lambda x: F.floor(x / share)
+    keys = rows.select(F.col("_to").cast("double").alias("_x"), F.lit(1).alias("_key"), F.col("_to").alias("_hit"), F.lit(None).cast("long").alias("_from"))
+    asked = rows.select((F.col("_ahead") + F.lit(share)).alias("_x"), F.lit(0).alias("_key"), F.lit(None).cast("long").alias("_hit"), F.col("_ahead").alias("_from"))
+    both = keys.unionByName(asked).withColumn("_s", stretch(F.col("_x")))
+    rest = Window.partitionBy("_s").orderBy("_x", "_key").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    inside = both.withColumn("_to", F.min("_hit").over(rest)).where("_key = 0").select("_from", "_s", "_to")
+    firsts = keys.groupBy(stretch(F.col("_x")).alias("_s")).agg(F.min("_hit").alias("_first"))  # at most parts + 1 rows
+    # a stretch without totals has no row in firsts: its rows go on to the next stretch that has
+    stretches = df.sparkSession.range(parts + 2).withColumnRenamed("id", "_s").join(F.broadcast(firsts.withColumnsRenamed({"_s": "_s2", "_first": "_later"})), F.col("_s2") > F.col("_s"), "left").groupBy("_s").agg(F.min("_later").alias("_later"))
+    jump = inside.join(F.broadcast(stretches), "_s", "left").select("_from", F.coalesce("_to", "_later").alias("_to")).where("_to is not null")
+    jump = cut(jump)
+    starts, step = cut(rows.agg(F.min("_ahead").alias("_at")).withColumn("part", F.lit(0))), 1
+    while step < parts:
+        more = starts.join(jump, starts["_at"] == jump["_from"]).select(F.col("_to").alias("_at"), (F.col("part") + step).alias("part"))
+        starts = cut(starts.unionByName(more).where(F.col("part") < parts))
+        jump = cut(jump.join(jump.toDF("_to", "_next"), "_to").select("_from", F.col("_next").alias("_to")))
+        step *= 2
+    ends = starts.withColumn("_until", F.lead("_at").over(Window.orderBy("part")))  # at most `parts` rows
+    held = rows.join(F.broadcast(ends), (F.col("_ahead") >= F.col("_at")) & (F.col("_until").isNull() | (F.col("_ahead") < F.col("_until"))))
+    return held.groupBy("part").agg(F.min("_o").alias("lo"), F.max("_o").alias("hi"), F.sum("_v").alias("total"))

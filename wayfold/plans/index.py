@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules, text
-from ..operators import buckets, conflate
+from ..operators import buckets, conflate, search_index
+from ..shared import folder
 from .filters import chip_sql
 from .joins import REVERSE, _points, countries, reverse
 from .registry import query
@@ -150,7 +151,10 @@ def b10(t):
 
 @query("q1_prefix_search", f"select distinct seq, n from ({_PREFIXED}) q where prefix = 'la' and contains(lower(strip_accents(n)), 'la') order by n, seq limit 300")
 def q1(t):
-    return buckets.search(buckets.prefix_index(t.geo_poi, "n"), "Lá").select("seq", "n")
+    """The index is written, prefixes over 20 kB in sub-chunks; the lookup opens the folders of one prefix."""
+    place, records = folder(t.spark), t.geo_poi.select("seq", "n", "t", "s")
+    search_index.write(records, place, "n", F.octet_length(F.to_json(F.struct("seq", "n", "t", "s"))), 20_000)
+    return search_index.lookup(t.spark, place, "Lá", "n", records.schema).select("seq", "n")
 
 
 _D = "cast(round_even(2 * 6371000.0 * atan2(sqrt(a), sqrt(1 - a)), 0) as bigint)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.bits import lookup
 from ..operators import conflate, islands
-from ..operators.ordering import dense_index, running_total
+from ..operators.ordering import dense_index, greedy_ranges, running_total
 from .aggregates import JUNCTIONS, junctions
 from .registry import query
 
@@ -71,13 +71,12 @@ def w8(t):
     return rows.withColumn("cliff", F.coalesce(c("n") * F.pow(F.lit(4.0), c("z") - 1) < 0.1 * c("prev") * F.pow(F.lit(4.0), c("z")), F.lit(False)))
 
 
-@query("w9_balanced_ranges", "select part, min(ref) as lo, max(ref) as hi, cast(sum(n) as bigint) as n from (select ref, n, least(7, cast(floor((sum(n) over (order by ref) - n) * 8.0 / sum(n) over ()) as bigint)) as part from (select ref, count(*) as n from geo_way_node group by ref) a) b group by part")
+@query("w9_balanced_ranges", """with recursive a as (select x, n, sum(n) over (order by x) as s from (select x, count(*) as n from geo_tile group by x) q), t as (select sum(n) / 32.0 as share from a),
+ r(part, base) as (select 0, cast(0 as bigint) union all select r.part + 1, cast(min(a.s) as bigint) from r join t on true join a on a.s - r.base >= t.share where r.part < 31 group by r.part, r.base)
+ select part, min(x) as lo, max(x) as hi, cast(sum(n) as bigint) as total from (select a.x, a.n, max(r.part) as part from a join r on r.base <= a.s - a.n group by a.x, a.n) q group by part""")
 def w9(t):
-    counts = t.geo_way_node.groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    rows = running_total(counts, "ref", "n", "before").crossJoin(F.broadcast(total))  # one row
-    part = F.least(F.lit(7), F.floor(c("before") * 8.0 / c("total")))
-    return rows.groupBy(part.alias("part")).agg(F.min("ref").alias("lo"), F.max("ref").alias("hi"), F.sum("n").alias("n"))
+    """Columns of tiles for 32 workers, by the greedy rule."""
+    return greedy_ranges(t.geo_tile.groupBy("x").agg(F.count(F.lit(1)).alias("n")), "x", "n", 32)
 
 
 @query("w10_keep_newest", "select item, file, seq from (select *, row_number() over (partition by item order by published desc, size desc, seq) as r from catalogue) q where r > 2")
@@ -92,10 +91,11 @@ def w11(t):
     return dense_index(rows, ["src", "dst", "l_linenumber", "l_partkey", "l_extendedprice"], "i").select("src", "dst", "i")
 
 
-@query("w12_cell_adjacency", "select cy, id, n, cast(sum(n) over (partition by cy order by id) - n as bigint) as start from (select cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, id, count(*) as n from geo_node join geo_way_node on ref = id group by 1, 2) q")
+@query("w12_cell_adjacency", "select cy, cx, id, n, cast(sum(n) over (partition by cy, cx order by id) - n as bigint) as start from (select cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, cast(floor(lon_e7 * 10 / 1e7) as bigint) as cx, id, count(*) as n from geo_node join geo_way_node on ref = id group by 1, 2, 3) q")
 def w12(t):
-    rows = t.geo_node.join(t.geo_way_node, c("ref") == c("id")).groupBy(geo.cell(c("lat_e7"), 10).alias("cy"), "id").agg(F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("start", F.sum("n").over(Window.partitionBy("cy").orderBy("id")) - c("n"))
+    cell = [geo.cell(c("lat_e7"), 10).alias("cy"), geo.cell(c("lon_e7"), 10).alias("cx")]
+    rows = t.geo_node.join(t.geo_way_node, c("ref") == c("id")).groupBy(*cell, "id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("start", F.sum("n").over(Window.partitionBy("cy", "cx").orderBy("id")) - c("n"))
 
 
 @query("w13_running_slug", "select seq, row_number() over (order by seq) - 1 as i from geo_poi where t = 'park'")
