@@ -320,6 +320,12 @@ LAYERS = {
     "park": (11, 14, None), "landuse": (4, 14, None), "urban_areas": (4, 8, "landuse"), "landcover": (0, 14, None), "ice_shelf": (0, 9, "landcover"), "glacier": (2, 9, "landcover"), "mountain_peak": (11, 14, None),
 }
 
+#: Layers that are simplified, the zoom below which, the tolerance in degrees just below it, and the rule.
+SIMPLIFIED = {
+    "boundary": (12, 0.0003, "visvalingam"), "waterway": (12, 0.0003, "douglas-peucker"), "transportation": (13, 0.0003, "douglas-peucker"), "water": (12, 0.0003, "visvalingam"), "ocean": (13, 0.0001, "visvalingam"),
+    "landuse": (13, 0.0003, "visvalingam"), "urban_areas": (7, 0.0003, "visvalingam"), "landcover": (13, 0.0003, "visvalingam"), "ice_shelf": (13, 0.0005, "visvalingam"), "glacier": (13, 0.0005, "visvalingam"),
+}
+
 
 # -- category chips ------------------------------------------------------------------------------------------------------------------
 

@@ -12,8 +12,8 @@ from ..operators import islands
 TAGS = ("highway", "oneway", "name", "rf", "foot", "bicycle", "junction")
 
 
-def segments(way_nodes: DataFrame, nodes: DataFrame, junctions: DataFrame) -> DataFrame:
-    """One row per piece of a road between two junctions: (way_id, segment, src, dst, dist_dm, points, and TAGS).
+def segments(way_nodes: DataFrame, nodes: DataFrame, junctions: DataFrame, shapes: bool = False) -> DataFrame:
+    """One row per piece of a road between two junctions: (way_id, segment, src, dst, dist_dm, points, and TAGS), with `shapes` also line array<struct<lat_e7, lon_e7>>.
 
     way_nodes(way_id, pos, ref, and TAGS) are navigable ways. Lines are cut by window functions over a way, and
     folded to a segment by one aggregation; nothing is larger than a way.
@@ -27,6 +27,7 @@ def segments(way_nodes: DataFrame, nodes: DataFrame, junctions: DataFrame) -> Da
     rows = cut.withColumn("_m", F.coalesce(F.rint(step * 10), F.lit(0.0)).cast("long"))
     out = rows.groupBy("way_id", "segment").agg(
         F.min_by("ref", "pos").alias("src"), F.max_by("ref", "pos").alias("dst"), F.sum("_m").alias("dist_dm"), F.count(F.lit(1)).alias("points"), *[F.first(c).alias(c) for c in TAGS],
+        *[F.transform(F.array_sort(F.collect_list(F.struct("pos", "lat_e7", "lon_e7"))), lambda p: F.struct(p["lat_e7"].alias("lat_e7"), p["lon_e7"].alias("lon_e7"))).alias("line")][: int(shapes)],
     )
     return out.where("points >= 2")
 

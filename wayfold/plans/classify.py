@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import bits, rules
+from ..operators import simplify
+from ..shared import cut
+from .aggregates import junctions
 from .registry import query
 
 c = F.col
@@ -157,10 +162,18 @@ def cl19(t):
     return t.geo_tag.select("id", r["class"].alias("class"), r["subclass"].alias("subclass"))
 
 
-@query("cl20_layer_zooms", "select layer, target, least_, most from (values " + ", ".join(f"('{k}', '{v[2] or k}', {v[0]}, {v[1]})" for k, v in rules.LAYERS.items()) + ") v(layer, target, least_, most)")
+@query("cl20_simplified_lines")
 def cl20(t):
-    rows = [(k, v[2] or k, v[0], v[1]) for k, v in rules.LAYERS.items()]
-    return t.spark.createDataFrame(rows, "layer string, target string, least_ int, most int")
+    """Ways as lines of each simplified layer that holds lines or their outlines, at each zoom below which it is simplified: points that stay, and the worst value of those that went.
+
+    Junctions that ways share are pinned. Tested against the definition of either rule, step by step."""
+    own = t.geo_way_node.where(bits.navigable(c("highway")))
+    nodes = t.geo_node.select(c("id").alias("ref"), (c("lat_e7") / 1e7).alias("lat"), (c("lon_e7") / 1e7).alias("lon"))
+    shared = junctions(t).select("ref", F.lit(True).alias("pinned"))
+    points = own.join(nodes, "ref").join(shared, "ref", "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
+    lines = cut(simplify.lines(points, "way_id", "pos"))
+    out = [simplify.by_zoom(lines, "way_id", rule, rules.LAYERS[layer][0], below, level).withColumn("layer", F.lit(layer)) for layer, (below, level, rule) in rules.SIMPLIFIED.items() if layer in ("transportation", "boundary")]
+    return reduce(lambda x, y: x.unionByName(y), out)
 
 
 @query("cl21_feature_type", "select id, coalesce(nullif(place, ''), case when boundary = 'administrative' then 'admin' end, nullif(tourism, ''), nullif(historic, ''), nullif(natural_, ''), nullif(amenity, ''), nullif(leisure, ''), nullif(aeroway, ''), 'way') as type from geo_tag")
@@ -169,9 +182,15 @@ def cl21(t):
     return t.geo_tag.select("id", rules.feature_type(tags, F.lit("way")).alias("type"))
 
 
-@query("cl22_search_types", "select layer, type from (values " + ", ".join(f"('{k}', '{v}')" for k, v in rules.SEARCH_TYPES.items()) + ") v(layer, type)")
+#: What puts a feature into a layer that is searched, as SQL that both engines run.
+_SEARCHED = {"place": "place <> ''", "poi": "amenity <> '' or shop <> '' or tourism <> ''", "transportation_name": "highway <> '' and name <> ''", "water_name": "natural_ = 'water' and name <> ''", "waterway": "waterway in ('river', 'stream', 'canal')", "park": "boundary = 'national_park' or leisure = 'nature_reserve'", "mountain_peak": "natural_ = 'peak'", "aerodrome_label": "aeroway = 'aerodrome'", "building": "building <> ''", "landuse": "landuse <> ''"}
+
+
+@query("cl22_search_types", "select id, type from (" + " union all ".join(f"select id, '{rules.SEARCH_TYPES[k]}' as type from geo_tag where {w}" for k, w in _SEARCHED.items()) + ") q")
 def cl22(t):
-    return t.spark.createDataFrame(list(rules.SEARCH_TYPES.items()), "layer string, type string")
+    """The search type of each feature, once for each of its layers."""
+    layers = F.filter(F.array(*[F.when(F.expr(w), k) for k, w in _SEARCHED.items()]), lambda x: x.isNotNull())
+    return t.geo_tag.select("id", F.explode(layers).alias("layer")).select("id", bits.lookup(rules.SEARCH_TYPES, c("layer"), None).alias("type"))
 
 
 @query("cl23_raster_road_class", f"select id, {_cases('highway', rules.RASTER_ROADS, chr(39) + 'minor' + chr(39))} as class from geo_tag")

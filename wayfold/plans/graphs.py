@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, geo
-from ..graph import build, codec, routes, sample, search
+from ..graph import build, codec, geometry, routes, sample, search
 from ..operators import nearest
 from ..shared import cut
 from .aggregates import JUNCTIONS, junctions
@@ -30,12 +30,17 @@ def edges(t):
     return build.edges(pieces(t))
 
 
+def shapes(t):
+    ways = t.geo_way_node.where(bits.navigable(c("highway")))
+    return build.segments(ways, t.geo_node, junctions(t), shapes=True)
+
+
 _HV = "2 * 6371000.0 * atan2(sqrt(a), sqrt(1 - a))"
 _PIECES = f"""jn as ({JUNCTIONS}), wn as (select x.*, j.ref is not null as is_j, min(pos) over (partition by way_id) as f, max(pos) over (partition by way_id) as l from geo_way_node x left join jn j on j.ref = x.ref where highway not in ('', 'construction', 'proposed')),
  bn as (select *, case when is_j and pos > f and pos < l then 1 else 0 end as b from wn), nn as (select *, sum(b) over (partition by way_id order by pos) as n from bn), sg as (select *, cast(unnest(case when b = 1 then [n - 1, n] else [n] end) as bigint) as segment from nn),
- ll as (select sg.*, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo, lag(lat_e7 / 1e7) over w as pla, lag(lon_e7 / 1e7) over w as plo from sg join geo_node on id = ref window w as (partition by way_id, segment order by pos)),
+ ll as (select sg.*, lat_e7, lon_e7, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo, lag(lat_e7 / 1e7) over w as pla, lag(lon_e7 / 1e7) over w as plo from sg join geo_node on id = ref window w as (partition by way_id, segment order by pos)),
  dd as (select *, pow(sin(radians(la - pla) / 2), 2) + cos(radians(pla)) * cos(radians(la)) * pow(sin(radians(lo - plo) / 2), 2) as a from ll),
- pc as (select way_id, segment, min_by(ref, pos) as src, max_by(ref, pos) as dst, cast(sum(coalesce(cast(round_even({_HV} * 10, 0) as bigint), 0)) as bigint) as dist_dm, count(*) as points, min(highway) as highway, min(oneway) as oneway, min(name) as name, min(rf) as rf, min(foot) as foot, min(bicycle) as bicycle, min(junction) as junction from dd group by way_id, segment having count(*) >= 2)"""
+ pc as (select way_id, segment, min_by(ref, pos) as src, max_by(ref, pos) as dst, cast(sum(coalesce(cast(round_even({_HV} * 10, 0) as bigint), 0)) as bigint) as dist_dm, count(*) as points, string_agg(cast(lat_e7 as varchar) || ',' || cast(lon_e7 as varchar), ';' order by pos) as line, min(highway) as highway, min(oneway) as oneway, min(name) as name, min(rf) as rf, min(foot) as foot, min(bicycle) as bicycle, min(junction) as junction from dd group by way_id, segment having count(*) >= 2)"""
 _PIECED = f"with {_PIECES}"
 _SPEED = "case highway " + " ".join(f"when '{k}' then {v}" for k, v in bits.SPEEDS.items()) + " else 30 end"
 _CLASS = "case highway " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(bits.ROAD_CLASSES, 1)) + " else 0 end"
@@ -221,6 +226,19 @@ def g15(t):
     return edges(t).groupBy(c("access").bitwiseAND(F.lit(31)).alias("class")).agg(F.sum("dist_dm").alias("dm"), held(bits.FOOT_NO).alias("no_foot_dm"), held(bits.BICYCLE_NO).alias("no_bicycle_dm"))
 
 
+@query("sk8_geometry_dictionary", f"""{_EDGES}, tl as (select way_id, segment, line, points from pc), gd as (select line, row_number() over (order by w) - 1 as gid from (select line, min(row(way_id, segment)) as w from tl group by line) x),
+ us as (select ed.way_id, ed.segment, back, cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, cast(floor(lon_e7 * 10 / 1e7) as bigint) as cx, gid, points, tl.line from ed join tl on tl.way_id = ed.way_id and tl.segment = ed.segment join gd on gd.line = tl.line join geo_node g on g.id = ed.src),
+ lo as (select cy, cx, gid, row_number() over (partition by cy, cx order by w) - 1 as lid from (select cy, cx, gid, min(row(way_id, segment, back)) as w from us group by cy, cx, gid) x)
+ select way_id, segment, back, us.cy, us.cx, lid, us.gid, points, md5(us.line) as line from us join lo on lo.cy = us.cy and lo.cx = us.cx and lo.gid = us.gid""")
+def sk8(t):
+    """Every edge's polyline, joined back from the dictionaries."""
+    own = cut(shapes(t))
+    every = build.edges(own).select("way_id", "segment", "back", "src")
+    found = geometry.restored(*geometry.dictionaries(every, own.select("way_id", "segment", "line"), t.geo_node))
+    text = F.array_join(F.transform("line", lambda p: F.concat_ws(",", p["lat_e7"], p["lon_e7"])), ";")
+    return found.select("way_id", "segment", "back", "cy", "cx", c("lid").cast("long").alias("lid"), "gid", F.size("line").cast("long").alias("points"), F.md5(text.cast("binary")).alias("line"))
+
+
 @query("sc13_graph_roundtrip", f"{_EDGES} select cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, cast(floor(lon_e7 * 10 / 1e7) as bigint) as cx, count(*) as edges, cast(sum(dist_dm) as bigint) as dm, cast(sum(speed) as bigint) as speeds, count(distinct src) as sources from ed join geo_node on id = src group by 1, 2")
 def sc13(t):
     """The edges of each cell of the graph are encoded to a blob; what is reported is counted from the decoded blobs. A cell is bounded by its area."""

@@ -260,5 +260,8 @@ def j19(t):
 
 @query("j20_lookup_near_by_name", "select a.seq as seq, b.seq as other from geo_poi a join geo_poi_new b on a.n = b.n and abs(a.lat_e7 - b.lat_e7) < 1000000 and abs(a.lon_e7 - b.lon_e7) < 1000000")
 def j20(t):
-    b = t.geo_poi_new.select("n", c("seq").alias("other"), c("lat_e7").alias("la"), c("lon_e7").alias("lo"))
-    return t.geo_poi.join(b, "n").where("abs(lat_e7 - la) < 1000000 and abs(lon_e7 - lo) < 1000000").select("seq", "other")
+    """By name and cell of a tenth of a degree, the second side copied to the cells around it: a name that everybody has meets only its neighbours."""
+    cell = [F.floor(c("lat_e7") / 1000000), F.floor(c("lon_e7") / 1000000)]
+    b = t.geo_poi_new.select("n", c("seq").alias("other"), c("lat_e7").alias("la"), c("lon_e7").alias("lo"), F.explode(nearest.neighbours(*cell, 1)).alias("_c")).select("n", "other", "la", "lo", "_c.cy", "_c.cx")
+    own = t.geo_poi.withColumns(dict(zip(("cy", "cx"), cell)))
+    return own.join(b, ["n", "cy", "cx"]).where("abs(lat_e7 - la) < 1000000 and abs(lon_e7 - lo) < 1000000").select("seq", "other")

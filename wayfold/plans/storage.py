@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import readers, writers
+from ..operators import raster
 from ..shared import folder as scratch
+from ..sources import readers, writers
 from .registry import query
 
 c = F.col
@@ -155,6 +156,20 @@ def sk3(t):
     return back.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
 
 
+_TAP = "case when {i} % 2 = 0 then [-3, 29, 111, -9][{k} + 1] else [-9, 111, 29, -3][{k} + 1] end"
+
+
+@query("sc11_halo_resampling", f"""with p as (select tile, tile // 8 as ty, tile % 8 as tx, row_, col, elev from geo_pixel), g as (select *, ty * 16 + row_ as gy, tx * 16 + col as gx from p),
+ tl as (select distinct tile, ty, tx from p), o as (select tile, ty, tx, i, j, a, b, cast(floor((i - 1) / 2.0) as bigint) - 1 + a as r, cast(floor((j - 1) / 2.0) as bigint) - 1 + b as q, {_TAP.format(i='i', k='a')} * {_TAP.format(i='j', k='b')} as w from tl, range(32) x(i), range(32) y(j), range(4) u(a), range(4) v(b)),
+ m as (select o.*, n.elev as far, own.elev as near from o join g own on own.tile = o.tile and own.row_ = least(15, greatest(0, r)) and own.col = least(15, greatest(0, q)) left join g n on n.gy = o.ty * 16 + o.r and n.gx = o.tx * 16 + o.q and o.tx * 16 + o.q between 0 and 127)
+ select tile, i, j, cast(floor((sum(w * coalesce(far, near)) + 8192) / 16384.0) as bigint) as elev from m group by tile, i, j""")
+def sc11(t):
+    """Tiles, eight to a row, resampled to twice their size by the cubic kernel over a halo of two pixels of their neighbours."""
+    tiles = raster.blocks(t.geo_pixel.withColumns({"ty": F.floor(c("tile") / 8), "tx": c("tile") % 8}), ["tile", "ty", "tx"], "row_", "col", "elev")
+    out = raster.doubled(raster.with_halo(tiles, 16), 16)
+    return out.select("tile", F.posexplode("rows").alias("i", "_l")).select("tile", c("i").cast("long").alias("i"), F.posexplode("_l").alias("j", "elev")).select("tile", "i", c("j").cast("long").alias("j"), "elev")
+
+
 @query("sk4_chunk_files", "select k, count(*) as n, md5('[' || string_agg('{\"n\":\"' || n || '\",\"s\":\"' || s || '\"}', ',' order by seq) || ']') as body from (select *, substr(n, 1, 2) as k from geo_poi) q group by k")
 def sk4(t):
     """A file for each prefix of names. A chunk is held by one task, so larger ones are split first, as b4 does."""
@@ -178,13 +193,13 @@ def sk6(t):
     return back.select("r.path", F.md5(F.unbase64("r.body_b64")).alias("body"))
 
 
-@query("sk9_cell_partitions", "select cy, count(*) as n from (select cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, id from geo_node) q group by cy")
+@query("sk9_cell_partitions", "select cy, cx, count(*) as n from (select cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, cast(floor(lon_e7 * 10 / 1e7) as bigint) as cx, id from geo_node) q group by cy, cx")
 def sk9(t):
     from ..functions.geo import cell
 
     folder = scratch(t.spark)
-    writers.parquet(t.geo_node.select(cell(c("lat_e7"), 10).alias("cy"), "id"), folder, ["cy"])
-    return t.spark.read.parquet(folder).groupBy(c("cy").cast("long").alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+    writers.parquet(t.geo_node.select(cell(c("lat_e7"), 10).alias("cy"), cell(c("lon_e7"), 10).alias("cx"), "id"), folder, ["cy", "cx"])
+    return t.spark.read.parquet(folder).groupBy(c("cy").cast("long").alias("cy"), c("cx").cast("long").alias("cx")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sk10_byte_chunks", "select doc_id as name, i as idx, least(1000, octet_length(encode(text)) - i * 1000) as size from (select doc_id, text, unnest(generate_series(0, greatest(1, cast(ceil(octet_length(encode(text)) / 1000.0) as bigint)) - 1)) as i from documents where text is not null) q")
