@@ -161,7 +161,7 @@ _PRESENT = _sql("v14_routing_present", "select kind, count(path) as entries from
 _SAMPLE = _sql("v14_sample_route", "select pr.pair, cost from pr left join rec on rec.pair = pr.pair and rec.node = pr.e", "cost is null", "cast(pair as varchar)")
 
 
-@query("v14_routing_entry_size", f"{graphs._ROUTED} {_ENTRY} union all {_PRESENT} union all {_SAMPLE}")
+@query("v14_routing_entry_size", f"{graphs._ROUTED_FEW} {_ENTRY} union all {_PRESENT} union all {_SAMPLE}")
 def v14(t):
     """Entries are small enough, routing data is there in each of its folders, and sample pairs have a way."""
     size = verdict(t.entries_a.select("path", (c("size") * 100000).alias("bytes")), "v14_routing_entry_size", c("bytes") > quality.ROUTING_FAIL, c("path"))
@@ -169,7 +169,7 @@ def v14(t):
     have = kinds.join(t.entries_a, F.expr("startswith(path, kind)"), "left").groupBy("kind").agg(F.count("path").alias("entries"))  # two rows
     there = verdict(have, "v14_routing_present", c("entries") == 0, c("kind"))
     own, nodes = graphs.network(t)
-    found = graphs.search.search(graphs.pairs_of(own, nodes), graphs.search.Graph.of(own, nodes)).ends
+    found = graphs.search.search(graphs.pairs_of(own, nodes, graphs._FEW), graphs.search.Graph.of(own, nodes)).ends
     return size.unionByName(there).unionByName(verdict(found, "v14_sample_route", c("time_ms").isNull(), c("pair").cast("string")))
 
 

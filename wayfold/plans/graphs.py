@@ -57,8 +57,8 @@ def g1(t):
 
 #: Road junctions that ways share have ids below this.
 _SHARED = 100_000_000
-#: Pairs that are routed, metres between their nodes, seed, cells to a degree and draws for each pair.
-_N, _LEAST_M, _MOST_M, _SEED, _SCALE, _TRIES = 100, 5_000.0, 60_000.0, 42, 10, 50
+#: Pairs that are routed, and where each takes three searches or is a sample only; metres between their nodes, seed, cells to a degree and draws for each pair.
+_N, _FEW, _LEAST_M, _MOST_M, _SEED, _SCALE, _TRIES = 100, 20, 5_000.0, 60_000.0, 42, 10, 50
 
 
 def network(t, main: bool = False):
@@ -97,6 +97,7 @@ def _least(name: str, edge: str, start: str) -> str:
 _WT = "wt as (select src, dst, min(cast(round_even(dist_dm * 360.0 / speed, 0) as bigint)) as w from ed group by src, dst)"
 _MAIN = "mn as (select src, dst, min(cast(round_even(dist_dm * 360.0 / speed, 0) as bigint)) as w from ed where highway in ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary', 'primary_link') group by src, dst)"
 _ROUTED = _EDGES.replace("with ", "with recursive ", 1) + f", {_WT}, {_sampled('wt')}, {_least('rec', 'wt', 'select pair, s as node from pr')}"
+_ROUTED_FEW = _EDGES.replace("with ", "with recursive ", 1) + f", {_WT}, {_sampled('wt', _FEW)}, {_least('rec', 'wt', 'select pair, s as node from pr')}"
 _STATUS = "select pr.pair, case when cost is null then 'unreachable' else 'ok' end as status, cost as time_ms from pr left join rec on rec.pair = pr.pair and rec.node = pr.e"
 
 
@@ -130,7 +131,7 @@ def g4(t):
 _NEAREST = f"(select min_by(n.id, row(2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)), n.id)) from (select m.id, pow(sin(radians(m.la - p.la) / 2), 2) + cos(radians(p.la)) * cos(radians(m.la)) * pow(sin(radians(m.lo - p.lo) / 2), 2) as h from ms m) n)"
 _LEGS = f"""ms as (select id, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo from geo_node where id in (select src from mn)), en as (select pair, s as id from pr union select pair, e from pr), ep as (select distinct en.id, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo from en join geo_node g on g.id = en.id),
  nr as (select p.id, {_NEAREST} as near from ep p), lg as (select pair, s, e, x.near as a, y.near as b from pr join nr x on x.id = pr.s join nr y on y.id = pr.e)"""
-_TWO = _EDGES.replace("with ", "with recursive ", 1) + f", {_WT}, {_MAIN}, {_sampled('wt')}, {_LEGS}, {_least('r0', 'wt', 'select pair, s as node from lg')}, {_least('r1', 'mn', 'select pair, a as node from lg')}, {_least('r2', 'wt', 'select pair, b as node from lg')}"
+_TWO = _EDGES.replace("with ", "with recursive ", 1) + f", {_WT}, {_MAIN}, {_sampled('wt', _FEW)}, {_LEGS}, {_least('r0', 'wt', 'select pair, s as node from lg')}, {_least('r1', 'mn', 'select pair, a as node from lg')}, {_least('r2', 'wt', 'select pair, b as node from lg')}"
 
 
 @query("g5_two_pass_route", f"{_TWO} select lg.pair, a, b, r0.cost + r1.cost + r2.cost as time_ms from lg left join r0 on r0.pair = lg.pair and r0.node = lg.a left join r1 on r1.pair = lg.pair and r1.node = lg.b left join r2 on r2.pair = lg.pair and r2.node = lg.e")
@@ -138,7 +139,7 @@ def g5(t):
     """Local roads to the nearest node that a main road leaves, main roads to the one nearest to the end, local roads to the end; null where a leg has no way."""
     own, nodes = network(t)
     main = cut(routes.main_roads(own))
-    pairs = cut(pairs_of(own, nodes))
+    pairs = cut(pairs_of(own, nodes, _FEW))
     place = lambda ids: nodes.join(ids, "id", "left_semi").select("id", (c("lat_e7") / 1e7).alias("lat"), (c("lon_e7") / 1e7).alias("lon"))
     gates = place(main.select(c("src").alias("id")).distinct()).withColumn("gate", c("id"))
     ends = place(pairs.select(F.explode(F.array("start", "end")).alias("id")).distinct())
@@ -205,11 +206,11 @@ def g11(t):
     return e.join(F.broadcast(asked), "src", "left_semi").select("src", "dst", "dist_dm", "way_id")  # two rows
 
 
-@query("g13_sample_route_health", f"{_ROUTED} select pr.pair, cost is not null as ok from pr left join rec on rec.pair = pr.pair and rec.node = pr.e where pr.pair < 3")
+@query("g13_sample_route_health", f"{_ROUTED_FEW} select pr.pair, cost is not null as ok from pr left join rec on rec.pair = pr.pair and rec.node = pr.e where pr.pair < 3")
 def g13(t):
     """Three sample pairs and whether their ways can be followed edge by edge."""
     own, nodes = network(t)
-    ways = search.routes(pairs_of(own, nodes).where("pair < 3"), search.Graph.of(own, nodes))
+    ways = search.routes(pairs_of(own, nodes, _FEW).where("pair < 3"), search.Graph.of(own, nodes))
     return ways.select("pair", ((c("status") == "ok") & (F.size("path") == c("hops") + 1)).alias("ok"))
 
 
