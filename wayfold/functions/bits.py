@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Ordinals of road classes in the access word, from 1 in this order.
-ROAD_CLASSES = "motorway motorway_link trunk trunk_link primary primary_link secondary secondary_link tertiary tertiary_link residential living_street unclassified service track path footway cycleway pedestrian steps".split()
+ROAD_CLASSES = (
+    "motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link",
+    "residential", "living_street", "unclassified", "service", "track", "path", "footway", "cycleway", "pedestrian", "steps",
+)
 #: km/h by road class, and for others.
 SPEEDS = {
     "motorway": 100, "motorway_link": 60, "trunk": 80, "trunk_link": 50, "primary": 60, "primary_link": 40, "secondary": 50, "secondary_link": 35, "tertiary": 40, "tertiary_link": 30,

@@ -58,6 +58,7 @@ def place_zoom(place: Column, population: Column) -> Column:
     return F.when(place == "country", country_rank(population)).when((place == "town") & (population > 8000), 7).when((place == "village") & (population > 2000), 9).otherwise(lookup(PLACE_ZOOMS, place, 13))
 
 
+#: Classes of aerodromes that are told apart.
 AERODROMES = ("international", "public", "regional", "military", "private")
 
 
@@ -114,6 +115,7 @@ def boundary_zoom(level: Column) -> Column:
 
 # -- water, land, points of interest ----------------------------------------------------------------------------------------------
 
+#: Waterways that are lines, and what else counts as water.
 WATERWAYS = ("stream", "river", "canal", "drain", "ditch")
 WATERS = (*WATERWAYS, "riverbank", "dock")
 
@@ -270,6 +272,7 @@ def zoom_by_area(area: Column, least: int = 0) -> Column:
     return out
 
 
+#: Fixed value: metres of a storey.
 FLOOR = 3.66
 
 
@@ -303,6 +306,7 @@ def remapped(featurecla: Column, layer: Column) -> Column:
 
 def feature_type(tags: dict[str, Column], geometry: Column) -> Column:
     """Type of a feature with a knowledge-base id: the first of several tags, else its geometry."""
+    # fixed values: the order of tags
     order = ("tourism", "historic", "natural", "amenity", "leisure", "aeroway")
     return first_of(tags["place"], F.when(tags["boundary"] == "administrative", "admin").otherwise(""), *[tags[k] for k in order], geometry)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import raster
+from ..operators import cover, raster
+from ..shared import cut
 from ..shared import folder as scratch
 from ..sources import readers, writers
 from .registry import query
@@ -134,6 +135,22 @@ def sc15(t):
     return readers.side_sources(t.spark, folder, {"ocean": ["seq"], "glacier": ["seq", "featurecla"]})
 
 
+_AREA = "select way_id as poly, pos, lat_e7 / 1e7 as y, lon_e7 / 1e7 as x, count(*) over (partition by way_id) as n from geo_way_node w join geo_node on id = ref where w.junction in ('roundabout', 'circular')"
+
+
+@query("sc15_points_in_areas", f"""with a as (select * from ({_AREA}) q where n >= 3), e as (select poly, y as y0, x as x0, coalesce(lead(y) over w, first_value(y) over w) as y1, coalesce(lead(x) over w, first_value(x) over w) as x1 from a window w as (partition by poly order by pos)),
+ u as (select poly, least(y0, y1) as ay, greatest(y0, y1) as by_, case when y0 < y1 then x0 else x1 end as ax, case when y0 < y1 then x1 else x0 end as bx from e where y0 <> y1), p as (select id, lat_e7 / 1e7 as la, lon_e7 / 1e7 as lo from geo_node where id < 100000000),
+ h as (select poly, id from p join u on ay <= la and la < by_ and ax + (la - ay) * (bx - ax) / (by_ - ay) < lo group by poly, id having count(*) % 2 = 1) select poly, count(*) as points from h group by poly""")
+def sc15_areas(t):
+    """How many of the nodes that ways share lie in each area that a roundabout's way encloses."""
+    at = t.geo_node.select(c("id").alias("ref"), (c("lat_e7") / 1e7).alias("lat"), (c("lon_e7") / 1e7).alias("lon"))
+    rings = t.geo_way_node.where(c("junction").isin("roundabout", "circular")).join(at, "ref").select(c("way_id").alias("poly"), F.lit(0).alias("ring"), "pos", "lat", "lon")
+    rings = cut(rings)
+    closed = rings.groupBy("poly").count().where("count >= 3").select("poly")
+    points = at.where("ref < 100000000").withColumnRenamed("ref", "id")
+    return cover.containing(points, rings.join(closed, "poly", "left_semi"), "id", 10).groupBy("poly").agg(F.count(F.lit(1)).alias("points"))
+
+
 @query("sk1_feed_roundtrip", _FEED)
 def sk1(t):
     folder = scratch(t.spark)
