@@ -32,10 +32,12 @@ from .common import Recent, beside, col, table, tidy, worker_state
 
 MARK = "▁"
 #: Bytes of the worker caches of units and pairs, and characters of the longest unit that is kept in one.
-CACHE, PAIRS, LONG = 64 << 20, 40 << 20, 64
+CACHE, PAIRS, LONG = 112 << 20, 40 << 20, 64
 #: A pair of piece ids as one integer.
 SHIFT = 20
 MODEL = "piece_bpe_32k.model"
+#: Below the score of any piece.
+_NONE = float("-inf")
 
 
 def _raw(i: int) -> bytes:
@@ -54,6 +56,7 @@ class PieceCodec:
         for i in range(sp.vocab_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
                 self.score[sp.id_to_piece(i)], self.id[sp.id_to_piece(i)] = sp.get_score(i), i
+        self.piece = {i: p for p, i in self.id.items()}
         self.own = {p: _raw(i) for p, i in self.id.items()}
         self.byte = [_raw(sp.piece_to_id(f"<0x{b:02X}>")) for b in range(256)]
         self.begin, self.end = sp.bos_id(), sp.eos_id()
@@ -74,18 +77,21 @@ class PieceCodec:
 
     def merged(self, text: str) -> list[str]:
         """The definition, pair by pair; used on single pieces and pairs of them only."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((s, -i) for i in range(len(parts) - 1) if (s := self.score.get(parts[i] + parts[i + 1])) is not None), default=None)
-            if best is None:
-                break
-            i = -best[1]
+        parts, score = list(text), self.score.get
+        scores = [score(x + y, _NONE) for x, y in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > _NONE:
+            i = scores.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = score(parts[i - 1] + parts[i], _NONE)
+            if i < len(scores):
+                scores[i] = score(parts[i] + parts[i + 1], _NONE)
         return parts
 
     def stay(self, pair: int) -> bool:
         """Whether two pieces stay as they are when one follows the other."""
-        a, b = self.library.id_to_piece(pair >> SHIFT), self.library.id_to_piece(pair & (1 << SHIFT) - 1)
+        a, b = self.piece[pair >> SHIFT], self.piece[pair & (1 << SHIFT) - 1]
         return self.merged(a + b) == [a, b]
 
     def tokens(self, unit: str) -> list[str]:
@@ -97,10 +103,11 @@ class PieceCodec:
         n, pairs = len(unit), self.pairs
         last, size = [-1] * (n + 1), [1] * (n + 1)
         for end, (piece, length) in self.ends.iter(unit):
-            if last[end + 1] < 0:
-                start = end + 1 - length
-                if not start or last[start] < 0 or pairs[last[start] << SHIFT | piece]:
-                    last[end + 1], size[end + 1] = piece, length
+            end += 1
+            if last[end] < 0:
+                before = last[end - length] if end > length else -1
+                if before < 0 or pairs[before << SHIFT | piece]:
+                    last[end], size[end] = piece, length
         out = []
         while n:
             out.append(unit[n - size[n] : n])
