@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -26,6 +27,29 @@ def test_street_key(spark):
     assert column(spark, once, "string", key) == once  # idempotent
 
 
+def folded(s):
+    return None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
+
+
+def test_fold_of_every_character(spark):
+    """Each assigned character alone."""
+    chars = [chr(p) for p in range(1, 0x110000) if not 0xD800 <= p <= 0xDFFF and unicodedata.category(chr(p)) not in ("Cn", "Co")]
+    got = column(spark, chars, "string", text.fold)
+    assert [(c, a, folded(c)) for c, a in zip(chars, got) if a != folded(c)] == []
+
+
+def test_fold_of_mixed_strings(spark):
+    rng = random.Random(5)
+    pools = ["abcXYZ 09-", "éÀßøŁİıǅ", "\u0301\u0307\u0345\u064e\u05b0", "ﬁ½㌀ﷺ①Ⅷ", "한국어갛힣", "ばガﾊﾞ東京", "ПушкинЙё", "ΑΣΟΣς", "𝐀𝟙😀"]
+    strings = [None, "", "ΟΔΟΣ", "ﷺﷺ", "각a각"] + ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 20))) for _ in range(4000)]
+    assert column(spark, strings, "string", text.fold) == [folded(s) for s in strings]
+
+
+def test_fold_needs_no_python_worker(spark):
+    plan = spark.range(3).select(text.fold(F.col("id").cast("string")).alias("f"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
 def test_no_abbreviation_hides_a_word():
     assert not set(text.STREET_WORDS) & set(text.STREET_WORDS.values())
 

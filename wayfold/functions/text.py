@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Street abbreviations and what they stand for.
 STREET_WORDS = {
@@ -17,16 +17,53 @@ STREET_WORDS = {
 }
 
 
-@F.pandas_udf(T.StringType())
-def _decomposed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not unicodedata.combining(c)))
+_PAIRS, _ENTRY = "\x1f", "\x1e"
+_HANGUL, _HANGUL_END = 0xAC00, 0xD7A3
+_LEADS, _VOWELS, _TAILS = ("".join(map(chr, range(first, first + n))) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+
+def _bare(x: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+
+
+def _ranges(points: list[int]) -> str:
+    """Code points in order as the inside of a character class."""
+    out: list[list[int]] = []
+    for p in points:
+        if out and p == out[-1][1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+@cache
+def _tables() -> tuple[str, str, str, str]:
+    """What characters fold to, from the decomposition rule: (from, to) of those with one letter or, at the end of `from`, none; and, but for Hangul syllables, the class and entries of those with several."""
+    points = [p for p in range(0x80, sys.maxunicode + 1) if not _HANGUL <= p <= _HANGUL_END and (unicodedata.decomposition(chr(p)) or unicodedata.combining(chr(p)))]
+    folded = {p: _bare(chr(p)) for p in points}
+    one, none, more = ([p for p, b in folded.items() if test(len(b))] for test in (lambda n: n == 1, lambda n: n == 0, lambda n: n > 1))
+    return "".join(map(chr, one + none)), "".join(folded[p] for p in one), _ranges(more), _ENTRY.join(chr(p) + _PAIRS + folded[p] for p in more)
+
+
+def _syllable(c: Column) -> Column:
+    """A Hangul syllable's letters, by the arithmetic of their numbers."""
+    n = F.ascii(c) - _HANGUL
+    tail = n % 28
+    letter = lambda letters, i: F.substr(F.lit(letters), i + 1, F.lit(1))
+    return F.concat(letter(_LEADS, F.floor(n / 588).cast("int")), letter(_VOWELS, F.floor(n % 588 / 28).cast("int")), F.when(tail > 0, letter(_TAILS, tail - 1)).otherwise(""))
 
 
 def fold(s: Column | str) -> Column:
-    """Lower case without accents, by compatibility decomposition, which has no built-in form: only names that aren't ASCII are worked on in Python."""
+    """Lower case without accents, by compatibility decomposition. ASCII is lower-cased; letters that lose a mark or become one other letter are translated; ligatures, fractions and syllables are spelled out."""
     s = F.col(s) if isinstance(s, str) else s
-    plain = s.rlike(r"\A\p{ASCII}*\z")
-    return F.when(plain, F.lower(s)).otherwise(_decomposed(F.when(~plain, s)))
+    low = F.lower(s)
+    old, new, several, entries = _tables()
+    one = F.translate(low, old, new)
+    known = F.str_to_map(F.lit(entries), F.lit(_ENTRY), F.lit(_PAIRS))
+    hangul = f"\\x{{{_HANGUL:x}}}-\\x{{{_HANGUL_END:x}}}"
+    spelled = lambda c: F.when(c.rlike(f"[{hangul}]"), _syllable(c)).when(c.rlike(f"[{several}]"), F.element_at(known, c)).otherwise(c)
+    return F.when(s.rlike(r"\A\p{ASCII}*\z"), low).when(~low.rlike(f"[{hangul}{several}]"), one).otherwise(F.array_join(F.transform(F.split(one, ""), spelled), ""))
 
 
 def street_key(folded: Column, words: dict[str, str] = STREET_WORDS) -> Column:

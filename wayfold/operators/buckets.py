@@ -14,7 +14,8 @@ from .ordering import dense_index
 
 def prefix_index(df: DataFrame, name: str) -> DataFrame:
     """One row per record and prefix of its name, in the column `prefix`."""
-    return df.withColumn("prefix", F.explode(text.prefixes(text.fold(name))))
+    folded = df.withColumn("_folded", text.fold(name))
+    return folded.withColumn("prefix", F.explode(text.prefixes(F.col("_folded")))).drop("_folded")
 
 
 def manifest(df: DataFrame, chunk: str) -> DataFrame:
