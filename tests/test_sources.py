@@ -5,7 +5,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.sources import mbtiles, mvt, readers
+from wayfold.operators import buckets
+from wayfold.sources import mbtiles, mvt, readers, writers
 
 
 @pytest.fixture
@@ -94,3 +95,29 @@ def test_ways_without_a_node_are_left_out(spark):
     nodes = spark.createDataFrame([(10, 1.0, 2.0), (11, 3.0, 4.0)], "id long, lat double, lon double")
     got = readers.located(ways, nodes).select("id", F.transform("line", lambda p: p["lat"]).alias("lats")).collect()
     assert [(r.id, r.lats) for r in got] == [(1, [1.0, 3.0, 1.0])]
+
+
+def test_stats_in_three_forms(spark, tmp_path):
+    rows = [("b", 1_234_567, None), ("a", 1_234_567, 3), ("a name of 32 characters, exactly.", 0, 12)]
+    path = str(tmp_path / "stats")
+    writers.stats(spark.createDataFrame(rows, "item string, downloads long, week long"), path, "item", ["downloads", "week"])
+    lines = [r.value for r in spark.read.text(f"{path}/table").orderBy("part").collect()]
+    assert lines[0].split() == ["item", "downloads", "week"] and lines[-1].split() == ["Totals", "2,469,134", "15"]
+    assert [line.split()[0] for line in lines[1:-1]] == ["a", "b", "a"] and len({len(line) for line in lines}) == 1
+    back = readers.stats_table(spark, f"{path}/table", "item", ["downloads", "week"]).collect()
+    assert sorted(map(tuple, back)) == [("Totals", 2469134, 15), ("a", 1234567, 3), ("a name of 32 characters, exactly", 0, 12), ("b", 1234567, 0)]
+    assert spark.read.option("header", "true").csv(f"{path}/csv").count() == 3 == spark.read.json(f"{path}/json").count()
+
+
+def test_empty_stats(spark, tmp_path):
+    path = str(tmp_path / "stats")
+    writers.stats(spark.createDataFrame([], "item string, downloads long"), path, "item", ["downloads"])
+    assert [tuple(r) for r in readers.stats_table(spark, f"{path}/table", "item", ["downloads"]).collect()] == [("Totals", 0)]
+
+
+def test_hot_chunks_are_split_before_they_are_held(spark):
+    """A third of all records in one prefix, half of those under one name: no file is over the bound, and none of the records is lost."""
+    rows = spark.range(3000).selectExpr("id as seq", "case when id % 6 = 0 then 'aa same' when id % 3 = 0 then concat('aa ', id) else concat(char(98 + id % 20), 'x', id) end as n", "'s' as s")
+    parts = buckets.fan_out(rows.withColumn("k", F.substring("n", 1, 2)), "k", "n", F.octet_length("n") + 40, 4_000)
+    files = writers.chunk_files(parts, "leaf", ["n", "s"], "seq").collect()
+    assert sum(f.n for f in files) == 3000 and max(len(f.body) for f in files) <= 4_000

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules, text
-from ..operators import quality
+from ..operators import cover, quality
 from ..operators.quality import verdict
 from ..shared import folder as scratch
 from ..sources import writers
@@ -249,21 +249,23 @@ def v21(t):
 
 
 #: Land cells of the audit: a rule on whole degrees, most of them land.
-_LAND = "select la, lo from range(-85, 86) a(la), range(-180, 181) b(lo) where (la * 31 + lo * 17) % 4 <> 0"
+_LAND = """a as (select region as poly, seq as pos, lat_e7 / 1e7 as y, lon_e7 / 1e7 as x from geo_place), e as (select poly, y as y0, x as x0, coalesce(lead(y) over w, first_value(y) over w) as y1, coalesce(lead(x) over w, first_value(x) over w) as x1 from a window w as (partition by poly order by pos)),
+ g as (select poly, least(y0, y1) as ay, greatest(y0, y1) as by_, case when y0 < y1 then x0 else x1 end as ax, case when y0 < y1 then x1 else x0 end as bx from e where y0 <> y1)"""
 
 
-@query("v22_blank_tile_audit", f"""select tile from (select tile, u, v, floor((x + u) / pow(2.0, z) * 360.0 - 180.0) as lo, floor(degrees(atan(sinh(pi() * (1 - 2 * (y + v) / pow(2.0, z)))))) as la from
- (select p.tile, z, x, y from (select tile, avg(case when elev <> 0 then 1.0 else 0.0 end) as nonzero, max(case when row_ = 8 and col = 8 then elev end) as centre from geo_pixel group by tile) p join geo_tile g on g.seq = p.tile where size < 2000 and nonzero <= 0.05 and abs(centre) < 10) s,
- (values (0.25), (0.5), (0.75)) a(u), (values (0.25), (0.5), (0.75)) b(v)) q join ({_LAND}) d using (la, lo) group by tile having count(*) >= 6""")
+@query("v22_blank_tile_audit", f"""with {_LAND}, s as (select p.tile, z, x, y from (select tile, avg(case when elev <> 0 then 1.0 else 0.0 end) as nonzero, max(case when row_ = 8 and col = 8 then elev end) as centre from geo_pixel group by tile) p join geo_tile g on g.seq = p.tile where size < 2000 and nonzero <= 0.05 and abs(centre) < 10),
+ q as (select tile, u, v, (x + u) / pow(2.0, z) * 360.0 - 180.0 as lo, degrees(atan(sinh(pi() * (1 - 2 * (y + v) / pow(2.0, z))))) as la from s, (values (0.25), (0.5), (0.75)) a(u), (values (0.25), (0.5), (0.75)) b(v)),
+ h as (select tile, u, v, poly from q join g on ay <= la and la < by_ and ax + (la - ay) * (bx - ax) / (by_ - ay) < lo group by tile, u, v, poly having count(*) % 2 = 1) select tile from (select distinct tile, u, v from h) d group by tile having count(*) >= 6""")
 def v22(t):
-    """Small tiles without elevation, whose centre is flat too, of which at least six of nine samples are on land."""
+    """Small tiles without elevation, whose centre is flat too, of which at least six of nine samples are on land: in a polygon, one for each region with its places as corners."""
     centre = F.max(F.when((c("row_") == 8) & (c("col") == 8), c("elev")))
     flat = t.geo_pixel.groupBy("tile").agg(F.avg(F.when(c("elev") != 0, 1.0).otherwise(0.0)).alias("nonzero"), centre.alias("centre"))
     blank = flat.join(t.geo_tile.select(c("seq").alias("tile"), "size", "z", "x", "y"), "tile").where("size < 2000 and nonzero <= 0.05 and abs(centre) < 10")
     thirds = F.explode(F.array(*map(F.lit, (1024, 2048, 3072))))
-    spots = blank.withColumn("u", thirds).withColumn("v", thirds).select("tile", F.floor(geo.pixel_lat(c("z"), c("y"), c("v"))).alias("la"), F.floor(geo.pixel_lon(c("z"), c("x"), c("u"))).alias("lo"))
-    land = t.spark.range(-85, 86).select(c("id").alias("la"), F.explode(F.sequence(F.lit(-180).cast("long"), F.lit(180).cast("long"))).alias("lo")).where((c("la") * 31 + c("lo") * 17) % 4 != 0)
-    return spots.join(land, ["la", "lo"]).groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where("n >= 6").select("tile")
+    spots = blank.withColumn("u", thirds).withColumn("v", thirds).select(F.struct("tile", "u", "v").alias("spot"), geo.pixel_lat(c("z"), c("y"), c("v")).alias("lat"), geo.pixel_lon(c("z"), c("x"), c("u")).alias("lon"))
+    rings = t.geo_place.select(c("region").alias("poly"), F.lit(0).alias("ring"), c("seq").alias("pos"), (c("lat_e7") / 1e7).alias("lat"), (c("lon_e7") / 1e7).alias("lon"))
+    land = cover.containing(spots, rings, "spot", 1).select("spot").distinct()
+    return land.groupBy("spot.tile").agg(F.count(F.lit(1)).alias("n")).where("n >= 6").select("tile")
 
 
 @_check("v23_bucket_integrity", "select seq, seq % 97 = 5 as moved from geo_poi", "moved", "lpad(cast(seq as varchar), 8, '0')")

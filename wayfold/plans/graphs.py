@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import bits, geo
+from ..functions import bits, geo, text
 from ..graph import build, codec, geometry, routes, sample, search
 from ..operators import nearest
 from ..shared import cut
@@ -164,6 +164,16 @@ def g6(t):
     return build.measure(paths, own.withColumn("back", F.lit(0)))
 
 
+@query("w6_coalesce_roads", f"""{_PIECED}, st as (select way_id // 40 as route, way_id, segment, dist_dm, {_LABEL} as label, {_ACCESS} as access from pc), fl as (select *, access & 256 <> 0 as roundabout, access & 31 in (2, 4, 6, 8, 10) as link from st),
+ x as (select *, case when lag(label) over w is not distinct from label and lag(roundabout) over w is not distinct from roundabout and lag(link) over w is not distinct from link then 0 else 1 end as s from fl window w as (partition by route order by way_id, segment)),
+ y as (select *, sum(s) over (partition by route order by way_id, segment) - 1 as road from x) select route, cast(road as bigint) as road, label, roundabout, link, cast(sum(dist_dm) as bigint) as dist_dm, count(*) as edges from y group by all""")
+def w6(t):
+    """Roads along corridors of forty ways each, one piece after the other: stretches of one label and the same flags, with their lengths."""
+    access = bits.access_word(*[c(x) for x in ("highway", "foot", "bicycle", "oneway", "junction")])
+    steps = pieces(t).select(F.floor(c("way_id") / 40).alias("route"), "way_id", "segment", "dist_dm", text.road_label(c("name"), c("rf")).alias("label"), access.alias("access"))
+    return routes.roads(steps, ["route"], ["way_id", "segment"]).withColumn("road", c("road").cast("long"))
+
+
 @query("g7_shortest_distances", f"{_EDGES.replace('with ', 'with recursive ', 1)}, {_WT}, {_least('rec', 'wt', f'select min(src) as pair, min(src) as node from ed where src < {_SHARED}')} select pair as source, node, cost from rec")
 def g7(t):
     """All distances from one junction, however many hops."""

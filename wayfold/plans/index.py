@@ -95,14 +95,19 @@ def b3(t):
     return t.geo_poi.groupBy(leaf.alias("leaf")).agg(n_())
 
 
-_FAN_OUT = f"""with recursive r(seq, n, leaf, z, level, open_) as (select seq, n, t, octet_length(encode(n)) + 40, 0, true from geo_poi union all
- select seq, n, case when split then leaf || '-' || lower(to_hex(case when deal then pos % 16 else h end)) else leaf end, z, level + 1, split from
+def _fan_out(chunk: str, out: str) -> str:
+    """SQL for records of geo_poi in the leaves that chunks over 4 kB are split to, and `out` of each leaf."""
+    return f"""with recursive r(seq, n, s, leaf, z, level, open_) as (select seq, n, s, {chunk}, octet_length(encode(n)) + 40, 0, true from geo_poi union all
+ select seq, n, s, case when split then leaf || '-' || lower(to_hex(case when deal then pos % 16 else h end)) else leaf end, z, level + 1, split from
  (select *, cast(sum(z) over l as bigint) + count(*) over l + 1 > 4000 and count(*) over l > 1 as split, max(k) over l > 0.75 * count(*) over l as deal, row_number() over (partition by leaf order by seq) - 1 as pos
   from (select *, count(*) over (partition by leaf, h) as k from (select *, cast({FNV('n')} % 16 as bigint) as h from r where open_ and level < 5) a) b window l as (partition by leaf)) c)
- select leaf, count(*) as n, min(seq) as first from r where not open_ or level = 5 group by leaf"""
+ select leaf, count(*) as n, {out} from r where not open_ or level = 5 group by leaf"""
 
 
-@query("b4_recursive_fan_out", _FAN_OUT)
+FAN_OUT_CHUNKS = _fan_out("substr(n, 1, 2)", "md5('[' || string_agg('{\"n\":\"' || n || '\",\"s\":\"' || s || '\"}', ',' order by seq) || ']') as body")
+
+
+@query("b4_recursive_fan_out", _fan_out("t", "min(seq) as first"))
 def b4(t):
     out = buckets.fan_out(t.geo_poi, "t", "n", F.octet_length("n") + 40, 4_000)
     return out.groupBy("leaf").agg(n_(), F.min("seq").alias("first"))

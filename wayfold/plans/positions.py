@@ -51,13 +51,6 @@ def w5(t):
     return islands.segments(marked, "way_id", "pos", c("is_j")).select("way_id", "pos", "ref", c("segment").cast("long").alias("segment"))
 
 
-@query("w6_coalesce_roads", """with x as (select user_id, event_id, event_type, value, case when lag(event_type) over w is not distinct from event_type then 0 else 1 end as s from events window w as (partition by user_id order by event_id)),
- y as (select *, sum(s) over (partition by user_id order by event_id) - 1 as run from x) select user_id, cast(run as bigint) as run, event_type, count(*) as n, min(event_id) as first from y group by user_id, run, event_type""")
-def w6(t):
-    out = islands.runs(t.events, ["user_id"], ["event_id"], ["event_type"], n=F.count(F.lit(1)), first=F.min("event_id"))
-    return out.withColumn("run", c("run").cast("long"))
-
-
 @query("w7_edge_stripe", "select tile, coalesce(min(col) filter (where elev <> 0), 16) as leading, 15 - coalesce(max(col) filter (where elev <> 0), -1) as trailing from geo_pixel group by tile")
 def w7(t):
     lit = F.when(c("elev") != 0, c("col"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cover, raster
+from ..operators import buckets, cover, raster
 from ..shared import cut
 from ..shared import folder as scratch
 from ..sources import readers, writers
+from .index import FAN_OUT_CHUNKS
 from .registry import query
 
 c = F.col
@@ -18,15 +22,24 @@ def _feed(t):
     return t.geo_poi.select(c("n").alias("name"), c("t").alias("type"), c("s").alias("subtype"), (c("lat_e7") / 1e7).alias("lat"), (c("lon_e7") / 1e7).alias("lon"), F.when(c("seq") % 3 == 0, F.concat(F.lit("x"), c("seq").cast("string"))).alias("ws"))
 
 
-@query("sc1_element_tables", "select way_id as id, count(*) as refs, min(highway) as highway from geo_way_node group by way_id")
+@query("sc1_element_tables", """select 'node' as kind, cast(id as varchar) as id, lat_e7 + lon_e7 as parts, null as tag from geo_node union all select 'way', cast(way_id as varchar), count(*), min(highway) from geo_way_node group by way_id
+ union all select 'relation', rf, cast(count(distinct way_id) as bigint), min(rf) from geo_way_node where rf <> '' group by rf""")
 def sc1(t):
+    """Nodes, ways and relations (of each road number, its ways) as element tables, written and read back: a node's place, a way's nodes, a relation's members, and a tag of each."""
+    folder, none = scratch(t.spark), F.create_map().cast("map<string,string>")
     ways = t.geo_way_node.groupBy(c("way_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref"))), lambda x: x["ref"]).alias("refs"), F.create_map(F.lit("highway"), F.first("highway")).alias("tags"))
-    folder = scratch(t.spark)
-    ways.write.parquet(f"{folder}/osm_ways")
-    t.spark.createDataFrame([], readers.NODES).write.parquet(f"{folder}/osm_nodes")
-    t.spark.createDataFrame([], readers.RELATIONS).write.parquet(f"{folder}/osm_relations")
-    _, back, _ = readers.elements(t.spark, folder)
-    return back.select("id", F.size("refs").cast("long").alias("refs"), c("tags")["highway"].alias("highway"))
+    nodes = t.geo_node.select("id", (c("lat_e7") / 1e7).alias("lat"), (c("lon_e7") / 1e7).alias("lon"), none.alias("tags"))
+    # a member is a row, and a relation one row in the source's format, which bounds its members
+    member = F.struct(F.lit("way").alias("type"), c("way_id").alias("ref"), F.lit("").alias("role"))
+    numbered = t.geo_way_node.where("rf <> ''").select("rf", "way_id").distinct().groupBy("rf").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    relations = numbered.select(F.substring("rf", 2, 9).cast("long").alias("id"), "members", F.create_map(F.lit("ref"), c("rf")).alias("tags"))
+    for name, rows in (("nodes", nodes), ("ways", ways), ("relations", relations)):
+        writers.parquet(rows, f"{folder}/osm_{name}")
+    nodes, ways, relations = readers.elements(t.spark, folder)
+    e7 = lambda x: F.rint(c(x) * 1e7).cast("long")
+    out = nodes.select(F.lit("node").alias("kind"), c("id").cast("string").alias("id"), (e7("lat") + e7("lon")).alias("parts"), F.try_element_at("tags", F.lit("highway")).alias("tag"))
+    out = out.unionByName(ways.select(F.lit("way").alias("kind"), c("id").cast("string").alias("id"), F.size("refs").cast("long").alias("parts"), c("tags")["highway"].alias("tag")))
+    return out.unionByName(relations.select(F.lit("relation").alias("kind"), F.concat(F.lit("R"), c("id").cast("string")).alias("id"), F.size("members").cast("long").alias("parts"), c("tags")["ref"].alias("tag")))
 
 
 @query("sc2_node_locations", "select way_id as id, count(*) as points, cast(sum(lat_e7) as bigint) as lat from geo_way_node join geo_node on id = ref group by way_id")
@@ -187,10 +200,12 @@ def sc11(t):
     return out.select("tile", F.posexplode("rows").alias("i", "_l")).select("tile", c("i").cast("long").alias("i"), F.posexplode("_l").alias("j", "elev")).select("tile", "i", c("j").cast("long").alias("j"), "elev")
 
 
-@query("sk4_chunk_files", "select k, count(*) as n, md5('[' || string_agg('{\"n\":\"' || n || '\",\"s\":\"' || s || '\"}', ',' order by seq) || ']') as body from (select *, substr(n, 1, 2) as k from geo_poi) q group by k")
+@query("sk4_chunk_files", FAN_OUT_CHUNKS)
 def sk4(t):
-    """A file for each prefix of names. A chunk is held by one task, so larger ones are split first, as b4 does."""
-    return writers.chunk_files(t.geo_poi.withColumn("k", F.substring("n", 1, 2)), "k", ["n", "s"], "seq").select("k", "n", F.md5(c("body").cast("binary")).alias("body"))
+    """A file for each prefix of names, and for each bucket of a prefix over 4 kB, which is split before any task holds it."""
+    rows = t.geo_poi.withColumn("k", F.substring("n", 1, 2))
+    parts = buckets.fan_out(rows, "k", "n", F.octet_length("n") + 40, 4_000)
+    return writers.chunk_files(parts, "leaf", ["n", "s"], "seq").select("leaf", "n", F.md5(c("body").cast("binary")).alias("body"))
 
 
 @query("sk5_partition_upsert", "select b, count(*) as n, max(v) as v from (select seq % 4 as b, case when seq % 4 = 1 then 'new' else 'old' end as v from geo_poi) q group by b")
@@ -225,11 +240,14 @@ def sk10(t):
     return writers.byte_chunks(docs, "doc_id", "body", 1000).select("name", "idx", "size")
 
 
-@query("sk11_stats_outputs", "select seq, downloads from catalogue")
+@query("sk11_stats_outputs", """select form, item, downloads, d30, d7 from (values ('table'), ('json'), ('csv')) f(form), (select item || ':' || cast(seq as varchar) as item, downloads, downloads30 as d30, downloads7 as d7 from catalogue) a
+ union all select 'table', 'Totals', cast(sum(downloads) as bigint), cast(sum(downloads30) as bigint), cast(sum(downloads7) as bigint) from catalogue""")
 def sk11(t):
-    folder = scratch(t.spark)
-    top = t.catalogue.select("seq", "downloads")
-    top.write.option("header", "true").csv(f"{folder}/csv")
-    top.write.json(f"{folder}/json")
-    a = t.spark.read.schema("seq long, downloads long").option("header", "true").csv(f"{folder}/csv")
-    return a.join(t.spark.read.schema("seq long, downloads long").json(f"{folder}/json"), ["seq", "downloads"])
+    """Downloads of each file as a table of fixed widths with a line of totals, as JSON and as CSV, each read back."""
+    folder, numbers = scratch(t.spark), ["downloads", "d30", "d7"]
+    rows = t.catalogue.select(F.concat_ws(":", "item", c("seq").cast("string")).alias("item"), "downloads", c("downloads30").alias("d30"), c("downloads7").alias("d7"))
+    writers.stats(rows, folder, "item", numbers)
+    read = t.spark.read.schema("item string, downloads long, d30 long, d7 long")
+    lines = readers.stats_table(t.spark, f"{folder}/table", "item", numbers)
+    forms = {"table": lines, "json": read.json(f"{folder}/json"), "csv": read.option("header", "true").csv(f"{folder}/csv")}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(form).alias("form"), "item", *numbers) for form, df in forms.items()])

@@ -20,6 +20,16 @@ def elements(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Da
     return tuple(spark.read.schema(s).parquet(f"{folder}/{name}") for name, s in (("osm_nodes", NODES), ("osm_ways", WAYS), ("osm_relations", RELATIONS)))
 
 
+def stats_table(spark: SparkSession, path: str, name: str, numbers: list[str]) -> DataFrame:
+    """(name, numbers) of a table that writers.stats() wrote, its totals included."""
+    from .writers import NAME_WIDTH, NUMBER_WIDTH
+
+    at = lambda i: NAME_WIDTH + 2 + i * (NUMBER_WIDTH + 1)
+    number = lambda i: F.replace(F.trim(F.substring("value", at(i), NUMBER_WIDTH)), F.lit(","), F.lit("")).cast("long")
+    lines = spark.read.schema("value string, part int").text(path).where("part > 0")
+    return lines.select(F.trim(F.substring("value", 1, NAME_WIDTH)).alias(name), *[number(i).alias(x) for i, x in enumerate(numbers)])
+
+
 def located(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """Ways with `line`, their points in order; ways with a node that isn't there are left out, as they have no place."""
     at = ways.select("id", F.size("refs").alias("_n"), F.posexplode("refs").alias("pos", "ref"))

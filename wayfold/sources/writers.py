@@ -43,6 +43,23 @@ def byte_chunks(df: DataFrame, name: str, body: str, size: int) -> DataFrame:
     return rows.select(F.col(name).alias("name"), "idx", data.alias("data")).withColumns({"size": F.length("data"), "sha256": F.sha2("data", 256)})
 
 
+#: Characters of a table's first column and of each number.
+NAME_WIDTH, NUMBER_WIDTH = 32, 16
+
+
+def stats(df: DataFrame, path: str, name: str, numbers: list[str]) -> None:
+    """Rows as path/json, path/csv and path/table: lines of fixed widths by descending first number, numbers with commas, between a heading and a line of totals, which are parts of their own."""
+    rows = df.select(name, *numbers)
+    rows.write.json(f"{path}/json")
+    rows.write.option("header", "true").csv(f"{path}/csv")
+    shown = lambda x: F.lpad(F.format_number(F.coalesce(F.col(x), F.lit(0)), 0), NUMBER_WIDTH, " ")
+    line = F.concat_ws(" ", F.rpad(name, NAME_WIDTH, " "), *[shown(x) for x in numbers]).alias("value")
+    heading = "select concat_ws(' ', " + ", ".join([f"rpad('{name}', {NAME_WIDTH}, ' ')", *[f"lpad('{x}', {NUMBER_WIDTH}, ' ')" for x in numbers]]) + ") as value"
+    df.sparkSession.sql(heading).write.text(f"{path}/table/part=0")
+    rows.orderBy(F.desc(numbers[0]), name).select(line).write.text(f"{path}/table/part=1")
+    rows.agg(F.lit("Totals").alias(name), *[F.sum(x).alias(x) for x in numbers]).select(line).write.text(f"{path}/table/part=2")
+
+
 def entries(df: DataFrame, path: Column, body: Column, mime: str, front: bool = False, compress: bool = True) -> DataFrame:
     """Archive entries of one kind: (path, mime, content, size, front, compress)."""
     content = body.cast("binary")
