@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, geo, text
-from ..graph import build, codec, geometry, routes, sample, search
+from ..graph import build, codec, corpus, geometry, routes, sample, search
 from ..operators import nearest
 from ..shared import cut
 from .aggregates import JUNCTIONS, junctions
@@ -181,12 +181,31 @@ def g7(t):
     return routes.distances(own, own.where(c("src") < _SHARED).agg(F.min("src").alias("source")))
 
 
-@query("g8_route_corpus_diff", "select coalesce(a.seq, b.seq) as route, case when b.seq is null then 'missing' when a.seq is null then 'extra' when abs(a.size - b.size) > 5 then 'differs' else 'same' end as status from (select seq, size from geo_tile where seq % 7 <> 0) a full join (select seq, case when seq % 10 = 0 then size + seq % 12 else size end as size from geo_tile where seq % 9 <> 0) b on a.seq = b.seq")
+_STEPS = f"select way_id // 40 as route, way_id, segment, src, dst, dist_dm, cast(round_even(dist_dm * 360.0 / {_SPEED}, 0) as bigint) as time_ms, case when points > 2 then way_id * 100 + segment else -1 end as shape, {_LABEL} as label, {_ACCESS} as access from pc"
+_PARTS = "case when a.{x} <> b.{x} then coalesce(list_position(list_transform(range(least(len(a.{x}), len(b.{x}))), lambda i: a.{x}[i + 1] <> b.{x}[i + 1]), true) - 1, least(len(a.{x}), len(b.{x}))) end as at_{x}"
+
+
+@query("g8_route_corpus_diff", f"""{_PIECED}, st as ({_STEPS}), bo as (select 'a' as k, * from st where route % 19 <> 0 union all select 'b', * replace (case when way_id % 389 = 0 then 'renamed' else label end as label) from st where route % 17 <> 0 and way_id % 411 <> 0),
+ fl as (select *, access & 256 <> 0 as roundabout, access & 31 in (2, 4, 6, 8, 10) as link from bo), x as (select *, case when lag(label) over w is not distinct from label and lag(roundabout) over w is not distinct from roundabout and lag(link) over w is not distinct from link then 0 else 1 end as s from fl window w as (partition by k, route order by way_id, segment)),
+ y as (select *, sum(s) over (partition by k, route order by way_id, segment) as road from x), ro as (select k, route, road, label, roundabout, link, sum(dist_dm) as d from y group by all), rd as (select k, route, list(label || '|' || roundabout || '|' || link || '|' || d order by road) as rd from ro group by k, route),
+ fp as (select k, route, arg_min(src, way_id * 1000 + segment) as s, arg_max(dst, way_id * 1000 + segment) as e, cast(sum(dist_dm) as bigint) as d, cast(sum(time_ms) as bigint) as t, list(dst order by way_id, segment) as ds, list(shape order by way_id, segment) as g from bo group by k, route),
+ fr as (select k, route, s, e, d + case when k = 'b' and route % 15 = 0 then 20 when k = 'b' and route % 5 = 0 then 2 else 0 end as d, t, list_prepend(s, ds) as n, g, rd from fp join rd using (k, route)), a as (select * from fr where k = 'a'), b as (select * from fr where k = 'b')
+ select coalesce(a.route, b.route) as route, case when b.route is null then 'missing' when a.route is null then 'extra' when a.s = b.s and a.e = b.e and a.n = b.n and a.g = b.g and a.rd = b.rd then case when a.d = b.d and a.t = b.t then 'same' when abs(a.d - b.d) < 5 and abs(a.t - b.t) < 500 then 'drift' else 'differs' end else 'differs' end as status,
+ concat_ws(',', case when a.s <> b.s then 's' end, case when a.e <> b.e then 'e' end, case when a.d <> b.d then 'd' end, case when a.t <> b.t then 't' end, case when a.n <> b.n then 'n' end, case when a.g <> b.g then 'g' end, case when a.rd <> b.rd then 'rd' end) as fields, {', '.join(_PARTS.format(x=x) for x in ('n', 'g', 'rd'))} from a full join b on a.route = b.route""")
 def g8(t):
-    a = t.geo_tile.where("seq % 7 <> 0").select(c("seq").alias("route"), c("size").alias("x"))
-    b = t.geo_tile.where("seq % 9 <> 0").select(c("seq").alias("route"), F.when(c("seq") % 10 == 0, c("size") + c("seq") % 12).otherwise(c("size")).alias("y"))
-    status = F.when(c("y").isNull(), "missing").when(c("x").isNull(), "extra").when(F.abs(c("x") - c("y")) > 5, "differs").otherwise("same")
-    return a.join(b, "route", "full").select("route", status.alias("status"))
+    """Fingerprints of corridors of forty ways, and of a second corpus of them in which some routes and pieces are missing, some roads are renamed and some lengths are off; half a metre is drift."""
+    access, speed = bits.access_word(*[c(x) for x in ("highway", "foot", "bicycle", "oneway", "junction")]), bits.speed_of(c("highway"))
+    shape = F.when(c("points") > 2, c("way_id") * 100 + c("segment"))
+    steps = pieces(t).select(
+        F.floor(c("way_id") / 40).alias("route"), "way_id", "segment", "src", "dst", "dist_dm", F.rint(c("dist_dm") * 360.0 / speed).cast("long").alias("time_ms"), shape.alias("shape"),
+        text.road_label(c("name"), c("rf")).alias("label"), access.alias("access"),
+    )
+    steps = cut(steps)
+    other = steps.where("route % 17 <> 0 and way_id % 411 <> 0").withColumn("label", F.when(c("way_id") % 389 == 0, "renamed").otherwise(c("label")))
+    off = F.when(c("route") % 15 == 0, 2.0).when(c("route") % 5 == 0, 0.2).otherwise(0.0)
+    golden = corpus.fingerprints(steps.where("route % 19 <> 0"), ["way_id", "segment"])
+    candidate = corpus.fingerprints(other, ["way_id", "segment"]).withColumn("d", F.round(c("d") + off, 3))
+    return corpus.differences(golden, candidate, 0.5)
 
 
 @query("g9_valid_pairs", f"{_EDGES.replace('with ', 'with recursive ', 1)}, {_WT}, {_sampled('wt')} select pair, s as start, e as end, cast(round_even(metres, 0) as bigint) as metres from pr")
