@@ -50,6 +50,13 @@ def test_fold_needs_no_python_worker(spark):
     assert "Python" not in plan
 
 
+def test_title_case(spark):
+    rng = random.Random(6)
+    pools = ["abcXYZ", "'-. 0123_", "éÀøŁ", "ПушкинЙё", "東京", "ß"]
+    strings = [None, "", "O'BRIEN'S 3RD ST", "l'isle-d'abeau", "NATION_0"] + ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 16))) for _ in range(3000)]
+    assert column(spark, strings, "string", text.title_case) == [None if s is None else s.title() for s in strings]
+
+
 def test_no_abbreviation_hides_a_word():
     assert not set(text.STREET_WORDS) & set(text.STREET_WORDS.values())
 

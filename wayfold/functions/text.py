@@ -17,6 +17,7 @@ STREET_WORDS = {
 }
 
 
+_CASED = r"\p{IsLowercase}\p{IsUppercase}\p{Lt}"
 _PAIRS, _ENTRY = "\x1f", "\x1e"
 _HANGUL, _HANGUL_END = 0xAC00, 0xD7A3
 _LEADS, _VOWELS, _TAILS = ("".join(map(chr, range(first, first + n))) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
@@ -107,9 +108,15 @@ def fnv1a(s: Column, n) -> Column:
     return F.pmod(F.aggregate(bytes_, F.lit(2166136261).cast("long"), step), F.lit(n) if isinstance(n, int) else n)
 
 
+def title_case(s: Column) -> Column:
+    """Each run of letters that have case begins with a capital and goes on in lower case, after apostrophes and digits too."""
+    parts = F.regexp_extract_all(s, F.lit(rf"[{_CASED}]+|[^{_CASED}]+"), F.lit(0))
+    return F.array_join(F.transform(parts, F.initcap), "")
+
+
 def title_case_if_upper(s: Column) -> Column:
     """Names in capitals only are title-cased; others stay."""
-    return F.when((F.upper(s) == s) & (F.lower(s) != s), F.initcap(s)).otherwise(s)
+    return F.when((F.upper(s) == s) & (F.lower(s) != s), title_case(s)).otherwise(s)
 
 
 def parse_address(name: Column) -> Column:

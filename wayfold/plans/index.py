@@ -9,7 +9,7 @@ from ..functions import geo, rules, text
 from ..operators import buckets, conflate, search_index
 from ..shared import folder
 from .filters import chip_sql
-from .joins import REVERSE, _points, countries, reverse
+from .joins import EXPECTED, REVERSE, _points, countries, expected, reverse
 from .registry import query
 from .scalar import _PK, FNV
 
@@ -145,16 +145,11 @@ def b9(t):
     return t.geo_poi.select("seq", geo.cell_trunc(c("lat_e7"), 2).alias("half"), geo.cell_trunc(c("lat_e7"), 1).alias("one"), F.floor(lat * 2).alias("floored"))
 
 
-@query("b10_expected_grid", """with z as (select cast(z as int) as z, pow(2.0, z) as n from range(0, 9) r(z)), b as (select z, greatest(0, cast(trunc((-20 + 180.0) / 360.0 * n) as bigint)) as x0, least(cast(n as bigint) - 1, cast(trunc((40 + 180.0) / 360.0 * n) as bigint)) as x1,
- greatest(0, cast(trunc((1 - ln(tan(radians(60.0)) + 1 / cos(radians(60.0))) / pi()) / 2 * n) as bigint)) as y0, least(cast(n as bigint) - 1, cast(trunc((1 - ln(tan(radians(30.0)) + 1 / cos(radians(30.0))) / pi()) / 2 * n) as bigint)) as y1 from z), g as (select z, x, unnest(generate_series(y0, y1)) as y from (select z, y0, y1, unnest(generate_series(x0, x1)) as x from b) q), p as (select distinct z, x, y from geo_tile)
- select g.z, g.x, g.y, p.z is not null as present from g left join p on p.z = g.z and p.x = g.x and p.y = g.y""")
+@query("b10_expected_grid", f"with {EXPECTED}, p as (select distinct z, x, y from geo_tile) select g.z, g.x, g.y, p.z is not null as present from g left join p on p.z = g.z and p.x = g.x and p.y = g.y")
 def b10(t):
     """The tiles that a box needs at the zooms that there are, each with whether it is there."""
-    z = t.geo_tile.select("z").distinct()
-    r = z.select("z", geo.tile_range(-20.0, 30.0, 40.0, 60.0, c("z")).alias("r"))
-    grid = r.select("z", "r", F.explode(F.sequence("r.x0", "r.x1")).alias("x")).select("z", "x", F.explode(F.sequence("r.y0", "r.y1")).alias("y"))
     there = t.geo_tile.select("z", "x", "y").distinct().withColumn("present", F.lit(True))
-    return grid.join(there, ["z", "x", "y"], "left").select("z", "x", "y", F.coalesce("present", F.lit(False)).alias("present"))
+    return expected(t.geo_tile.select("z").distinct()).join(there, ["z", "x", "y"], "left").select("z", "x", "y", F.coalesce("present", F.lit(False)).alias("present"))
 
 
 @query("q1_prefix_search", f"select distinct seq, n from ({_PREFIXED}) q where prefix = 'la' and contains(lower(strip_accents(n)), 'la') order by n, seq limit 300")

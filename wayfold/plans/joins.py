@@ -248,14 +248,28 @@ def j18(t):
     return relations.select("level", F.explode("members").alias("way_id")).groupBy("way_id").agg(F.min("level").alias("level"))
 
 
-@query("j19_tiles_expected_vs_present", """with g as (select cast(x as int) as x, cast(y as int) as y from range(0, 16) a(x), range(0, 16) b(y)), f as (select x, y, max(size) as size from geo_tile where z = 4 group by x, y)
- select g.x, g.y, case when f.size is null then 'missing' when f.size < 500 then 'stub' else 'present' end as status from g left join f on f.x = g.x and f.y = g.y""")
+#: Degrees: west, south, east, north of the box whose tiles are expected.
+BOX = (-20.0, 30.0, 40.0, 60.0)
+EXPECTED = """z as (select cast(z as int) as z, pow(2.0, z) as n from range(0, 9) r(z)), b as (select z, greatest(0, cast(trunc((-20 + 180.0) / 360.0 * n) as bigint)) as x0, least(cast(n as bigint) - 1, cast(trunc((40 + 180.0) / 360.0 * n) as bigint)) as x1,
+ greatest(0, cast(trunc((1 - ln(tan(radians(60.0)) + 1 / cos(radians(60.0))) / pi()) / 2 * n) as bigint)) as y0, least(cast(n as bigint) - 1, cast(trunc((1 - ln(tan(radians(30.0)) + 1 / cos(radians(30.0))) / pi()) / 2 * n) as bigint)) as y1 from z), g as (select z, x, unnest(generate_series(y0, y1)) as y from (select z, y0, y1, unnest(generate_series(x0, x1)) as x from b) q)"""
+
+
+def expected(zooms, box=BOX):
+    """(z, x, y) of the tiles that a box needs at zooms(z). Columns of tiles are dealt before their rows are listed, as high zooms have very many."""
+    r = zooms.select("z", geo.tile_range(*box, c("z")).alias("r"))
+    columns = r.select("z", "r", F.explode(F.sequence("r.x0", "r.x1")).alias("x")).repartition("z", "x")
+    return columns.select("z", "x", F.explode(F.sequence("r.y0", "r.y1")).alias("y"))
+
+
+@query("j19_tiles_expected_vs_present", f"""with {EXPECTED}, f as (select kind, z, x, y, max(size) as size from geo_tile group by kind, z, x, y), k as (select distinct kind from geo_tile), w as (select kind, z, x, y from g, k)
+ select coalesce(w.kind, f.kind) as kind, coalesce(w.z, f.z) as z, coalesce(w.x, f.x) as x, coalesce(w.y, f.y) as y, case when w.z is null then 'unexpected' when f.size is null then 'missing' when f.size < 500 then 'stub' else 'present' end as status from w full join f on f.kind = w.kind and f.z = w.z and f.x = w.x and f.y = w.y""")
 def j19(t):
-    one = t.spark.range(16)
-    grid = one.select(c("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("y"))
-    files = t.geo_tile.where("z = 4").groupBy("x", "y").agg(F.max("size").alias("size"))
-    status = F.when(c("size").isNull(), "missing").when(c("size") < 500, "stub").otherwise("present")
-    return grid.join(files, ["x", "y"], "left").select("x", "y", status.alias("status"))
+    """Tiles of each kind that a box needs at all zooms against those that there are, both ways."""
+    files = t.geo_tile.groupBy("kind", "z", "x", "y").agg(F.max("size").alias("size"))
+    kinds = t.geo_tile.agg(F.collect_set("kind").alias("kinds"))  # a handful
+    grid = expected(t.geo_tile.select("z").distinct()).crossJoin(F.broadcast(kinds)).select("z", "x", "y", F.explode("kinds").alias("kind")).withColumn("wanted", F.lit(True))
+    status = F.when(c("wanted").isNull(), "unexpected").when(c("size").isNull(), "missing").when(c("size") < 500, "stub").otherwise("present")
+    return grid.join(files, ["kind", "z", "x", "y"], "full").select("kind", "z", "x", "y", status.alias("status"))
 
 
 @query("j20_lookup_near_by_name", "select a.seq as seq, b.seq as other from geo_poi a join geo_poi_new b on a.n = b.n and abs(a.lat_e7 - b.lat_e7) < 1000000 and abs(a.lon_e7 - b.lon_e7) < 1000000")

@@ -189,9 +189,16 @@ def p21(t):
     return words.select("word", text.fnv1a(F.col("word"), 16).alias("b"))
 
 
-@query("p22_title_case", "select seq, case when upper(street) = street and lower(street) <> street then array_to_string(list_transform(string_split(lower(street), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') else street end as shown from geo_addr_osm")
+_TITLE = "array_to_string(list_transform(regexp_extract_all({s}, '[\\p{{Lu}}\\p{{Ll}}]+|[^\\p{{Lu}}\\p{{Ll}}]+'), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '')"
+
+
+@query("p22_title_case", f"""select seq, case when upper(street) = street and lower(street) <> street then {_TITLE.format(s='street')} else street end as shown, {_TITLE.format(s='city')} as place
+ from (select seq, case when seq % 5 = 0 then '21ST O''NEILL ' || upper(street) else street end as street, case when seq % 3 = 0 then 'l''isle-d''a' || city else city end as city from geo_addr_osm) q""")
 def p22(t):
-    return t.geo_addr_osm.select("seq", text.title_case_if_upper(F.col("street")).alias("shown"))
+    """Streets in capitals alone, and cities always, in title case."""
+    street = F.when(F.col("seq") % 5 == 0, F.concat(F.lit("21ST O'NEILL "), F.upper("street"))).otherwise(F.col("street"))
+    city = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("l'isle-d'a"), F.col("city"))).otherwise(F.col("city"))
+    return t.geo_addr_osm.select("seq", text.title_case_if_upper(street).alias("shown"), text.title_case(city).alias("place"))
 
 
 @query("p23_address_parse_compose", """with a as (select seq, num || ' ' || street || case when seq % 3 = 0 then '' else ', ' || city end as name from geo_addr_osm), b as (select seq, name, split_part(name, ' ', 1) as num, substr(name, instr(name, ' ') + 1) as rest from a)
