@@ -48,3 +48,21 @@ def test_points_in_polygons(spark):
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     assert rows_of_spark(QUERIES["sc15_points_in_areas"](spark, folder)) == rows_of_sql(connect(folder), ORACLES["sc15_points_in_areas"])
+
+
+def test_counts_are_those_of_single_points(spark):
+    """Stretches of filled cells are answered by running counts, here at several scales, with rows and cells that hold no point."""
+    rng = random.Random(5)
+    rings = [(p, 0, i, rng.uniform(-3, 3), rng.uniform(-3, 3)) for p in range(12) for i in range(3 + p % 4)]
+    points = spark.createDataFrame([(i, rng.uniform(-2, 2), rng.uniform(-2, 2)) for i in range(300)], "id long, lat double, lon double")
+    rings = spark.createDataFrame(rings, RINGS)
+    want = {r.poly: r["count"] for r in cover.containing(points, rings, "id", 3).groupBy("poly").count().collect()}
+    for scale in (1, 7):
+        assert {r.poly: r.points for r in cover.counts(points, rings, "id", scale).collect()} == want
+
+
+def test_filled_stretches_are_one_row_each(spark):
+    """A large polygon is as many rows as it has rows of cells, not as it has cells."""
+    rings = spark.createDataFrame([(1, 0, i, y, x) for i, (y, x) in enumerate([(0.05, 0.05), (0.05, 9.95), (9.95, 9.95), (9.95, 0.05)])], RINGS)
+    filled, _ = cover.stretches(cover.edges_of(rings), 10)
+    assert filled.count() < 120 and filled.selectExpr("sum(last - first + 1)").first()[0] > 9_000

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 
 def edges_of(rings: DataFrame) -> DataFrame:
     """rings(poly, ring, pos, lat, lon) to (poly, ay, ax, by, bx): edges from their lower to their upper end. Level ones are met by no ray, but cells that they cross are border cells."""
@@ -29,8 +31,8 @@ def crossing(y: Column) -> Column:
     return F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0))
 
 
-def cover(edges: DataFrame, scale: int) -> tuple[DataFrame, DataFrame]:
-    """(filled(cy, cx, poly), border(cy, cx, poly)): cells of 1 / scale degrees that polygons fill, and those that their edges cross."""
+def stretches(edges: DataFrame, scale: int) -> tuple[DataFrame, DataFrame]:
+    """(filled(cy, first, last, poly), border(cy, cx, poly)): stretches of cells of 1 / scale degrees that polygons fill, and cells that their edges cross."""
     rows = edges.withColumn("cy", F.explode(F.sequence(F.floor(F.col("ay") * scale), F.floor(F.col("by") * scale))))
     low, high = F.greatest("ay", F.col("cy") / scale), F.least("by", (F.col("cy") + 1) / scale)
     left = F.coalesce(F.least(crossing(low), crossing(high)), F.least("ax", "bx"))
@@ -45,18 +47,52 @@ def cover(edges: DataFrame, scale: int) -> tuple[DataFrame, DataFrame]:
     along = Window.partitionBy("poly", "cy").orderBy("cx")
     marks = marks.withColumns({"_west": F.sum("_n").over(along), "_next": F.lead("cx").over(along)})
     gaps = marks.where((F.col("_west") % 2 == 1) & (F.col("_next") > F.col("cx") + 1))
-    filled = gaps.select("cy", F.explode(F.sequence(F.col("cx") + 1, F.col("_next") - 1)).alias("cx"), "poly")
-    return filled, border
+    return gaps.select("cy", (F.col("cx") + 1).alias("first"), (F.col("_next") - 1).alias("last"), "poly"), border
+
+
+def cover(edges: DataFrame, scale: int) -> tuple[DataFrame, DataFrame]:
+    """(filled(cy, cx, poly), border(cy, cx, poly)): cells of 1 / scale degrees that polygons fill, and those that their edges cross."""
+    filled, border = stretches(edges, scale)
+    return filled.select("cy", F.explode(F.sequence("first", "last")).alias("cx"), "poly"), border
+
+
+def in_border_cells(at: DataFrame, edges: DataFrame, border: DataFrame, key: str, scale: int) -> DataFrame:
+    """(key, poly) of points at(key, lat, lon, cy, cx) in border cells, by ray casting over the edges of their row."""
+    unsure = at.join(border, ["cy", "cx"])
+    rows = edges.withColumn("cy", F.explode(F.sequence(F.floor(F.col("ay") * scale), F.floor(F.col("by") * scale))))
+    hit = (F.col("ay") <= F.col("lat")) & (F.col("lat") < F.col("by")) & (crossing(F.col("lat")) < F.col("lon"))
+    odd = unsure.join(rows.select("poly", "cy", "ay", "ax", "by", "bx"), ["poly", "cy"]).where(hit).groupBy(key, "poly").count().where("count % 2 = 1")
+    return odd.select(key, "poly")
 
 
 def containing(points: DataFrame, rings: DataFrame, key: str, scale: int) -> DataFrame:
     """(key, poly) for each polygon of rings(poly, ring, pos, lat, lon) that a point of points(key, lat, lon) lies in."""
     edges = edges_of(rings)
     filled, border = cover(edges, scale)
-    at = points.select(key, "lat", "lon", F.floor(F.col("lat") * scale).alias("cy"), F.floor(F.col("lon") * scale).alias("cx"))
+    at = _in_cells(points, key, scale)
     inside = at.join(filled, ["cy", "cx"]).select(key, "poly")
-    unsure = at.join(border, ["cy", "cx"])
-    rows = edges.withColumn("cy", F.explode(F.sequence(F.floor(F.col("ay") * scale), F.floor(F.col("by") * scale))))
-    hit = (F.col("ay") <= F.col("lat")) & (F.col("lat") < F.col("by")) & (crossing(F.col("lat")) < F.col("lon"))
-    odd = unsure.join(rows.select("poly", "cy", "ay", "ax", "by", "bx"), ["poly", "cy"]).where(hit).groupBy(key, "poly").count().where("count % 2 = 1")
-    return inside.unionByName(odd.select(key, "poly"))
+    return inside.unionByName(in_border_cells(at, edges, border, key, scale))
+
+
+def _in_cells(points: DataFrame, key: str, scale: int) -> DataFrame:
+    return points.select(key, "lat", "lon", F.floor(F.col("lat") * scale).alias("cy"), F.floor(F.col("lon") * scale).alias("cx"))
+
+
+def counts(points: DataFrame, rings: DataFrame, key: str, scale: int) -> DataFrame:
+    """(poly, points): how many points each polygon of containing() holds, if any; each key is one point.
+
+    A filled stretch of cells is answered by two running counts of its row's points, so only points in border cells meet a polygon one by one: with about sqrt(points) cells to
+    the side of the area, these are as many as the cells that a border crosses.
+    """
+    edges = cut(edges_of(rings))
+    filled, border = stretches(edges, scale)
+    at = cut(_in_cells(points, key, scale))
+    own = at.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("_n"))
+    ends = own.groupBy("cy").agg(F.min("cx").alias("_lo"), F.max("cx").alias("_hi"))
+    dense = ends.select("cy", F.explode(F.sequence(F.col("_lo") - 1, F.col("_hi"))).alias("cx")).join(own, ["cy", "cx"], "left")
+    running = cut(dense.select("cy", "cx", F.sum(F.coalesce("_n", F.lit(0))).over(Window.partitionBy("cy").orderBy("cx")).alias("_to")))
+    held = filled.join(ends, "cy").where((F.col("first") <= F.col("_hi")) & (F.col("last") >= F.col("_lo")))
+    marks = F.array(F.struct(F.lit(1).alias("_sign"), F.least("last", "_hi").alias("cx")), F.struct(F.lit(-1).alias("_sign"), (F.greatest("first", "_lo") - 1).alias("cx")))
+    inside = held.select("poly", "cy", F.inline(marks)).join(running, ["cy", "cx"]).groupBy("poly").agg(F.sum(F.col("_sign") * F.col("_to")).alias("points"))
+    unsure = in_border_cells(at, edges, border, key, scale).groupBy("poly").agg(F.count(F.lit(1)).alias("points"))
+    return inside.unionByName(unsure).groupBy("poly").agg(F.sum("points").alias("points")).where("points > 0")

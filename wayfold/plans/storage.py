@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -160,8 +161,9 @@ def sc15_areas(t):
     rings = t.geo_way_node.where(c("junction").isin("roundabout", "circular")).join(at, "ref").select(c("way_id").alias("poly"), F.lit(0).alias("ring"), "pos", "lat", "lon")
     rings = cut(rings)
     closed = rings.groupBy("poly").count().where("count >= 3").select("poly")
-    points = at.where("ref < 100000000").withColumnRenamed("ref", "id")
-    return cover.containing(points, rings.join(closed, "poly", "left_semi"), "id", 10).groupBy("poly").agg(F.count(F.lit(1)).alias("points"))
+    points = cut(at.where("ref < 100000000").withColumnRenamed("ref", "id"))
+    scale = max(10, math.isqrt(points.count()))  # all nodes are in one degree
+    return cover.counts(points, rings.join(closed, "poly", "left_semi"), "id", scale)
 
 
 @query("sk1_feed_roundtrip", _FEED)
