@@ -165,3 +165,15 @@ def test_chunks_refuse_torn_parts(spark):
     assert {r.name: r.body for r in readers.whole_chunks(torn, manifest).collect()}["a"] is None
     with pytest.raises(ValueError):
         writers.byte_chunks(df, "name", "body", 0)
+
+
+def test_rounds_of_distances_write_what_improved_alone(spark, monkeypatch):
+    from wayfold.graph import routes
+
+    written, write = [], routes.cut
+    monkeypatch.setattr(routes, "cut", lambda df, *a, **k: written.append(write(df, *a, **k)) or written[-1])
+    monkeypatch.setattr(routes, "forget", lambda df: None)
+    edges = spark.createDataFrame([(i, i + 1, 5) for i in range(10)], "src long, dst long, time_ms long")
+    got = routes.distances(edges, spark.createDataFrame([(0,)], "source long"))
+    assert {r.node: r.cost for r in got.collect()} == {i: 5 * i for i in range(11)}
+    assert sum(df.count() for df in written) <= 10 + 1 + 2 * 10
