@@ -168,8 +168,8 @@ def v14(t):
     kinds = t.spark.createDataFrame([("src1/",), ("graph/",)], "kind string")
     have = kinds.join(t.entries_a, F.expr("startswith(path, kind)"), "left").groupBy("kind").agg(F.count("path").alias("entries"))  # two rows
     there = verdict(have, "v14_routing_present", c("entries") == 0, c("kind"))
-    own, nodes = graphs.network(t)
-    found = graphs.search.meet(graphs.pairs_of(own, nodes, graphs._FEW), graphs.search.Graph.of(own, nodes)).ends
+    own, nodes = graphs.component(t)
+    found = graphs.search.meet(graphs.pairs_of(nodes, graphs._FEW), graphs.search.Graph.of(own, nodes)).ends
     return size.unionByName(there).unionByName(verdict(found, "v14_sample_route", c("time_ms").isNull(), c("pair").cast("string")))
 
 
