@@ -67,3 +67,21 @@ def test_greedy_ranges_are_those_of_the_loop(spark, parts, n, most):
 def test_queries(spark, name):
     folder = "/root/testdata/sf0.001"
     assert rows_of_spark(QUERIES[name](spark, folder)) == rows_of_sql(connect(folder), ORACLES[name])
+
+
+@pytest.mark.parametrize("name", ["a9_cell_counts", "u2_junction_union", "j20_lookup_near_by_name", "w12_cell_adjacency", "g6_measure_path"])
+def test_large_tables_are_dealt_by_rows(spark, monkeypatch, name):
+    """Partitions follow the rows of the tables and hold about as many at any size; results are those of the SQL."""
+    from compare import connect, rows_of_spark, rows_of_sql
+
+    from wayfold import plans
+    from wayfold.plans import tables
+
+    folder, dealt = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(tables, "SHARE", 500)
+    monkeypatch.setattr(tables, "LEAST", 0)
+    parts = tables.Tables.parts
+    monkeypatch.setattr(tables.Tables, "parts", lambda self, *a, **k: dealt.append(parts(self, *a, **k)) or dealt[-1])
+    found = rows_of_spark(plans.QUERIES[name](spark, folder))
+    assert found == rows_of_sql(connect(folder), plans.ORACLES[name])
+    assert max(dealt) >= (4 if name[0] == "j" else 12)
