@@ -278,4 +278,6 @@ def j20(t):
     cell = [F.floor(c("lat_e7") / 1000000), F.floor(c("lon_e7") / 1000000)]
     b = t.geo_poi_new.select("n", c("seq").alias("other"), c("lat_e7").alias("la"), c("lon_e7").alias("lo"), F.explode(nearest.neighbours(*cell, 1)).alias("_c")).select("n", "other", "la", "lo", "_c.cy", "_c.cx")
     own = t.geo_poi.withColumns(dict(zip(("cy", "cx"), cell)))
-    return own.join(b, ["n", "cy", "cx"]).where("abs(lat_e7 - la) < 1000000 and abs(lon_e7 - lo) < 1000000").select("seq", "other")
+    key = ["n", "cy", "cx"]
+    dealt = lambda df: t.dealt(df, *key, of="part", times=9)
+    return dealt(own.select("seq", "lat_e7", "lon_e7", *key)).join(dealt(b), key).where("abs(lat_e7 - la) < 1000000 and abs(lon_e7 - lo) < 1000000").select("seq", "other")
