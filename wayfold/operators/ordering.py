@@ -11,13 +11,13 @@ from ..shared import cut
 _ROW_BITS = 33
 
 
-def ranged(df: DataFrame, order: list) -> DataFrame:
-    """df, written once, with _part (number of a range of the order) and _n (number of the row in its range, in order).
+def ranged(df: DataFrame, order: list, parts: int | None = None) -> DataFrame:
+    """df, written once in `parts` ranges (by default as many as there are shuffle partitions, small ones joined), with _part (number of a range of the order) and _n (number of the row in its range, in order).
 
     The numbers are made where the sorted rows are written, and then read back: plans that made them again for each use would not agree, as
     samples for the ranges' bounds and the ranges that adaptive execution joins depend on the columns that a use reads.
     """
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = df.repartitionByRange(*[parts] * bool(parts), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     rows = cut(rows)
     return rows.select(*df.columns, F.shiftright("_at", _ROW_BITS).alias("_part"), F.col("_at").bitwiseAND(F.lit(2**_ROW_BITS - 1)).alias("_n"))
 
@@ -35,9 +35,9 @@ def dense_index(df: DataFrame, order: list, name: str = "index", start: int = 0)
     return rows.join(_offsets(sizes), "_part").withColumn(name, F.col("_before") + F.col("_n") + start).drop("_part", "_n", "_before")
 
 
-def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+def running_total(df: DataFrame, order: str | list[str], value: str, name: str, parts: int | None = None) -> DataFrame:
     """df with the total of `value` over the rows before each one in a global, total order."""
-    rows = ranged(df, [order])
+    rows = ranged(df, [order] if isinstance(order, str) else order, parts)
     sums = rows.groupBy("_part").agg(F.sum(value).alias("_sum"))
     inside = Window.partitionBy("_part").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))

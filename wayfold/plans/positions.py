@@ -86,9 +86,12 @@ def w11(t):
 
 @query("w12_cell_adjacency", "select cy, cx, id, n, cast(sum(n) over (partition by cy, cx order by id) - n as bigint) as start from (select cast(floor(lat_e7 * 10 / 1e7) as bigint) as cy, cast(floor(lon_e7 * 10 / 1e7) as bigint) as cx, id, count(*) as n from geo_node join geo_way_node on ref = id group by 1, 2, 3) q")
 def w12(t):
+    """Totals run over ranges of (cell, node), less the total at which the cell starts: a cell of many nodes is no window."""
     cell = [geo.cell(c("lat_e7"), 10).alias("cy"), geo.cell(c("lon_e7"), 10).alias("cx")]
-    rows = t.geo_node.join(t.geo_way_node, c("ref") == c("id")).groupBy(*cell, "id").agg(F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("start", F.sum("n").over(Window.partitionBy("cy", "cx").orderBy("id")) - c("n"))
+    rows = t.geo_node.join(t.dealt(t.geo_way_node.select("ref"), "ref"), c("ref") == c("id")).groupBy(*cell, "id").agg(F.count(F.lit(1)).alias("n"))
+    rows = running_total(rows, ["cy", "cx", "id"], "n", "_ahead", t.parts())
+    first = rows.groupBy("cy", "cx").agg(F.min("_ahead").alias("_first"))
+    return rows.join(first, ["cy", "cx"]).select("cy", "cx", "id", "n", (c("_ahead") - c("_first")).alias("start"))
 
 
 @query("w13_running_slug", "select seq, row_number() over (order by seq) - 1 as i from geo_poi where t = 'park'")
