@@ -1,5 +1,6 @@
 """The written search index and the greedy cut, against scans and loops."""
 
+import glob
 import random
 
 import pytest
@@ -41,6 +42,15 @@ def test_large_prefixes_have_sub_chunks(spark, index):
     assert search_index.chunks(spark, path, "Avenue").agg(F.sum("n")).first()[0] == buckets.prefix_index(df, "n").where("prefix = 'av'").count()
 
 
+def test_folders_are_dealt_to_tasks_by_their_number(spark, index):
+    """Opening a file takes a task longer than its few bytes do: tasks write some sub-chunks each, however few bytes those are, and a folder holds one file."""
+    _, path = index
+    files = glob.glob(f"{path}/chunks/prefix=*/leaf=*/*.parquet")
+    listed = spark.read.parquet(f"{path}/manifest").count()
+    assert len(files) == len({f.rsplit("/", 1)[0] for f in files}) == listed > search_index._LEAVES
+    assert len({f.rsplit("/", 1)[1].split("-")[1] for f in files}) > 1
+
+
 def loop(rows, parts):
     share, out, start, count = sum(n for _, n in rows) / parts, [], 0, 0
     for i, (_, n) in enumerate(rows):

@@ -6,18 +6,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..shared import cut, forget
 from . import buckets
 
 
+#: Sub-chunks, a file each, that a task writes.
+_LEAVES = 32
+
+
 def write(df: DataFrame, path: str, name: str, size: Column, threshold: int, order: str = "seq") -> None:
     """Write df's records under each prefix of their name, large prefixes fanned out to sub-chunks of at most about `threshold` bytes, and the manifest (prefix, leaf, n, bytes).
 
-    Rows are dealt by sub-chunk with a rebalance that splits large ones, so a hot prefix is written by many tasks, and each folder by few.
+    What a task takes is the files that it opens, not its bytes, so sub-chunks are counted and dealt whole, about _LEAVES of them to a task: each folder holds one file, and a hot prefix is written by many tasks.
+    The manifest is counted from the records that are written, so that the folders aren't listed again.
     """
-    rows = buckets.fan_out(buckets.prefix_index(df, name), "prefix", name, size, threshold, order=order)
-    rows.hint("rebalance", F.col("prefix"), F.col("leaf")).write.partitionBy("prefix", "leaf").parquet(f"{path}/chunks")
-    held = df.sparkSession.read.schema(rows.schema).parquet(f"{path}/chunks")
-    held.groupBy("prefix", "leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).hint("rebalance").sortWithinPartitions("prefix").write.parquet(f"{path}/manifest")
+    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), order)  # a small file of many records would be folded in one task
+    rows = cut(buckets.fan_out(buckets.prefix_index(spread, name), "prefix", name, size, threshold, order=order))
+    listed = cut(rows.groupBy("prefix", "leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")))
+    dealt = rows.repartition(-(-listed.count() // _LEAVES) or 1, "prefix", "leaf")
+    dealt.write.partitionBy("prefix", "leaf").parquet(f"{path}/chunks")
+    listed.hint("rebalance").sortWithinPartitions("prefix").write.parquet(f"{path}/manifest")
+    forget(rows)
+    forget(listed)
 
 
 def prefix_of(spark: SparkSession, query: str) -> str:
