@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -438,6 +439,24 @@ def test_probes_are_those_of_least_penalty():
     assert len(ann.probe(q, cells, 100, 0)) == 25
 
 
+def test_further_leaves_hand_on_what_reaches_the_first_ones_bound(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 8))
+    rows = pd.DataFrame({"cid": np.arange(1500), "vec": [v.tobytes() for v in x]})
+    queries = pd.DataFrame({"query": [3, 4], "vec": [x[3].tobytes(), x[4].tobytes()], "least": [-np.inf, np.sort(x @ x[4])[-5] - 1e-9]})
+    got = ann._score(21, "<f8")(rows, queries)
+    assert got["query"].value_counts().to_dict() == {3: 21, 4: 5}
+
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").cache()
+    want = ann.nearest(df, lambda i: i % 20 == 0, leaf=16, probes=96).collect()
+    handed, score = [], ann._score
+    monkeypatch.setattr(ann, "FEW", 1)
+    monkeypatch.setattr(ann, "_score", lambda *a: handed.append(a) or score(*a))
+    monkeypatch.setattr(ann, "round", lambda _: 96, raising=False)  # as many leaves in all, eight of them first
+    assert ann.nearest(df, lambda i: i % 20 == 0, leaf=16, probes=8, growth=1.0).collect() == want
+    assert len(handed) == 2
+
+
 def test_ann_ties_and_odd_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(100, [0.0, 2.0]), (101, None), (102, [0.0, 0.0]), (103, [float("nan"), 1.0]), (104, [1.0]), (105, [float("inf"), 0.0]), (None, [1.0, 1.0]), (120, [None, 1.0]), (20, [1.0, 0.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, cid string").repartition(3)

@@ -15,7 +15,8 @@ one leaf of its own penalty, so the best cells of a tier have all of the best le
 broadcast only where it is counted to be small.
 
 Rerank: leaf by leaf, in double precision on the original vectors, in tiles of at most about TILE by TILE vectors, so that no popular leaf lands in one
-task. Tasks hand on their k + 1 best of each query (partial ranking), then these are ranked.
+task. Tasks hand on their k + 1 best of each query (partial ranking), then these are ranked. The first PROBES leaves of a query are scored before its others: the k + 1-th best
+score of a query so far is one that its answer can't fall below, so tiles of the other leaves, which grow with the table, hand on only what reaches it.
 
 Probes: PROBES leaves, however large the table, and more by (leaves / FEW)^growth for `growth` above 0. The registered query sets growth to 0.8: its
 vectors are all but isotropic (the 20th neighbour is 66 degrees away), where no fixed number of cells holds nine tenths of the neighbours at all
@@ -118,12 +119,15 @@ def best_of(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> Iter
 
 
 def _score(k: int, kind: str):
+    """The k best of a tile's vectors for each of its queries, those of them that reach the query's `least` score."""
+
     def score(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
             return pd.DataFrame({"query": np.empty(0, np.int64), "cid": np.empty(0, np.int64), "score": np.empty(0)})
         found = list(best_of(_matrix(rows["vec"], kind), rows["cid"].to_numpy(), _matrix(queries["vec"], kind), k))
         ids, scores = (np.concatenate(part) for part in zip(*found))
-        return pd.DataFrame({"query": np.repeat(queries["query"].to_numpy(), ids.shape[1]), "cid": ids.ravel(), "score": scores.ravel()})
+        keep = (scores >= queries["least"].to_numpy()[:, None]).ravel()
+        return pd.DataFrame({"query": np.repeat(queries["query"].to_numpy(), ids.shape[1])[keep], "cid": ids.ravel()[keep], "score": scores.ravel()[keep]})
 
     return score
 
@@ -187,7 +191,7 @@ def grow(vectors: DataFrame, norm2: float, kind: str, trees: int = TREES, leaf:
 
 
 def search(queries: DataFrame, subtrees: list[DataFrame], probes: int, kind: str, trees: int = TREES) -> DataFrame:
-    """queries(query, vec) to (query, vec, tree, cell): the `probes` cells of each by one queue over all trees."""
+    """queries(query, vec) to (query, vec, tree, cell, at): the `probes` cells of each by one queue over all trees, numbered in its order."""
     reached = queries.select("query", "vec", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.lit(0.0).alias("penalty"), t.alias("tree"), F.lit(1).cast("long").alias("cell"))).alias("cells"))
 
     def step(tier: int):
@@ -204,7 +208,7 @@ def search(queries: DataFrame, subtrees: list[DataFrame], probes: int, kind: str
         each = reached.select("query", F.explode("cells").alias("c")).select("query", "c.penalty", "c.tree", "c.cell").join(small_side(subtree, SUBTREES), ["tree", "cell"], "left")
         cells = each.groupBy("query").agg(F.collect_list(F.struct("penalty", "tree", "cell", F.coalesce("bits", F.lit(0)).alias("bits"), "splits")).alias("cells"))
         reached = cut(queries.join(cells, "query").mapInPandas(step(tier), "query long, vec binary, cells array<struct<penalty:double,tree:int,cell:long>>"))
-    return reached.select("query", "vec", F.explode("cells").alias("c")).select("query", "vec", "c.tree", "c.cell")
+    return reached.select("query", "vec", F.posexplode("cells").alias("at", "c")).select("query", "vec", "c.tree", "c.cell", "at")
 
 
 def nearest(rows: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, growth: float = 0.0) -> DataFrame:
@@ -233,16 +237,26 @@ def nearest(rows: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_c
     probing = cut(search(queries, subtrees, round(probes * max(1.0, leaves / FEW) ** growth), kind, trees))
 
     tiles = lambda df, name: df.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / TILE).alias(name))
-    shape = cut(tiles(index, "nr").join(tiles(probing, "nq"), at))
     of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    tiled_rows = index.join(shape, at).select(*at, "cid", "vec", of("cid", "nr").alias("br"), all_of("nq").alias("bq"))
-    tiled_queries = probing.join(shape, at).select(*at, "query", "vec", of("query", "nq").alias("bq"), all_of("nr").alias("br"))
     tile = [*at, "br", "bq"]
-    scored = tiled_rows.groupBy(*tile).cogroup(tiled_queries.groupBy(*tile)).applyInPandas(_score(k + 1, kind), "query long, cid long, score double")
     # a vector found in several trees has one score in all of them, so dense ranks count it once
     order = Window.partitionBy("query").orderBy(F.desc("score"), "cid")
-    best = scored.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= k + 1).select("query", "cid", "score").distinct()
+    best_of_each = lambda df: df.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= k + 1).select("query", "cid", "score").distinct()
+
+    shape = cut(tiles(index, "nr").join(tiles(probing, "nq"), at))
+    tiled_rows = cut(index.join(shape, at).select(*at, "cid", "vec", of("cid", "nr").alias("br"), all_of("nq").alias("bq")))
+    tiled_queries = cut(probing.join(shape, at).select(*at, "query", "vec", "at", of("query", "nq").alias("bq"), all_of("nr").alias("br")))
+    forget(index)
+    scored = lambda asking: tiled_rows.groupBy(*tile).cogroup(asking.groupBy(*tile)).applyInPandas(_score(k + 1, kind), "query long, cid long, score double")
+
+    best = best_of_each(scored(tiled_queries.where(F.col("at") < probes).withColumn("least", F.lit(float("-inf")))))
+    more = tiled_queries.where(F.col("at") >= probes)
+    if not more.isEmpty():
+        best = cut(best)
+        least = best.groupBy("query").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("least"))
+        more = more.join(least, "query", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        best = best_of_each(best.unionByName(scored(cut(more))))
     ids = best.join(classes.select("cid", "ids"), "cid").select("query", "score", F.explode("ids").alias("vec_id"))
     by = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "vec_id"))
     ids = ids.withColumn("r", by("query")).where(F.col("r") <= k + 1).drop("r")
