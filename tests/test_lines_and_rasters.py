@@ -3,12 +3,13 @@
 import random
 
 import pytest
+from compare import connect, rows_of_spark, rows_of_sql
 from pyspark.sql import functions as F
 
 from wayfold.functions import rules
 from wayfold.graph import build, geometry
 from wayfold.operators import raster, simplify
-from wayfold.plans import QUERIES, graphs
+from wayfold.plans import ORACLES, QUERIES, graphs
 from wayfold.plans.tables import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -109,3 +110,14 @@ def test_geometry_is_stored_once_and_joins_back(spark):
     back = geometry.restored(lines, local, placed)
     wrong = back.join(twin.select("way_id", "segment", F.col("line").alias("want")), ["way_id", "segment"]).where("line <> want")
     assert back.count() == every.count() and wrong.isEmpty()
+
+
+@pytest.mark.parametrize("name", ["sk8_geometry_dictionary", "cl20_simplified_lines", "g9_valid_pairs"])
+def test_ways_are_numbered_once(spark, monkeypatch, name):
+    """Nodes, junctions and pieces come from one written table of ways: lineitem is asked for once in a query."""
+    asked, base = [], Tables.__getattr__
+    monkeypatch.setattr(Tables, "__getattr__", lambda self, key: asked.append(key) or base(self, key))
+    found = QUERIES[name](spark, FOLDER)
+    assert asked.count("geo_way_node") == 1 and "geo_node" not in asked
+    if name in ORACLES:
+        assert rows_of_spark(found) == rows_of_sql(connect(FOLDER), ORACLES[name])

@@ -13,15 +13,14 @@ CELL = ["cy", "cx"]
 
 
 def dictionaries(edges: DataFrame, shapes: DataFrame, nodes: DataFrame, scale: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """edges(way_id, segment, back, src, ...) and shapes(way_id, segment, line array) to three tables:
+    """edges(way_id, segment, back, src, ...) and shapes(way_id, segment, line array), a written table that is read twice, to three tables:
 
     lines(gid, line): each different polyline once, numbered from 0 by its first use in the order of (way_id, segment);
     local(cy, cx, lid, gid): the polylines that a cell's edges use, numbered from 0 in each cell by first use in the order of (way_id, segment, back);
     placed: edges with cy, cx (the cell of src) and lid instead of a shape.
-    Both directions of a piece use one polyline. A global number comes from ranges of the order, a local one from a window over a cell, which its area bounds.
+    Polylines are told apart by two 64-bit hashes. Both directions of a piece use one polyline. A global number comes from ranges of the order, a local one from a window over a cell, which its area bounds.
     """
-    told = shapes.select("way_id", "segment", "line", F.md5(F.to_json("line").cast("binary")).alias("_d"))
-    told = cut(told)
+    told = shapes.select("way_id", "segment", "line", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("_d"))
     first = told.groupBy("_d").agg(F.min(F.struct("way_id", "segment")).alias("_f"), F.first("line").alias("line"))
     lines = cut(dense_index(first.select("_d", "_f.way_id", "_f.segment", "line"), ["way_id", "segment"], "gid").select("gid", "_d", "line"))
     home = nodes.select(F.col("id").alias("src"), geo.cell(F.col("lat_e7"), scale).alias("cy"), geo.cell(F.col("lon_e7"), scale).alias("cx"))
