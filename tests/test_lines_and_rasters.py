@@ -121,3 +121,15 @@ def test_ways_are_numbered_once(spark, monkeypatch, name):
     assert asked.count("geo_way_node") == 1 and "geo_node" not in asked
     if name in ORACLES:
         assert rows_of_spark(found) == rows_of_sql(connect(FOLDER), ORACLES[name])
+
+
+def test_short_stretches_give_the_same_bits(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(400):
+        n = rng.randint(2, 20)
+        x, y = [[rng.choice([rng.random(), round(rng.random(), 1), 37 + rng.random()]) for _ in range(n)] for _ in "xy"]
+        pinned = [rng.random() < 0.1 for _ in range(n)]
+        monkeypatch.setattr(simplify, "_SHORT", 24)
+        few = simplify.douglas_peucker(x, y, pinned)
+        monkeypatch.setattr(simplify, "_SHORT", 0)
+        assert simplify.douglas_peucker(x, y, pinned) == few
