@@ -66,3 +66,36 @@ def test_filled_stretches_are_one_row_each(spark):
     rings = spark.createDataFrame([(1, 0, i, y, x) for i, (y, x) in enumerate([(0.05, 0.05), (0.05, 9.95), (9.95, 9.95), (9.95, 0.05)])], RINGS)
     filled, _ = cover.stretches(cover.edges_of(rings), 10)
     assert filled.count() < 120 and filled.selectExpr("sum(last - first + 1)").first()[0] > 9_000
+
+
+def test_held_is_ray_casting(monkeypatch):
+    """Whatever the size of cells and of the parts that are worked on at once, with level edges, points on corners, crossing rings and holes."""
+    import numpy as np
+
+    rng = random.Random(7)
+    for trial in range(20):
+        polygons = {k: [star(rng, rng.uniform(-2, 2), rng.uniform(-2, 2), rng.choice([0.05, 0.5, 2]), rng.choice([3, 7, 40]))] for k in range(6)}
+        polygons |= {k: [[(round(rng.uniform(-2, 2), 1), round(rng.uniform(-2, 2), 1)) for _ in range(rng.choice([3, 4, 7]))]] for k in range(6, 12)}
+        polygons[12] = [[(rng.uniform(-5, 5), rng.uniform(-5, 5)) for _ in range(5)], [(-1.0, -1.0), (-1.0, 1.0), (1.0, 1.0), (1.0, -1.0)]]
+        points = [(rng.uniform(-3, 3), rng.uniform(-3, 3)) for _ in range(rng.choice([1, 200]))] + [(round(rng.uniform(-2, 2), 1), round(rng.uniform(-2, 2), 1)) for _ in range(60)]
+        points = [(1.0, x) for _, x in points] if trial % 10 == 0 else points
+        edges = [(k, *sum(sorted([a, b]), ())) for k, rings in polygons.items() for r in rings for a, b in zip(r, r[1:] + r[:1])]
+        own, at = np.array(edges, float), np.array(points)
+        for scale in (1, 10, 1000):
+            monkeypatch.setattr(cover, "_AT_ONCE", rng.choice([50, 1000, 400_000]))
+            poly, n = cover.held(at[:, 0], at[:, 1], own[:, 1:].T.copy(), own[:, 0].astype(int), scale)
+            assert dict(zip(poly, n)) == {k: sum(inside(y, x, rings) for y, x in points) for k, rings in polygons.items()}
+
+
+def test_counts_make_no_row_for_a_cell(spark, monkeypatch):
+    """Bands of points and slices of polygons meet in tasks; neither filled nor border cells are rows."""
+    monkeypatch.setattr(cover, "stretches", None)
+    monkeypatch.setattr(cover, "BAND", 60)
+    monkeypatch.setattr(cover, "LEAST_EDGES", 40)
+    rng = random.Random(9)
+    polygons = {k: [[(rng.uniform(-3, 3), rng.uniform(-3, 3)) for _ in range(3 + k % 4)]] for k in range(40)}
+    points = [(i, rng.uniform(-2, 2), rng.uniform(-2, 2)) for i in range(250)]
+    rings = spark.createDataFrame([(k, 0, i, *at) for k, own in polygons.items() for i, at in enumerate(own[0])], RINGS)
+    want = {k: n for k, own in polygons.items() if (n := sum(inside(y, x, own) for _, y, x in points))}
+    assert {r.poly: r.points for r in cover.counts(spark.createDataFrame(points, POINTS.replace("p ", "id ")), rings, "id", 500).collect()} == want
+    assert cover.counts(spark.createDataFrame([], POINTS.replace("p ", "id ")), rings, "id", 500).isEmpty()
